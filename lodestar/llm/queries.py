@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, lang_id, token_store, warc
+from lodestar.llm import ctw, decontam, html_extract, lang_id, token_store, warc
 from lodestar.llm.common import id_bucket, table
 from lodestar.llm.simhash import simhash_components
 
@@ -30,6 +30,16 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1).read()
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and word-count scores of every document, learned from those outside the held-out fifth."""
+    return ctw.scores(table(spark, sf_dir, "documents"), id_bucket("doc_id", 5) == 1)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of every document with windows of 13 words of the benchmark's items."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
@@ -41,7 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_token_ids, op9_benchmark_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_token_ids, op7_html_extraction, op8_lm_scoring, op9_benchmark_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
