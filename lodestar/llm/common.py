@@ -125,18 +125,18 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def chunk_count(n):
+def chunk_count(n, size: int = 1024):
     """Column: into how many chunks a group of n rows is dealt.
 
     Groups are compared chunk by chunk, each pair of chunks in a task's turn of
-    its own. Chunks hold up to 1024 rows; from 16 chunks on their number grows
+    its own. Chunks hold up to ``size`` rows; from 16 chunks on their number grows
     with the square root of the group, so that the copies sent stay few.
     """
-    few = F.ceil(n / F.lit(1024))
-    return F.when(few <= 16, few).otherwise(F.greatest(F.lit(16), F.ceil(F.sqrt(n / F.lit(64.0))))).cast("int")
+    few = F.ceil(n / F.lit(size))
+    return F.when(few <= 16, few).otherwise(F.greatest(F.lit(16), F.ceil(F.sqrt(n * F.lit(16.0 / size))))).cast("int")
 
 
-def dealt_groups(df: DataFrame, key: str, member) -> DataFrame:
+def dealt_groups(df: DataFrame, key: str, member, size: int = 1024) -> DataFrame:
     """Rows of keys held by two rows or more, with the turn (``lo``, ``hi``) in which they are compared.
 
     ``member``: column whose hash chooses a row's chunk. A row of chunk a gets
@@ -145,7 +145,7 @@ def dealt_groups(df: DataFrame, key: str, member) -> DataFrame:
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     x = df.join(counts, key)
-    x = x.withColumn("_c", chunk_count(F.col("_n"))).withColumn("_a", F.pmod(F.xxhash64(member, F.lit(7)), F.col("_c")).cast("int"))
+    x = x.withColumn("_c", chunk_count(F.col("_n"), size)).withColumn("_a", F.pmod(F.xxhash64(member, F.lit(7)), F.col("_c")).cast("int"))
     x = x.withColumn("_b", F.explode(F.expr("sequence(0, _c - 1)")))
     x = x.withColumn("lo", F.least("_a", "_b")).withColumn("hi", F.greatest("_a", "_b")).withColumn("side", (F.col("_a") != F.col("lo")).cast("int"))
     x = x.drop("_n", "_c", "_a", "_b")
