@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ctw, decontam, html_extract, lang_id, token_store, warc
+from lodestar.llm import chat, ctw, decontam, embed_dedup, html_extract, lang_id, packing, token_store, warc
 from lodestar.llm.common import id_bucket, table
 from lodestar.llm.simhash import simhash_components
 
@@ -30,6 +30,21 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1).read()
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 512 to 8192 tokens (its words and an end)."""
+    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings linked at a cosine of 0.9 or more."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, tool call and result of the conversations as canonical JSON, in order."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -51,11 +66,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_token_ids, op7_html_extraction, op8_lm_scoring, op9_benchmark_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_token_ids, op4_best_fit_packing, op5_embedding_near_dedup, op6_chat_formatting, op7_html_extraction, op8_lm_scoring, op9_benchmark_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}
+    return {"op6_chat_formatting": _OP6, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}
 
 
 _OP9 = r"""
@@ -84,3 +99,9 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM h
 """
+
+_OP6 = """
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BIGINT) AS call_turn, turn AS order_turn,
+       CAST(0 AS INTEGER) AS order_step, TRUE AS valid, CAST(NULL AS VARCHAR) AS error, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
+FROM conversations
+"""
