@@ -1 +1 @@
-
+"""Column expressions, selection and label primitives."""

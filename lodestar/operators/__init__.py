@@ -1 +1 @@
-
+"""Query strategies, classifiers and regressors as DataFrame operators."""

@@ -1,15 +1,871 @@
-"""All queries over the test tables, with the SQL that gives the same rows."""
+"""All queries over the test tables, with the SQL that gives the same rows.
+
+Every query runs over its whole tables. ``vec_id % 5 = 0`` (``p_partkey % 10 = 0``)
+says which labels of the pools are known, not which rows take part.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions import labels as L
+from lodestar.functions import selection as S
+from lodestar.operators import classifiers as C
+from lodestar.operators import diverse as D
+from lodestar.operators import grid as G
+from lodestar.operators import informative as I
+from lodestar.operators import multiannotator as M
+from lodestar.operators import regressors as R
+from lodestar.sources.tables import table
+from lodestar.streaming import managers as B
+from lodestar.streaming import strategies as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+GAMMA, CLASSES, DIGITS = 0.05, list(range(10)), 6
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) for c in cols})
+
+
+# ---- the pools -------------------------------------------------------------
+
+
+def embeddings(spark: SparkSession, sf_dir: str, classes: int = 10) -> DataFrame:
+    """Rows (id, x, y, w, truth): labels of every fifth vector are known."""
+    e = table(spark, sf_dir, "embeddings")
+    truth = (F.col("label") % classes).cast("int")
+    e = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("vec_id") % 5 == 0, truth).alias("y"), F.lit(1.0).alias("w"), truth.alias("truth"))
+    return e.repartition(spark.sparkContext.defaultParallelism)
+
+
+def split(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labelled, candidates)."""
+    return pool.filter("y is not null"), pool.filter("y is null")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (id, x, y, w): price by size and brand number; every tenth price is known."""
+    p = table(spark, sf_dir, "part")
+    x = F.array(F.col("p_size") / 10.0, F.regexp_extract("p_brand", r"(\d+)$", 1).cast("double") / 10.0)
+    p = p.select(F.col("p_partkey").alias("id"), x.alias("x"), F.when(F.col("p_partkey") % 10 == 0, F.col("p_retailprice") / 100.0).alias("y"), F.lit(1.0).alias("w"))
+    return p.repartition(spark.sparkContext.defaultParallelism)
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (id, annotator, truth, y, w): five annotators with more and more mistakes, who leave a quarter out."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("annotator"))
+    a = F.col("annotator")
+    wrong = (F.col("id") * 7 + a * 13) % 10 < a
+    y = F.when((F.col("id") + a) % 4 != 0, F.when(wrong, (F.col("truth") + 1) % 10).otherwise(F.col("truth")).cast("int"))
+    return e.withColumn("y", y).withColumn("w", 1.0 + (a % 2))
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "ts", F.least(F.col("value") / 500.0, F.lit(1.0)).alias("utility"))
+
+
+def pwc(**kw) -> C.ParzenWindow:
+    return C.ParzenWindow(CLASSES, gamma=GAMMA, **kw)
+
+
+def probas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return pwc().probas(cand.select("id", "x", "truth"), lab)
+
+
+def long(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.posexplode(col).alias("c", col))
+
+
+def d2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def pool_sql(classes: int = 10) -> str:
+    return f"""e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, CASE WHEN vec_id % 5 = 0 THEN label % {classes} END AS y, label % {classes} AS truth FROM embeddings),
+lab AS (SELECT * FROM e WHERE y IS NOT NULL), cand AS (SELECT * FROM e WHERE y IS NULL)"""
+
+
+def freq_sql(rows: str = "cand", gamma: float = GAMMA) -> str:
+    return f"""freq AS (SELECT c.id, l.y AS c, sum(exp(-{gamma} * {d2("c.x", "l.x")})) AS f FROM {rows} c, lab l GROUP BY c.id, l.y),
+p AS (SELECT id, c, f / sum(f) OVER (PARTITION BY id) AS p FROM freq)"""
+
+
+POOL, FREQ = pool_sql(), freq_sql()
+BASE = f"WITH {POOL}, {FREQ}"
+ENTROPY = "sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END)"
+
+
+# ---- kernel classifier and uncertainty -------------------------------------
+
+
+@register(f"{BASE} SELECT id, c, round(f, 6) AS freq FROM freq")
+def pwc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return rounded(long(pwc().freq(cand.select("id", "x"), lab), "freq", "id"), "freq")
+
+
+@register(f"{BASE} SELECT id, c, round(p, 6) AS p FROM p")
+def pwc_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(long(probas(spark, sf_dir), "p", "id"), "p")
+
+
+@register(
+    f"""WITH {POOL}, pr AS (SELECT c.id, l.y, exp(-0.05 * {d2("c.x", "l.x")}) AS k, l.id AS r FROM cand c, e l),
+top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC, r) AS n FROM pr), cl AS (SELECT unnest(range(0, 10)) AS c)
+SELECT t.id, cl.c, round(coalesce(sum(CASE WHEN t.y = cl.c THEN t.k END), 0), 6) AS freq FROM top t, cl WHERE n <= 15 GROUP BY t.id, cl.c"""
+)
+def pwc_knn_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = embeddings(spark, sf_dir)
+    return rounded(long(pwc(n_neighbors=15).freq(split(pool)[1].select("id", "x"), pool), "freq", "id"), "freq")
+
+
+@register(f"{BASE}, m AS (SELECT id, max(p) AS m FROM p GROUP BY id) SELECT id, round(1 - m, 6) AS utility FROM m")
+def us_least_confident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.uncertainty(probas(spark, sf_dir), "least_confident"), "utility")
+
+
+_TWO = "s AS (SELECT id, list_sort(list(p), 'DESC') AS s FROM p GROUP BY id)"
+
+
+@register(f"{BASE}, {_TWO} SELECT id, round(1 - abs(s[1] - s[2]), 6) AS utility FROM s")
+def us_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.uncertainty(probas(spark, sf_dir), "margin_sampling"), "utility")
+
+
+@register(f"{BASE} SELECT id, round({ENTROPY}, 6) AS utility FROM p GROUP BY id")
+def us_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.uncertainty(probas(spark, sf_dir), "entropy"), "utility")
+
+
+@register(f"{BASE} SELECT id, round({ENTROPY} * (1 + id % 3), 6) AS utility FROM p GROUP BY id")
+def us_utility_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = probas(spark, sf_dir).withColumn("weight", 1 + F.col("id") % 3)
+    return rounded(I.uncertainty(p, "entropy", weight="weight"), "utility")
+
+
+COST = [[abs(i - j) / 3.0 for j in range(10)] for i in range(10)]
+_COSTS = "cost AS (SELECT a.id, b.c, sum(a.p * abs(a.c - b.c) / 3.0) AS k FROM p a, (SELECT DISTINCT c FROM p) b GROUP BY a.id, b.c)"
+
+
+@register(f"{BASE}, {_COSTS} SELECT id, round(min(k), 6) AS utility FROM cost GROUP BY id")
+def us_cost_lc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.uncertainty(probas(spark, sf_dir), "least_confident", COST), "utility")
+
+
+@register(f"{BASE}, {_COSTS}, s AS (SELECT id, list_sort(list(k)) AS s FROM cost GROUP BY id) SELECT id, round(-abs(s[1] - s[2]), 6) AS utility FROM s")
+def us_cost_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.uncertainty(probas(spark, sf_dir), "margin_sampling", COST), "utility")
+
+
+@register(f"{BASE}, {_COSTS}, b AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY round(k, 12), c) AS n FROM cost) SELECT id, c AS pred FROM b WHERE n = 1")
+def pwc_predict_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pwc(cost=COST).predict(probas(spark, sf_dir)).select("id", "pred")
+
+
+@register(f"{BASE}, b AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, c) AS n FROM p) SELECT round(avg(CASE WHEN b.c = cand.truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM b JOIN cand USING (id) WHERE n = 1")
+def clf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.score(pwc().predict(probas(spark, sf_dir)), "truth"), "accuracy")
+
+
+_TOP20 = f"{BASE}, u AS (SELECT id, {ENTROPY} AS u, 1 - max(p) AS lc FROM p GROUP BY id), r AS (SELECT *, row_number() OVER (ORDER BY round(u, 9) DESC, id) AS step FROM u) SELECT CAST(step AS INTEGER) AS step, id, round(u, 6) AS utility FROM r WHERE step <= 20"
+
+
+@register(_TOP20)
+def us_entropy_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.top_k(I.uncertainty(probas(spark, sf_dir), "entropy"), 20).select("step", "id", "utility"), "utility")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us_entropy_top20(spark, sf_dir)
+
+
+@register(
+    f"""{BASE}, u AS (SELECT id, {ENTROPY} AS u FROM p GROUP BY id), r AS (SELECT *, row_number() OVER (ORDER BY round(u, 9) DESC, id) AS n FROM u), st AS (SELECT unnest(range(1, 6)) AS step)
+SELECT CAST(st.step AS INTEGER) AS step, id, CASE WHEN n >= st.step THEN round(u, 6) END AS utility, n = st.step AS picked FROM r, st"""
+)
+def simple_batch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.simple_batch(I.uncertainty(probas(spark, sf_dir), "entropy"), 5), "utility")
+
+
+@register(f"WITH {POOL.replace('CASE WHEN vec_id % 5 = 0 THEN label % 10 END', 'CASE WHEN vec_id > (SELECT max(vec_id) FROM embeddings) - 100 THEN label END')}, {FREQ} SELECT id, c, round(p, 6) AS p FROM p")
+def sliding_window_pwc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = embeddings(spark, sf_dir).withColumn("y", F.col("truth"))
+    window = C.sliding_window(pool, ["id"], 100).select("id", "x", "y", "w")
+    known = [r[0] for r in window.select("y").distinct().orderBy("y").collect()]
+    clf = C.ParzenWindow(known, gamma=GAMMA)
+    rest = pool.join(window.select("id"), "id", "left_anti")
+    p = clf.probas(rest.select("id", "x"), window)
+    return rounded(p.select("id", F.explode(F.arrays_zip(F.array(*map(F.lit, known)).alias("c"), F.col("p"))).alias("v")).select("id", F.col("v.c").alias("c"), F.col("v.p").alias("p")), "p")
+
+
+# ---- committees ------------------------------------------------------------
+
+GAMMAS = (0.02, 0.05, 0.1)
+_MEMBERS = f"""g AS (SELECT * FROM (VALUES (0, 0.02), (1, 0.05), (2, 0.1)) t(m, g)), dist AS (SELECT c.id, l.y AS c, {d2("c.x", "l.x")} AS d FROM cand c, lab l),
+mf AS (SELECT g.m, id, c, sum(exp(-g.g * d)) AS f FROM dist, g GROUP BY g.m, id, c), mp AS (SELECT m, id, c, f / sum(f) OVER (PARTITION BY m, id) AS p FROM mf)"""
+_VOTES = "v AS (SELECT m, id, c AS vote FROM (SELECT *, row_number() OVER (PARTITION BY m, id ORDER BY round(p, 12) DESC, c) AS n FROM mp) WHERE n = 1), vc AS (SELECT id, vote, count(*) AS n FROM v GROUP BY id, vote)"
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return I.members_of(cand, lab, [C.ParzenWindow(CLASSES, gamma=g) for g in GAMMAS])
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pwc().predict(members(spark, sf_dir), out="vote").select("member", "id", "vote")
+
+
+@register(
+    f"""WITH {POOL}, {_MEMBERS}, cl AS (SELECT m, id, c, greatest(p, 1e-7) AS q FROM mp), q AS (SELECT m, id, c, q / sum(q) OVER (PARTITION BY m, id) AS q FROM cl),
+t AS (SELECT id, c, avg(q * ln(q)) - avg(q) * ln(avg(q)) AS t FROM q GROUP BY id, c) SELECT id, round(sum(t), 6) AS utility FROM t GROUP BY id"""
+)
+def qbc_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.committee_kl(members(spark, sf_dir), 10), "utility")
+
+
+@register(f"WITH {POOL}, {_MEMBERS}, {_VOTES} SELECT id, round(sum(-(n / 3.0) * ln(n / 3.0)), 6) + 0.0 AS utility FROM vc GROUP BY id")
+def qbc_vote_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.vote_entropy(votes(spark, sf_dir)), "utility").withColumn("utility", F.col("utility") + 0.0)
+
+
+@register(f"WITH {POOL}, {_MEMBERS}, {_VOTES} SELECT id, round(1 - max(n) / 3.0, 6) AS utility FROM vc GROUP BY id")
+def qbc_variation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.variation_ratios(votes(spark, sf_dir)), "utility")
+
+
+_H = "CASE WHEN {0} > 0 THEN -{0} * ln({0}) ELSE 0 END"
+_BALD = f"h AS (SELECT id, sum({_H.format('p')}) / 3.0 AS h FROM mp GROUP BY id), a AS (SELECT id, c, avg(p) AS a FROM mp GROUP BY id, c), b AS (SELECT a.id, sum({_H.format('a')}) - max(h.h) AS utility FROM a JOIN h USING (id) GROUP BY a.id)"
+
+
+@register(f"WITH {POOL}, {_MEMBERS}, {_BALD} SELECT id, round(utility, 6) AS utility FROM b")
+def bald(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.bald(members(spark, sf_dir), 10), "utility")
+
+
+@register(
+    f"""WITH {POOL}, {_MEMBERS}, {_BALD}, s1 AS (SELECT id, utility FROM b ORDER BY round(utility, 9) DESC, id LIMIT 1),
+j AS (SELECT o.id, s.c AS c1, o.c AS c2, avg(s.p * o.p) AS q FROM mp o JOIN mp s ON s.m = o.m WHERE s.id = (SELECT id FROM s1) AND o.id <> s.id GROUP BY o.id, s.c, o.c),
+u2 AS (SELECT j.id, sum(-q * ln(q)) - max(h.h) - (SELECT h.h FROM h WHERE h.id = (SELECT id FROM s1)) AS utility FROM j JOIN h USING (id) GROUP BY j.id),
+s2 AS (SELECT id, utility FROM u2 ORDER BY round(utility, 9) DESC, id LIMIT 1)
+SELECT CAST(1 AS INTEGER) AS step, id, round(utility, 5) AS utility FROM s1 UNION ALL SELECT CAST(2 AS INTEGER), id, round(utility, 5) FROM s2"""
+)
+def batch_bald_exact2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = I.batch_bald(members(spark, sf_dir), 10, 2, n_samples=1000, eps=1e-12)
+    return out.withColumn("utility", F.round("utility", 5))
+
+
+# ---- McPAL and expected error ----------------------------------------------
+
+
+@register(
+    f"""{BASE}, k AS (SELECT id, c, f, f + 1 AS a, sum(f + 1) OVER (PARTITION BY id) AS s FROM freq),
+e0 AS (SELECT id, 1 - max_by(a, struct_pack(v := round(f, 9), c := -c)) / max(s) AS e FROM k GROUP BY id),
+g AS (SELECT l.id, l.c AS l, l.a AS al, t.c AS t, t.a AS at, t.f AS ft, l.s FROM k l JOIN k t ON l.id = t.id),
+y AS (SELECT id, l, max_by(t, struct_pack(v := round(ft + CASE WHEN t = l THEN 1 ELSE 0 END, 9), c := -t)) AS y FROM g GROUP BY id, l),
+e1 AS (SELECT g.id, sum(CASE WHEN g.t <> y.y THEN g.al * (g.at + CASE WHEN g.t = g.l THEN 1 ELSE 0 END) / (g.s * (g.s + 1)) ELSE 0 END) AS e FROM g JOIN y ON g.id = y.id AND g.l = y.l GROUP BY g.id)
+SELECT id, round(e0.e - e1.e, 6) AS utility FROM e0 JOIN e1 USING (id)"""
+)
+def mcpal_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    f = pwc().freq(cand.select("id", "x"), lab)
+    return rounded(I.cost_reduction(f, 1), "utility")
+
+
+def _mc2(m: int) -> str:
+    """Expected cost after m labels of two classes, over (f0, f1, a0, a1)."""
+    terms = []
+    for l0 in range(m + 1):
+        l1 = m - l0
+        ways = {0: 1, 1: 1, 2: 2}[m] / ({0: 1, 1: 1, 2: 2}[l0] * {0: 1, 1: 1, 2: 2}[l1])
+        for t in (0, 1):
+            n0, n1 = l0 + (t == 0), l1 + (t == 1)
+            num = " * ".join([f"(a0 + {i})" for i in range(n0)] + [f"(a1 + {i})" for i in range(n1)])
+            den = " * ".join(f"(a0 + a1 + {i})" for i in range(m + 1))
+            pred = f"CASE WHEN round(f1 + {l1}, 9) <= round(f0 + {l0}, 9) THEN 0 ELSE 1 END"
+            terms.append(f"{ways} * {num} / ({den}) * CASE WHEN {pred} <> {t} THEN 1 ELSE 0 END")
+    return " + ".join(terms)
+
+
+POOL2, FREQ2 = pool_sql(2), freq_sql()
+BASE2 = f"WITH {POOL2}, {FREQ2}"
+
+
+@register(
+    f"""{BASE2}, k AS (SELECT id, sum(CASE WHEN c = 0 THEN f END) AS f0, sum(CASE WHEN c = 1 THEN f END) AS f1 FROM freq GROUP BY id), a AS (SELECT *, f0 + 1 AS a0, f1 + 1 AS a1 FROM k)
+SELECT id, round(greatest(({_mc2(0)}) - ({_mc2(1)}), (({_mc2(0)}) - ({_mc2(2)})) / 2), 6) AS utility FROM a"""
+)
+def mcpal_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir, 2))
+    f = C.ParzenWindow([0, 1], gamma=GAMMA).freq(cand.select("id", "x"), lab)
+    return rounded(I.cost_reduction(f, 2), "utility")
+
+
+_EER = f"""{BASE2}, w AS (SELECT id, sum(CASE WHEN c = 0 THEN f END) AS f0, sum(CASE WHEN c = 1 THEN f END) AS f1 FROM freq GROUP BY id),
+kk AS (SELECT a.id AS c, b.id AS e, exp(-0.05 * {d2("a.x", "b.x")}) AS k FROM cand a, cand b),
+g AS (SELECT kk.c, y.y, (w.f0 + CASE WHEN y.y = 0 THEN k ELSE 0 END) / (w.f0 + w.f1 + k) AS p FROM kk JOIN w ON w.id = kk.e, (VALUES (0), (1)) y(y)),
+r AS (SELECT c, y, sum(RISK) AS r FROM g GROUP BY c, y), now AS (SELECT sum(RISK) AS r FROM (SELECT f0 / (f0 + f1) AS p FROM w)),
+x AS (SELECT r.c, sum(p.p * r.r) AS r FROM r JOIN p ON p.id = r.c AND p.c = r.y GROUP BY r.c)
+SELECT c AS id, round(-(x.r - now.r), 5) AS utility FROM x, now"""
+_MIS = "least(p, 1 - p)"
+_LOG = "-p * ln(p + 2.220446049250313e-16) - (1 - p) * ln(1 - p + 2.220446049250313e-16)"
+
+
+def _eer(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir, 2))
+    out = I.expected_error(cand, lab, cand, C.ParzenWindow([0, 1], gamma=GAMMA), method)
+    return out.withColumn("utility", F.round("utility", 5))
+
+
+@register(_EER.replace("RISK", _MIS))
+def eer_misclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eer(spark, sf_dir, "misclassification_loss")
+
+
+@register(_EER.replace("RISK", _LOG))
+def eer_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eer(spark, sf_dir, "log_loss")
+
+
+@register(
+    f"""WITH {POOL2}, {freq_sql("e")}, w AS (SELECT e.id, e.y AS t, sum(CASE WHEN c = 0 THEN f END) AS f0, sum(CASE WHEN c = 1 THEN f END) AS f1 FROM freq JOIN e USING (id) GROUP BY e.id, e.y),
+kk AS (SELECT a.id AS c, b.id AS e, exp(-0.05 * {d2("a.x", "b.x")}) AS k FROM cand a, e b),
+g AS (SELECT kk.c, y.y, CASE WHEN kk.c = kk.e THEN y.y ELSE w.t END AS t, (w.f0 + CASE WHEN y.y = 0 THEN k ELSE 0 END) / (w.f0 + w.f1 + k) AS p FROM kk JOIN w ON w.id = kk.e, (VALUES (0), (1)) y(y)),
+r AS (SELECT c, y, sum(CASE WHEN t IS NULL THEN 2 * p * (1 - p) WHEN t = 0 THEN 1 - p ELSE p END) AS r FROM g GROUP BY c, y),
+now AS (SELECT sum(CASE WHEN t IS NULL THEN 2 * p * (1 - p) WHEN t = 0 THEN 1 - p ELSE p END) AS r FROM (SELECT t, f0 / (f0 + f1) AS p FROM w)),
+x AS (SELECT r.c, sum(p.p * r.r) AS r FROM r JOIN p ON p.id = r.c AND p.c = r.y GROUP BY r.c)
+SELECT c AS id, round(-(x.r - now.r), 5) AS utility FROM x, now"""
+)
+def voi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir, 2))
+    out = I.value_of_information(cand, lab, C.ParzenWindow([0, 1], gamma=GAMMA))
+    return out.withColumn("utility", F.round("utility", 5))
+
+
+# ---- distance and coverage -------------------------------------------------
+
+
+def _greedy_sql(first: str, k: int = 3, inner: str | None = None, keep: str = "") -> str:
+    """A chain of steps: u1 is given as rows (id, x, u[, t]); each step lowers u by the distance to the pick."""
+    inner = inner or f"sqrt({d2('r.x', 's.x')})"
+    cols = f"id, x, u{keep}"
+    out = [f"u1 AS (SELECT {cols} FROM ({first}))"]
+    for n in range(1, k + 1):
+        out.append(f"s{n} AS (SELECT {cols} FROM u{n} ORDER BY round(u, 9) DESC, id LIMIT 1)")
+        out.append(f"u{n + 1} AS (SELECT r.id, r.x, least(r.u, {inner}) AS u{keep.replace(', ', ', r.')} FROM u{n} r, s{n} s WHERE r.id <> s.id)")
+    picks = " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS step, id, round(u, 6) AS utility FROM s{n}" for n in range(1, k + 1))
+    return ", ".join(out) + " " + picks
+
+
+_NEAR = f"SELECT c.id, any_value(c.x) AS x, min(sqrt({d2('c.x', 'l.x')})) AS u FROM cand c, lab l GROUP BY c.id"
+
+
+@register(f"WITH {POOL}, {_greedy_sql(_NEAR)}")
+def core_set_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return rounded(D.core_set(cand, lab, 3), "utility")
+
+
+@register(f"WITH {POOL}, {_greedy_sql(_NEAR)}")
+def gsx_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return rounded(D.greedy_x(cand, lab, 3), "utility")
+
+
+@register(f"WITH {POOL}, u AS (SELECT a.id, -sum(sqrt({d2('a.x', 'b.x')})) AS u FROM e a, e b GROUP BY a.id) SELECT CAST(1 AS INTEGER) AS step, id, round(u, 4) AS utility FROM u ORDER BY round(u, 9) DESC, id LIMIT 1")
+def gsx_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = embeddings(spark, sf_dir)
+    return D.greedy_x(pool, pool.filter("false"), 1).withColumn("utility", F.round("utility", 4))
+
+
+_PART = """e AS (SELECT p_partkey AS id, [p_size / 10.0, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS DOUBLE) / 10.0] AS x, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice / 100.0 END AS y FROM part),
+lab AS (SELECT * FROM e WHERE y IS NOT NULL), cand AS (SELECT * FROM e WHERE y IS NULL)"""
+_NW = f"""ks AS (SELECT c.id, any_value(c.x) AS x, sum(exp(-{d2('c.x', 'l.x')})) AS n, sum(exp(-{d2('c.x', 'l.x')}) * (l.y - 10)) AS ky, sum(exp(-{d2('c.x', 'l.x')}) * (l.y - 10) * (l.y - 10)) AS kyy FROM cand c, lab l GROUP BY c.id)"""
+
+
+def _gs(method: str) -> str:
+    d = "abs(r.t - s.t)" if method == "GSy" else f"sqrt({d2('r.x', 's.x')}) * abs(r.t - s.t)"
+    first = d.replace("r.", "c.").replace("s.t", "l.y").replace("s.x", "l.x")
+    return f"WITH {_PART}, {_NW}, c AS (SELECT id, x, 10 + ky / n AS t FROM ks), {_greedy_sql(f'SELECT c.id, any_value(c.x) AS x, any_value(c.t) AS t, min({first}) AS u FROM c, lab l GROUP BY c.id', 3, d, ', t')}"
+
+
+def _gs_query(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    pred = R.nadaraya_watson(gamma=1.0, shift=10.0).predict(cand.select("id", "x"), lab)
+    return rounded(D.greedy_target(pred, lab, "pred", method, 3), "utility")
+
+
+@register(_gs("GSy"))
+def gsy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gs_query(spark, sf_dir, "GSy")
+
+
+@register(_gs("GSi"))
+def gsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gs_query(spark, sf_dir, "GSi")
+
+
+def _cover_sql(delta: float, k: int = 3) -> str:
+    out = [f"f1 AS (SELECT c.id, any_value(c.x) AS x FROM cand c, lab l GROUP BY c.id HAVING min(sqrt({d2('c.x', 'l.x')})) > {delta})"]
+    gone = "id NOT IN (SELECT -1)"
+    for n in range(1, k + 1):
+        out.append(f"n{n} AS (SELECT c.id, any_value(c.x) AS x, CAST(sum(CASE WHEN sqrt({d2('c.x', 'f.x')}) <= {delta} THEN 1 ELSE 0 END) AS DOUBLE) AS u FROM cand c, f{n} f WHERE c.{gone} GROUP BY c.id)")
+        out.append(f"s{n} AS (SELECT id, x, u FROM n{n} ORDER BY u DESC, id LIMIT 1)")
+        gone += f" AND c.id NOT IN (SELECT id FROM s{n})"
+        out.append(f"f{n + 1} AS (SELECT r.id, r.x FROM f{n} r, s{n} s WHERE sqrt({d2('r.x', 's.x')}) > {delta})")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS step, id, u AS utility FROM s{n}" for n in range(1, k + 1))
+
+
+@register(f"WITH {_PART}, {_cover_sql(0.12)}")
+def prob_cover_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return D.prob_cover(cand, lab, 0.12, 3)
+
+
+@register(
+    f"""WITH {POOL}, {freq_sql("e")}, nb AS (SELECT c.id, l.id AS l, row_number() OVER (PARTITION BY c.id ORDER BY round(sqrt({d2("c.x", "l.x")}), 9), l.id) AS n FROM cand c, lab l)
+SELECT nb.id, round(sum(CASE WHEN pl.p > 0 THEN pl.p * ln(pl.p / pc.p) ELSE 0 END) / 5, 6) AS utility FROM nb JOIN p pl ON pl.id = nb.l JOIN p pc ON pc.id = nb.id AND pc.c = pl.c WHERE n <= 5 GROUP BY nb.id"""
+)
+def contrastive_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = embeddings(spark, sf_dir)
+    lab, _ = split(pool)
+    p = pwc().probas(pool.select("id", "x", "y"), lab)
+    return rounded(D.contrastive(p.filter("y is null"), p.filter("y is not null"), 10), "utility")
+
+
+@register(
+    f"""WITH {POOL}, d AS (SELECT a.id, a.truth AS cluster, sqrt({d2("a.x", "b.x")}) AS d, row_number() OVER (PARTITION BY a.id ORDER BY round(sqrt({d2("a.x", "b.x")}), 9), b.id) AS n FROM e a JOIN e b ON a.truth = b.truth AND a.id <> b.id)
+SELECT id, cluster, round(1 / (sum(d) / count(*) + 1e-7), 6) AS utility FROM d WHERE n <= 5 GROUP BY id, cluster"""
+)
+def typicality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.typicality(embeddings(spark, sf_dir).select("id", "x", F.col("truth").alias("cluster"))), "utility")
+
+
+@register(
+    f"""WITH {POOL}, s AS (SELECT c.id, sum(CASE WHEN l.y IS NULL THEN exp(-0.05 * {d2("c.x", "l.x")}) ELSE 0 END) AS u, sum(exp(-0.05 * {d2("c.x", "l.x")})) AS t FROM cand c, e l GROUP BY c.id)
+SELECT id, round(u / t, 6) AS utility FROM s"""
+)
+def discriminative_pwc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return rounded(D.discriminative(cand, lab, gamma=GAMMA), "utility")
+
+
+_FALCUN = f"{BASE}, {_TWO}, w AS (SELECT id, pow(2 * (1 - abs(s[1] - s[2])), 10) AS w FROM s) SELECT id, round(w / sum(w) OVER (), 8) AS utility FROM w"
+
+
+@register(_FALCUN)
+def falcun_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.falcun_first(probas(spark, sf_dir)).withColumn("utility", F.round("utility", 8))
+
+
+# ---- regression ------------------------------------------------------------
+
+
+@register(
+    f"""WITH {_PART}, {_NW}, m AS (SELECT id, n, ky / n AS mu, greatest(kyy / n - (ky / n) * (ky / n), 0) AS v FROM ks),
+q AS (SELECT id, (0.1 * (-10) + n * mu) / (0.1 + n) + 10 AS pred, 2 + n AS nu, (2 * 1.0 + n * v + 0.1 * n * (-10 - mu) * (-10 - mu) / (0.1 + n)) / (2 + n) AS s2, 0.1 + n AS ka FROM m)
+SELECT id, round(pred, 6) AS pred, round(sqrt((1 + ka) / ka * s2) * sqrt(nu / (nu - 2)), 6) AS std FROM q"""
+)
+def nic_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.NormalInverseChi(gamma=1.0, shift=10.0).predict(cand.select("id", "x"), lab).select("id", "pred", "std"), "pred", "std")
+
+
+@register(f"WITH {_PART}, {_NW} SELECT id, round(10 + ky / n, 6) AS pred FROM ks")
+def nadaraya_watson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.nadaraya_watson(gamma=1.0, shift=10.0).predict(cand.select("id", "x"), lab).select("id", "pred"), "pred")
+
+
+@register(
+    f"""WITH {_PART}, g AS (SELECT * FROM (VALUES (0, 0.5), (1, 1.0), (2, 2.0)) t(m, g)), d AS (SELECT c.id, l.y, {d2('c.x', 'l.x')} AS d FROM cand c, lab l),
+p AS (SELECT g.m, id, sum(exp(-g.g * d) * y) / sum(exp(-g.g * d)) AS v FROM d, g GROUP BY g.m, id) SELECT id, round(stddev_pop(v), 6) AS utility FROM p GROUP BY id"""
+)
+def qbc_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    out = None
+    for m, g in enumerate((0.5, 1.0, 2.0)):
+        p = R.nadaraya_watson(gamma=g, shift=10.0).predict(cand.select("id", "x"), lab).select(F.lit(m).alias("member"), "id", F.col("pred").alias("value"))
+        out = p if out is None else out.unionAll(p)
+    return rounded(I.committee_std(out), "utility")
+
+
+def _post(n: str, ky: str, kyy: str) -> str:
+    """nu, loc and squared scale as a struct, from kernel sums of targets less 10."""
+    return f"struct_pack(nu := 2 + {n}, loc := (0.1 * (-10) + {ky}) / (0.1 + {n}), s2 := (1.1 + {n}) / (0.1 + {n}) * (2 + {kyy} - {ky} * {ky} / {n} + 0.1 * {n} * (-10 - {ky} / {n}) * (-10 - {ky} / {n}) / (0.1 + {n})) / (2 + {n}))"
+
+
+_GROW = f"""WITH {_PART}, {_NW}, q AS (SELECT id, x, n, ky, kyy, {_post("n", "ky", "kyy")} AS o FROM ks),
+g AS (SELECT c.id, e.o AS o, exp(-{d2("c.x", "e.x")}) AS k, c.o.loc AS t, e.n, e.ky, e.kyy FROM q c, q e),
+h AS (SELECT id, o, {_post("(n + k)", "(ky + k * t)", "(kyy + k * t * t)")} AS w FROM g)"""
+
+
+@register(f"{_GROW} SELECT id, round(avg((w.loc - o.loc) * (w.loc - o.loc)), 6) AS utility FROM h GROUP BY id")
+def emoc_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.model_output_change(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0)), "utility")
+
+
+@register(f"{_GROW} SELECT id, round(avg(o.s2 * o.nu / (o.nu - 2) - w.s2 * w.nu / (w.nu - 2)), 6) AS utility FROM h GROUP BY id")
+def emvr_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.variance_reduction(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0)), "utility")
+
+
+# ---- labels and annotators -------------------------------------------------
+
+_ANN = """ann AS (SELECT vec_id AS id, a AS annotator, label AS truth, CASE WHEN (vec_id + a) % 4 <> 0 THEN CASE WHEN (vec_id * 7 + a * 13) % 10 < a THEN (label + 1) % 10 ELSE label END END AS y, 1.0 + a % 2 AS w FROM embeddings, (SELECT unnest(range(0, 5)) AS a))"""
+_VV = "cl AS (SELECT unnest(range(0, 10)) AS c), vv AS (SELECT id, c, sum(CASE WHEN y = c THEN w ELSE 0 END) AS votes FROM ann, cl GROUP BY id, c)"
+
+
+@register(f"WITH {_ANN}, {_VV} SELECT id, c, CAST(votes AS DOUBLE) AS votes FROM vv")
+def vote_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = annotations(spark, sf_dir).withColumnRenamed("y", "label")
+    return long(L.vote_vectors(a, CLASSES, weight="w"), "votes", "id")
+
+
+@register(f"WITH {_ANN}, {_VV}, r AS (SELECT id, c, votes, row_number() OVER (PARTITION BY id ORDER BY votes DESC, c) AS n FROM vv) SELECT id, CASE WHEN votes > 0 THEN c END AS label FROM r WHERE n = 1")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.majority_vote(annotations(spark, sf_dir).withColumnRenamed("y", "label"), CLASSES, weight="w")
+
+
+def _confusion_sql(over: str, none: float) -> str:
+    return f"""WITH {_ANN}, cl AS (SELECT unnest(range(0, 10)) AS c), an AS (SELECT DISTINCT annotator FROM ann), n AS (SELECT annotator, truth, y, count(*) AS n FROM ann WHERE y IS NOT NULL GROUP BY ALL),
+g AS (SELECT an.annotator, t.c AS truth, p.c AS pred, coalesce(n.n, 0) AS n FROM an CROSS JOIN cl t CROSS JOIN cl p LEFT JOIN n ON n.annotator = an.annotator AND n.truth = t.c AND n.y = p.c),
+s AS (SELECT *, sum(n) OVER (PARTITION BY {over}) AS s FROM g) SELECT annotator, truth, pred, round(CASE WHEN s > 0 THEN n / s ELSE {none} END, 6) AS value FROM s"""
+
+
+def _confusion(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    return rounded(L.confusion(annotations(spark, sf_dir), CLASSES, "truth", "y", "annotator", how), "value")
+
+
+@register(_confusion_sql("annotator, truth", 0.1))
+def confusion_true(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confusion(spark, sf_dir, "true")
+
+
+@register(_confusion_sql("annotator, pred", 0.1))
+def confusion_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confusion(spark, sf_dir, "pred")
+
+
+@register(_confusion_sql("annotator", 0.01))
+def confusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confusion(spark, sf_dir, "all")
+
+
+@register("SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS code FROM events")
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", L.LabelEncoder.fit(e, "event_type").transform("event_type").alias("code"))
+
+
+@register("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def label_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    enc = L.LabelEncoder.fit(e, "event_type")
+    return e.select(enc.transform("event_type").alias("code")).select(enc.inverse("code").alias("event_type")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def labeled_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return L.labeled_indices(docs, "quality", "doc_id")
+
+
+@register(f"WITH {_ANN} SELECT id, annotator FROM ann WHERE y IS NULL")
+def unlabeled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.unlabeled_indices(annotations(spark, sf_dir), "y", "id", "annotator")
+
+
+@register("SELECT p_partkey AS id, round(dense_rank() OVER (ORDER BY p_size) + 1 / (1 + exp(-(p_retailprice / 1000))), 6) AS rank FROM part")
+def combine_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("r1"), (F.col("p_retailprice") / 1000).alias("r2"))
+    return rounded(S.combine_ranking(p, "r1", "r2").select("id", "rank"), "rank")
+
+
+_PERF = f"""{_ANN}, cl AS (SELECT unnest(range(0, 10)) AS c), vv AS (SELECT id, c, sum(CASE WHEN y = c THEN 1 ELSE 0 END) AS votes FROM ann, cl GROUP BY id, c),
+mv AS (SELECT id, c AS label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, c) AS n FROM vv) WHERE n = 1 AND votes > 0),
+perf AS (SELECT annotator, count(CASE WHEN y IS NOT NULL AND label IS NOT NULL THEN 1 END) + 2 AS n, (coalesce(sum(CASE WHEN y = label THEN 1.0 WHEN y IS NOT NULL THEN 0.0 END), 0) + 1) / (count(CASE WHEN y IS NOT NULL AND label IS NOT NULL THEN 1 END) + 2) AS perf FROM ann LEFT JOIN mv USING (id) GROUP BY annotator)"""
+
+
+@register(f"WITH {_PERF} SELECT annotator, n, round(perf, 6) AS perf FROM perf")
+def interval_estimation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.interval_estimation(annotations(spark, sf_dir), CLASSES, mode="mean").select("annotator", "n", "perf"), "perf")
+
+
+@register()
+def interval_estimation_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.interval_estimation(annotations(spark, sf_dir), CLASSES, 0.05, "upper")
+
+
+_U = f"u AS (SELECT id, {ENTROPY} AS u FROM p GROUP BY id)"
+
+
+@register(
+    f"""WITH {POOL}, {FREQ}, {_PERF}, {_U}, r AS (SELECT id, row_number() OVER (ORDER BY round(u, 9), id DESC) AS rank FROM u), t AS (SELECT max(perf) AS m FROM perf),
+k AS (SELECT count(*) AS k FROM perf, t WHERE perf >= 0.9 * m), x AS (SELECT r.id, perf.annotator, r.rank * (t.m + 2) + perf.perf + 1 AS utility FROM r, perf, t),
+o AS (SELECT *, row_number() OVER (ORDER BY round(utility, 9) DESC, id, annotator) AS step FROM x) SELECT CAST(step AS INTEGER) AS step, id, annotator, round(utility, 6) AS utility FROM o, k WHERE step <= k"""
+)
+def ie_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    perf = M.interval_estimation(annotations(spark, sf_dir), CLASSES, mode="mean")
+    u = I.uncertainty(probas(spark, sf_dir), "entropy")
+    return rounded(M.interval_threshold(u, perf).select("step", "id", "annotator", "utility"), "utility")
+
+
+@register(
+    f"""WITH {POOL}, {FREQ}, {_PERF}, {_U}, b AS (SELECT id, row_number() OVER (ORDER BY round(u, 9) DESC, id) AS place FROM u), top AS (SELECT * FROM b WHERE place <= 10),
+pr AS (SELECT top.id, top.place, ann.annotator, row_number() OVER (PARTITION BY top.id ORDER BY round(perf.perf, 9) DESC, ann.annotator) AS r FROM top JOIN ann ON ann.id = top.id AND ann.y IS NOT NULL JOIN perf ON perf.annotator = ann.annotator),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN r <= 2 THEN 0 ELSE r END, place, r) AS step FROM pr) SELECT CAST(step AS INTEGER) AS step, id, annotator FROM o WHERE step <= 10"""
+)
+def sa_wrapper_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ann = annotations(spark, sf_dir)
+    perf = M.interval_estimation(ann, CLASSES, mode="mean").select("annotator", "perf")
+    available = ann.select("id", "annotator", F.col("y").isNotNull().alias("available"))
+    return M.single_annotator(I.uncertainty(probas(spark, sf_dir), "entropy"), perf, available, 10, 2, "perf")
+
+
+_AE = f"""WITH {POOL}, {_ANN}, f AS (SELECT c.id, a.annotator, a.y AS c, sum(exp(-0.05 * {d2("c.x", "l.x")})) AS f FROM cand c, lab l JOIN ann a ON a.id = l.id WHERE a.y IS NOT NULL GROUP BY ALL),
+cl AS (SELECT unnest(range(0, 10)) AS c), ap AS (SELECT id, annotator, c, f / sum(f) OVER (PARTITION BY id, annotator) AS p FROM f)"""
+
+
+def _annotator_probas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    ann, out = annotations(spark, sf_dir), None
+    for a in range(5):
+        own = lab.select("id", "x").join(ann.filter(F.col("annotator") == a).select("id", "y", F.lit(1.0).alias("w")), "id")
+        p = pwc().probas(cand.select("id", "x"), own).select("id", F.lit(a).alias("annotator"), "p")
+        out = p if out is None else out.unionAll(p)
+    return out
+
+
+@register(
+    f"""{_AE}, v AS (SELECT id, c FROM (SELECT *, row_number() OVER (PARTITION BY id, annotator ORDER BY round(p, 12) DESC, c) AS n FROM ap) WHERE n = 1)
+SELECT i.id, cl.c, round(count(v.id) / 5.0, 6) AS p FROM (SELECT DISTINCT id FROM ap) i CROSS JOIN cl LEFT JOIN v ON v.id = i.id AND v.c = cl.c GROUP BY i.id, cl.c"""
+)
+def annot_ensemble_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(long(C.annotator_ensemble(_annotator_probas(spark, sf_dir), 10, "hard"), "p", "id"), "p")
+
+
+@register(f"{_AE} SELECT i.id, cl.c, round(coalesce(sum(ap.p), 0) / 5.0, 6) AS p FROM (SELECT DISTINCT id FROM ap) i CROSS JOIN cl LEFT JOIN ap ON ap.id = i.id AND ap.c = cl.c GROUP BY i.id, cl.c")
+def annot_ensemble_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(long(C.annotator_ensemble(_annotator_probas(spark, sf_dir), 10, "soft"), "p", "id"), "p")
+
+
+# ---- streams ---------------------------------------------------------------
+
+
+def _fold(spark: SparkSession, sf_dir: str, strategy: T.Strategy, **kw) -> DataFrame:
+    return T.fold(stream(spark, sf_dir), strategy, "user_id", ["ts", "event_id"], **kw).select("event_id", "queried")
+
+
+def _recursive(state: str, start: str, step: str, queried: str) -> str:
+    """A fold over every user's events: ``state`` names, their first values, and their values after a row with utility u."""
+    return f"""WITH RECURSIVE s AS (SELECT event_id, user_id, least(value / 500.0, 1.0) AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, false AS queried, {start} FROM (SELECT DISTINCT user_id FROM s)
+UNION ALL SELECT user_id, n, event_id, queried, {step} FROM (SELECT s.user_id, s.n, s.event_id, s.u, {queried} AS queried, {state} FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1))
+SELECT event_id, queried FROM f WHERE n > 0"""
+
+
+@register(_recursive("f.q AS q", "CAST(0 AS BIGINT) AS q", "q + CASE WHEN queried THEN 1 ELSE 0 END", "s.n * CAST(0.1 AS DOUBLE) - f.q >= 1 - 1e-9"))
+def periodic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.PeriodicManager())
+
+
+@register(_recursive("f.sp AS sp", "CAST(0 AS DOUBLE) AS sp", "sp * 99 / 100 + CASE WHEN queried THEN 1 ELSE 0 END", "f.sp / 100 < CAST(0.1 AS DOUBLE) AND 1 - s.u <= CAST(0.5 AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(0.5 AS DOUBLE)"))
+def fixed_uncertainty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.FixedUncertaintyManager())
+
+
+@register(
+    _recursive(
+        "f.sp AS sp, f.th AS th, f.sp / 100 < CAST(0.1 AS DOUBLE) AS room", "CAST(0 AS DOUBLE) AS sp, CAST(1 AS DOUBLE) AS th, true AS room",
+        "sp * 99 / 100 + CASE WHEN queried THEN 1 ELSE 0 END, CASE WHEN NOT room THEN th WHEN queried THEN th * CAST(0.99 AS DOUBLE) ELSE th * CAST(1.01 AS DOUBLE) END, room",
+        "f.sp / 100 < CAST(0.1 AS DOUBLE) AND 1 - s.u < f.th",
+    )
+)
+def variable_uncertainty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.VariableUncertaintyManager())
+
+
+@register()
+def biqf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.BalancedQuantileManager())
+
+
+@register()
+def split_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.SplitManager(seed=1))
+
+
+@register()
+def random_variable_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.RandomVariableUncertaintyManager(seed=1))
+
+
+@register()
+def random_budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.RandomBudgetManager(seed=1))
+
+
+@register()
+def density_split_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold(spark, sf_dir, B.DensityBasedSplitManager(seed=1))
+
+
+@register()
+def random_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.random_filter(stream(spark, sf_dir), 0.1, 1, "event_id").select("event_id", "queried")
+
+
+def _with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream(spark, sf_dir).withColumn("x", F.array(10 * F.col("utility"), (F.unix_timestamp("ts") % 86400) / 8640.0))
+
+
+@register()
+def density_ldf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.fold(_with_features(spark, sf_dir), B.DensityStrategy(), "user_id", ["ts", "event_id"], x="x").select("event_id", "queried")
+
+
+@register()
+def cognitive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.fold(_with_features(spark, sf_dir), B.cognitive("RanVarUn", seed=1), "user_id", ["ts", "event_id"], x="x").select("event_id", "queried")
+
+
+@register(
+    """WITH s AS (SELECT event_id, user_id, ts, least(value / 500.0, 1.0) AS u, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS b FROM events)
+SELECT event_id, row_number() OVER (PARTITION BY user_id, b ORDER BY u DESC, ts, event_id) <= 1 AS queried FROM s"""
+)
+def pool_on_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.pool_on_batches(stream(spark, sf_dir), 10, ["ts", "event_id"], 1, "user_id").select("event_id", "queried")
+
+
+# ---- grids -----------------------------------------------------------------
+
+
+@register("SELECT CAST(y * 30 + x AS BIGINT) AS id, round(-1.0 + x * 2.0 / 29, 6) AS x0, round(-2.0 + y * 4.0 / 29, 6) AS x1 FROM (SELECT unnest(range(0, 30)) AS x), (SELECT unnest(range(0, 30)) AS y)")
+def mesh_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.mesh(spark, [[-1, -2], [1, 2]], 30).select("id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")), "x0", "x1")
+
+
+_GRID = "grid AS (SELECT CAST(y * 20 + x AS BIGINT) AS id, [-1.0 + x * 2.0 / 19, -1.0 + y * 2.0 / 19] AS x FROM (SELECT unnest(range(0, 20)) AS x), (SELECT unnest(range(0, 20)) AS y)), two AS (SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS x, label AS y FROM embeddings)"
+
+
+def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    x = F.array(*(F.col("embedding")[k].cast("double") for k in (0, 1)))
+    return e.select(F.col("vec_id").alias("id"), x.alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w"))
+
+
+@register(f"WITH {_GRID}, n AS (SELECT g.id, t.y, row_number() OVER (PARTITION BY g.id ORDER BY round(sqrt({d2('g.x', 't.x')}), 9), t.id) AS n FROM grid g, two t) SELECT id, CAST(y AS DOUBLE) AS value FROM n WHERE n = 1")
+def nn_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.nearest_value(G.mesh(spark, [[-1, -1], [1, 1]], 20), _two(spark, sf_dir).withColumn("value", F.col("y"))).select("id", "value")
+
+
+@register(
+    f"""WITH {_GRID}, f AS (SELECT g.id, t.y AS c, sum(exp(-2.0 * {d2('g.x', 't.x')})) AS f FROM grid g, two t GROUP BY g.id, t.y), p AS (SELECT id, c, f / sum(f) OVER (PARTITION BY id) AS p FROM f)
+SELECT a.id, a.c AS class, round(any_value(a.p) / (any_value(a.p) + max(b.p)), 6) AS value FROM p a JOIN p b ON a.id = b.id AND a.c <> b.c GROUP BY a.id, a.c"""
+)
+def decision_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clf = C.ParzenWindow(CLASSES, gamma=2.0)
+    p = clf.probas(G.mesh(spark, [[-1, -1], [1, 1]], 20), _two(spark, sf_dir))
+    return rounded(G.decision_boundary(p, 10), "value")
+
+
+# ---- queries whose results SQL can't give ----------------------------------
+
+
+def _picks(name: str, f: Callable[[DataFrame, DataFrame, SparkSession, str], DataFrame], classes: int = 10) -> None:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lab, cand = split(embeddings(spark, sf_dir, classes))
+        return f(lab, cand, spark, sf_dir)
+
+    q.__name__ = name
+    register()(q)
+
+
+def _predictor(lab: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: pwc().predict(pwc().probas(rows, lab))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The first three features: for mixtures, whose covariances are full."""
+    return df.withColumn("x", F.slice("x", 1, 3))
+
+
+_picks("random_sampling", lambda lab, cand, s, d: S.top_k(I.random_sampling(cand, 1).select("id", F.col("key").alias("utility")), 10))
+_picks("proportional_sampling", lambda lab, cand, s, d: S.proportional(I.uncertainty(probas(s, d), "entropy"), 10, seed=1).select("step", "id", "utility"))
+_picks("sub_sampling", lambda lab, cand, s, d: D.sub_sampled(cand, 0.5, lambda c: I.uncertainty(pwc().probas(c.select("id", "x"), lab), "entropy"), 1))
+_picks("parallel_utilities", lambda lab, cand, s, d: D.parallel(cand, lambda c: I.uncertainty(pwc().probas(c.select("id", "x"), lab), "entropy"), 8))
+_picks("badge", lambda lab, cand, s, d: D.badge(pwc().probas(cand.select("id", "x"), lab), 10, 5, 1))
+_picks("falcun", lambda lab, cand, s, d: D.falcun(probas(s, d), 5, seed=1))
+_picks("clue", lambda lab, cand, s, d: D.clue(pwc().probas(cand.select("id", "x"), lab), 5, seed=1))
+_picks("typiclust", lambda lab, cand, s, d: D.typi_clust(cand, lab.filter("id % 50 = 0"), 3, 1))
+_picks("drop_query", lambda lab, cand, s, d: D.drop_query(cand, _predictor(lab), 3, seed=1))
+_picks("four_ds", lambda lab, cand, s, d: D.four_ds(_small(lab.unionByName(cand)), probas(s, d), 3, seed=1))
+_picks("quire", lambda lab, cand, s, d: D.quire(lab.unionByName(cand), CLASSES))
+_picks("cost_embedding", lambda lab, cand, s, d: R.cost_embedding(cand, lab, CLASSES, COST, gamma=GAMMA))
+_picks("epistemic_pwc", lambda lab, cand, s, d: I.epistemic_pwc(C.ParzenWindow([0, 1], gamma=GAMMA).freq(cand.select("id", "x"), lab)), 2)
+_picks("epistemic_logistic", lambda lab, cand, s, d: I.epistemic_logistic(_small(cand), _small(lab), 20), 2)
+_picks("expected_ap", lambda lab, cand, s, d: I.expected_average_precision(C.ParzenWindow([0, 1], gamma=GAMMA).probas(cand.select("id", "x"), lab), 2), 2)
+_picks("mixture_clf", lambda lab, cand, s, d: C.mixture_probas(_small(cand).select("id", "x"), _small(lab.unionByName(cand)), CLASSES, 3, 1).select("id", "p"))
+_picks("gaussian_weighted", lambda lab, cand, s, d: I.gaussian_weighted(I.uncertainty(probas(s, d), "entropy"), _small(cand)))
+_picks("sampled_probas", lambda lab, cand, s, d: C.sampled_probas(pwc().freq(cand.select("id", "x"), lab), "freq", 3, 1))
+
+
+@register()
+def annot_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _small(embeddings(spark, sf_dir, 2))
+    ann = annotations(spark, sf_dir).withColumn("y", F.col("y") % 2)
+    w, _ = C.annotator_logistic(ann.select("id", "annotator", "y"), pool.select("id", "x"), [0, 1], n_iter=6)
+    return C.linear_probas(pool.select("id", "x"), w).select("id", "p")
+
+
+@register()
+def spark_ml_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.classification import LogisticRegression
+
+    lab, cand = split(embeddings(spark, sf_dir))
+    return C.SparkMLClassifier(LogisticRegression(maxIter=20), CLASSES).probas(cand.select("id", "x"), lab).select("id", "p")
+
+
+def _reg(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(*split(parts(spark, sf_dir)))
+
+    q.__name__ = name
+    register()(q)
+
+
+_reg("kl_max", lambda lab, cand: R.information_gain(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), n=3))
+_reg("emvr_gauss_hermite", lambda lab, cand: R.variance_reduction(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), "gauss_hermite", 3))
+_reg("ecm", lambda lab, cand: R.model_change(cand, lab, R.nadaraya_watson(gamma=1.0, shift=10.0), 3, seed=1))
+_reg("rt_al", lambda lab, cand: R.tree_based(cand, lab, 5, "diversity", seed=1))
+_reg("bayesian_linear", lambda lab, cand: R.bayesian_linear(cand.select("id", "x"), lab).select("id", "pred", "std"))
+_reg("expected_target", lambda lab, cand: R.expectation(R.NormalInverseChi(gamma=1.0, shift=10.0).predict(cand.select("id", "x"), lab), lambda y: y * y, "gauss_hermite").select("id", "e"))
+
