@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ DICTIONARY_BYTES = 64 << 10
 #: Text bytes that go to one shard.
 SHARD_TEXT_BYTES = 64 << 20
 #: Word parts remembered by one worker; it starts anew beyond that.
-MEMO = 400_000
+MEMO = 500_000
 
 
 def open_fs(uri: str) -> tuple[pfs.FileSystem, str]:
@@ -52,40 +53,80 @@ def put(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
+def _class_of(prop: str) -> str:
+    """The characters with a property, up to the last that the memo handles, as ranges of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(0x20C0)) if regex.match(prop, c))
+
+
 class MemoEncoder:
     """The tokenizer's ids as little-endian unsigned 32-bit integers.
 
-    For texts of Latin letters and common punctuation the parts between which
-    the tokenizer never merges are split here and their ids remembered; all
-    other texts go to the tokenizer whole.
+    For texts of Latin letters and common punctuation the ids of every stretch
+    between white space are remembered; all other texts go to the tokenizer
+    whole. A new stretch is split into the parts between which the tokenizer
+    never merges. New parts are encoded many at once, with a space between: as
+    the last token of every part ends in ``</w>``, the ids fall apart again.
     """
 
-    #: The split pattern of word_bpe_49k.json, white space spelled out.
-    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+    #: Parts encoded in one call.
+    AT_ONCE = 1000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.parts = regex.compile(self.PARTS).findall
-        self.odd = regex.compile("[^\u0000-\u001b -ɏ‐-‧‰-⁞₠-₿]|<\\|").search
+        vocab = self.tokenizer.get_vocab()
+        self.wide = max(vocab.values(), default=0) > 65535
+        letter, number, space = (_class_of(p) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        # The split pattern of word_bpe_49k.json (fixed values), written for characters up to U+20BF.
+        self.parts = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+").findall
+        self.odd = re.compile("[^\u0000-\u001b\u0020-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|<\\|").search
         self.memo: dict[str, bytes] = {}
-        spec = self.tokenizer.pre_tokenizer
-        self.known = "Split" in repr(spec) and "ByteLevel" in repr(spec) and "'ll|'d" in repr(spec)
+        spec = repr(self.tokenizer.pre_tokenizer)
+        self.known = "Split" in spec and "ByteLevel" in spec and "'ll|'d" in spec
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def learn(self, new: list[str]) -> None:
+        for k in range(0, len(new), self.AT_ONCE):
+            some = new[k : k + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and (len(ids) == 0 or ends[-1] == len(ids)):
+                data, ends = ids.tobytes(), (4 * ends).tolist()
+                self.memo.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                    self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def plain(self, text: str) -> bool:
+        """Whether a text consists of characters that the memo handles."""
+        if text.isascii():
+            return self.known and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return self.known and not self.odd(text)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text: of its stretches between white space, and of a new stretch's parts."""
+        split = [t.lower().split() if self.plain(t) else None for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new: set[str] = set()
+        new.update(*(p for p in split if p))
+        new.difference_update(self.memo)
+        parts = {w: p for w in new if len(p := self.parts(w)) > 1}
+        single = new.difference(parts)
+        single.update(*parts.values())
+        single.difference_update(self.memo)
+        self.learn(list(single))
+        get = self.memo.__getitem__
+        for w, p in parts.items():
+            self.memo[w] = b"".join(map(get, p))
+        for t, p in zip(texts, split, strict=True):
+            yield self.whole(t) if p is None else b"".join(map(get, p))
 
     def encode(self, text: str) -> bytes:
-        if not self.known or self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = self.parts(text.lower())
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            new = list({p for p in parts if p not in memo})
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join([memo[p] for p in parts])
+        return next(self.encode_all([text]))
 
 
 def texts_and_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,8 +161,8 @@ def encoded(src: DataFrame, tokenizer: str, end_id: int, dictionary: bytes | Non
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=codec(dictionary or b"")).compress if framed else bytes
         for b in batches:
             counts, frames = [], []
-            for t in b.column(1):
-                ids = enc.encode(t.as_py()) + end
+            for ids in enc.encode_all(b.column(1).to_pylist()):
+                ids += end
                 counts.append(len(ids) // 4)
                 frames.append(squeeze(ids if wide else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
