@@ -149,7 +149,11 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["id", "url", "digest", "size", "sha1", "block"])
 
     seen = written(arrow_map(src, facts, "id long, url string, digest binary, size long, sha1 string, block string"), "records")
-    first = written(seen.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
+    # Map tasks keep one body of each payload before the shuffle, so that copies are not moved.
+    body = F.encode("body", "utf-8")
+    once = src.select(F.unhex(F.sha2(body, 256)).alias("digest"), "id", body.alias("payload")).groupBy("digest").agg(F.min("id").alias("first"), F.first("payload").alias("payload"))
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    first = spark.read.schema("digest binary, first long").parquet(f"{path}/payloads")
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +165,4 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     joined = seen.join(first, "digest").select("id", "url", "digest", "size", "sha1", "block", "first")
     arrow_map(joined, headed, "id long, digest binary, kind string, header binary").write.parquet(f"{path}/headers")
-    bodies = src.join(first, src["id"] == first["first"]).select("digest", F.encode("body", "utf-8").alias("payload"), F.sha2(F.encode("body", "utf-8"), 256).alias("sum"))
-    once = bodies.filter(F.unhex("sum") == F.col("digest")).select("digest", "payload").dropDuplicates(["digest"])
-    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return Archive(spark, path)
