@@ -41,22 +41,16 @@ def expected_average_precision(probas: DataFrame, n_classes: int) -> DataFrame:
     """
 
     def precision(p: np.ndarray) -> float:
-        n = len(p)
-        g = np.zeros(n + 1)
-        g[0] = 1.0
-        out, hits = np.zeros(n + 1), g
-        total = 0.0
-        # over the number of hits so far: chance, and chance times summed precision
-        chance, worth = hits.copy(), out
-        for k in range(n):
-            m = np.arange(1, n + 2)
-            up_c, up_w = chance * p[k], (worth + chance * m / (k + 1)) * p[k]
-            chance, worth = chance * (1 - p[k]), worth * (1 - p[k])
-            chance[1:] += up_c[:-1]
-            worth[1:] += up_w[:-1]
-        m = np.arange(n + 1)
-        total = float((worth[1:] / m[1:]).sum())
-        return total
+        """Of one ranking: ``chance`` of t hits among the rows so far, ``worth`` their summed precision; both start at one for none of none."""
+        chance, worth, t = np.zeros(len(p) + 1), np.zeros(len(p) + 1), np.arange(len(p) + 1)
+        chance[0] = worth[0] = 1.0
+        for n, q in enumerate(p, 1):
+            hit, worth_hit = q * chance[:-1], q * worth[:-1]
+            chance, worth = (1 - q) * chance, (1 - q) * worth
+            chance[1:] += hit
+            worth[1:] += worth_hit + hit * t[1:] / n
+            chance[0] = worth[0] = 0.0
+        return float((worth[1:] / t[1:]).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]

@@ -127,7 +127,7 @@ def against(rows: DataFrame, ref: DataFrame, f: Callable[[Side, Side], np.ndarra
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    pick = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+    pick = {"sum": lambda a, b: a + b, "min": lambda a, b: F.least(a, b), "max": lambda a, b: F.greatest(a, b)}
     key, rest = rows.columns[0], [F.first(c, ignorenulls=True).alias(c) for c in rows.columns[1:]]
     got = F.collect_list(out)  # one line of each block
     if how == "first":
