@@ -21,10 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates.
 
-    Groups are those of five-word shingles whose fingerprints differ in at most
-    three bits.
+    Near-duplicates have five-word shingles of a similarity of 0.8 or more, as
+    their 256-bit fingerprints tell it.
     """
-    found = simhash.simhash_components(docs, shingle=5, radius=3)
+    found = simhash.simhash_components(docs, shingle=5, scheme=simhash.similar(0.8))
     return docs.join(found.filter("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import chat, ctw, decontam, embed_dedup, html_extract, lang_id, packing, token_store, warc
 from lodestar.llm.common import id_bucket, table
-from lodestar.llm.simhash import simhash_components
+from lodestar.llm.simhash import exact, simhash_components
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles, linked at 3 differing bits or fewer."""
-    return simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=3, scheme=exact(3))
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
