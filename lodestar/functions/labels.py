@@ -29,6 +29,19 @@ def unlabeled_indices(df: DataFrame, label: str, *ids: str) -> DataFrame:
     return df.filter(is_unlabeled(label, kind=dict(df.dtypes)[label])).select(*ids)
 
 
+def check_missing_label(missing: object, kind: str) -> None:
+    """A sentinel must fit the labels' column type; null fits all."""
+    fits = {"string": str, "double": int | float, "float": int | float, "int": int | float, "bigint": int | float, "boolean": bool}
+    if missing is not None and not isinstance(missing, fits.get(kind, object)):
+        raise TypeError(f"{missing!r} can't stand for a missing label of type {kind}")
+
+
+def check_equal_missing_label(a: object, b: object) -> None:
+    both_nan = isinstance(a, float) and isinstance(b, float) and a != a and b != b
+    if not (both_nan or type(a) is type(b) and a == b):
+        raise ValueError(f"missing labels differ: {a!r} and {b!r}")
+
+
 class LabelEncoder:
     """Sorted classes to codes 0, 1, ... and back; missing labels stay null."""
 

@@ -167,13 +167,22 @@ def mixture_responsibilities(rows: DataFrame, k: int, seed: int = 0) -> DataFram
     return model.transform(data).withColumn("r", vector_to_array("probability")).withColumn("density", density).drop("features", "probability", "prediction")
 
 
-def mixture_probas(rows: DataFrame, pool: DataFrame, classes: Sequence, k: int, seed: int = 0, out: str = "p") -> DataFrame:
-    """Class probabilities through mixture components: each gives the classes the weight of its labelled rows."""
+def mixture_probas(rows: DataFrame, pool: DataFrame, classes: Sequence, k: int, seed: int = 0, out: str = "p", weight_mode: str = "responsibilities") -> DataFrame:
+    """Class probabilities through mixture components: each gives the classes the weight of its labelled rows.
+
+    weight_mode ``similarities`` weighs a row's components by the closeness to
+    their means instead of their responsibilities.
+    """
     known = sorted(classes)
     every = mixture_responsibilities(pool, k, seed)
     lab = every.filter(F.col("y").isNotNull())
     sums = lab.agg(*(F.coalesce(F.sum(F.when(F.col("y") == c, F.col("r")[j] * F.col("w"))), F.lit(0.0)).alias(f"s{j}_{i}") for j in range(k) for i, c in enumerate(known))).first()
     r = every.select("id", "r")
+    if weight_mode == "similarities":
+        dim = pool.select(F.max(F.size("x"))).first()[0]
+        means = every.agg(*((F.sum(F.col("r")[j] * F.col("x")[d]) / F.sum(F.col("r")[j])).alias(f"m{j}_{d}") for j in range(k) for d in range(dim))).first()
+        near = [F.exp(-0.5 * sum(((F.col("x")[d] - float(means[f"m{j}_{d}"])) ** 2 for d in range(1, dim)), (F.col("x")[0] - float(means[f"m{j}_0"])) ** 2)) for j in range(k)]
+        r = every.select("id", F.array(*near).alias("r"))
     f = F.array(*(sum((F.col("r")[j] * float(sums[f"s{j}_{i}"]) for j in range(1, k)), F.col("r")[0] * float(sums[f"s0_{i}"])) for i in range(len(known))))
     return rows.join(r, "id").withColumn(out, E.normalised(f)).drop("r")
 
@@ -255,6 +264,12 @@ def _em_round(rows: DataFrame, w: np.ndarray, alpha: np.ndarray | None, n_a: int
     return got[:a].reshape(dim, n_c), got[a:b].reshape(n_c * dim, n_c * dim), got[b:c].reshape(n_a, n_c, n_c), float(got[c])
 
 
+def annotator_performance(probas: DataFrame, alpha: np.ndarray) -> DataFrame:
+    """Rows (id, annotator, perf): the chance that an annotator's answer is right, from rows (id, p) and the confusion matrices."""
+    each = [sum((F.col("p")[c] * float(a[c, c]) for c in range(1, len(a))), F.col("p")[0] * float(a[0, 0])) for a in alpha]
+    return probas.select("id", F.posexplode(F.array(*each)).alias("annotator", "perf"))
+
+
 def linear_probas(rows: DataFrame, w: np.ndarray, out: str = "p") -> DataFrame:
     """Softmax of features times weights (the last row is the intercept)."""
     z = F.array(*(sum((F.col("x")[i] * float(w[i, c]) for i in range(len(w) - 1)), F.lit(float(w[-1, c]))) for c in range(w.shape[1])))

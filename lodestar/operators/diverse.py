@@ -82,8 +82,20 @@ def greedy_x(cand: DataFrame, lab: DataFrame, k: int = 1, metric: str = "euclide
     return greedy_steps(scored, k, after)
 
 
-def greedy_target(cand: DataFrame, lab: DataFrame, prediction: str = "pred", method: str = "GSi", k: int = 1, metric: str = "euclidean") -> DataFrame:
-    """Least over chosen rows of the distance in targets (GSy), times that in features (GSi); candidates' targets are predictions."""
+def greedy_target(cand: DataFrame, lab: DataFrame, prediction: str = "pred", method: str = "GSi", k: int = 1, metric: str = "euclidean", n_gsx: int = 1) -> DataFrame:
+    """Least over chosen rows of the distance in targets (GSy), times that in features (GSi); candidates' targets are predictions.
+
+    While fewer than ``n_gsx`` rows are labelled the picks go by the features alone.
+    """
+    few = max(0, n_gsx - lab.limit(n_gsx).count())
+    if few:
+        start = greedy_x(cand, lab, min(few, k), metric)
+        if k <= few:
+            return start
+        picked = cand.join(start.select("id"), "id", "left_semi").select("id", "x", F.col(prediction).cast("double").alias("y"))
+        known = lab.select("id", "x", F.col("y").cast("double").alias("y")).unionByName(picked)
+        rest = greedy_target(cand.join(start.select("id"), "id", "left_anti"), known, prediction, method, k - few, metric, 0)
+        return start.unionAll(rest.withColumn("step", F.col("step") + few))
     mix = (lambda dx, dy: dy) if method == "GSy" else (lambda dx, dy: dx * dy)
     rows = cand.select("id", "x", F.col(prediction).cast("double").alias("t"))
     ref = lab.select("id", "x", F.col("y").cast("double").alias("t"))

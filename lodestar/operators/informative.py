@@ -69,8 +69,12 @@ def expected_average_precision(probas: DataFrame, n_classes: int) -> DataFrame:
     return probas.select("id", "p").coalesce(1).mapInArrow(run, "id long, utility double")
 
 
-def epistemic_pwc(freq: DataFrame, steps: int = 40) -> DataFrame:
-    """Rows (id, utility) from rows (id, freq) of two classes: min of the support of either class, by golden section over theta."""
+def epistemic_pwc(freq: DataFrame, steps: int = 40, table: int | None = None) -> DataFrame:
+    """Rows (id, utility) from rows (id, freq) of two classes: min of the support of either class, by golden section over theta.
+
+    With ``table`` the supports of whole frequencies up to that number are
+    worked out once, and frequencies between them interpolated.
+    """
 
     def support(n: float, p: float) -> float:
         if n == 0 and p == 0:
@@ -91,9 +95,18 @@ def epistemic_pwc(freq: DataFrame, steps: int = 40) -> DataFrame:
                 b = y
         return max(0.0, value((a + b) / 2), value(1.0) if n == 0 else 0.0)
 
+    grid = np.array([[min(support(n, p), support(p, n)) for p in range(table + 2)] for n in range(table + 2)]) if table else None
+
+    def utility(n: float, p: float) -> float:
+        if grid is None or max(n, p) > table:
+            return min(support(n, p), support(p, n))
+        i, j = int(n), int(p)
+        a, b = n - i, p - j
+        return float((1 - a) * ((1 - b) * grid[i, j] + b * grid[i, j + 1]) + a * ((1 - b) * grid[i + 1, j] + b * grid[i + 1, j + 1]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = [min(support(f[0], f[1]), support(f[1], f[0])) for f in b.column(1).to_pylist()]
+            u = [utility(f[0], f[1]) for f in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.float64())], names=["id", "utility"])
 
     return freq.select(F.col("id").cast("long"), "freq").mapInArrow(run, "id long, utility double")

@@ -91,6 +91,40 @@ def bayesian_linear(rows: DataFrame, lab: DataFrame, alpha: float = 1.0, beta: f
     return rows.withColumn("pred", pred).withColumn("std", F.sqrt(var))
 
 
+def t_entropy(rows: DataFrame, out: str = "entropy") -> DataFrame:
+    """``rows`` (nu, scale, ...) with the differential entropy of the Student t prediction."""
+    import pyarrow as pa
+
+    def digamma(x: float) -> float:
+        s = 0.0
+        while x < 8:
+            s, x = s - 1 / x, x + 1
+        return s + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+
+    def run(batches):
+        for b in batches:
+            h = []
+            for nu, scale in zip(b.column(b.schema.get_field_index("nu")).to_pylist(), b.column(b.schema.get_field_index("scale")).to_pylist(), strict=True):
+                beta = math.lgamma(nu / 2) + math.lgamma(0.5) - math.lgamma((nu + 1) / 2)
+                h.append(None if scale is None else (nu + 1) / 2 * (digamma((nu + 1) / 2) - digamma(nu / 2)) + 0.5 * math.log(nu) + beta + math.log(scale))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.float64())], names=[*b.schema.names, out])
+
+    return rows.mapInArrow(run, rows.withColumn(out, F.lit(None).cast("double")).schema)
+
+
+def sampled_targets(rows: DataFrame, n_samples: int, seed: int = 0) -> DataFrame:
+    """Rows (id, sample, y): targets drawn from the Student t predictions (id, nu, loc, scale)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = [(i, s, loc + scale * float(np.random.default_rng([seed, i & (1 << 63) - 1, s]).standard_t(nu))) for i, nu, loc, scale in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True) if loc is not None for s in range(n_samples)]
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["id", "sample", "y"])
+
+    return rows.select(F.col("id").cast("long"), "nu", "loc", "scale").mapInArrow(run, "id long, sample int, y double")
+
+
 def gauss_hermite(n: int = 10) -> list[tuple[float, float]]:
     """(node, weight) for expectations under the standard normal distribution."""
     x, w = np.polynomial.hermite_e.hermegauss(n)
@@ -123,7 +157,7 @@ def expectation(rows: DataFrame, target: Callable[[Column], Column], method: str
 
     assume_linear: at the mean; gauss_hermite: as if normal; monte_carlo: over n
     hashed draws; quantile and dynamic_quad: over n midpoint quantiles of the
-    Student t distribution.
+    Student t distribution; trapezoid and simpson: over n evenly spaced ones.
     """
     loc, scale = F.col("loc"), F.col("scale")
     if method == "assume_linear":
@@ -136,19 +170,24 @@ def expectation(rows: DataFrame, target: Callable[[Column], Column], method: str
 
         draws = [target(loc + scale * normal(seed + k, "id")) for k in range(n)]
         return rows.withColumn(out, sum(draws[1:], draws[0]) / n)
-    if method in ("quantile", "dynamic_quad"):
+    if method in ("quantile", "dynamic_quad", "trapezoid", "simpson"):
         import pyarrow as pa
 
+        if method == "simpson" and n % 2 == 0:
+            n += 1  # it takes an odd number of points
+        level = [(k + 0.5) / n for k in range(n)] if method in ("quantile", "dynamic_quad") else [0.001 + 0.998 * k / (n - 1) for k in range(n)]
+        weight = {"trapezoid": [0.5 if k in (0, n - 1) else 1.0 for k in range(n)], "simpson": [1.0 if k in (0, n - 1) else 4.0 if k % 2 else 2.0 for k in range(n)]}.get(method, [1.0] * n)
+
         def run(batches):
             for b in batches:
                 nu = b.column(b.schema.get_field_index("nu")).to_numpy(zero_copy_only=False)
-                q = np.stack([_t_quantile(nu, (k + 0.5) / n) for k in range(n)], axis=1)
+                q = np.stack([_t_quantile(nu, level[k]) for k in range(n)], axis=1)
                 col = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, n, dtype=np.int32)), pa.array(q.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, "_q"])
 
         got = rows.mapInArrow(run, rows.withColumn("_q", F.lit(None).cast("array<double>")).schema)
-        vals = F.transform("_q", lambda q: target(loc + scale * q))
-        return got.withColumn(out, F.aggregate(vals, F.lit(0.0), lambda s, v: s + v) / n).drop("_q")
+        vals = F.zip_with("_q", F.array(*map(F.lit, weight)), lambda q, w: w * target(loc + scale * q))
+        return got.withColumn(out, F.aggregate(vals, F.lit(0.0), lambda s, v: s + v) / sum(weight)).drop("_q")
     raise ValueError(f"no method {method}")
 
 
