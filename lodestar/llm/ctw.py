@@ -7,11 +7,12 @@ children's product, so the prediction mixes the estimates of all depths. Texts
 end with the byte 255, which UTF-8 never holds, and start after five of them.
 
 Texts are dealt to blocks of bounded size. Each block counts its distinct
-six-byte grams and words; the counts are summed over all blocks, the weighting
-is worked out from the leaves in groups whose size is bounded by the alphabet
-(the grams of one three-byte context, the children of one node), and a join
-gives every block the values of its own grams and words. Neither the model nor
-a vocabulary is ever gathered or broadcast whole.
+six-byte grams, packed into one row for each three-byte context, and its words;
+the counts are summed over all blocks, the weighting is worked out from the
+leaves in groups whose size is bounded by the alphabet (the grams of one
+three-byte context, the children of one node), and the values of its own grams
+and words go back to every block. Neither the model nor a vocabulary is ever
+gathered or broadcast whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_map, small_batches, texts_of, whole_groups, written
+from lodestar.llm.common import arrow_map, small_batches, texts_of, written
 
 #: Context bytes of the deepest nodes.
 DEPTH = 5
@@ -93,19 +94,81 @@ def scans(texts: list[bytes]) -> Iterator[slice]:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (of 48 bits), and how many of each are for training."""
+    x = np.sort(keys << np.uint64(1) | train)
+    keys = x >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat((x & np.uint64(1)).astype(np.int64), first)
+
+
+def planes(low: np.ndarray) -> bytes:
+    """Grams' three low bytes, place by place, which compresses well as they are sorted."""
+    return low.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].T.tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    a, b, c = np.frombuffer(data, dtype=np.uint8).reshape(3, -1).astype(np.int64)
+    return a << 16 | b << 8 | c
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(k).max)
+    return counts.astype(kind).tobytes()
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // max(1, n)}").astype(np.int64)
+
+
+class Lookup:
+    """Values by 48-bit key in an open-addressed table: a probe or two for each key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values, self.mask = np.full(size, np.uint64(1 << 63)), np.zeros(size, dtype=values.dtype), size - 1
+        left, at = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.keys[at] == np.uint64(1 << 63)
+            self.keys[at[free]] = keys[left[free]]  # of those that want one place the last gets it
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left, at = left[~won], (at[~won] + 1) & self.mask
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Every key must be there."""
+        at = self.place(keys)
+        out = self.values[at]
+        left = np.flatnonzero(self.keys[at] != keys)
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            if (self.keys[at] == np.uint64(1 << 63)).any():
+                raise KeyError("a gram without a value")
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at = left[~hit], at[~hit]
+        return out
+
+
 def block_counts(t: pa.Table) -> pa.Table:
     """The distinct grams and words of a block with their counts in its training texts."""
     texts, train = texts_of(t.column("text")), ~t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
     keys, counts, found, seen = [], [], [], []
     for s in scans(texts):
         key, sizes = grams(texts[s])
-        k, c = summed(key, np.repeat(train[s], sizes).astype(np.int64))
+        k, c = counted(key, np.repeat(train[s], sizes).astype(np.uint64))
         keys.append(k)
         counts.append(c)
         w, ends = words(texts[s])
@@ -116,22 +179,28 @@ def block_counts(t: pa.Table) -> pa.Table:
     k, c = summed(np.concatenate(keys), np.concatenate(counts))
     coded = pa.chunked_array(found, type=pa.binary()).combine_chunks().dictionary_encode()
     w, n = coded.dictionary, np.bincount(coded.indices.to_numpy(), np.concatenate(seen), minlength=len(coded.dictionary))
-    block = t.column("block")[0].as_py()
+    ctx = (k >> np.uint64(24)).astype(np.int64)
+    low = (k & np.uint64(0xFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    ends = [*first[1:].tolist(), len(k)]
+    m, every = len(first), len(first) + len(w)
     return pa.table(
         {
-            "block": pa.array(np.full(len(k) + len(w), block, dtype=np.int32)),
-            "key": pa.array(np.concatenate([k.view(np.int64), np.zeros(len(w), dtype=np.int64)]), mask=np.arange(len(k) + len(w)) >= len(k)),
-            "word": pa.concat_arrays([pa.nulls(len(k), pa.binary()), w]),
-            "n": pa.array(np.concatenate([c, n]).astype(np.int64)),
+            "block": pa.array(np.full(every, t.column("block")[0].as_py(), dtype=np.int32)),
+            "ctx": pa.array(np.concatenate([ctx[first], np.zeros(len(w), dtype=np.int64)]).astype(np.int32), mask=np.arange(every) >= m),
+            "keys": pa.concat_arrays([pa.array([planes(low[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.nulls(len(w), pa.binary())]),
+            "counts": pa.concat_arrays([pa.array([narrow(c[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.nulls(len(w), pa.binary())]),
+            "word": pa.concat_arrays([pa.nulls(m, pa.binary()), w]),
+            "n": pa.array(np.concatenate([np.zeros(m, dtype=np.int64), n.astype(np.int64)])),
         }
     )
 
 
 class Subtree:
-    """The nodes at depths 3 to 5 under one three-byte context, for all of its grams and their eight decisions."""
+    """The nodes at depths 3 to 5 under one three-byte context, for all of its grams (their three low bytes) and their eight decisions."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        low = keys.astype(np.int64) & 0xFFFFFF
+        low = keys
         level = np.arange(8)[:, None]
         symbol = low & 255
         self.q = ((1 << level) | (symbol >> (8 - level))).ravel()
@@ -179,21 +248,40 @@ def _pack(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def subtrees(gram_counts: DataFrame) -> DataFrame:
-    """Rows (ctx3, ctx2, keys, counts, sums): the grams of each three-byte context and, for the 256 prefixes of a byte, their counts of zeros and ones and log weighted probability."""
+def subtrees(pieces: DataFrame) -> DataFrame:
+    """Rows (ctx, ctx2, keys, counts, sums) from the blocks' pieces (ctx, keys, counts): the summed grams of each three-byte
+    context and, for the 256 prefixes of a byte, their counts of zeros and ones and log weighted probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, ["ctx3"]):
-            keys, counts, ctx = (t.column(c).combine_chunks().to_numpy() for c in ("key", "n", "ctx3"))
-            rows = []
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                tree = Subtree(keys[a:b], counts[a:b])
-                sums = np.concatenate([_dense(tree.prefixes, x[-1]) for x in (tree.zeros, tree.ones, tree.pw)])
-                rows.append((int(ctx[a]), int(ctx[a]) >> 8, keys[a:b].astype("<i8").tobytes(), counts[a:b].astype("<i8").tobytes(), sums.tobytes()))
-            yield _pack(rows, ["ctx3", "ctx2", "keys", "counts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, size = None, 0
 
-    placed = gram_counts.select(F.shiftright("key", 24).cast("int").alias("ctx3"), "key", "n")
-    return arrow_map(placed.repartition("ctx3").sortWithinPartitions("ctx3", "key"), run, "ctx3 int, ctx2 int, keys binary, counts binary, sums binary")
+        def row() -> tuple:
+            keys, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            tree = Subtree(keys, counts)
+            sums = np.concatenate([_dense(tree.prefixes, x[-1]) for x in (tree.zeros, tree.ones, tree.pw)])
+            return now, now >> 8, planes(keys), narrow(counts), sums.tobytes()
+
+        for b in batches:
+            rows = []
+            for ctx, keys, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if ctx != now:
+                    if held:
+                        rows.append(row())
+                    held, now, size = [], ctx, 0
+                k = unplanes(keys)
+                held.append((k, widened(counts, len(k))))
+                size += len(k)
+                if size > 1 << 20 and len(held) > 1:  # no more than the distinct grams are held for long
+                    held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = 0
+            yield _pack(rows, names, types)
+        if held:
+            yield _pack([row()], names, types)
+
+    names, types = ["ctx", "ctx2", "keys", "counts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    placed = pieces.select("ctx", "keys", "counts").repartition("ctx").sortWithinPartitions("ctx")
+    return arrow_map(placed, run, "ctx int, ctx2 int, keys binary, counts binary, sums binary")
 
 
 def merged(children: list[bytes]) -> np.ndarray:
@@ -208,9 +296,9 @@ def weight_and_one(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(_HALF + log_kt(zeros, ones) - pw), (ones + 0.5) / (zeros + ones + 1)
 
 
-def gram_values(gram_counts: DataFrame) -> DataFrame:
-    """Rows (key, value): the natural log of the mixture's probability of each gram's last byte."""
-    low = written(subtrees(gram_counts), "subtrees")
+def gram_values(pieces: DataFrame) -> DataFrame:
+    """Rows (block, ctx, keys, values) for each piece: the natural log of the mixture's probability of each gram's last byte, as 32-bit floats."""
+    low = written(subtrees(pieces), "subtrees")
 
     def up(t: pa.Table, into: str) -> pa.Table:
         return pa.table({into: t.column(into).slice(0, 1), "sums": pa.array([merged(t.column("sums").to_pylist()).tobytes()])})
@@ -231,43 +319,53 @@ def gram_values(gram_counts: DataFrame) -> DataFrame:
             yield _pack(rows, ["ctx2", "top"], [pa.int32(), pa.binary()])
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = value = None
         for b in batches:
-            for keys, counts, top in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                keys = np.frombuffer(keys, dtype="<i8")
-                tree = Subtree(keys, np.frombuffer(counts, dtype="<i8"))
-                ones, rest = np.frombuffer(top).reshape(2, 256)
-                shallow = np.where(tree.bit == 1, ones[tree.q], 1 - rest[tree.q] - ones[tree.q])
-                p = shallow + rest[tree.q] * tree.predictions()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.log(p).reshape(8, -1).sum(axis=0))], names=["key", "value"])
+            rows = []
+            for block, ctx, data, counts, shallow in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                own = unplanes(data)
+                if block is None:  # the context's summed grams come before its pieces
+                    tree = Subtree(own, widened(counts, len(own)))
+                    ones, rest = np.frombuffer(shallow).reshape(2, 256)
+                    p = np.where(tree.bit == 1, ones[tree.q], 1 - rest[tree.q] - ones[tree.q]) + rest[tree.q] * tree.predictions()
+                    keys, value = own, np.log(p).reshape(8, -1).sum(axis=0).astype("<f4")
+                else:
+                    rows.append((block, ctx, data, value[np.searchsorted(keys, own)].tobytes()))
+            yield _pack(rows, ["block", "ctx", "keys", "values"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     top = arrow_map(two, mixed, "ctx2 int, top binary")
-    return arrow_map(low.select("ctx2", "keys", "counts").join(top, "ctx2").select("keys", "counts", "top"), values, "key long, value double")
+    null = F.lit(None)
+    models = low.join(top, "ctx2").select(null.cast("int").alias("block"), "ctx", "keys", "counts", "top")
+    asked = pieces.select("block", "ctx", "keys", null.cast("binary").alias("counts"), null.cast("binary").alias("top"))
+    placed = models.unionAll(asked).repartition("ctx").sortWithinPartitions("ctx", "block")
+    return arrow_map(placed, values, "block int, ctx int, keys binary, values binary")
 
 
 def score_block(docs: pa.Table, known: pa.Table, total: int, distinct: int, end: int) -> pa.Table:
     """Scores of a block's texts from the values of its grams and the counts of its words."""
     texts = texts_of(docs.column("text"))
-    is_gram = known.column("key").is_valid()
+    is_gram = known.column("ctx").is_valid()
     g = known.filter(is_gram)
-    key, value = g.column("key").combine_chunks().to_numpy().view(np.uint64), g.column("value").combine_chunks().to_numpy()
-    order = np.argsort(key)
-    key, value = key[order], value[order]
+    low = [unplanes(x) for x in g.column("keys").to_pylist()]
+    ctx = np.repeat(g.column("ctx").to_numpy().astype(np.uint64), [len(x) for x in low])
+    value = np.frombuffer(b"".join(g.column("values").to_pylist()), dtype="<f4")
+    known_grams = Lookup(ctx << np.uint64(24) | np.concatenate(low).astype(np.uint64), value)
     w = known.filter(pa.compute.invert(is_gram))
-    vocabulary, seen = w.column("word").combine_chunks(), w.column("value").combine_chunks().to_numpy()
+    vocabulary, seen = w.column("word").combine_chunks(), w.column("n").combine_chunks().to_numpy()
     room = total + 0.5 * (distinct + 1)
-    score, base, n_tokens, n_known = [], [], [], []
+    score = []
     for s in scans(texts):
         k, sizes = grams(texts[s])
-        v = value[np.searchsorted(key, k)]
+        v = known_grams.get(k).astype(np.float64)
         score.append(np.add.reduceat(v, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / math.log(10))
-        tokens, ends = words(texts[s])
-        c = seen[pa.compute.index_in(tokens, value_set=vocabulary).to_numpy()] if len(tokens) else np.zeros(0)
-        owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-        base.append(np.bincount(owner, np.log10((c + 0.5) / room), minlength=len(ends)) + math.log10((end + 0.5) / room))
-        n_tokens.append(np.bincount(owner, minlength=len(ends)) + 1)
-        n_known.append(np.bincount(owner, c > 0, minlength=len(ends)).astype(np.int64) + (end > 0))
-    joined = [np.concatenate(x) for x in (n_tokens, n_known, base, score)]
-    return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": joined[0].astype(np.int64), "n_known": joined[1].astype(np.int64), "train_tokens": np.full(len(texts), total), "base_score": joined[2], "score": joined[3], "n_bytes": np.array([len(t) for t in texts], dtype=np.int64)})
+    tokens, ends = words(texts)
+    c = seen[pa.compute.index_in(tokens, value_set=vocabulary).to_numpy()] if len(tokens) else np.zeros(0)
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    base = np.bincount(owner, np.log10((c + 0.5) / room), minlength=len(ends)) + math.log10((end + 0.5) / room)
+    n_tokens = np.bincount(owner, minlength=len(ends)).astype(np.int64) + 1
+    n_known = np.bincount(owner, c > 0, minlength=len(ends)).astype(np.int64) + (end > 0)
+    out = {"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(texts), total), "base_score": base}
+    return pa.table(out | {"score": np.concatenate(score), "n_bytes": np.array([len(t) for t in texts], dtype=np.int64)})
 
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,13 +384,14 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     n_blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
     end = end or 0
     src = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
-    stats = written(src.groupBy("block").applyInArrow(block_counts, "block int, key long, word binary, n long"), "counts")
-    vocabulary = written(stats.filter("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "words")
-    total, distinct = vocabulary.filter("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0)), F.count(F.lit(1))).first()
+    stats = written(src.groupBy("block").applyInArrow(block_counts, "block int, ctx int, keys binary, counts binary, word binary, n long"), "counts")
+    words_in = stats.filter("word is not null").select("block", "word", "n")
+    vocabulary = written(words_in.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total, distinct = vocabulary.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + end, distinct + (end > 0)
-    values = gram_values(stats.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")))
-    grams_known = stats.select("block", "key").filter("key is not null").join(values, "key").select("block", "key", F.lit(None).cast("binary").alias("word"), "value")
-    words_known = stats.select("block", "word").filter("word is not null").join(vocabulary, "word").select("block", F.lit(None).cast("long").alias("key"), "word", F.col("value").cast("double"))
+    null = F.lit(None)
+    grams_known = gram_values(stats.filter("ctx is not null")).select("block", "ctx", "keys", "values", null.cast("binary").alias("word"), null.cast("long").alias("n"))
+    words_known = words_in.select("block", "word").join(vocabulary, "word").select("block", null.cast("int").alias("ctx"), null.cast("binary").alias("keys"), null.cast("binary").alias("values"), "word", "n")
     known = grams_known.unionAll(words_known)
     kind = dict(src.dtypes)["id"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
