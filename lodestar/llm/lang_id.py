@@ -22,7 +22,7 @@ from lodestar.llm.common import arrow_map
 #: Dimensions that the trigrams are hashed to.
 DIMS = 1 << 13
 #: Labelled texts that the classifier is fitted on, about so many of all languages together.
-FIT_TEXTS = 3000
+FIT_TEXTS = 2000
 CENTROIDS = 3
 #: A text is rejected if its cosine is below this share of the least cosine of its language's training texts.
 REJECT_SHARE = 0.5
@@ -53,8 +53,11 @@ class Model:
     least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        """Unit TF-IDF vectors, in place of the counts."""
+        v = np.log1p(counts, out=counts)
+        v *= self.idf
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+        return v
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine clipped to 0..1 and whether the text is rejected, for each text."""
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = np.zeros((len(sample), DIMS), dtype=np.float32)
     for k, r in enumerate(sample):
         counts[k, np.frombuffer(r["at"], dtype="<u2")] = np.frombuffer(r.c, dtype="<f4")
-    idf = np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    idf = np.log((1 + len(sample)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.1)
     model = Model(idf, np.zeros((0, DIMS), dtype=np.float32), [], np.zeros(0))
     v, langs = model.vectors(counts), np.array([r.l for r in sample])
     cents, names, least = [], [], []
