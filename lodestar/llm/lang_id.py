@@ -3,7 +3,8 @@
 Texts become normalised TF-IDF vectors of hashed letter trigrams. The vectors of
 each language are clustered into a few centroids (spherical k-means), and a text
 gets the language of the centroid with the largest cosine. Texts farther from
-every centroid than the training texts of its language allow are rejected.
+every centroid than the training texts of its language allow are rejected; short
+texts may be farther, as few trigrams can't come near any centroid.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ FIT_TEXTS = 2000
 CENTROIDS = 3
 #: A text is rejected if its cosine is below this share of the least cosine of its language's training texts.
 REJECT_SHARE = 0.5
+#: Distinct trigrams from which on that holds; with fewer the bound falls with the square root of their number.
+REJECT_TRIGRAMS = 200
 UNKNOWN = "und"
 #: ASCII letters and bytes above 127 stand for themselves, all else for a space.
 _LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -65,12 +68,14 @@ class Model:
         rows = [k for k, t in enumerate(texts) if t and _has_letter(t)] if self.langs else []
         for s in range(0, len(rows), 256):
             part = rows[s : s + 256]
-            cos = self.vectors(np.stack([counts_of(texts[k]) for k in part])) @ self.centroids.T
+            counts = np.stack([counts_of(texts[k]) for k in part])
+            slack = np.sqrt(np.minimum(1.0, np.count_nonzero(counts, axis=1) / REJECT_TRIGRAMS))
+            cos = self.vectors(counts) @ self.centroids.T
             best = cos.argmax(axis=1)
-            for k, b, c in zip(part, best, cos[np.arange(len(part)), best], strict=True):
+            for k, b, c, s_ in zip(part, best, cos[np.arange(len(part)), best], slack, strict=True):
                 langs[k] = self.langs[b]
                 scores[k] = min(1.0, max(0.0, float(c)))
-                rejected[k] = c < self.least[b]
+                rejected[k] = c < self.least[b] * s_
         return langs, scores, rejected
 
 
