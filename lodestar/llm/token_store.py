@@ -36,7 +36,7 @@ DICTIONARY_BYTES = 64 << 10
 #: Text bytes that go to one shard.
 SHARD_TEXT_BYTES = 64 << 20
 #: Word parts remembered by one worker; it starts anew beyond that.
-MEMO = 500_000
+MEMO = 900_000
 
 
 def open_fs(uri: str) -> tuple[pfs.FileSystem, str]:
@@ -59,7 +59,7 @@ def _class_of(prop: str) -> str:
 
 
 class MemoEncoder:
-    """The tokenizer's ids as little-endian unsigned 32-bit integers.
+    """The tokenizer's ids as little-endian unsigned integers, of 16 bits where all ids fit (``kind``).
 
     For texts of Latin letters and common punctuation the ids of every stretch
     between white space are remembered; all other texts go to the tokenizer
@@ -75,6 +75,7 @@ class MemoEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.wide = max(vocab.values(), default=0) > 65535
+        self.kind = "<u4" if self.wide else "<u2"
         letter, number, space = (_class_of(p) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
         # The split pattern of word_bpe_49k.json (fixed values), written for characters up to U+20BF.
         self.parts = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+").findall
@@ -88,17 +89,17 @@ class MemoEncoder:
     def learn(self, new: list[str]) -> None:
         for k in range(0, len(new), self.AT_ONCE):
             some = new[k : k + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some) and (len(ids) == 0 or ends[-1] == len(ids)):
-                data, ends = ids.tobytes(), (4 * ends).tolist()
+                data, ends = ids.tobytes(), (ids.itemsize * ends).tolist()
                 self.memo.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:
                 for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+                    self.memo[p] = np.array(e.ids, dtype=self.kind).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def plain(self, text: str) -> bool:
         """Whether a text consists of characters that the memo handles."""
@@ -133,7 +134,7 @@ def texts_and_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, wide: bool) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> bytes:
     """The shared dictionary, from a sample of about SAMPLE_DOCS documents and SAMPLE_BYTES bytes chosen by the hash of the id."""
     src = texts_and_ids(docs, id_col, text_col)
     n, size = src.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
@@ -141,7 +142,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str,
         return b""
     share = min(1.0, SAMPLE_DOCS / n, SAMPLE_BYTES / max(1, size))
     picked = src.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    samples = [r.b for r in encoded(picked, tokenizer, end_id, None, wide, framed=False).select(F.col("frame").alias("b")).toLocalIterator()]
+    samples = [r.b for r in encoded(picked, tokenizer, end_id, None, framed=False).select(F.col("frame").alias("b")).toLocalIterator()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary themselves
@@ -152,19 +153,19 @@ def codec(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-def encoded(src: DataFrame, tokenizer: str, end_id: int, dictionary: bytes | None, wide: bool, framed: bool = True) -> DataFrame:
+def encoded(src: DataFrame, tokenizer: str, end_id: int, dictionary: bytes | None, framed: bool = True) -> DataFrame:
     """Rows (id, n, frame): the token count and the compressed (or plain) serialised ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = MemoEncoder(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=enc.kind).tobytes()
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=codec(dictionary or b"")).compress if framed else bytes
         for b in batches:
             counts, frames = [], []
             for ids in enc.encode_all(b.column(1).to_pylist()):
                 ids += end
-                counts.append(len(ids) // 4)
-                frames.append(squeeze(ids if wide else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()))
+                counts.append(len(ids) // len(end))
+                frames.append(squeeze(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
 
     return arrow_map(src, run, "id long, n int, frame binary")
@@ -245,9 +246,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     wide = MemoEncoder(tokenizer).wide
-    dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col, wide)
+    dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col)
     put(f"{path}/dictionary", dictionary)
-    rows = written(encoded(texts_and_ids(docs, id_col, text_col), tokenizer, end_id, dictionary, wide), "frames")
+    rows = written(encoded(texts_and_ids(docs, id_col, text_col), tokenizer, end_id, dictionary), "frames")
     if rows.filter("id is null").head(1):
         raise ValueError("a document has no id")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
