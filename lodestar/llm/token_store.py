@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,12 @@ class MemoEncoder:
         return next(self.encode_all([text]))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> MemoEncoder:
+    """A worker's encoder, kept with what it remembers from one task to the next."""
+    return MemoEncoder(path)
+
+
 def texts_and_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
@@ -157,7 +164,7 @@ def encoded(src: DataFrame, tokenizer: str, end_id: int, dictionary: bytes | Non
     """Rows (id, n, frame): the token count and the compressed (or plain) serialised ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = MemoEncoder(tokenizer)
+        enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.kind).tobytes()
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=codec(dictionary or b"")).compress if framed else bytes
         for b in batches:
