@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, lang_id, packing, simhash
+from lodestar.llm import decontam, lang_id, packing, similar
 from lodestar.llm.common import id_bucket, new_path, table
 
 
@@ -21,10 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates.
 
-    Near-duplicates have five-word shingles of a similarity of 0.8 or more, as
-    their 256-bit fingerprints tell it.
+    Near-duplicates have five-word shingles of a Jaccard similarity of 0.8 or more.
     """
-    found = simhash.simhash_components(docs, shingle=5, scheme=simhash.similar(0.8))
+    found = similar.similar_components(docs, shingle=5, similarity=0.8)
     return docs.join(found.filter("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
@@ -41,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("packing", packed)]
 
-#: SQL can express neither the classifier, the fingerprints nor the packing.
+#: SQL can express neither the classifier, the components nor the packing.
 ORACLE_SQL = None
 
 
