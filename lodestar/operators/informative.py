@@ -118,26 +118,35 @@ def epistemic_logistic(rows: DataFrame, pool: DataFrame, levels: int = 50, ridge
     For each level alpha of the predicted probability the likelihood is
     maximised under the one linear constraint that the row's logit is that of
     alpha, by Newton steps within the constraint; supports are as for kernels.
+    Every step sums over all blocks of the labelled rows, which are shipped one
+    by one; each worker holds them all.
     """
     from lodestar.operators.pairs import blocks_of
 
-    side = next(blocks_of(pool.filter("y is not null").select("id", "x", F.col("y").cast("double").alias("y"))), None)
-    if side is None:
+    spark = rows.sparkSession
+    labelled = pool.filter("y is not null").select("id", "x", F.col("y").cast("double").alias("y"))
+    blocks = [spark.sparkContext.broadcast((np.hstack([s["x"], np.ones((len(s["y"]), 1))]), s["y"])) for s in blocks_of(labelled)]  # each at most SHIP_BYTES
+    if not blocks:
         return rows.select("id", F.lit(1.0).alias("utility"))
-    x, y = np.hstack([side["x"], np.ones((len(side["y"]), 1))]), side["y"]
-    like = lambda w: float(-(np.logaddexp(0, x @ w) - y * (x @ w)).sum() - 0.5 * ridge * w @ w)
+
+    def like(w: np.ndarray) -> float:
+        return float(sum(-(np.logaddexp(0, x @ w) - y * (x @ w)).sum() for x, y in (b.value for b in blocks)) - 0.5 * ridge * w @ w)
 
     def newton(w0: np.ndarray, z: np.ndarray) -> np.ndarray:
         t = np.zeros(z.shape[1])
         for _ in range(12):
             w = w0 + z @ t
-            p = 1 / (1 + np.exp(np.clip(-x @ w, -700, 700)))
-            xz = x @ z
-            g = xz.T @ (y - p) - ridge * z.T @ w
-            t = t + np.linalg.solve((xz * (p * (1 - p))[:, None]).T @ xz + (ridge + 1e-9) * np.eye(len(t)), g)
+            g, h = -ridge * z.T @ w, (ridge + 1e-9) * np.eye(len(t))
+            for x, y in (b.value for b in blocks):
+                p = 1 / (1 + np.exp(np.clip(-x @ w, -700, 700)))
+                xz = x @ z
+                g = g + xz.T @ (y - p)
+                h = h + (xz * (p * (1 - p))[:, None]).T @ xz
+            t = t + np.linalg.solve(h, g)
         return w0 + z @ t
 
-    best = like(newton(np.zeros(x.shape[1]), np.eye(x.shape[1])))
+    dim = blocks[0].value[0].shape[1]
+    best = like(newton(np.zeros(dim), np.eye(dim)))
     alphas = (np.arange(levels) + 0.5) / levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

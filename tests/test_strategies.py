@@ -204,3 +204,20 @@ def test_label_counts_and_reduction():
     e0 = 0.5
     e1 = sum(a[l] * sum(a[t] + (l == t) for t in (0, 1) if t != max((0, 1), key=lambda c: ((l == c), -c))) / 6 for l in (0, 1))  # noqa: E741
     assert got[0] == pytest.approx(e0 - e1)
+
+
+def test_epistemic_logistic_uses_all_blocks(spark, monkeypatch):
+    """Labels that do not fit in one block count as those that do."""
+    from lodestar.operators import informative, pairs
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((300, 2))
+    y = (x[:, 0] + 0.7 * rng.standard_normal(300) > 0).astype(int)
+    pool = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int")
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((6, 2)))], "id long, x array<double>")
+    got = []
+    for size in (pairs.SHIP_BYTES, 1500):
+        monkeypatch.setattr(pairs, "SHIP_BYTES", size)
+        got.append([r.utility for r in informative.epistemic_logistic(rows, pool, 20).orderBy("id").collect()])
+    assert len(list(pairs.blocks_of(pool.select("id", "x", "y")))) > 3
+    assert np.allclose(got[0], got[1], atol=1e-9)
