@@ -825,7 +825,7 @@ _picks("parallel_utilities", lambda lab, cand, s, d: D.parallel(cand, lambda c:
 _picks("badge", lambda lab, cand, s, d: D.badge(pwc().probas(cand.select("id", "x"), lab), 10, 5, 1))
 _picks("falcun", lambda lab, cand, s, d: D.falcun(probas(s, d), 5, seed=1))
 _picks("clue", lambda lab, cand, s, d: D.clue(pwc().probas(cand.select("id", "x"), lab), 5, seed=1))
-_picks("typiclust", lambda lab, cand, s, d: D.typi_clust(cand, lab.filter("id % 50 = 0"), 3, 1))
+_picks("typiclust", lambda lab, cand, s, d: D.typi_clust(cand, lab, 3, 1))
 _picks("drop_query", lambda lab, cand, s, d: D.drop_query(cand, _predictor(lab), 3, seed=1))
 _picks("four_ds", lambda lab, cand, s, d: D.four_ds(_small(lab.unionByName(cand)), probas(s, d), 3, seed=1))
 _picks("quire", lambda lab, cand, s, d: D.quire(lab.unionByName(cand), CLASSES))

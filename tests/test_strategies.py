@@ -221,3 +221,13 @@ def test_epistemic_logistic_uses_all_blocks(spark, monkeypatch):
         got.append([r.utility for r in informative.epistemic_logistic(rows, pool, 20).orderBy("id").collect()])
     assert len(list(pairs.blocks_of(pool.select("id", "x", "y")))) > 3
     assert np.allclose(got[0], got[1], atol=1e-9)
+
+
+def test_typiclust_query_takes_all_labels(spark, monkeypatch):
+    from lodestar.plans import registry
+
+    seen = {}
+    monkeypatch.setattr(registry.D, "typi_clust", lambda cand, lab, k, seed: seen.update(lab=lab.count()) or cand)
+    registry.queries()["typiclust"](spark, "/root/testdata/sf0.01")
+    lab, _ = registry.split(registry.embeddings(spark, "/root/testdata/sf0.01"))
+    assert seen["lab"] == lab.count()
