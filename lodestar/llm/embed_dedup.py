@@ -7,8 +7,11 @@ product with any other unit vector, and a confidence bound on its error; only
 pairs whose upper bound reaches the threshold are recomputed in double precision.
 
 Which pairs are estimated is decided by an index of cells around centroids:
-vectors live in the cell of their nearest centroid and are also compared with
-those of the next nearest cells.
+vectors live in the cell of their nearest centroid, their home, and are also
+compared with those of every later cell in which a vector within the threshold
+can live. A vector v of home c is at least as near to c as to u's home h; if the
+angle of u and v is at most t, then (h - c)u cos t <= |h - c less its part along u| sin t.
+So no pair is left out, however many cells there are.
 """
 
 from __future__ import annotations
@@ -24,12 +27,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import arrow_map, dealt_groups, local_labels, small_batches, whole_groups, written
 from lodestar.llm.components import components
 
-#: Vectors that a cell holds on average, and the most cells there are.
+#: Vectors that a cell holds on average at least, and the most cells there are;
+#: no more than the root of the vectors, as a vector may have to visit half of them.
 CELL, MAX_CELLS = 100, 4096
 #: Vectors of the sample on which the centroids are fitted, for each cell; at least 4096 in all.
 FIT_EACH = 16
-#: Cells in which a vector is compared: its own and the next nearest.
-PROBES = 6
 #: Half width of the confidence interval, in standard errors of the estimate.
 SURE = 3.0
 CHUNK = 512
@@ -75,26 +77,38 @@ def centroids_of(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def in_cells(reps: DataFrame, centroids: np.ndarray, kind: str, probes: int) -> DataFrame:
-    """One row for each vector and cell in which it is compared; ``home`` is its own cell, ``near`` all its cells."""
+def reached(v: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each unit vector, and which cells (rows by cells) hold vectors within the threshold at most: its home and those of a larger number."""
+    cos = v @ centroids.T
+    home = cos.argmax(axis=1)
+    gap = cos[np.arange(len(v)), home][:, None] - cos
+    length = np.maximum(0, 2 - 2 * centroids @ centroids.T)[home]  # squared, of home less cell
+    side = np.sqrt(np.maximum(0, length - gap**2))
+    go = gap * threshold <= side * np.sqrt(max(0.0, 1 - threshold**2)) + 1e-7 if threshold > 0 else np.ones_like(cos, dtype=bool)
+    go &= np.arange(len(centroids))[None, :] > home[:, None]
+    go[np.arange(len(v)), home] = True
+    return home.astype(np.int32), go
+
+
+def in_cells(reps: DataFrame, centroids: np.ndarray, kind: str, threshold: float) -> DataFrame:
+    """One row for each vector and cell in which it is compared; ``home`` is its own cell."""
     sent = reps.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
-    n = min(probes, len(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            v = units(b.column(1).to_pylist(), kind)
-            cos = v @ sent.value.T
-            near = np.argpartition(-cos, n - 1, axis=1)[:, :n] if n < cos.shape[1] else np.tile(np.arange(n), (len(v), 1))
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cos, near, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
-            signs, factors = codes_of(v)
-            codes = pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary())
-            at = pa.array(np.repeat(np.arange(len(v)), n))
-            cols = [b.column(0), b.column(1), b.column(2), codes, pa.array(factors), pa.array(near[:, 0]), pa.array([x.tobytes() for x in near], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *(c.take(at) for c in cols)], names=["cell", "id", "vec", "mult", "code", "factor", "home", "near"])
-
-    return arrow_map(reps.select("id", "vec", "mult"), run, "cell int, id long, vec binary, mult long, code binary, factor double, home int, near binary")
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(first, ROWS_AT_ONCE)
+                v = units(b.column(1).to_pylist(), kind)
+                home, go = reached(v, sent.value, threshold)
+                signs, factors = codes_of(v)
+                codes = pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary())
+                row, cell = np.nonzero(go)
+                cols = [b.column(0), b.column(1), b.column(2), codes, pa.array(factors), pa.array(home)]
+                for s in range(0, len(row), 20_000):
+                    at = pa.array(row[s : s + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + 20_000].astype(np.int32)), *(c.take(at) for c in cols)], names=["cell", "id", "vec", "mult", "code", "factor", "home"])
+
+    return arrow_map(reps.select("id", "vec", "mult"), run, "cell int, id long, vec binary, mult long, code binary, factor double, home int")
 
 
 def turn_links(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -102,15 +116,14 @@ def turn_links(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -
     for t, starts in whole_groups(batches, ["cell", "lo", "hi"], target=4096):
         get = lambda c: t.column(c).combine_chunks().to_numpy()  # noqa: E731, B023
         ids, mult, cell, home, side, one = get("id"), get("mult"), get("cell"), get("home"), get("side"), get("lo") == get("hi")
-        raw, codes, near, factor = t.column("vec").to_pylist(), t.column("code").to_pylist(), t.column("near").to_pylist(), get("factor")
+        raw, codes, factor = t.column("vec").to_pylist(), t.column("code").to_pylist(), get("factor")
         rows = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
             if b - a < 2:
                 continue
             v = units(raw[a:b], kind)
             signs = np.unpackbits(np.frombuffer(b"".join(codes[a:b]), dtype=np.uint8).reshape(b - a, -1), axis=1, count=v.shape[1])
-            cells = np.frombuffer(b"".join(near[a:b]), dtype=np.int32).reshape(b - a, -1)
-            own, m, f, h, s = home[a:b] == cell[a], mult[a:b], factor[a:b], home[a:b], side[a:b]
+            own, m, f, s = home[a:b] == cell[a], mult[a:b], factor[a:b], side[a:b]
             data = np.flatnonzero(own)
             n, label = np.zeros(b - a, dtype=np.int64), np.arange(b - a)
             for q in range(0, b - a, ROWS_AT_ONCE):
@@ -120,14 +133,11 @@ def turn_links(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -
                 est, bound = estimates(v[ask], signs[data], f[data])
                 i, j = np.nonzero(est + bound >= threshold)
                 i, j = ask[i], data[j]
-                # both at home: once, in this cell; a guest: unless the pair meets in the guest's home too, which is a smaller cell
+                # both at home: once; a guest, whose home is a smaller cell, meets the pair's other end only here
                 keep = np.where(own[i], i < j, True)
                 if not one[a]:
                     keep = np.where(own[i], (s[i] != s[j]) & (i < j), s[i] != s[j])
                 i, j = i[keep], j[keep]
-                again = ~own[i] & (h[i] < cell[a])
-                again[again] = (cells[j[again]] == h[i[again], None]).any(axis=1)
-                i, j = i[~again], j[~again]
                 if len(i) > len(ask) * len(data) // 4:
                     exact = (v[ask] @ v[data].T)[i - q, np.searchsorted(data, j)]
                 else:
@@ -165,12 +175,12 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
     return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), vec_col), run, "id long, vec binary, dim int"), kind
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, probes: int = PROBES) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Rows (id_col, n_links, component_id, kept), one for each vector.
 
     Vectors link if their cosine in double precision is at least ``threshold``
-    and they have the same dimension. Links found are exact; that all are found
-    depends on the cells (measured recall: README). Vectors that are null, zero
+    and they have the same dimension. Links found are exact; all pairs meet, and
+    a link is missed only where the estimate errs by over ``SURE`` standard errors. Vectors that are null, zero
     or hold null or non-finite components link with nothing and are kept.
     Repeated rows link with each other; an empty table gives no rows; ids must
     not be null; other columns are not read.
@@ -183,11 +193,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     found = None
     for dim, n in reps.groupBy("dim").count().filter("count > 1").collect():
         own = reps.filter(F.col("dim") == dim)
-        k = int(max(1, min(MAX_CELLS, n // CELL)))
+        k = int(max(1, min(MAX_CELLS, n // CELL, n**0.5)))
         share = min(1.0, max(4096, FIT_EACH * k) / n)
         sample = sorted(bytes(r.vec) for r in own.filter(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toLocalIterator())
         centroids = centroids_of(units(sample, kind), k) if sample else units([bytes(own.first().vec)], kind)
-        dealt = dealt_groups(in_cells(own, centroids, kind, probes), "cell", F.col("id"), CHUNK)
+        dealt = dealt_groups(in_cells(own, centroids, kind, threshold), "cell", F.col("id"), CHUNK)
         got = written(arrow_map(dealt, lambda x: turn_links(x, kind, threshold), "id long, n long, root long"), "turns")
         found = got if found is None else found.unionAll(got)
     ends = reps.select("vec", "mult", "id")

@@ -76,3 +76,20 @@ def test_estimates_are_unbiased_and_bounded():
 def test_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, None)]) == {1: (0, 1)}
+
+
+def test_every_close_pair_meets_with_many_cells():
+    """Isotropic pairs at cosines of 0.90 to 0.93: each meets in one cell at 1000 and at 4096 cells."""
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((2, 1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= a * (a * b).sum(axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.93, (1000, 1))
+    b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for k in (1000, 4096):
+        centroids = rng.standard_normal((k, 64))
+        centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+        (ha, ga), (hb, gb) = (E.reached(v, centroids, 0.9) for v in (a, b))
+        at = np.arange(1000)
+        assert (ga[at, hb] | gb[at, ha]).all()
+        assert ((ga[at, hb] & gb[at, ha]) <= (ha == hb)).all()
