@@ -136,16 +136,18 @@ def chunk_count(n, size: int = 1024):
     return F.when(few <= 16, few).otherwise(F.greatest(F.lit(16), F.ceil(F.sqrt(n * F.lit(16.0 / size))))).cast("int")
 
 
-def dealt_groups(df: DataFrame, key: str, member, size: int = 1024) -> DataFrame:
-    """Rows of keys held by two rows or more, with the turn (``lo``, ``hi``) in which they are compared.
-
-    ``member``: column whose hash chooses a row's chunk. A row of chunk a gets
-    one row for each chunk b; ``side`` is 0 for rows of chunk ``lo``, 1 for ``hi``.
-    Sorted by (key, lo, hi) within partitions.
+def dealt_groups(df: DataFrame, key: str, member, size: int = 1024, weight=None) -> DataFrame:
+    """Rows with the turn (``lo``, ``hi``) in which the rows of their key are compared; rows that are alone in a key may stay.
+
+    ``member``: column whose hash chooses a row's chunk. Only keys of more than
+    ``size`` rows (or a sum of ``weight`` beyond it) are dealt in chunks: a row of
+    chunk a gets one row for each chunk b; ``side`` is 0 for rows of chunk ``lo``,
+    1 for ``hi``. All others have one turn and are moved once. Which keys are
+    hot is joined by Spark's own choice, by size. Sorted by (key, lo, hi) within partitions.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    x = df.join(counts, key)
-    x = x.withColumn("_c", chunk_count(F.col("_n"), size)).withColumn("_a", F.pmod(F.xxhash64(member, F.lit(7)), F.col("_c")).cast("int"))
+    hot = df.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).filter(F.col("_n") > size)
+    x = df.join(hot, key, "left").withColumn("_c", F.coalesce(chunk_count(F.col("_n"), size), F.lit(1)))
+    x = x.withColumn("_a", F.when(F.col("_c") > 1, F.pmod(F.xxhash64(member, F.lit(7)), F.col("_c"))).otherwise(0).cast("int"))
     x = x.withColumn("_b", F.explode(F.expr("sequence(0, _c - 1)")))
     x = x.withColumn("lo", F.least("_a", "_b")).withColumn("hi", F.greatest("_a", "_b")).withColumn("side", (F.col("_a") != F.col("lo")).cast("int"))
     x = x.drop("_n", "_c", "_a", "_b")

@@ -8,18 +8,17 @@ differ in at most ``radius`` bits have coordinates that differ by at most
 pairs with a larger difference in any whole coordinate are discarded, and the
 survivors are verified by their exact distance.
 
-A :class:`Scheme` says which blocks. ``EXACT``, 64 bits in five blocks that meet
-in two, finds every pair within 3 bits. :func:`similar`, 256 bits in two sets of
-sixteen blocks, finds pairs by a least similarity of their shingles, with a
-chance that grows with it (99 of 100 at 0.87).
+A :class:`Scheme` says which blocks. :func:`exact`, 64 bits in five blocks that
+meet in two, finds every pair within 3 bits. Candidates by a least similarity of
+the shingles are in :mod:`lodestar.llm.similar`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from itertools import combinations
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,8 @@ class Scheme:
     radius: int
     blocks: tuple[tuple[int, ...], ...]  #: each a mask, word by word
     choices: tuple[tuple[int, ...], ...]
+    pivots: int = PIVOTS  #: whose distances discard pairs
+    ratio: Fraction | None = None  #: of the sizes ``n`` of two rows, at least
 
 
 def _mask(bits: range, words: int) -> tuple[int, ...]:
@@ -62,14 +63,6 @@ def exact(radius: int = 3) -> Scheme:
     return Scheme(1, radius, tuple(_mask(range(a, b), 1) for a, b in zip(ends, ends[1:], strict=False)), tuple(combinations(range(5), 5 - radius)))
 
 
-def similar(similarity: float = 0.8) -> Scheme:
-    """256 bits, linked up to about half a standard deviation beyond the distance expected at a Jaccard similarity of the shingles."""
-    differ = acos(2 * similarity / (1 + similarity)) / pi
-    radius = round(256 * differ + 0.5 * (256 * differ * (1 - differ)) ** 0.5)
-    blocks = [_mask(range(16 * k, 16 * k + 16), 4) for k in range(16)] + [_mask(range(k, 256, 16), 4) for k in range(16)]
-    return Scheme(4, radius, tuple(blocks), tuple((k,) for k in range(32)))
-
-
 def references(words: int = 1, n: int = PIVOTS) -> np.ndarray:
     """The reference fingerprints: hashes of their numbers."""
     return np.array([[xxhash.xxh64_intdigest(b"pivot %d" % i, 42 + w) for w in range(words)] for i in range(n)], dtype=np.uint64)
@@ -92,44 +85,55 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.array([h(line[a:b], 42) for a, b in zip(first, ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """For hashes of some words each (words by hashes): in how many each bit is set (words by 64)."""
+    words, n = hashes.shape
+    pad = -n % 255
+    grid = np.concatenate([hashes, np.zeros((words, pad), dtype=np.uint64)], axis=1) if pad else hashes
+    grid = grid.reshape(words, -1, 255)
+    counts = np.empty((words, 8, 8), dtype=np.int64)  # of bit k in byte b
+    for k in range(8):
+        lanes = ((grid >> np.uint64(k)) & _LANES).sum(axis=2, dtype=np.uint64)  # up to 255 in each byte
+        counts[:, :, k] = lanes.view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+    return counts.reshape(words, 64)
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bits set in over half the hashes; 0 for none."""
-    n = len(hashes)
-    if n == 0:
+    if len(hashes) == 0:
         return 0
-    pad = -n % 255
-    grid = np.concatenate([hashes, np.zeros(pad, dtype=np.uint64)]).reshape(-1, 255) if pad else hashes.reshape(-1, 255)
-    counts = np.empty((8, 8), dtype=np.int64)  # of bit k in byte b
-    for k in range(8):
-        lanes = ((grid >> np.uint64(k)) & _LANES).sum(axis=1, dtype=np.uint64)  # up to 255 in each byte
-        counts[k] = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    set_ = 2 * counts > n
-    return sum(1 << (8 * b + k) for k in range(8) for b in range(8) if set_[k, b])
+    set_ = 2 * bit_counts(hashes[None])[0] > len(hashes)
+    return int(np.packbits(set_, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
-    """The fingerprint's words: the majority of the hashes and of what a multiplicative mixer makes of them."""
-    out = [majority(hashes)]
+def mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hashes, and what a multiplicative mixer makes of them for each further word (words by hashes)."""
+    out = np.empty((words, len(hashes)), dtype=np.uint64)
+    out[0] = hashes
     for w in range(1, words):
         x = (hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(29))))
+        out[w] = x ^ (x >> np.uint64(29))
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """Rows (id, fp binary) of whole texts: the fingerprint's words, little-endian; null and empty texts get zeros."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Rows (id, fp binary) of whole texts: the fingerprint, little-endian; null and empty texts get zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [np.array(fingerprint(shingle_hashes(words_of(t), shingle), words), dtype="<u8").tobytes() for t in texts_of(b.column(1))]
+            fps = [majority(shingle_hashes(words_of(t), shingle)).to_bytes(8, "little") for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), run, "id long, fp binary")
 
 
 def as_words(column: pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
+    """Fingerprints of a binary column, a row of words each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", dtype="<u8", count=len(column) * words, offset=int(start)).reshape(-1, words) if len(column) else np.empty((0, words), dtype="<u8")
 
 
 def meeting_keys(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
@@ -165,31 +169,42 @@ def surviving(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray,
     return i[keep], j[keep]
 
 
-def group_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """For each turn of a meeting key, links from each fingerprint to the smallest one it reaches in that turn."""
-    refs, radius = references(scheme.words), scheme.radius
+def group_links(batches: Iterator[pa.RecordBatch], scheme: Scheme, small: int = 256) -> Iterator[pa.RecordBatch]:
+    """For each turn of a meeting key, links from each fingerprint to the smallest one it reaches in that turn.
+
+    Turns of up to ``small`` rows are gone through all at once, pair distance by pair distance of their places.
+    """
+    refs, radius = references(scheme.words, scheme.pivots), scheme.radius
     for t, starts in whole_groups(batches, ["key", "lo", "hi"]):
         fps = as_words(t.column("fp"), scheme.words)
         rep = t.column("rep").combine_chunks().to_numpy()
         side = t.column("side").combine_chunks().to_numpy()
         one = t.column("lo").combine_chunks().to_numpy() == t.column("hi").combine_chunks().to_numpy()
+        count = t.column("n").combine_chunks().to_numpy().astype(np.int64) if scheme.ratio else None
         table = np.stack([distances(fps, r) for r in refs], axis=1)
+
+        def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if scheme.ratio:
+                x, y = count[i], count[j]  # noqa: B023
+                keep = scheme.ratio.denominator * np.minimum(x, y) >= scheme.ratio.numerator * np.maximum(x, y)
+                i, j = i[keep], j[keep]
+            return surviving(fps, table, i, j, radius)  # noqa: B023
+
         n = len(fps)
         sizes = np.diff(np.append(starts, n))
         group = np.repeat(np.arange(len(starts)), sizes)
-        small = sizes[group] <= 64
         found = []
-        at = np.flatnonzero(small)
-        for k in range(1, int(sizes[sizes <= 64].max(initial=0))):
+        at = np.flatnonzero(sizes[group] <= small)
+        for k in range(1, int(sizes[sizes <= small].max(initial=0))):
             at = at[at + k < n]
             at = at[group[at] == group[at + k]]
             if len(at) == 0:
                 break
             i, j = at, at + k
             meet = one[i] | (side[i] != side[j])
-            found.append(surviving(fps, table, i[meet], j[meet], radius))
+            found.append(kept(i[meet], j[meet]))
         label = local_labels(n, *(np.concatenate(x) for x in zip(*found, strict=True))) if found else np.arange(n)
-        for g in np.flatnonzero(sizes > 64):
+        for g in np.flatnonzero(sizes > small):
             a, b = starts[g], starts[g] + sizes[g]
             left = np.arange(a, b) if one[a] else a + np.flatnonzero(side[a:b] == 0)
             right = left if one[a] else a + np.flatnonzero(side[a:b] == 1)
@@ -201,7 +216,8 @@ def group_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[p
                 lo, hi = np.searchsorted(coordinate, table[rows, 0] - radius, "left"), np.searchsorted(coordinate, table[rows, 0] + radius, "right")
                 i = np.repeat(rows, hi - lo)
                 j = right[np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])] if len(i) else i
-                i, j = surviving(fps, table, i, j, radius)
+                apart = own[i - a] != own[j - a]
+                i, j = kept(i[apart], j[apart])
                 if len(i):
                     own = local_labels(b - a, np.concatenate([np.arange(b - a), i - a]), np.concatenate([own, j - a]))
             label[a:b] = a + own
@@ -232,7 +248,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read.
     """
     scheme = scheme or exact(3)
-    fps = written(fingerprints(docs, id_col, text_col, shingle, scheme.words), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     comps = components(near_links(reps.filter("rep is not null"), scheme))
     ends = reps.join(comps, reps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

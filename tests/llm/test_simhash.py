@@ -67,23 +67,3 @@ def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([(5, "a b", "x", 1), (3, "A  b", None, 2)], "doc_id long, text string, fp string, key long")
     got = {r.doc_id: r.component_id for r in S.simhash_components(df).collect()}
     assert got == {5: 3, 3: 3}
-
-
-def test_similar_texts(spark):
-    """Texts with a shingle similarity well over 0.8 are grouped, others stay apart."""
-    rng = np.random.default_rng(4)
-    vocab = [f"w{k}" for k in range(2000)]
-    rows, want = [], {}
-    for k in range(60):
-        w = list(rng.choice(vocab, 300))
-        first = len(rows)
-        rows.append((first, " ".join(w)))
-        want[first] = first
-        for _ in range(2):
-            v = list(w)
-            for at in rng.choice(300, 3 if k % 2 else 40, replace=False):
-                v[at] = "new" + str(rng.integers(10**9))
-            want[len(rows)] = first if k % 2 else len(rows)
-            rows.append((len(rows), " ".join(v)))
-    got = result(spark, rows, shingle=5, scheme=S.similar(0.8))
-    assert {i: c for i, (_, c) in got.items()} == want

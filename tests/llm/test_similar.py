@@ -49,16 +49,32 @@ def test_planted_pairs_against_brute_force(spark):
     assert {r.doc_id for r in P.near_duplicates(spark, docs, "").collect()} == want
 
 
-def test_cells_never_discard_a_similar_pair():
+def test_pairs_at_the_similarity_meet():
+    """Sets at 0.8 exactly, of few and of many shingles: nearly all share a key and are within the radius."""
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        h = np.unique(rng.integers(0, 1 << 63, int(rng.integers(5, 20000)), dtype=np.uint64))
-        cut = len(h) // 9
-        a, b = h[rng.permutation(len(h))[cut:]], h[rng.permutation(len(h))[cut:]]
-        both = len(np.intersect1d(a, b))
-        if 5 * both >= 4 * (len(a) + len(b) - both):
-            n, cells = np.array([len(a), len(b)]), np.stack([S.cells_of(a), S.cells_of(b)])
-            assert S.possible(n, cells, np.array([0]), np.array([1]), S.Fraction(4, 5))[0]
+    for n_sets in (1000, 3_000_000):
+        blocks, cases, met = S.Blocks(n_sets, 0.8), 0, 0
+        for na, nb, both in ((4, 5, 4), (9, 9, 8), (16, 20, 16), (45, 45, 40), (450, 450, 400)):
+            pools = rng.integers(0, 1 << 63, (400, na + nb - both), dtype=np.uint64)
+            votes = [blocks.prints([x[:na] for x in pools]), blocks.prints([x[len(x) - nb :] for x in pools])]
+            flips = [next((f for most, f in S.FEW_FLIPS if n <= most), S.FLIPS) for n in (na, nb)]
+            keys = [blocks.keys(v, f) for v, f in zip(votes, flips, strict=True)]
+            close = ((votes[0] > 0) != (votes[1] > 0)).sum(axis=1) <= blocks.scheme.radius
+            met += sum(bool(set(x.tolist()) & set(y.tolist())) and c for x, y, c in zip(*keys, close.tolist(), strict=True))
+            cases += len(pools)
+        assert met >= 0.995 * cases, (n_sets, met / cases)
+
+
+def test_exact_labels_against_plain_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+        sets = [np.unique(np.append(rng.permutation(base)[: rng.integers(30, 61)], rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64))) for _ in range(40)]
+        side = rng.integers(0, 2, 40)
+        for one in (True, False):
+            label = S.exact_labels(sets, one, side, S.Fraction(4, 5))
+            link = [(i, j) for i in range(40) for j in range(i + 1, 40) if (one or side[i] != side[j]) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+            assert label.tolist() == local_labels(40, *np.array(link, dtype=int).reshape(-1, 2).T).tolist()
 
 
 def test_edges(spark):
@@ -67,6 +83,17 @@ def test_edges(spark):
     assert S.similar_components(df.limit(0)).collect() == []
 
 
+def test_rows_that_stay(spark):
+    """Null and repeated ids, repeated rows and clashing column names: one row of each group stays, as it stands."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(7, text, "a", 1), (7, text, "a", 1), (None, text + " x", "b", 2), (9, text, "c", 3), (None, "alone", "d", 4), (None, "alone", "d", 4), (5, "five", "e", 5), (5, "cinq", "f", 6), (6, None, "g", 7), (8, "", "h", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h1 string, row int").repartition(3)
+    assert sorted(map(tuple, P.near_duplicates(spark, df, "").collect()), key=str) == sorted([rows[0], rows[4], rows[6], rows[7], rows[8]], key=str)
+    long = " ".join(f"w{k % 977}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "x " * 30)], "doc_id long, text string")
+    assert {r.doc_id for r in P.near_duplicates(spark, df, "").collect()} == {1, 3}
+
+
 def test_stage_on_documents_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
