@@ -7,6 +7,7 @@ predecessor kept; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm import decontam, lang_id, packing, similar
 from lodestar.llm.common import id_bucket, new_path, table
@@ -19,18 +20,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """One document of each group of near-duplicates: that with the smallest id.
 
-    Near-duplicates have five-word shingles of a Jaccard similarity of 0.8 or more.
+    Found by SimHash pivot tables, decided by the Jaccard similarity of five-word
+    shingles, 0.8 or more. Rows without an id come last in their group; of rows
+    that share an id or are equal one stays.
     """
-    found = similar.similar_components(docs, shingle=5, similarity=0.8)
-    return docs.join(found.filter("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return similar.without_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
-    verdicts = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=13, share=20)
-    return docs.join(verdicts.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that no benchmark item contaminates, judged row by row: ids may be null or repeated."""
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), similar.row_marks(docs)[0].alias("mark"))
+    texts = marked.select(F.col("mark").alias("doc_id"), F.col("row.text").alias("text"))
+    bad = decontam.contamination(texts, table(spark, sf_dir, "benchmark"), window=13, share=20).filter("contaminated")
+    return marked.join(bad.select(F.col("doc_id").alias("mark")).distinct(), "mark", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
