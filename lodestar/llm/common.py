@@ -146,7 +146,7 @@ def dealt_groups(df: DataFrame, key: str, member, size: int = 1024, weight=None)
     hot is joined by Spark's own choice, by size. Sorted by (key, lo, hi) within partitions.
     """
     hot = df.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).filter(F.col("_n") > size)
-    x = df.join(hot, key, "left").withColumn("_c", F.coalesce(chunk_count(F.col("_n"), size), F.lit(1)))
+    x = df.join(hot, key, "left").withColumn("_c", F.when(F.col("_n").isNull(), 1).otherwise(chunk_count(F.col("_n"), size)))
     x = x.withColumn("_a", F.when(F.col("_c") > 1, F.pmod(F.xxhash64(member, F.lit(7)), F.col("_c"))).otherwise(0).cast("int"))
     x = x.withColumn("_b", F.explode(F.expr("sequence(0, _c - 1)")))
     x = x.withColumn("lo", F.least("_a", "_b")).withColumn("hi", F.greatest("_a", "_b")).withColumn("side", (F.col("_a") != F.col("lo")).cast("int"))

@@ -86,14 +86,12 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """For hashes of some words each (words by hashes): in how many each bit is set (words by 64)."""
+    """For one hash or more of some words each (words by hashes): in how many each bit is set (words by 64)."""
     words, n = hashes.shape
-    pad = -n % 255
-    grid = np.concatenate([hashes, np.zeros((words, pad), dtype=np.uint64)], axis=1) if pad else hashes
-    grid = grid.reshape(words, -1, 255)
+    starts = np.arange(0, n, 255)
     counts = np.empty((words, 8, 8), dtype=np.int64)  # of bit k in byte b
     for k in range(8):
-        lanes = ((grid >> np.uint64(k)) & _LANES).sum(axis=2, dtype=np.uint64)  # up to 255 in each byte
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, starts, axis=1)  # up to 255 in each byte
         counts[:, :, k] = lanes.view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
     return counts.reshape(words, 64)
 
@@ -108,13 +106,12 @@ def majority(hashes: np.ndarray) -> int:
 
 def mixed(hashes: np.ndarray, words: int) -> np.ndarray:
     """The hashes, and what a multiplicative mixer makes of them for each further word (words by hashes)."""
-    out = np.empty((words, len(hashes)), dtype=np.uint64)
-    out[0] = hashes
-    for w in range(1, words):
-        x = (hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out[w] = x ^ (x >> np.uint64(29))
-    return out
+    x = np.broadcast_to(hashes, (words, len(hashes))) + (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    x[1:] *= np.uint64(0xBF58476D1CE4E5B9)
+    x[1:] ^= x[1:] >> np.uint64(31)
+    x[1:] *= np.uint64(0x94D049BB133111EB)
+    x[1:] ^= x[1:] >> np.uint64(29)
+    return x
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

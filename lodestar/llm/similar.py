@@ -20,112 +20,71 @@ import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
-from itertools import combinations
-from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.blocks import FLIPS, Blocks
 from lodestar.llm.common import arrow_map, dealt_groups, texts_of, whole_groups, written
 from lodestar.llm.components import components
-from lodestar.llm.simhash import Scheme, bit_counts, group_links, mixed, references, words_of
+from lodestar.llm.simhash import bit_counts, group_links, mixed, words_of
 
-#: Chance with which a pair at the similarity does not meet, at most, by the model of :func:`meeting`.
-MISS = 0.001
-#: Bits of a block that may be turned over; more for sets of few shingles, whose majorities are close.
-FLIPS, FEW_FLIPS = 2, ((12, 4), (24, 3))
+#: Bits of a block that may be turned over for sets of few shingles, whose majorities are close.
+FEW_FLIPS = ((12, 4), (24, 3))
 #: Rows of a key, and bytes of the texts of a component, that are compared in one turn.
 CHUNK, TURN_BYTES = 1024, 4 << 20
-#: Words whose hashes a worker remembers.
-MEMO = 300_000
+#: Words, and bytes, of a text that are hashed at once.
+WORDS_AT_ONCE, BYTES_AT_ONCE = 1 << 16, 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-_hashes = WordHashes()
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    base = 0xD6E8FEB86659FD93
+    return tuple(np.cumprod(np.array([1] + [x] * size, dtype=np.uint64), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The distinct hashes, ascending, of each run of ``size`` words; of all words where there are fewer; none for no word."""
+    """The distinct hashes, ascending, of each run of ``size`` words; of all words where there are fewer; none for no word.
+
+    A run's hash is that of its bytes, the words joined by spaces, as a
+    polynomial modulo 2^64: differences of one running sum.
+    """
     words = words_of(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
     size = min(size, len(words))
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = len(h) - size + 1
-    out = np.full(n, size, dtype=np.uint64)
-    for k in range(size):
-        out = (out ^ (out >> np.uint64(31))) * _MIX + h[k : k + n]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
-
-
-@lru_cache(maxsize=64)
-def meeting(width: int, flips: int, similarity: float) -> float:
-    """The chance that sets of the similarity meet in a block: all bits that differ are among those of the closest majorities, of either set.
-
-    By sampling correlated normals, which the majorities of many hashes tend to.
-    """
-    rng, rho, n = np.random.default_rng(1), 2 * similarity / (1 + similarity), 20_000
-    x = rng.standard_normal((n, width))
-    y = rho * x + (1 - rho * rho) ** 0.5 * rng.standard_normal((n, width))
-    low = [np.argsort(np.argsort(np.abs(v), axis=1), axis=1) < flips for v in (x, y)]
-    return float((~(((x > 0) != (y > 0)) & ~low[0] & ~low[1]).any(axis=1)).mean())
-
-
-class Blocks:
-    """The blocks of fingerprints for so many sets.
-
-    A block has so many bits that few unrelated sets share it (their number over
-    2^width stays within 16 to 32), and 14 at least; there are as many blocks as
-    the chance to meet asks for, and as many fingerprint words as hold them.
-    """
-
-    def __init__(self, n_sets: int, similarity: float):
-        self.width = max(14, min(40, ceil(log2(max(2, n_sets))) - 4))
-        self.number = ceil(log(MISS) / log(1 - meeting(self.width, FLIPS, similarity)))
-        self.words = max(4, ceil(self.width * self.number / 64))
-        differ = acos(2 * similarity / (1 + similarity)) / pi
-        bits = 64 * self.words
-        self.scheme = Scheme(self.words, round(bits * differ + 4.4 * (bits * differ * (1 - differ)) ** 0.5), (), (), pivots=2, ratio=Fraction(similarity).limit_denominator(1000))
-        self.places = np.uint64(1) << np.arange(self.width, dtype=np.uint64)
-        bit = np.unpackbits(references(self.words).view(np.uint8), axis=1, bitorder="little")[:, : self.width * self.number]
-        self.refs = bit.reshape(len(bit), self.number, self.width).astype(np.uint64) @ self.places  # (references, blocks)
-
-    def prints(self, sets: list[np.ndarray]) -> np.ndarray:
-        """How far the votes for each bit are above (below) half."""
-        out = np.zeros((len(sets), 64 * self.words), dtype=np.int64)
-        for k, s in enumerate(sets):
-            if len(s):
-                out[k] = 2 * bit_counts(mixed(s, self.words)).ravel() - len(s)
-        return out
-
-    def keys(self, votes: np.ndarray, flips: int) -> np.ndarray:
-        """Keys (rows by blocks and turned bits) of the pivot coordinates of each block."""
-        v = votes[:, : self.number * self.width].reshape(len(votes), self.number, self.width)
-        value = (v > 0).astype(np.uint64) @ self.places
-        close = np.argsort(np.abs(v), axis=2, kind="stable")[:, :, :flips]
-        flip = self.places[close]
-        values = [value]
-        for r in range(1, flips + 1):
-            values += [value ^ flip[:, :, list(c)].sum(axis=2, dtype=np.uint64) for c in combinations(range(flips), r)]
-        value = np.stack(values, axis=2)
-        key = np.broadcast_to(np.arange(1, self.number + 1, dtype=np.uint64)[None, :, None], value.shape)
-        for r in self.refs:
-            key = (key ^ (key >> np.uint64(29))) * _MIX + np.bitwise_count(value ^ r[None, :, None])
-        return (key ^ (key >> np.uint64(32))).reshape(len(votes), -1)
+    found = []
+    for at in range(0, len(words) - size + 1, WORDS_AT_ONCE):
+        line = b" ".join(words[at : at + WORDS_AT_ONCE + size - 1])
+        if len(line) > BYTES_AT_ONCE:
+            some = words[at : at + WORDS_AT_ONCE + size - 1]
+            found.append(np.array([int.from_bytes(hashlib.blake2b(b" ".join(some[k : k + size]), digest_size=8).digest(), "little") for k in range(len(some) - size + 1)], dtype=np.uint64))
+            continue
+        a = np.frombuffer(line, dtype=np.uint8)
+        power, inverse = _powers(1 << max(14, len(line).bit_length()))
+        total = np.zeros(len(a) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[a] * power[: len(a)], out=total[1:])
+        spaces = np.flatnonzero(a == 32)
+        start, end = np.concatenate([[0], spaces + 1]), np.append(spaces, len(a))
+        start, end = start[: len(start) - size + 1], end[size - 1 :]
+        h = (total[end] - total[start]) * inverse[start]
+        h = (h ^ (h >> np.uint64(31))) * _MIX
+        found.append(h ^ (h >> np.uint64(29)))
+    return np.unique(found[0] if len(found) == 1 else np.concatenate(found))
+
+
+def prints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """How far the votes for each bit of a fingerprint are above (below) half, for each set."""
+    out = np.zeros((len(sets), 64 * words), dtype=np.int64)
+    for k, s in enumerate(sets):
+        if len(s):
+            out[k] = 2 * bit_counts(mixed(s, words)).ravel() - len(s)
+    return out
 
 
 def sketches(docs: DataFrame, text: str, shingle: int, blocks: Blocks) -> DataFrame:
@@ -138,7 +97,7 @@ def sketches(docs: DataFrame, text: str, shingle: int, blocks: Blocks) -> DataFr
             for first in range(0, whole.num_rows, 512):
                 b = whole.slice(first, 512)
                 sets = [shingle_set(t, shingle) for t in texts_of(b.column(b.schema.get_field_index(text)))]
-                votes, n = blocks.prints(sets), np.array([len(s) for s in sets])
+                votes, n = prints(sets, blocks.words), np.array([len(s) for s in sets])
                 keys: list = [[]] * len(sets)
                 done = n == 0
                 for most, flips in (*FEW_FLIPS, (1 << 62, FLIPS)):
@@ -146,10 +105,9 @@ def sketches(docs: DataFrame, text: str, shingle: int, blocks: Blocks) -> DataFr
                     done[at] = True
                     for k, row in zip(at.tolist(), blocks.keys(votes[at], flips).view(np.int64), strict=True) if len(at) else ():
                         keys[k] = row
-                fps = np.packbits(votes > 0, axis=1, bitorder="little")
                 flat = np.concatenate([np.empty(0, dtype=np.int64), *keys]) if keys else np.empty(0, dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                made = [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(n, pa.int32()), pa.array([f.tobytes() for f in fps], pa.binary())]
+                made = [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(n, pa.int32()), pa.array(blocks.codes(votes), pa.binary())]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())).cast(keys_type)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *made, lists], names=[*names, "digest", "n", "fp", "keys"])
 
@@ -214,7 +172,7 @@ def row_marks(docs: DataFrame) -> list:
 def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Rows (_h1, _h2, id, class), one for each document: its marks, its id, and a number of its group."""
     least = Fraction(similarity).limit_denominator(1000)
-    blocks = Blocks(docs.count(), similarity)
+    blocks = Blocks(docs.count(), 2 * similarity / (1 + similarity), least)
     marked = docs.select(*row_marks(docs), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_t"))
     every = written(sketches(marked, "_t", shingle, blocks), "sketches")
     one = every.groupBy("digest").agg(F.min(F.struct("_h1", "_h2")).alias("m"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))

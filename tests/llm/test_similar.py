@@ -53,10 +53,10 @@ def test_pairs_at_the_similarity_meet():
     """Sets at 0.8 exactly, of few and of many shingles: nearly all share a key and are within the radius."""
     rng = np.random.default_rng(0)
     for n_sets in (1000, 3_000_000):
-        blocks, cases, met = S.Blocks(n_sets, 0.8), 0, 0
+        blocks, cases, met = S.Blocks(n_sets, 1.6 / 1.8), 0, 0
         for na, nb, both in ((4, 5, 4), (9, 9, 8), (16, 20, 16), (45, 45, 40), (450, 450, 400)):
             pools = rng.integers(0, 1 << 63, (400, na + nb - both), dtype=np.uint64)
-            votes = [blocks.prints([x[:na] for x in pools]), blocks.prints([x[len(x) - nb :] for x in pools])]
+            votes = [S.prints([x[:na] for x in pools], blocks.words), S.prints([x[len(x) - nb :] for x in pools], blocks.words)]
             flips = [next((f for most, f in S.FEW_FLIPS if n <= most), S.FLIPS) for n in (na, nb)]
             keys = [blocks.keys(v, f) for v, f in zip(votes, flips, strict=True)]
             close = ((votes[0] > 0) != (votes[1] > 0)).sum(axis=1) <= blocks.scheme.radius
