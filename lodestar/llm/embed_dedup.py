@@ -6,12 +6,14 @@ with its code. With the factor, a code gives an unbiased estimate of the inner
 product with any other unit vector, and a confidence bound on its error; only
 pairs whose upper bound reaches the threshold are recomputed in double precision.
 
-Which pairs are estimated is decided by an index of cells around centroids:
-vectors live in the cell of their nearest centroid, their home, and are also
-compared with those of every later cell in which a vector within the threshold
-can live. A vector v of home c is at least as near to c as to u's home h; if the
-angle of u and v is at most t, then (h - c)u cos t <= |h - c less its part along u| sin t.
-So no pair is left out, however many cells there are.
+Which pairs are estimated is decided by the codes too. Signs of the coordinates
+under one rotation or more are cut into blocks; vectors meet where a block is
+equal, as it is or after turning over its bits nearest to zero, and are
+candidates if their codes differ in few enough bits. Nothing is fitted and
+nothing broadcast: the blocks follow from the number of vectors and the threshold
+(see :class:`~lodestar.llm.blocks.Blocks`), and 997 of 1000 pairs at the
+threshold meet whatever that number is. The vectors of each component of
+candidates then come together, and every pair of them is estimated once.
 """
 
 from __future__ import annotations
@@ -24,24 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_map, dealt_groups, local_labels, small_batches, whole_groups, written
+from lodestar.llm.blocks import Blocks
+from lodestar.llm.common import arrow_map, dealt_groups, local_labels, whole_groups, written
 from lodestar.llm.components import components
+from lodestar.llm.simhash import group_links
 
-#: Vectors that a cell holds on average at least, and the most cells there are;
-#: no more than the root of the vectors, as a vector may have to visit half of them.
-CELL, MAX_CELLS = 100, 4096
-#: Vectors of the sample on which the centroids are fitted, for each cell; at least 4096 in all.
-FIT_EACH = 16
 #: Half width of the confidence interval, in standard errors of the estimate.
 SURE = 3.0
-CHUNK = 512
+#: Codes of a key, and vectors of a component, that are compared in one turn.
+KEY_CHUNK, CHUNK = 1024, 512
 ROWS_AT_ONCE = 256
 
 
-@lru_cache(maxsize=8)
-def rotation(dim: int) -> np.ndarray:
-    """The random rotation of all vectors of a dimension."""
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
+@lru_cache(maxsize=64)
+def rotation(dim: int, number: int = 0) -> np.ndarray:
+    """A random rotation of all vectors of a dimension."""
+    q, r = np.linalg.qr(np.random.default_rng([dim, number]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -65,81 +65,59 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def centroids_of(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Unit centroids by spherical k-means started at random vectors of the sample."""
-    c = sample[np.random.default_rng(0).permutation(len(sample))[:k]].copy()
-    for _ in range(rounds):
-        own = np.concatenate([(sample[s : s + 4096] @ c.T).argmax(axis=1) for s in range(0, len(sample), 4096)])
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, sample)
-        size = np.linalg.norm(sums, axis=1)
-        c[size > 1e-9] = sums[size > 1e-9] / size[size > 1e-9, None]
-    return c
+def votes_of(unit: np.ndarray, bits: int) -> np.ndarray:
+    """The first so many coordinates of unit vectors under as many rotations as give them."""
+    dim = unit.shape[1]
+    return np.concatenate([unit @ rotation(dim, k)[: bits - k * dim].T for k in range(-(-bits // dim))], axis=1)
 
 
-def reached(v: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each unit vector, and which cells (rows by cells) hold vectors within the threshold at most: its home and those of a larger number."""
-    cos = v @ centroids.T
-    home = cos.argmax(axis=1)
-    gap = cos[np.arange(len(v)), home][:, None] - cos
-    length = np.maximum(0, 2 - 2 * centroids @ centroids.T)[home]  # squared, of home less cell
-    side = np.sqrt(np.maximum(0, length - gap**2))
-    go = gap * threshold <= side * np.sqrt(max(0.0, 1 - threshold**2)) + 1e-7 if threshold > 0 else np.ones_like(cos, dtype=bool)
-    go &= np.arange(len(centroids))[None, :] > home[:, None]
-    go[np.arange(len(v)), home] = True
-    return home.astype(np.int32), go
-
-
-def in_cells(reps: DataFrame, centroids: np.ndarray, kind: str, threshold: float) -> DataFrame:
-    """One row for each vector and cell in which it is compared; ``home`` is its own cell."""
-    sent = reps.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
+def coded(reps: DataFrame, blocks: Blocks, kind: str) -> DataFrame:
+    """Rows (rep, fp, keys): the code of each vector and the keys under which it meets others of its dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 b = whole.slice(first, ROWS_AT_ONCE)
-                v = units(b.column(1).to_pylist(), kind)
-                home, go = reached(v, sent.value, threshold)
-                signs, factors = codes_of(v)
-                codes = pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary())
-                row, cell = np.nonzero(go)
-                cols = [b.column(0), b.column(1), b.column(2), codes, pa.array(factors), pa.array(home)]
-                for s in range(0, len(row), 20_000):
-                    at = pa.array(row[s : s + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + 20_000].astype(np.int32)), *(c.take(at) for c in cols)], names=["cell", "id", "vec", "mult", "code", "factor", "home"])
-
-    return arrow_map(reps.select("id", "vec", "mult"), run, "cell int, id long, vec binary, mult long, code binary, factor double, home int")
+                raw, dims = b.column(1).to_pylist(), b.column(2).to_numpy()
+                codes: list = [None] * b.num_rows
+                keys: list = [None] * b.num_rows
+                for dim in np.unique(dims):
+                    at = np.flatnonzero(dims == dim)
+                    votes = votes_of(units([raw[k] for k in at], kind), 64 * blocks.words)
+                    own = blocks.keys(votes) ^ (np.uint64(dim) * np.uint64(0x9E3779B97F4A7C15))
+                    for k, c, x in zip(at.tolist(), blocks.codes(votes), own.view(np.int64), strict=True):
+                        codes[k], keys[k] = c, x
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *keys])))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), lists], names=["rep", "fp", "keys"])
+
+    return arrow_map(reps.select("rep", "vec", "dim"), run, "rep long, fp binary, keys array<long>")
 
 
 def turn_links(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -> Iterator[pa.RecordBatch]:
-    """For each turn of a cell: rows (id, n, root) of vectors with links, n their number, root the smallest id reached."""
-    for t, starts in whole_groups(batches, ["cell", "lo", "hi"], target=4096):
+    """For each turn of a component: rows (id, n, root) of vectors with links, n their number, root the smallest id reached."""
+    for t, starts in whole_groups(batches, ["key", "lo", "hi"], target=4096):
         get = lambda c: t.column(c).combine_chunks().to_numpy()  # noqa: E731, B023
-        ids, mult, cell, home, side, one = get("id"), get("mult"), get("cell"), get("home"), get("side"), get("lo") == get("hi")
-        raw, codes, factor = t.column("vec").to_pylist(), t.column("code").to_pylist(), get("factor")
+        ids, mult, side, one, raw = get("id"), get("mult"), get("side"), get("lo") == get("hi"), t.column("vec").to_pylist()
         rows = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
             if b - a < 2:
                 continue
             v = units(raw[a:b], kind)
-            signs = np.unpackbits(np.frombuffer(b"".join(codes[a:b]), dtype=np.uint8).reshape(b - a, -1), axis=1, count=v.shape[1])
-            own, m, f, s = home[a:b] == cell[a], mult[a:b], factor[a:b], side[a:b]
-            data = np.flatnonzero(own)
+            signs, factors = codes_of(v)
+            m, s = mult[a:b], side[a:b]
+            left = np.arange(b - a) if one[a] else np.flatnonzero(s == 0)
+            right = np.arange(b - a) if one[a] else np.flatnonzero(s == 1)
             n, label = np.zeros(b - a, dtype=np.int64), np.arange(b - a)
-            for q in range(0, b - a, ROWS_AT_ONCE):
-                ask = np.arange(q, min(q + ROWS_AT_ONCE, b - a))
-                if len(data) == 0:
-                    break
-                est, bound = estimates(v[ask], signs[data], f[data])
-                i, j = np.nonzero(est + bound >= threshold)
-                i, j = ask[i], data[j]
-                # both at home: once; a guest, whose home is a smaller cell, meets the pair's other end only here
-                keep = np.where(own[i], i < j, True)
-                if not one[a]:
-                    keep = np.where(own[i], (s[i] != s[j]) & (i < j), s[i] != s[j])
-                i, j = i[keep], j[keep]
-                if len(i) > len(ask) * len(data) // 4:
-                    exact = (v[ask] @ v[data].T)[i - q, np.searchsorted(data, j)]
+            for q in range(0, len(left) if len(right) else 0, ROWS_AT_ONCE):
+                ask = left[q : q + ROWS_AT_ONCE]
+                est, bound = estimates(v[ask], signs[right], factors[right])
+                x, y = np.nonzero(est + bound >= threshold)
+                if one[a]:
+                    x, y = x[ask[x] < right[y]], y[ask[x] < right[y]]
+                i, j = ask[x], right[y]
+                if len(i) > len(ask) * len(right) // 4:
+                    exact = (v[ask] @ v[right].T)[x, y]
                 else:
                     exact = np.einsum("ij,ij->i", v[i], v[j])
                 i, j = i[exact >= threshold], j[exact >= threshold]
@@ -179,35 +157,31 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """Rows (id_col, n_links, component_id, kept), one for each vector.
 
     Vectors link if their cosine in double precision is at least ``threshold``
-    and they have the same dimension. Links found are exact; all pairs meet, and
-    a link is missed only where the estimate errs by over ``SURE`` standard errors. Vectors that are null, zero
-    or hold null or non-finite components link with nothing and are kept.
-    Repeated rows link with each other; an empty table gives no rows; ids must
-    not be null; other columns are not read.
+    (0.5 to 1) and they have the same dimension. Links found are exact; a link is
+    missed only where its ends meet in no block, or where the estimate errs by
+    over ``SURE`` standard errors. Vectors that are null, zero or hold null or
+    non-finite components link with nothing and are kept. Repeated rows link with
+    each other, with the same id too; an empty table gives no rows; rows without
+    an id are an error; other columns are not read.
     """
-    spark = df.sparkSession
     vectors, kind = valid_vectors(df, id_col, vec_col)
     vectors = written(vectors, "vectors")
-    reps = written(vectors.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("dim").alias("dim")), "distinct")
-    small_batches(spark)
-    found = None
-    for dim, n in reps.groupBy("dim").count().filter("count > 1").collect():
-        own = reps.filter(F.col("dim") == dim)
-        k = int(max(1, min(MAX_CELLS, n // CELL, n**0.5)))
-        share = min(1.0, max(4096, FIT_EACH * k) / n)
-        sample = sorted(bytes(r.vec) for r in own.filter(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toLocalIterator())
-        centroids = centroids_of(units(sample, kind), k) if sample else units([bytes(own.first().vec)], kind)
-        dealt = dealt_groups(in_cells(own, centroids, kind, threshold), "cell", F.col("id"), CHUNK)
-        got = written(arrow_map(dealt, lambda x: turn_links(x, kind, threshold), "id long, n long, root long"), "turns")
-        found = got if found is None else found.unionAll(got)
-    ends = reps.select("vec", "mult", "id")
-    if found is None:
-        ends = ends.select("vec", "mult", "id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
-    else:
-        counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-        comps = components(found.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-        ends = ends.join(counts, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").select("vec", "mult", "id", "n", "component")
-    ends = ends.select("vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    if vectors.filter("id is null").head(1):
+        raise ValueError("a vector has no id")
+    reps = written(vectors.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("dim").alias("dim")).select("*", F.monotonically_increasing_id().alias("rep")), "distinct")
+    blocks = Blocks(reps.count(), threshold)
+    codes = written(coded(reps, blocks, kind), "codes")
+    met = codes.select(F.explode("keys").alias("key"), "rep", "fp")
+    near = components(arrow_map(dealt_groups(met, "key", F.col("rep"), KEY_CHUNK), lambda x: group_links(x, blocks.scheme), "u long, v long"))
+    near = near.select(F.col("node").alias("rep"), F.col("component").alias("key"))
+    together = written(reps.join(near, "rep").select("key", F.col("rep").alias("id"), "vec", "mult"), "candidates")
+    dealt = dealt_groups(together, "key", F.col("id"), CHUNK)
+    found = written(arrow_map(dealt, lambda x: turn_links(x, kind, threshold), "id long, n long, root long"), "turns")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
+    comps = components(found.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+    ends = written(reps.select("vec", "mult", "id", "rep").join(counts, "rep", "left").join(comps, "rep", "left").select("vec", "mult", "id", "n", F.coalesce("component", "rep").alias("class")), "ends")
+    least = ends.groupBy("class").agg(F.min("id").alias("component_id"))
+    ends = ends.join(least, "class").select("vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
     linked = vectors.filter("vec is not null").join(ends, "vec").select("id", "n_links", "component_id")
     alone = vectors.filter("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
