@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
 
 
+_open_scratches: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, tables made by :func:`written` are for the time being: they are deleted at its end, but for those given to what it yields.
+
+    A result that leaves must read nothing else of them.
+    """
+    own: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not df]
+        if len(_open_scratches) > 1:
+            _open_scratches[-2].append(df)
+        return df
+
+    _open_scratches.append(own)
+    try:
+        yield keep
+    finally:
+        _open_scratches.remove(own)
+        for df in own:
+            dropped(df)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -38,6 +67,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _open_scratches:
+        _open_scratches[-1].append(out)
     return out
 
 
@@ -58,9 +89,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def open_fs(uri: str) -> tuple[pfs.FileSystem, str]:
+    return pfs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
+
+
+def put(uri: str, data: bytes) -> None:
+    """Write a file whole or not at all: tasks that run twice leave one file."""
+    fs, path = open_fs(uri)
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, path)
+
+
 def id_bucket(col: str, n: int):
-    """crc32 of the id as text, mod n."""
-    return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
+    """crc32 of the id as text, mod n; a null id counts as no text, which gives 0."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -125,6 +170,21 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, n: str, member, size: int = 100_000) -> DataFrame:
+    """``many.join(one, key)`` where ``one`` has each key once, with the number ``n`` of rows that it meets; ``n`` is dropped.
+
+    Keys of more than ``size`` rows are split among as many tasks as that takes:
+    by the hash of ``member`` in ``many``, and repeated in ``one``. Their list is
+    written first, so that Spark knows its size when it chooses how to join it.
+    """
+    parts = F.ceil(F.col(n) / F.lit(size)).cast("int")
+    hot = written(one.filter(F.col(n) > size).select(key, parts.alias("_c")), "hot")
+    salt = F.when(F.col("_c").isNull(), 0).otherwise(F.pmod(F.xxhash64(member, F.lit(5)), F.col("_c"))).cast("int")
+    left = many.join(hot, key, "left").withColumn("_salt", salt).drop("_c")
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))))).drop(n)
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def chunk_count(n, size: int = 1024):
     """Column: into how many chunks a group of n rows is dealt.
 
@@ -142,10 +202,11 @@ def dealt_groups(df: DataFrame, key: str, member, size: int = 1024, weight=None)
     ``member``: column whose hash chooses a row's chunk. Only keys of more than
     ``size`` rows (or a sum of ``weight`` beyond it) are dealt in chunks: a row of
     chunk a gets one row for each chunk b; ``side`` is 0 for rows of chunk ``lo``,
-    1 for ``hi``. All others have one turn and are moved once. Which keys are
-    hot is joined by Spark's own choice, by size. Sorted by (key, lo, hi) within partitions.
+    1 for ``hi``. All others have one turn and are moved once. The hot keys are
+    written, so that Spark knows their size when it chooses how to join them.
+    Sorted by (key, lo, hi) within partitions.
     """
-    hot = df.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).filter(F.col("_n") > size)
+    hot = written(df.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).filter(F.col("_n") > size), "hot")
     x = df.join(hot, key, "left").withColumn("_c", F.when(F.col("_n").isNull(), 1).otherwise(chunk_count(F.col("_n"), size)))
     x = x.withColumn("_a", F.when(F.col("_c") > 1, F.pmod(F.xxhash64(member, F.lit(7)), F.col("_c"))).otherwise(0).cast("int"))
     x = x.withColumn("_b", F.explode(F.expr("sequence(0, _c - 1)")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import Blocks
-from lodestar.llm.common import arrow_map, dealt_groups, local_labels, whole_groups, written
+from lodestar.llm.common import arrow_map, dealt_groups, local_labels, salted_join, scratch, whole_groups, written
 from lodestar.llm.components import components
 from lodestar.llm.simhash import group_links
 
@@ -164,24 +164,26 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     each other, with the same id too; an empty table gives no rows; rows without
     an id are an error; other columns are not read.
     """
-    vectors, kind = valid_vectors(df, id_col, vec_col)
-    vectors = written(vectors, "vectors")
-    if vectors.filter("id is null").head(1):
-        raise ValueError("a vector has no id")
-    reps = written(vectors.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("dim").alias("dim")).select("*", F.monotonically_increasing_id().alias("rep")), "distinct")
-    blocks = Blocks(reps.count(), threshold)
-    codes = written(coded(reps, blocks, kind), "codes")
-    met = codes.select(F.explode("keys").alias("key"), "rep", "fp")
-    near = components(arrow_map(dealt_groups(met, "key", F.col("rep"), KEY_CHUNK), lambda x: group_links(x, blocks.scheme), "u long, v long"))
-    near = near.select(F.col("node").alias("rep"), F.col("component").alias("key"))
-    together = written(reps.join(near, "rep").select("key", F.col("rep").alias("id"), "vec", "mult"), "candidates")
-    dealt = dealt_groups(together, "key", F.col("id"), CHUNK)
-    found = written(arrow_map(dealt, lambda x: turn_links(x, kind, threshold), "id long, n long, root long"), "turns")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
-    comps = components(found.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
-    ends = written(reps.select("vec", "mult", "id", "rep").join(counts, "rep", "left").join(comps, "rep", "left").select("vec", "mult", "id", "n", F.coalesce("component", "rep").alias("class")), "ends")
-    least = ends.groupBy("class").agg(F.min("id").alias("component_id"))
-    ends = ends.join(least, "class").select("vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    linked = vectors.filter("vec is not null").join(ends, "vec").select("id", "n_links", "component_id")
+    with scratch() as keep:
+        vectors, kind = valid_vectors(df, id_col, vec_col)
+        vectors = keep(written(vectors, "vectors"))
+        if vectors.filter("id is null").head(1):
+            raise ValueError("a vector has no id")
+        reps = written(vectors.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("dim").alias("dim")).select("*", F.monotonically_increasing_id().alias("rep")), "distinct")
+        blocks = Blocks(reps.count(), threshold)
+        codes = written(coded(reps, blocks, kind), "codes")
+        met = codes.select(F.explode("keys").alias("key"), "rep", "fp")
+        near = components(arrow_map(dealt_groups(met, "key", F.col("rep"), KEY_CHUNK), lambda x: group_links(x, blocks.scheme), "u long, v long"), few=True)
+        near = near.select(F.col("node").alias("rep"), F.col("component").alias("key"))
+        together = written(reps.join(near, "rep").select("key", F.col("rep").alias("id"), "vec", "mult"), "candidates")
+        dealt = dealt_groups(together, "key", F.col("id"), CHUNK)
+        found = written(arrow_map(dealt, lambda x: turn_links(x, kind, threshold), "id long, n long, root long"), "turns")
+        counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
+        comps = components(found.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+        ends = written(reps.select("vec", "mult", "id", "rep").join(counts, "rep", "left").join(comps, "rep", "left").select("vec", "mult", "id", "n", F.coalesce("component", "rep").alias("class")), "ends")
+        least = ends.groupBy("class").agg(F.min("id").alias("component_id"))
+        ends = ends.join(least, "class").select("vec", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+        ends = keep(written(ends, "links"))
+    linked = salted_join(vectors.filter("vec is not null"), ends, "vec", "mult", F.col("id")).select("id", "n_links", "component_id")
     alone = vectors.filter("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

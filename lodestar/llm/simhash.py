@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_map, dealt_groups, local_labels, texts_of, whole_groups, written
+from lodestar.llm.common import arrow_map, dealt_groups, local_labels, salted_join, scratch, texts_of, whole_groups, written
 from lodestar.llm.components import components
 
 #: Reference fingerprints of the pivot table.
@@ -245,11 +245,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read.
     """
     scheme = scheme or exact(3)
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    comps = components(near_links(reps.filter("rep is not null"), scheme))
-    ends = reps.join(comps, reps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = fps.join(ends, "fp")
+    with scratch() as keep:
+        fps = keep(written(fingerprints(docs, id_col, text_col, shingle), "fingerprints"))
+        reps = written(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+        comps = components(near_links(reps.filter("rep is not null"), scheme), few=True)
+        ends = reps.join(comps, reps.rep == comps.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+        ends = keep(written(ends, "ends"))
+    out = salted_join(fps, ends, "fp", "n", F.col("id"))
     return out.select(F.col("id").alias(id_col), _hex_words("fp", scheme.words).alias("fingerprint"), "component_id")
 
 

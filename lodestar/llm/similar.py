@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import FLIPS, Blocks
-from lodestar.llm.common import arrow_map, dealt_groups, texts_of, whole_groups, written
+from lodestar.llm.common import arrow_map, dealt_groups, salted_join, scratch, texts_of, whole_groups, written
 from lodestar.llm.components import components
 from lodestar.llm.simhash import bit_counts, group_links, mixed, words_of
 
@@ -175,18 +175,18 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     blocks = Blocks(docs.count(), 2 * similarity / (1 + similarity), least)
     marked = docs.select(*row_marks(docs), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_t"))
     every = written(sketches(marked, "_t", shingle, blocks), "sketches")
-    one = every.groupBy("digest").agg(F.min(F.struct("_h1", "_h2")).alias("m"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    reps = written(one.select("digest", "m.*", "n", "fp", "keys", F.monotonically_increasing_id().alias("rep")), "sets")
+    one = every.groupBy("digest").agg(F.min(F.struct("_h1", "_h2")).alias("m"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    reps = written(one.select("digest", "m.*", "n", "fp", "keys", "rows", F.monotonically_increasing_id().alias("rep")), "sets")
     met = reps.select(F.explode("keys").alias("key"), "rep", "n", "fp")
-    near = components(arrow_map(dealt_groups(met, "key", F.col("rep"), CHUNK), lambda x: group_links(x, blocks.scheme), "u long, v long"))
+    near = components(arrow_map(dealt_groups(met, "key", F.col("rep"), CHUNK), lambda x: group_links(x, blocks.scheme), "u long, v long"), few=True)
     near = near.select(F.col("node").alias("rep"), F.col("component").alias("key"))
     wanted = near.join(reps.select("rep", "_h1", "_h2"), "rep")
     texts = marked.select("_h1", "_h2", F.col("_t").alias("t")).join(wanted, ["_h1", "_h2"]).select("key", "rep", "t", (F.octet_length("t") + 16_000).cast("long").alias("size"))
     texts = written(texts, "candidates")
     dealt = dealt_groups(texts, "key", F.col("rep"), TURN_BYTES, weight=F.col("size"))
     ends = components(arrow_map(dealt, lambda x: exact_links(x, shingle, least), "u long, v long"))
-    ends = reps.select("digest", "rep").join(ends, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    return every.select("_h1", "_h2", "id", "digest").join(ends, "digest").select("_h1", "_h2", "id", "class")
+    ends = reps.select("digest", "rows", "rep").join(ends, F.col("rep") == F.col("node"), "left").select("digest", "rows", F.coalesce("component", "rep").alias("class"))
+    return salted_join(every.select("_h1", "_h2", "id", "digest"), ends, "digest", "rows", F.col("_h1")).select("_h1", "_h2", "id", "class")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -197,7 +197,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have none (a group without any id has a null component); an empty table
     gives no rows; no other column is read but as part of the mark of a row.
     """
-    every = written(classes(docs, id_col, text_col, shingle, similarity), "classes")
+    with scratch() as keep:
+        every = keep(written(classes(docs, id_col, text_col, shingle, similarity), "classes"))
     least = every.groupBy("class").agg(F.min("id").alias("component_id"))
     return every.join(least, "class").select(F.col("id").alias(id_col), "component_id")
 
@@ -209,10 +210,11 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     same id the one with the smaller mark stays, of rows equal in all columns one.
     Null and empty texts are a group like any other; an empty table gives no rows.
     """
-    every = written(classes(docs, id_col, text_col, shingle, similarity), "classes")
-    first = every.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")).alias("w")).select("w._h1", "w._h2")
-    copies = every.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-    kept = written(first.join(copies, ["_h1", "_h2"]), "kept")
+    with scratch() as keep:
+        every = written(classes(docs, id_col, text_col, shingle, similarity), "classes")
+        first = every.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")).alias("w")).select("w._h1", "w._h2")
+        copies = every.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+        kept = keep(written(first.join(copies, ["_h1", "_h2"]), "kept"))
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_marks(docs))  # no name of a column clashes
     single = marked.join(kept.filter("_n = 1").select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
     repeated = marked.join(kept.filter("_n > 1").select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])

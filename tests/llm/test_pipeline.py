@@ -63,3 +63,16 @@ def test_run_and_empty_table(spark):
     for _, stage in P.STAGES[:3]:
         assert stage(spark, empty, SF).collect() == []
     assert P.packed(spark, empty, SF).collect() == []
+
+
+def test_rows_without_ids_of_their_own(spark):
+    """Null and repeated ids and extra columns: stages judge rows, so that one row's fate is not another's."""
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    clean = [" ".join(f"the house number {k} stands in street {j}" for j in range(8 * k, 8 * k + 8)) for k in range(4)]
+    rows = [(5, clean[0], "en"), (5, items[0], "en"), (None, clean[1], "en"), (None, items[1], "de"), (7, clean[2], None), (7, clean[2], None), (None, clean[3], "en")]
+    df = spark.createDataFrame([(*r, 1, "m") for r in rows], "doc_id long, text string, lang string, row int, mark string").repartition(3)
+    out = P.decontaminated(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted((r.text for r in out.collect()), key=str) == sorted([clean[0], clean[1], clean[2], clean[2], clean[3]])
+    assert sorted(r.text for r in P.near_duplicates(spark, out, SF).collect()) == sorted(clean)
+    assert sum(r.piece_tokens for r in P.packed(spark, df, SF).collect()) == sum(len(t.split()) + 1 for _, t, _ in rows)
