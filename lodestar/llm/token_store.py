@@ -10,23 +10,20 @@ that a short document is read by its own few bytes.
 from __future__ import annotations
 
 import hashlib
-import posixpath
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pfs
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestar.llm.common import arrow_map, new_path, written
+from lodestar.llm.common import arrow_map, dropped, new_path, open_fs, put, written
 
 MAGIC = b"LODTOK1\n"
 #: Bytes of the trailer: frame count, index position, dictionary hash, magic.
@@ -40,20 +37,6 @@ SHARD_TEXT_BYTES = 64 << 20
 MEMO = 900_000
 
 
-def open_fs(uri: str) -> tuple[pfs.FileSystem, str]:
-    return pfs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
-
-
-def put(uri: str, data: bytes) -> None:
-    """Write a file whole or not at all: tasks that run twice leave one file."""
-    fs, path = open_fs(uri)
-    fs.create_dir(posixpath.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, path)
-
-
 def _class_of(prop: str) -> str:
     """The characters with a property, up to the last that the memo handles, as ranges of a character class."""
     return "".join(re.escape(c) for c in map(chr, range(0x20C0)) if regex.match(prop, c))
@@ -102,15 +85,15 @@ class MemoEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def plain(self, text: str) -> bool:
-        """Whether a text consists of characters that the memo handles."""
+    def plain(self, text: str, low: str) -> bool:
+        """Whether a text, and what it is in lower case, consists of characters that the memo handles."""
         if text.isascii():
             return self.known and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return self.known and not self.odd(text)
+        return self.known and not self.odd(text) and not self.odd(low)
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text: of its stretches between white space, and of a new stretch's parts."""
-        split = [t.lower().split() if self.plain(t) else None for t in texts]
+        split = [low.split() if self.plain(t, low) else None for t, low in zip(texts, map(str.lower, texts), strict=True)]
         if len(self.memo) > MEMO:
             self.memo.clear()
         new: set[str] = set()
@@ -141,10 +124,8 @@ def texts_and_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> bytes:
-    """The shared dictionary, from a sample of about SAMPLE_DOCS documents and SAMPLE_BYTES bytes chosen by the hash of the id."""
-    src = texts_and_ids(docs, id_col, text_col)
-    n, size = src.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
+def train_dictionary(src: DataFrame, n: int, size: int, tokenizer: str, end_id: int) -> bytes:
+    """The shared dictionary, from a sample of about SAMPLE_DOCS of n documents and SAMPLE_BYTES of ``size`` bytes chosen by the hash of the id."""
     if not n:
         return b""
     share = min(1.0, SAMPLE_DOCS / n, SAMPLE_BYTES / max(1, size))
@@ -216,49 +197,56 @@ class Shard:
 
 
 class TokenStore:
-    """A written store: its folder and its manifest of shards (number, documents, tokens)."""
+    """A written store: a folder with the dictionary, the shards, and a table ``manifest`` of them (k, docs, tokens, wide)."""
 
-    def __init__(self, spark: SparkSession, path: str, dictionary: bytes, wide: bool, shards: list[tuple[int, int, int]]):
-        self.spark, self.path, self.dictionary, self.wide = spark, path, dictionary, wide
-        self.shards = sorted(shards)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        fs, name = open_fs(f"{path}/dictionary")
+        with fs.open_input_file(name) as f:
+            self.dictionary = f.read()
+
+    def manifest(self) -> DataFrame:
+        """Rows (k, docs, tokens, wide, before), one for each shard; ``before``: ids in the shards before it."""
+        rows = self.spark.read.schema("k long, docs long, tokens long, wide boolean").parquet(f"{self.path}/manifest")
+        earlier = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+        return rows.withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
 
     def read(self) -> DataFrame:
         """Rows (doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-        path, dictionary, wide, n = self.path, self.dictionary, self.wide, len(self.shards)
-        before = np.concatenate([[0], np.cumsum([x[2] for x in self.shards])]).astype(np.int64)
-        numbers = [x[0] for x in self.shards]
+        path, dictionary = self.path, self.dictionary
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k in b.column(0).to_pylist():
-                    fs, name = open_fs(f"{path}/shard-{numbers[k]:08d}.tok")
+                for k, wide, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    fs, name = open_fs(f"{path}/shard-{k:08d}.tok")
                     with fs.open_input_file(name) as f:
                         shard = Shard(f, dictionary, wide)
                         crc = [zlib.crc32(shard.tokens(i).tobytes()) for i in range(len(shard.ids))]
-                        start = before[k] + np.concatenate([[0], np.cumsum(shard.counts.astype(np.int64))[:-1]])
+                        start = before + np.concatenate([[0], np.cumsum(shard.counts.astype(np.int64))[:-1]])
                         yield pa.RecordBatch.from_arrays([pa.array(shard.ids), pa.array(start), pa.array(shard.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-        return self.spark.range(0, n, 1, max(1, n)).mapInArrow(run, schema)
+        shards = self.manifest().select("k", "wide", "before")
+        return arrow_map(shards.repartition(max(1, shards.count())), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> TokenStore:
     """Encode every whole text, append ``end_id`` and write the store, shards and documents in ascending order of id.
 
     Null texts are empty and hold the end id only; repeated ids are documents
-    of their own, in the order of their bytes; rows without an id are an error;
-    an empty table gives a store without shards; other columns are not read.
-    The tokenizer's file must be at ``tokenizer`` on every executor.
+    of their own, in the order of the hash of their bytes; rows without an id are
+    an error; an empty table gives a store without shards; other columns are not
+    read. The tokenizer's file must be at ``tokenizer`` on every executor.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     wide = MemoEncoder(tokenizer).wide
-    dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col)
-    put(f"{path}/dictionary", dictionary)
-    rows = written(encoded(texts_and_ids(docs, id_col, text_col), tokenizer, end_id, dictionary), "frames")
-    if rows.filter("id is null").head(1):
+    src = texts_and_ids(docs, id_col, text_col)
+    n, size, none = src.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count_if(F.col("id").isNull())).first()
+    if none:
         raise ValueError("a document has no id")
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    dictionary = train_dictionary(src, n, size, tokenizer, end_id)
+    put(f"{path}/dictionary", dictionary)
+    rows = written(encoded(src, tokenizer, end_id, dictionary), "frames")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -268,8 +256,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
             t = pa.Table.from_batches(held)
             k, counts = TaskContext.get().partitionId(), t.column("n").to_numpy()
             put(f"{path}/shard-{k:08d}.tok", pack_shard(t.column("id").to_numpy(), counts, t.column("frame").to_pylist(), dictionary))
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t.num_rows]), pa.array([int(counts.sum())])], names=["k", "docs", "tokens"])
-
-    dealt = rows.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), "id", "frame").sortWithinPartitions("id", "frame")
-    manifest = arrow_map(dealt, run, "k long, docs long, tokens long").collect()  # one row for each file
-    return TokenStore(spark, path, dictionary, wide, [tuple(r) for r in manifest])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t.num_rows]), pa.array([int(counts.sum())]), pa.array([wide])], names=["k", "docs", "tokens", "wide"])
+
+    # The bounds of the ranges are sampled from the id and a hash: no frame goes to the driver.
+    keyed = rows.withColumn("h", F.xxhash64("frame"))
+    dealt = keyed.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), "id", "h").sortWithinPartitions("id", "h", "frame").drop("h")
+    arrow_map(dealt, run, "k long, docs long, tokens long, wide boolean").write.parquet(f"{path}/manifest")
+    dropped(rows)
+    return TokenStore(spark, path)

@@ -10,7 +10,7 @@ from lodestar.llm import token_store as T
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " ", "Hello, world! It's we'll 'tis O'Neil's 12,345.67", "ÉCOLE naïve straße İstanbul ΣΑΣ Ÿ", "a\x1cb\x85c\xa0d e　f g",
-    "<|endoftext|> x <|startoftext|>", "日本語 テキスト é 한국", "--- *** $$$ ### ''s 's't '' “quoted” — €5", "\x00\x1f\x7f", "x" * 3000, "ab " * 4000, "don’t…",
+    "<|endoftext|> x <|startoftext|>", "日本語 テキスト é 한국", "--- *** $$$ ### ''s 's't '' “quoted” — €5", "\x00\x1f\x7f", "x" * 3000, "ab " * 4000, "don’t…", "aȺb Ⱦx", "long text é " * 60_000,
 ]
 
 
@@ -22,6 +22,15 @@ def test_memo_encoder_matches_tokenizer(spark):
         assert np.frombuffer(enc.encode(t), dtype=enc.kind).tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
+def test_every_admitted_character_in_context():
+    """Every character that may come to the memo, between letters, digits, marks and spaces: the tokenizer's ids."""
+    tk, enc = Tokenizer.from_file(PATH), T.MemoEncoder(PATH)
+    texts = [c.format(chr(k)) for k in range(0x20C0) if not 0xD800 <= k < 0xE000 for c in ("{}", "a{}b", "{}a", "1{}2", "'{}s", ".{}", "x {} y")]
+    texts += [c.format(x) for x in "\u023a\u023e\u0130\u1e9e\u212a\u212b\u2126" for c in ("{}", "a{}b", "{}a", "{0}{0}é", "Z{}.")]
+    for t, ids in zip(texts, tk.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(t), dtype=enc.kind).tolist() == ids.ids, t
+
+
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(T, "SHARD_TEXT_BYTES", 9000)
     rows = [(100 - k, t) for k, t in enumerate(TEXTS * 2)] + [(100, "again"), (100, None)]
@@ -39,15 +48,25 @@ def test_round_trip(spark, monkeypatch):
     want = {i: sorted((len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for x in xs) for i, xs in ids.items()}
     assert {i: sorted(x) for i, x in by_id.items()} == want
     assert [r[0] for r in sorted(got, key=lambda r: r[1])] == sorted(i for i, _ in rows)
-    fs, name = T.open_fs(f"{store.path}/shard-{store.shards[0][0]:08d}.tok")
+    again = T.TokenStore(spark, store.path)
+    first = again.manifest().orderBy("k").first()
+    assert again.dictionary == store.dictionary and first.before == 0 and again.manifest().count() > 1
+    fs, name = T.open_fs(f"{store.path}/shard-{first.k:08d}.tok")
     with fs.open_input_file(name) as f:
-        shard = T.Shard(f, store.dictionary, store.wide)
+        shard = T.Shard(f, store.dictionary, first.wide)
         k = int(shard.ids[0])
         assert sorted(x.tolist() for x in shard.find(k)) == sorted(ids[k])
     with fs.open_input_file(name) as f, pytest.raises(ValueError):
-        T.Shard(f, b"other", store.wide)
+        T.Shard(f, b"other", first.wide)
 
 
 def test_empty_table(spark):
     store = T.write_tokens(spark.createDataFrame([], "doc_id long, text string, n int, frame string"), PATH)
     assert store.read().collect() == []
+
+
+def test_no_id_and_clashing_columns(spark):
+    with pytest.raises(ValueError, match="no id"):
+        T.write_tokens(spark.createDataFrame([(None, "a")], "doc_id long, text string"), PATH)
+    df = spark.createDataFrame([(2, "a b", "x", 1, 2), (1, "c", "y", 3, 4)], "doc_id long, text string, t string, id int, h int")
+    assert [(r.doc_id, r.start, r.n_tokens) for r in T.write_tokens(df, PATH).read().orderBy("doc_id").collect()] == [(1, 0, 2), (2, 2, 3)]
