@@ -4,7 +4,7 @@ import random
 from lodestar.llm import packing as P
 
 
-def least_cost(lengths, sizes, overhead):
+def least_cost(lengths, costs):
     """The cheapest packing by trying all partitions of a few documents."""
     best = None
     n = len(lengths)
@@ -12,8 +12,8 @@ def least_cost(lengths, sizes, overhead):
         bins = {}
         for k, b in enumerate(labels):
             bins[b] = bins.get(b, 0) + lengths[k]
-        if max(bins.values()) <= sizes[-1]:
-            cost = sum(min(s for s in sizes if s >= h) + overhead for h in bins.values())
+        if max(bins.values()) <= costs.sizes[-1]:
+            cost = sum(costs.held(h) for h in bins.values())
             best = cost if best is None else min(best, cost)
     return best
 
@@ -33,23 +33,42 @@ def check_bins(lengths, bins, final, sizes):
         assert at == n
 
 
-def test_near_the_optimum():
+def test_small_blocks_are_exact():
     rng = random.Random(0)
+    for overhead, attention in ((1, 10**9), (2, 16), (0, 8)):
+        costs = P.Costs((4, 8, 16), overhead, attention)
+        for _ in range(25):
+            lengths = [rng.randint(0, 16) for _ in range(rng.randint(1, 6))]
+            bins, final = P.pack_block(lengths, (4, 8, 16), overhead, attention)
+            check_bins(lengths, bins, final, (4, 8, 16))
+            assert abs(sum(costs.of[c] for c in final) - least_cost(lengths, costs)) < 1e-9
+
+
+def test_best_fit_near_the_optimum(monkeypatch):
+    """Without the exact way for small blocks: best fit over all subsets of sizes, with loose bins packed anew."""
+    rng, exact = random.Random(4), P.EXACT
     worst = 1.0
     for _ in range(60):
-        lengths = [rng.randint(0, 16) for _ in range(rng.randint(1, 6))]
-        bins, final = P.pack_block(lengths, (4, 8, 16), 1)
-        check_bins(lengths, bins, final, (4, 8, 16))
-        worst = max(worst, (sum(final) + len(final)) / least_cost(lengths, (4, 8, 16), 1))
-    assert worst <= 1.5
+        lengths = [rng.randint(1, 64) for _ in range(9)]
+        monkeypatch.setattr(P, "EXACT", exact)
+        costs = P.Costs((16, 32, 64), 4, 100)
+        best = costs.total(P.packed_exactly([(n, k, 0) for k, n in enumerate(lengths)], costs))
+        monkeypatch.setattr(P, "EXACT", 6)
+        bins, final = P.pack_block(lengths, (16, 32, 64), 4, 100)
+        check_bins(lengths, bins, final, (16, 32, 64))
+        worst = max(worst, costs.total(bins) / best)
+    assert worst <= 1.10, worst
 
 
-def test_dense_blocks():
-    rng = random.Random(1)
-    lengths = [int(rng.lognormvariate(5.5, 1.2)) + 1 for _ in range(5000)]
-    bins, final = P.pack_block(lengths)
-    check_bins(lengths, bins, final, P.SIZES)
-    assert sum(lengths) / sum(final) >= 0.98
+def test_large_blocks_near_the_bound_and_of_mixed_sizes():
+    rng, costs = random.Random(1), P.Costs(P.SIZES, P.OVERHEAD, P.ATTENTION)
+    for make, mixed in ((lambda: int(rng.lognormvariate(5.5, 1.2)) + 1, True), (lambda: rng.randint(1, 400), False), (lambda: int(rng.lognormvariate(7, 1.5)) + 1, True)):
+        lengths = [make() for _ in range(5000)]
+        bins, final = P.pack_block(lengths)
+        check_bins(lengths, bins, final, P.SIZES)
+        assert costs.total(bins) <= 1.02 * costs.bound(lengths), costs.total(bins) / costs.bound(lengths)
+        opened = {c for c in final if final.count(c) > 0.01 * len(final)}
+        assert (len(opened) > 1) == mixed and 2048 in opened
 
 
 def test_table(spark):
