@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm import chat, ctw, decontam, embed_dedup, html_extract, lang_id, packing, token_store, warc
 from lodestar.llm.common import id_bucket, table
@@ -45,6 +46,32 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+#: The tool of :func:`chat_tool_calls`.
+_TOOLS = [("search", "query", "string", True), ("search", "place", "object", True), ("search", "place.turn", "integer", True)]
+
+
+def planted_calls(conversations: DataFrame) -> DataFrame:
+    """Messages made of a table of conversations: each user turn as a call of a tool, with its result.
+
+    The result stands behind its call for even turns and before it for odd ones;
+    it is lacking for every fifth turn, and the arguments are wrong for every seventh.
+    """
+    user = conversations.filter("role = 'user' and turn is not null and conv_id is not null").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    call_id = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    right, wrong = F.to_json(F.struct(F.struct("turn").alias("place"), F.col("text").alias("query"))), F.to_json(F.struct(F.struct(F.col("text").alias("turn")).alias("place")))
+    call = F.concat(F.lit('{"tool_calls":[{"id":"'), call_id, F.lit('","name":"search","arguments":'), F.when(F.col("turn") % 7 == 3, wrong).otherwise(right), F.lit("}]}"))
+    calls = user.select("conv_id", (3 * F.col("turn")).alias("turn"), F.lit("assistant").alias("role"), call.alias("text"))
+    said = F.to_json(F.struct(F.col("text").alias("content"), call_id.alias("tool_call_id")))
+    results = user.filter("turn % 5 <> 4").select("conv_id", (3 * F.col("turn") + F.when(F.col("turn") % 2 == 0, 1).otherwise(-1)).alias("turn"), F.lit("tool").alias("role"), said.alias("text"))
+    return calls.unionAll(results)
+
+
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls linked to their results, ordered and checked, over messages made of all conversations."""
+    tools = spark.createDataFrame(_TOOLS, "name string, parameter string, type string, required boolean")
+    return chat.formatted(planted_calls(table(spark, sf_dir, "conversations")), tools)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -66,11 +93,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_token_ids, op4_best_fit_packing, op5_embedding_near_dedup, op6_chat_formatting, op7_html_extraction, op8_lm_scoring, op9_benchmark_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_token_ids, op4_best_fit_packing, op5_embedding_near_dedup, op6_chat_formatting, op7_html_extraction, op8_lm_scoring, op9_benchmark_decontamination, op10_warc, chat_tool_calls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": _OP6, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}
+    return {"op5_embedding_near_dedup": _OP5, "op6_chat_formatting": _OP6, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10, "chat_tool_calls": _CALLS}
 
 
 _OP9 = r"""
@@ -105,3 +132,30 @@ SELECT conv_id, turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, role, CAST(
        CAST(0 AS INTEGER) AS order_step, TRUE AS valid, CAST(NULL AS VARCHAR) AS error, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
 FROM conversations
 """
+
+_CALLS = """
+WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, 't' || turn AS id FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL),
+c AS (SELECT *, 3 * turn AS at, count(*) OVER (PARTITION BY conv_id, id) AS n, turn % 7 = 3 AS bad, turn % 5 <> 4 AS answered FROM u),
+r AS (SELECT *, 3 * turn + CASE WHEN turn % 2 = 0 THEN 1 ELSE -1 END AS at FROM u WHERE turn % 5 <> 4),
+e AS (SELECT *, CASE WHEN n > 1 THEN 'repeated identifier' WHEN bad THEN 'missing: query; wrong type: place.turn' WHEN NOT answered THEN 'call without a result' END AS error FROM c)
+SELECT conv_id, at AS turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, 'assistant' AS role, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BIGINT) AS call_turn, at AS order_turn, CAST(0 AS INTEGER) AS order_step,
+       TRUE AS valid, CAST(NULL AS VARCHAR) AS error, '{"content":null,"role":"assistant"}' AS json FROM c
+UNION ALL
+SELECT conv_id, at, 1, 'call', 'assistant', id, at, at, 1, error IS NULL, error,
+       '{"arguments":' || CASE WHEN bad THEN CAST(json_object('place', json_object('turn', text)) AS VARCHAR) ELSE CAST(json_object('place', json_object('turn', turn), 'query', text) AS VARCHAR) END
+       || ',"id":"' || id || '","name":"search","type":"tool_call"}' FROM e
+UNION ALL
+SELECT conv_id, at, 0, 'result', 'tool', id, 3 * turn, CASE WHEN at < 3 * turn THEN 3 * turn ELSE at END, CASE WHEN at < 3 * turn THEN 2 ELSE 0 END, TRUE, NULL,
+       CAST(json_object('content', text, 'role', 'tool', 'tool_call_id', id) AS VARCHAR) FROM r
+"""
+
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings),
+g AS (SELECT row_number() OVER (ORDER BY id) AS r, id, x, sqrt(list_dot_product(x, x)) AS size FROM v
+      WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_dot_product(x, x) > 0),
+pairs AS (SELECT a.r, a.id, b.r AS s, b.id AS other FROM g a JOIN g b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.9),
+reach AS (SELECT r, r AS s, id AS other FROM g UNION SELECT reach.r, pairs.s, pairs.other FROM reach JOIN pairs ON pairs.r = reach.s),
+comp AS (SELECT r, min(other) AS component_id FROM reach GROUP BY r), n AS (SELECT r, count(*) AS n FROM pairs GROUP BY r)
+SELECT g.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, g.id = component_id AS kept FROM g JOIN comp USING (r) LEFT JOIN n USING (r)
+UNION ALL SELECT id, 0, id, true FROM v WHERE NOT (x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_dot_product(x, x) > 0) OR x IS NULL
+"""
