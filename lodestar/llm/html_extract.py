@@ -1,7 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page becomes the sequence of its leaf blocks: stretches of text between
-block-level tags, each with its open ancestors. Features of the ancestors'
+A page becomes, in time that grows with its length alone, the sequence of its leaf
+blocks: stretches of text between block-level tags, each with its open ancestors. Features of the ancestors'
 tags, class and id words and of the text's shape score each block; a chain of
 two states (drop, keep) with learned transitions is decoded by Viterbi. The
 weights are learned from labelled pages by gradient ascent on the conditional
@@ -24,9 +24,15 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import arrow_map
 
 # HTML element classes by name.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    (
+        "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+        "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics"
+    ).split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())  # text up to the closing tag, or the page's end
+SKIPPED = frozenset("template svg select".split())  # elements that hold no text of a page
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div article section main body aside nav footer header form blockquote".split())
 SECTIONS = frozenset("nav header footer aside form article main section figure dialog head button fieldset menu address details".split())
@@ -38,9 +44,15 @@ BOILERPLATE_WORDS = (
     "discussion disqus feedback pagination pager tags skip disclaimer paywall hidden"
 ).split()
 CONTENT_WORDS = "article content post entry story main body text maintext articlebody storybody page blog news".split()
-_KNOWN = frozenset(BOILERPLATE_WORDS) | frozenset(CONTENT_WORDS)
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>""", re.S)
+_BOILERPLATE = frozenset(BOILERPLATE_WORDS)
+_KNOWN = _BOILERPLATE | frozenset(CONTENT_WORDS)
+
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag whose quoted values hold no angle brackets; all others go to :meth:`Scanner.tag_end`.
+_PLAIN_REST = re.compile(r"""[^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+>""")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
+#: Elements open at once; those that would be deeper stand beside each other, as in browsers.
+DEEPEST = 512
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -48,65 +60,174 @@ _SPACE = re.compile(r"\s+")
 DIMS = 1 << 12
 
 
+class Node:
+    """An open element: its tag, its parent, and what the features of its blocks take from its ancestors."""
+
+    __slots__ = ("near", "section", "slots", "tag", "up", "within")
+
+    def __init__(self, tag: str, attrs: str, parent: Node | None):
+        self.tag, self.up, self.slots = tag, parent, None
+        known = [w for w in _words(attrs) if w in _KNOWN] if attrs and tag not in ("html", "body") else []
+        bad = any(w in _BOILERPLATE for w in known)
+        new = {f"in:{tag}", *(f"word:{w}" for w in known), *(("under-boilerplate",) if bad else ())}
+        within = parent.within if parent else frozenset()
+        self.within = within if new <= within else within | new
+        self.section = tag if tag in SECTIONS else parent.section if parent else "none"
+        self.near = (*(f"near:{w}" for w in known), "near-boilerplate" if bad else "near-content") if known else parent.near if parent else ()
+
+    def features(self) -> tuple[int, ...]:
+        """Slots of the features of the path down to this element."""
+        if self.slots is None:
+            own = {*self.within, *self.near, f"section:{self.section}", f"up0:{self.tag}", *((f"up1:{self.up.tag}",) if self.up else ())}
+            self.slots = tuple(sorted({_slot(f) for f in own}))
+        return self.slots
+
+
 class Block:
-    """A leaf block: its text, its open ancestors as (tag, words) pairs, and how many of its characters are links."""
+    """A leaf block: its text, the element that it stands in (None outside of all), and how many of its characters are links."""
 
-    __slots__ = ("link", "path", "text")
+    __slots__ = ("link", "node", "text")
 
-    def __init__(self, text: str, path: tuple, link: int):
-        self.text, self.path, self.link = text, path, link
+    def __init__(self, text: str, node: Node | None, link: int):
+        self.text, self.node, self.link = text, node, link
 
 
-@lru_cache(maxsize=4096)
 def _words(attrs: str) -> tuple[str, ...]:
+    """The words of the names that an element has, in class, id and role."""
+    return _cached_words(attrs) if len(attrs) < 500 else _cached_words.__wrapped__(attrs)
+
+
+@lru_cache(maxsize=4096)
+def _cached_words(attrs: str) -> tuple[str, ...]:
     names = " ".join(x for m in _NAMED.finditer(attrs) for x in m.groups() if x)
     return tuple(w.lower() for w in _WORD.findall(names))
 
 
+class Scanner:
+    """Ends of tags in a page, each found in time that adds up to the page's length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # places outside of quotes from which no tag ends
+        self.closing: dict[int, int] = {}  # of an opening quote
+        self.gap = (0, -1)  # a stretch, and the quote or end that follows it
+        self.unclosed: set[str] = set()
+
+    def next_mark(self, at: int) -> int:
+        """The next quote or tag end, -1 if there is none."""
+        low, high = self.gap
+        if not low <= at <= high:
+            if at > max(self.last.values()):
+                return -1
+            self.gap = (at, _QUOTE_OR_END.search(self.page, at).start())
+        return self.gap[1]
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here, past its ``>``; -1 if never.
+
+        A ``>`` in quotes does not end it, but where quotes are left open the next one does.
+        """
+        page = self.page
+        if m := _PLAIN_REST.match(page, at):
+            return m.end()
+        seen, k = [], at
+        while k not in self.dead:
+            seen.append(k)
+            mark = self.next_mark(k)
+            if mark < 0:
+                break
+            c = page[mark]
+            if c == ">":
+                return mark + 1
+            if mark >= self.last[c]:
+                break
+            if mark not in self.closing:
+                self.closing[mark] = page.find(c, mark + 1)
+            k = self.closing[mark] + 1
+        self.dead.update(seen)
+        return page.find(">", at) + 1 if at <= self.last[">"] else -1
+
+    def close(self, name: str, at: int) -> int:
+        """Where the next closing tag of this name ends; -1 if there is none."""
+        if name in self.unclosed:
+            return -1
+        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+        if m is None or m.end() > self.last[">"]:
+            self.unclosed.add(name)
+            return -1
+        return self.page.find(">", m.end()) + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order; white space within a block is one space, empty blocks are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    count: dict[str, int] = {}  # of open elements by tag
     parts: list[str] = []
-    link, links, began = 0, 0, ()
+    link, links, began = 0, 0, None
+    scan = Scanner(page)
+
+    def text(piece: str) -> None:
+        nonlocal began, link
+        if not parts:
+            began = stack[-1] if stack else None
+        parts.append(piece)
+        if links:
+            link += len(piece)
 
     def end() -> None:
         nonlocal link
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                out.append(Block(text, began, link))
+            whole = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            if whole:
+                out.append(Block(whole, began, link))
             parts.clear()
         link = 0
 
+    def leave(k: int) -> None:
+        """Close the elements from the k-th on."""
+        for node in stack[k:]:
+            count[node.tag] -= 1
+        del stack[k:]
+
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        cut = m.start() if m else size
-        if cut > at:
-            piece = page[at:cut]
-            if not parts:
-                began = tuple(stack)
-            parts.append(piece)
-            if links:
-                link += len(piece)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
+            text(page[at:])
             break
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if begin > at:
+            text(page[at:begin])
+        m = _NAME.match(page, begin + 1) if begin < scan.last[">"] else None
+        if not m:
+            if page.startswith("<!--", begin):
+                close = page.find("-->", begin + 4)
+                at = close + 3 if close >= 0 else size
+            elif page.startswith(("<!", "<?", "</"), begin) and begin < scan.last[">"]:
+                at = page.find(">", begin) + 1
+            else:
+                text("<")
+                at = begin + 1
+            continue
+        stop = scan.tag_end(m.end())
+        if stop < 0:
+            text("<")
+            at = begin + 1
             continue
-        name = name.lower()
+        at = stop
+        name = m[2].lower()
         if m[1]:
             if name in INLINE:
                 if name == "a" and links:
                     links -= 1
                 continue
             end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if count.get(name):
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                leave(k)
             continue
         if name in INLINE:
             if name == "br":
@@ -115,25 +236,30 @@ def blocks_of(page: str) -> list[Block]:
             elif name == "a":
                 links = 1
             continue
+        attrs = page[m.end() : stop - 1]
+        if name in RAW or name in SKIPPED:
+            end()
+            close = -1 if attrs.endswith("/") and name in SKIPPED else scan.close(name, at)
+            at = close if close >= 0 else size if name in RAW else at
+            continue
         end()
         links = 0
-        if stack and any(t == "p" for t, _ in stack[-2:]):
-            while stack and stack[-1][0] == "p":
-                stack.pop()
-        if name in CLOSES:
+        if stack and any(n.tag == "p" for n in stack[-2:]):
+            while stack and stack[-1].tag == "p":
+                leave(len(stack) - 1)
+        if name in CLOSES and any(count.get(t) for t in CLOSES[name]):
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
+                if stack[k].tag in CLOSES[name]:
+                    leave(k)
                     break
-                if stack[k][0] in SCOPES:
+                if stack[k].tag in SCOPES:
                     break
-        if name in VOID or m[3].endswith("/") and name in RAW:
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
+        if name in VOID:
             continue
-        stack.append((name, _words(m[3]) if m[3] else ()))
+        if len(stack) >= DEEPEST:
+            leave(DEEPEST - 1)
+        stack.append(Node(name, attrs, stack[-1] if stack else None))
+        count[name] = count.get(name, 0) + 1
     end()
     return out
 
@@ -146,24 +272,7 @@ def _slot(feature: str) -> int:
     return (h ^ h >> 15) % DIMS
 
 
-@lru_cache(maxsize=1 << 14)
-def _path_features(path: tuple) -> tuple[int, ...]:
-    tags = [t for t, _ in path]
-    out = {f"in:{t}" for t in tags} | {f"up{k}:{t}" for k, t in enumerate(reversed(tags[-2:]))}
-    section = next((t for t in reversed(tags) if t in SECTIONS), "none")
-    out.add(f"section:{section}")
-    nearest = True
-    for tag, words in reversed(path):
-        known = [w for w in words if w in _KNOWN] if tag not in ("html", "body") else []
-        bad = [w for w in known if w in BOILERPLATE_WORDS]
-        out |= {f"word:{w}" for w in known}
-        if known and nearest:
-            out |= {f"near:{w}" for w in known}
-            out.add("near-boilerplate" if bad else "near-content")
-            nearest = False
-        if bad:
-            out.add("under-boilerplate")
-    return tuple(sorted({_slot(f) for f in out}))
+_OUTSIDE = ("section:none",)
 
 
 def features(blocks: list[Block]) -> list[tuple[int, ...]]:
@@ -173,7 +282,7 @@ def features(blocks: list[Block]) -> list[tuple[int, ...]]:
         size, t = len(b.text), b.text
         share = min(4, 5 * b.link // max(1, size))
         shape = (f"size:{min(10, size.bit_length())}", f"link:{share}", f"end:{t[-1] in '.!?…:;'}", f"commas:{min(3, t.count(', '))}", f"first:{t[0] in '©|»›•'}", f"place:{5 * k // n}", "any")
-        rows.append((*_path_features(b.path), *map(_slot, shape)))
+        rows.append((*(b.node.features() if b.node else map(_slot, _OUTSIDE)), *map(_slot, shape)))
     return rows
 
 
@@ -301,6 +410,8 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[st
                 return f"<{t}{named('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'sponsor')}>{text(False, 3, 40)}</{t}>"
             if kind == "form":
                 return f"<form{rng.choice(['', named('search', 'login', 'signup', 'form')])}><label>{text(False, 1, 4, False)}</label><input name=q><button>{text(False, 1, 2, False)}</button></form>"
+            if kind == "noscript":
+                return f"<noscript>{rng.choice([lambda: text(False, 3, 25), lambda: f'<p>{text(False, 3, 25)}</p>', lambda: f'<div>{text(False, 3, 25)}</div>'])()}</noscript>"
             if kind == "share":
                 return f"<div{named('share', 'social', 'tags', 'pagination')}><a href=#>{text(False, 1, 3, False)}</a></div>"
             k = rng.randint(1, 4)
@@ -331,7 +442,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[st
                 return "<table>" + "".join(f"<tr><td>{text(True, 1, 5, False)}</td><td>{text(True, 1, 5, False)}</td></tr>" for _ in range(2)) + "</table>"
             return f"<figure><img src=x><figcaption>{text(True, 3, 15)}</figcaption></figure>"
 
-        top = [k for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.45]
+        top = [k for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.45] + ["noscript"] * (rng.random() < 0.2)
         rng.shuffle(top)
         out = ["<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body", rng.choice(["", " class='has-sidebar'", " class=page"]), ">"]
         out += [junk(k) for k in top]
@@ -349,7 +460,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[st
         for _ in range(rng.choice([1, 2, 4, 8, 14])):
             out.append(body_part())
             if rng.random() < inside:
-                out.append(junk(rng.choice(["ad", "side", "notice", "form", "share", "nav", "ad"])))
+                out.append(junk(rng.choice(["ad", "side", "notice", "form", "share", "nav", "ad", "noscript"])))
         if rng.random() < 0.2 and inside > 0.1:
             out.append(junk(rng.choice(["share", "comments", "footer", "side"])))
         out.append(closing)

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from lodestar.llm import html_extract as H
 
@@ -61,3 +63,45 @@ def test_odd_rows(spark):
     assert len(out) == 7 and all(r.n_chars == len(r.text) for r in out)
     assert {r.text for r in out if r.page_id in (1, 2, 3)} == {""}
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    """Pages of a megabyte, deep, unclosed or full of open quotes: a few seconds each even on a slow machine, and no text is lost."""
+    model = H.default_model()
+    for unit in ("<div>x", "<p a='", '<p a="', "<svg>x", "</svg", "<li><div>y", "<dd><x>", "<script", "<!-- ", "<a href='\"'>z ", "</div>", "<p a='\"> w", "<"):
+        page = unit * (1_000_000 // len(unit))
+        start = time.perf_counter()
+        blocks = H.blocks_of(page)
+        model.decode(H.features(blocks))
+        assert time.perf_counter() - start < 15, unit
+        if unit in ("<div>x", "<svg>x", "<li><div>y"):
+            assert sum(len(b.text) for b in blocks) == page.count(unit[-1])
+
+
+def test_quotes_and_unclosed_elements():
+    text = lambda page: [b.text for b in H.blocks_of(page)]
+    assert text('<p title="a > b">one</p><p title=\'x">two</p>') == ["one", "two"]
+    assert text("<p>a <svg>b <p>c <select><option>d") == ["a", "b", "c", "d"]
+    assert text("<p>a<svg><text>no</text></svg>b<template>no</template></p>c<script>no") == ["a", "b", "c"]
+    assert text("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold") == ["let x=1 hold"]
+    assert text("1 < 2 <b>and</b> <3") == ["1 < 2 and <3"]
+
+
+def test_names_not_seen_in_training():
+    """Boilerplate by its tags alone, under class names that no list knows."""
+    rng, model, right, blocks = random.Random(9), H.default_model(), 0, 0
+    for page, rows in H.labelled_pages(120, seed=77):
+        names = {}
+        page = re.sub(r"""(class|id)=(["']?)[\w -]+\2""", lambda m: names.setdefault(m[0], f'{m[1]}="q{rng.randrange(10**6)}"'), page)  # noqa: B023
+        b, y = H.as_blocks(page, rows)
+        inner = [k for k, x in enumerate(b) if x.node is not None and {"in:nav", "in:header", "in:footer", "in:aside", "in:form", "in:article", "in:main"} & x.node.within]
+        got = model.decode(H.features(b))
+        blocks += len(inner)
+        right += sum(got[k] == y[k] for k in inner)
+    assert right / blocks >= 0.85, right / blocks
+
+
+def test_very_long_page(spark):
+    body = "".join(f"<p>Sentence number {k} of a long story, told at length." for k in range(20_000))
+    df = spark.createDataFrame([(1, "u", f"<html><body><nav><a href=/>menu</a></nav><article><h1>Title of it</h1>{body}</article></body></html>")], "page_id long, url string, html string")
+    assert H.extract(df).first().n_chars == sum(len(f"\nSentence number {k} of a long story, told at length.") for k in range(20_000)) + len("Title of it")
