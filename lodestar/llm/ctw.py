@@ -8,7 +8,8 @@ end with the byte 255, which UTF-8 never holds, and start after five of them.
 
 Texts are dealt to blocks of bounded size. Each block counts its distinct
 six-byte grams, packed into one row for each three-byte context, and its words;
-the counts are summed over all blocks, the weighting is worked out from the
+the counts are summed over groups of blocks and then over the groups, so that no
+task gets a frequent context's rows of all blocks, the weighting is worked out from the
 leaves in groups whose size is bounded by the alphabet (the grams of one
 three-byte context, the children of one node), and the values of its own grams
 and words go back to every block. Neither the model nor a vocabulary is ever
@@ -31,6 +32,8 @@ from lodestar.llm.common import arrow_map, small_batches, texts_of, written
 DEPTH = 5
 #: Bytes of text dealt to a block on average, and scanned at once within one.
 BLOCK_BYTES, SCAN_BYTES = 16 << 20, 2 << 20
+#: Blocks whose rows of one context come together.
+GROUP_BLOCKS = 256
 _END = b"\xff"
 _LOWER = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HALF = math.log(0.5)
@@ -128,38 +131,13 @@ def widened(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<u{len(data) // max(1, n)}").astype(np.int64)
 
 
-class Lookup:
-    """Values by 48-bit key in an open-addressed table: a probe or two for each key."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.keys, self.values, self.mask = np.full(size, np.uint64(1 << 63)), np.zeros(size, dtype=values.dtype), size - 1
-        left, at = np.arange(len(keys)), self.place(keys)
-        while len(left):
-            free = self.keys[at] == np.uint64(1 << 63)
-            self.keys[at[free]] = keys[left[free]]  # of those that want one place the last gets it
-            won = self.keys[at] == keys[left]
-            self.values[at[won]] = values[left[won]]
-            left, at = left[~won], (at[~won] + 1) & self.mask
-
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Every key must be there."""
-        at = self.place(keys)
-        out = self.values[at]
-        left = np.flatnonzero(self.keys[at] != keys)
-        at = at[left]
-        while len(left):
-            at = (at + 1) & self.mask
-            if (self.keys[at] == np.uint64(1 << 63)).any():
-                raise KeyError("a gram without a value")
-            hit = self.keys[at] == keys[left]
-            out[left[hit]] = self.values[at[hit]]
-            left, at = left[~hit], at[~hit]
-        return out
+def values_of(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of keys, which are ascending; every key asked for must be there. Each distinct one is looked up once, in order."""
+    distinct, at = np.unique(asked, return_inverse=True)
+    found = np.searchsorted(keys, distinct)
+    if len(distinct) and (found[-1] >= len(keys) or (keys[found] != distinct).any()):
+        raise KeyError("a gram without a value")
+    return values[found][at]
 
 
 def block_counts(t: pa.Table) -> pa.Table:
@@ -248,38 +226,66 @@ def _pack(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def subtrees(pieces: DataFrame) -> DataFrame:
-    """Rows (ctx, ctx2, keys, counts, sums) from the blocks' pieces (ctx, keys, counts): the summed grams of each three-byte
-    context and, for the 256 prefixes of a byte, their counts of zeros and ones and log weighted probability."""
+class Context:
+    """The grams of one context gathered row by row; no more than the distinct ones are held for long."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: bytes, counts: bytes) -> None:
+        k = unplanes(keys)
+        self.held.append((k, widened(counts, len(k))))
+        self.size += len(k)
+        if self.size > 1 << 20 and len(self.held) > 1:
+            self.held = [self.total()]
+            self.size = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+
+
+def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """From sorted rows (a key's columns ..., keys, counts): for each batch the keys that end in it, with their summed grams."""
+    now, context = None, Context()
+    for b in batches:
+        rows = []
+        cols = [c.to_pylist() for c in b.columns]
+        for *key, keys, counts in zip(*cols, strict=True):
+            if key != now:
+                if now is not None:
+                    rows.append((*now, *context.total()))
+                now, context = key, Context()
+            context.add(keys, counts)
+        yield rows
+    if now is not None:
+        yield [(*now, *context.total())]
+
+
+def grouped(pieces: DataFrame) -> DataFrame:
+    """The pieces (grp, ctx, keys, counts) of each group of blocks as one for each context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        now, size = None, 0
+        for found in contexts(batches):
+            yield _pack([(g, c, planes(k), narrow(n)) for c, g, k, n in found], ["grp", "ctx", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
-        def row() -> tuple:
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            tree = Subtree(keys, counts)
-            sums = np.concatenate([_dense(tree.prefixes, x[-1]) for x in (tree.zeros, tree.ones, tree.pw)])
-            return now, now >> 8, planes(keys), narrow(counts), sums.tobytes()
+    placed = pieces.select("ctx", "grp", "keys", "counts").repartition("ctx", "grp").sortWithinPartitions("ctx", "grp")
+    return arrow_map(placed, run, "grp int, ctx int, keys binary, counts binary")
 
-        for b in batches:
+
+def subtrees(pieces: DataFrame) -> DataFrame:
+    """Rows (ctx, ctx2, keys, counts, sums) from pieces (ctx, keys, counts): the summed grams of each three-byte
+    context and, for the 256 prefixes of a byte, their counts of zeros and ones and log weighted probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in contexts(batches):
             rows = []
-            for ctx, keys, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if ctx != now:
-                    if held:
-                        rows.append(row())
-                    held, now, size = [], ctx, 0
-                k = unplanes(keys)
-                held.append((k, widened(counts, len(k))))
-                size += len(k)
-                if size > 1 << 20 and len(held) > 1:  # no more than the distinct grams are held for long
-                    held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = 0
-            yield _pack(rows, names, types)
-        if held:
-            yield _pack([row()], names, types)
-
-    names, types = ["ctx", "ctx2", "keys", "counts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            for ctx, keys, counts in found:
+                tree = Subtree(keys, counts)
+                sums = np.concatenate([_dense(tree.prefixes, x[-1]) for x in (tree.zeros, tree.ones, tree.pw)])
+                rows.append((ctx, ctx >> 8, planes(keys), narrow(counts), sums.tobytes()))
+            yield _pack(rows, ["ctx", "ctx2", "keys", "counts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+
     placed = pieces.select("ctx", "keys", "counts").repartition("ctx").sortWithinPartitions("ctx")
     return arrow_map(placed, run, "ctx int, ctx2 int, keys binary, counts binary, sums binary")
 
@@ -296,9 +302,12 @@ def weight_and_one(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(_HALF + log_kt(zeros, ones) - pw), (ones + 0.5) / (zeros + ones + 1)
 
 
-def gram_values(pieces: DataFrame) -> DataFrame:
+def gram_values(pieces: DataFrame, n_blocks: int) -> DataFrame:
     """Rows (block, ctx, keys, values) for each piece: the natural log of the mixture's probability of each gram's last byte, as 32-bit floats."""
-    low = written(subtrees(pieces), "subtrees")
+    pieces = pieces.withColumn("grp", F.floor(F.col("block") / GROUP_BLOCKS).cast("int"))
+    n_groups = -(-n_blocks // GROUP_BLOCKS)
+    some = written(grouped(pieces), "groups") if n_groups > 1 else pieces
+    low = written(subtrees(some), "subtrees")
 
     def up(t: pa.Table, into: str) -> pa.Table:
         return pa.table({into: t.column(into).slice(0, 1), "sums": pa.array([merged(t.column("sums").to_pylist()).tobytes()])})
@@ -336,8 +345,11 @@ def gram_values(pieces: DataFrame) -> DataFrame:
     top = arrow_map(two, mixed, "ctx2 int, top binary")
     null = F.lit(None)
     models = low.join(top, "ctx2").select(null.cast("int").alias("block"), "ctx", "keys", "counts", "top")
-    asked = pieces.select("block", "ctx", "keys", null.cast("binary").alias("counts"), null.cast("binary").alias("top"))
-    placed = models.unionAll(asked).repartition("ctx").sortWithinPartitions("ctx", "block")
+    # A context's model goes to each group of blocks that has it.
+    models = models.join(some.select("ctx", "grp"), "ctx") if n_groups > 1 else models.withColumn("grp", F.lit(0))
+    models = models.select("block", "ctx", "keys", "counts", "top", "grp")
+    asked = pieces.select("block", "ctx", "keys", null.cast("binary").alias("counts"), null.cast("binary").alias("top"), "grp")
+    placed = models.unionAll(asked).repartition("ctx", "grp").sortWithinPartitions("ctx", "grp", "block").drop("grp")
     return arrow_map(placed, values, "block int, ctx int, keys binary, values binary")
 
 
@@ -345,18 +357,22 @@ def score_block(docs: pa.Table, known: pa.Table, total: int, distinct: int, end:
     """Scores of a block's texts from the values of its grams and the counts of its words."""
     texts = texts_of(docs.column("text"))
     is_gram = known.column("ctx").is_valid()
-    g = known.filter(is_gram)
-    low = [unplanes(x) for x in g.column("keys").to_pylist()]
-    ctx = np.repeat(g.column("ctx").to_numpy().astype(np.uint64), [len(x) for x in low])
+    g = known.select(["ctx", "keys", "values"]).filter(is_gram).sort_by("ctx")
+    sizes = np.array([len(x) // 3 for x in g.column("keys").to_pylist()], dtype=np.int64)
+    key = np.repeat(g.column("ctx").to_numpy().astype(np.uint64) << np.uint64(24), sizes)
+    at = 0
+    for x in g.column("keys").to_pylist():  # ascending: the contexts are in order, and the grams of each
+        key[at : at + len(x) // 3] |= unplanes(x).astype(np.uint64)
+        at += len(x) // 3
     value = np.frombuffer(b"".join(g.column("values").to_pylist()), dtype="<f4")
-    known_grams = Lookup(ctx << np.uint64(24) | np.concatenate(low).astype(np.uint64), value)
+    del g
     w = known.filter(pa.compute.invert(is_gram))
     vocabulary, seen = w.column("word").combine_chunks(), w.column("n").combine_chunks().to_numpy()
     room = total + 0.5 * (distinct + 1)
     score = []
     for s in scans(texts):
         k, sizes = grams(texts[s])
-        v = known_grams.get(k).astype(np.float64)
+        v = values_of(key, value, k).astype(np.float64)
         score.append(np.add.reduceat(v, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / math.log(10))
     tokens, ends = words(texts)
     c = seen[pa.compute.index_in(tokens, value_set=vocabulary).to_numpy()] if len(tokens) else np.zeros(0)
@@ -390,7 +406,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     total, distinct = vocabulary.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + end, distinct + (end > 0)
     null = F.lit(None)
-    grams_known = gram_values(stats.filter("ctx is not null")).select("block", "ctx", "keys", "values", null.cast("binary").alias("word"), null.cast("long").alias("n"))
+    grams_known = gram_values(stats.filter("ctx is not null"), n_blocks).select("block", "ctx", "keys", "values", null.cast("binary").alias("word"), null.cast("long").alias("n"))
     words_known = words_in.select("block", "word").join(vocabulary, "word").select("block", null.cast("int").alias("ctx"), null.cast("binary").alias("keys"), null.cast("binary").alias("values"), "word", "n")
     known = grams_known.unionAll(words_known)
     kind = dict(src.dtypes)["id"]

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import ctw as C
@@ -98,9 +99,25 @@ def test_large_counts():
     np.testing.assert_allclose(C.log_kt(n, n[::-1]), want, rtol=1e-9)
 
 
-def test_lookup():
+def test_values_of():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64))
-    table = C.Lookup(keys, np.arange(len(keys), dtype=np.float32))
     ask = rng.integers(0, len(keys), 20000)
-    assert (table.get(keys[ask]) == ask).all()
+    assert (C.values_of(keys, np.arange(len(keys), dtype=np.float32), keys[ask]) == ask).all()
+    with pytest.raises(KeyError):
+        C.values_of(keys, np.zeros(len(keys)), np.array([1 << 60], dtype=np.uint64))
+
+
+def test_groups_of_blocks(spark, monkeypatch):
+    """Contexts that are gathered group by group first give the same scores."""
+    monkeypatch.setattr(C, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(C, "GROUP_BLOCKS", 2)
+    rng = np.random.default_rng(3)
+    check(spark, [(k, "".join(rng.choice(list("ab é"), rng.integers(0, 150)))) for k in range(30)], [k % 5 == 1 for k in range(30)])
+
+
+def test_very_long_text(spark):
+    """A text of a megabyte beside short ones: one row each, and the score of the repetitive one is near zero a byte."""
+    df = spark.createDataFrame([(1, "abc " * 250_000), (2, "abc"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in C.scores(df, F.lit(False)).collect()}
+    assert got[1].n_tokens == 250_001 and got[1].bits_per_byte < 0.01 and got[3].n_tokens == 1
