@@ -2,9 +2,9 @@
 
 The index is dealt by documents: each segment holds some documents and, for
 each of their terms, the sorted word positions (postings). Every segment
-answers a phrase by itself: starting with the shortest list of its terms, lists
+answers a phrase by itself: starting with the list of its rarest term, lists
 shifted by their offset in the phrase are intersected until all terms have been
-met or nothing is left. So no list of a frequent word is ever moved or gathered.
+met or nothing is left; for the windows of a benchmark all phrases go together. So no list of a frequent word is ever moved or gathered.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import arrow_map, new_path, texts_of, written
 
 #: Bytes of query text that are searched, and shipped to the executors, at once.
-QUERY_BLOCK_BYTES = 16 << 20
+QUERY_BLOCK_BYTES = 8 << 20
 #: Words are runs of 0-9, a-z and bytes above 127; A-Z are lower-cased.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SCHEMA = "segment long, doc_ids array<long>, doc_ends array<int>, terms array<binary>, list_ends array<int>, positions binary"
@@ -95,6 +95,12 @@ class Segment:
     def postings(self, code: int) -> np.ndarray:
         return self.positions[self.ends[code - 1] if code else 0 : self.ends[code]]
 
+    def term_at(self) -> np.ndarray:
+        """The number of the term at each position, from the postings."""
+        out = np.empty(self.n_words, dtype=np.int32)
+        out[self.positions] = np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(np.concatenate([[0], self.ends])))
+        return out
+
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_ends, position, "right")
 
@@ -134,42 +140,88 @@ class Segment:
 
 
 class Windows:
-    """The word windows of some query items, ready to be searched in segments."""
+    """The word windows of some query items, ready to be searched in segments: arrays of a bounded size, no object for each window."""
+
+    #: Places that are tried at once.
+    AT_ONCE = 1 << 21
 
     def __init__(self, items: Iterable[tuple[str, bytes]], size: int):
-        flat: list[bytes] = []
-        seen: dict[tuple[bytes, ...], int] = {}
-        self.items: dict[int, set[str]] = defaultdict(set)
-        starts, lengths = [], []
+        names: list[str] = []
+        sizes: list[int] = []
+        texts: list[bytes] = []
         for item, text in items:
-            w = words_of(text)
-            for s in range(max(1, len(w) - size + 1)) if w else ():
-                key = tuple(w[s : s + size])
-                if key not in seen:
-                    seen[key] = len(starts)
-                    starts.append(len(flat) + s)
-                    lengths.append(len(key))
-                self.items[seen[key]].add(item)
-            flat += w
-        coded = pa.array(flat, type=pa.binary()).dictionary_encode()
-        self.terms, self.flat = coded.dictionary, coded.indices.to_numpy()
-        self.starts, self.lengths = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+            texts.append(text)
+            names.append(item)
+        words, ends = tokenised(texts)
+        coded = words.dictionary_encode()
+        self.terms, flat = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
+        sizes = np.diff(np.concatenate([[0], ends])).astype(np.int64)
+        number = np.where(sizes > 0, np.maximum(1, sizes - size + 1), 0)
+        owner = np.repeat(np.arange(len(names)), number)
+        start = np.concatenate([[0], ends])[:-1][owner] + np.arange(len(owner)) - (np.cumsum(number) - number)[owner]
+        length = np.minimum(size, sizes)[owner]
+        at = start[:, None] + np.arange(size)
+        rows = np.where(np.arange(size) < length[:, None], flat[np.minimum(at, max(0, len(flat) - 1))] if len(flat) else -1, -1).astype(np.int32)
+        # Equal windows are one: sorted by all their terms, then told apart from the one before.
+        order = np.lexsort(rows.T[::-1]) if len(rows) else np.zeros(0, dtype=np.int64)
+        rows = rows[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, dtype=bool)
+        self.rows, self.lengths = rows[new], length[order][new]
+        window, item = np.cumsum(new) - 1, np.unique(np.array(names, dtype=object), return_inverse=True)
+        self.names = item[0].tolist()
+        pairs = np.unique(np.stack([window, item[1][owner[order]]], axis=1), axis=0) if len(rows) else np.zeros((0, 2), dtype=np.int64)
+        self.item, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+
+    def occurrences(self, seg: Segment) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and the places where they occur in a segment.
+
+        All windows at once, some places at a time: the places of each one's
+        rarest term, then those that the next rarest has at its offset, and so on.
+        """
+        if len(self.rows) == 0 or seg.n_words == 0:
+            return
+        own = seg.codes(self.terms)
+        there = np.append(own >= 0, True)  # padding, the last, is always there
+        some = np.flatnonzero(there[self.rows].all(axis=1))
+        term_at = seg.term_at()
+        counts = np.diff(np.concatenate([[0], seg.ends]))
+        for s in range(0, len(some), 1 << 17):
+            w = some[s : s + (1 << 17)]
+            codes = np.append(own, -1)[self.rows[w]]
+            often = np.where(codes >= 0, counts[codes], np.iinfo(np.int64).max)
+            by_rarity = np.argsort(often, axis=1, kind="stable")
+            rarest = codes[np.arange(len(w)), by_rarity[:, 0]]
+            number = counts[rarest]
+            turn = (np.cumsum(number) - number) // self.AT_ONCE
+            for k in np.split(np.arange(len(w)), np.flatnonzero(np.diff(turn)) + 1):
+                n = number[k]
+                which = np.repeat(k, n)
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                at = seg.positions[(seg.ends[rarest] - number)[which] + nth] - by_rarity[which, 0]
+                fits = (at >= 0) & (at + self.lengths[w[which]] <= seg.n_words)
+                which, at = which[fits], at[fits]
+                for r in range(1, codes.shape[1]):
+                    offset = by_rarity[which, r]
+                    code = codes[which, offset]
+                    keep = (code < 0) | (term_at[np.minimum(at + offset, seg.n_words - 1)] == code)
+                    which, at = which[keep], at[keep]
+                    if len(at) == 0:
+                        break
+                same = seg.doc_of(at) == seg.doc_of(at + self.lengths[w[which]] - 1)
+                yield w[which[same]], at[same]
 
     def search(self, seg: Segment) -> tuple[np.ndarray, dict[int, set[str]]]:
         """For each word of the segment whether a window covers it; the items met in each document."""
-        hit = np.zeros(seg.n_words, dtype=bool)
+        edge = np.zeros(seg.n_words + 1, dtype=np.int64)
         met: dict[int, set[str]] = defaultdict(set)
-        if len(self.starts) == 0 or seg.n_words == 0:
-            return hit, met
-        codes = seg.codes(self.terms)[self.flat]
-        lacking = np.concatenate([[0], np.cumsum(codes < 0)])
-        for w in np.flatnonzero(lacking[self.starts + self.lengths] == lacking[self.starts]):
-            s, n = self.starts[w], int(self.lengths[w])
-            for p in (at := seg.phrase(codes[s : s + n])):
-                hit[p : p + n] = True
-            for d in set(seg.doc_of(at).tolist()):
-                met[d] |= self.items[w]
-        return hit, met
+        for w, at in self.occurrences(seg):
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + self.lengths[w], -1)
+            n = self.first[w + 1] - self.first[w]
+            doc, k = np.repeat(seg.doc_of(at), n), np.repeat(self.first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            for d, i in np.unique(np.stack([doc, self.item[k]], axis=1), axis=0).tolist() if len(doc) else ():
+                met[d].add(self.names[i])
+        return np.cumsum(edge)[:-1] > 0, met
 
 
 def overlaps(index: DataFrame, items: DataFrame, item_id: str = "item_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -185,11 +237,13 @@ def overlaps(index: DataFrame, items: DataFrame, item_id: str = "item_id", text_
     n_blocks = -(-total // QUERY_BLOCK_BYTES) or 1
 
     def run_of(windows: Windows, everything: bool):
+        sent = index.sparkSession.sparkContext.broadcast(windows)  # the windows of QUERY_BLOCK_BYTES of text
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k in range(b.num_rows):
                     seg = Segment(b, k)
-                    hit, met = windows.search(seg)
+                    hit, met = sent.value.search(seg)
                     starts = np.concatenate([[0], seg.doc_ends[:-1]])
                     spans = []
                     for d, (s, e) in enumerate(zip(starts.tolist(), seg.doc_ends.tolist(), strict=True)):

@@ -53,6 +53,7 @@ def test_against_brute_force(spark):
 def test_blocks_of_items(spark, monkeypatch):
     docs, items = cases()
     monkeypatch.setattr(D, "QUERY_BLOCK_BYTES", 40)
+    monkeypatch.setattr(D.Windows, "AT_ONCE", 5)
     assert rows(D.contamination(*frames(spark, docs, items))) == brute(docs, items)
 
 
@@ -68,3 +69,13 @@ def test_proximity(spark):
     index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
     got = sorted(tuple(r) for r in D.near_matches(index, ["A", "b"], 3).collect())
     assert got == [(1, 0, 3), (3, 0, 2)]
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    docs, items = cases()
+    docs = docs[:10] + [(99, "x1 " * 100_000 + items[4][1] + " x2" * 100_000)]
+    d, b = frames(spark, docs, items)
+    got = rows(D.contamination(d.selectExpr("*", "1 segment", "'x' items", "2 n_words"), b.selectExpr("*", "1 i", "'y' t")))
+    assert [r for r in got if r[0] != 99] == brute(docs[:10], items)
+    last = next(r for r in got if r[0] == 99)
+    assert last[1] == 200_000 + len(D.words_of(items[4][1].encode())) and last[2] >= len(D.words_of(items[4][1].encode())) and not last[5]
