@@ -9,6 +9,7 @@ original records back, byte for byte; revisit records have no block of their own
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_map, new_path, texts_of, written
+from lodestar.llm.common import arrow_map, dropped, new_path, put, salted_join, texts_of, written
 
 #: WARC-Date of records whose rows have no time of their own.
 DATE = "2024-01-01T00:00:00Z"
@@ -61,6 +62,21 @@ def parse_header(header: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:] if x)
 
 
+def facts_of(record: bytes) -> tuple[int, int, str, str, int | None]:
+    """(page, payload bytes, payload digest, type, page referred to) of a WARC record, checked against its block."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    h = parse_header(head)
+    size = int(h["Content-Length"])
+    block, kind, digest = rest[:size], h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
+    if rest[size:] != b"\r\n\r\n":
+        raise ValueError("a record does not end where its header says")
+    if kind == "response":
+        payload = block.partition(b"\r\n\r\n")[2]
+        if h["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}" or digest != base32_sha1(payload) or int(h["X-Payload-Length"]) != len(payload):
+            raise ValueError("a header does not describe its payload")
+    return int(h["X-Page-ID"]), int(h["X-Payload-Length"]), digest, kind, int(h["X-Refers-To-Page"]) if kind == "revisit" else None
+
+
 class Archive:
     """A written archive in the folder ``path``."""
 
@@ -78,49 +94,59 @@ class Archive:
         return self.headers().join(self.payloads(), "digest").select("id", "digest", "kind", "header", "payload")
 
     def warc_bytes(self) -> DataFrame:
-        """Rows (id, record): the exact bytes of each WARC record, revisits without a block."""
+        """Rows (id, record): the exact bytes of each WARC record, revisits without a block. Every payload is hashed again."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for kind, header, payload in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                for kind, digest, header, payload in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                    if kind == "response" and hashlib.sha256(payload).digest() != digest:
+                        raise ValueError("a stored payload does not match its digest")
                     out.append(header + (_HTTP % len(payload) + payload if kind == "response" else b"") + b"\r\n\r\n")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "record"])
 
-        stored = self.headers().filter("kind = 'response'").join(self.payloads(), "digest").select("id", "kind", "header", "payload")
-        bare = self.headers().filter("kind = 'revisit'").select("id", "kind", "header", F.lit(b"").alias("payload"))
+        # One record for each payload, but for repeated ids, takes it from the store: no digest is hot here.
+        stored = self.headers().filter("kind = 'response'").join(self.payloads(), "digest").select("id", "kind", "digest", "header", "payload")
+        bare = self.headers().filter("kind = 'revisit'").select("id", "kind", "digest", "header", F.lit(b"").alias("payload"))
         return arrow_map(stored.unionAll(bare), run, "id long, record binary")
 
+    def export(self, path: str, file_records: int = 50_000) -> DataFrame:
+        """Write the records as WARC files of about ``file_records`` each, a gzip member for each record; rows (file, records)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            members = [gzip.compress(r, mtime=0) for b in batches for r in b.column(0).to_pylist()]
+            if members:
+                name = f"part-{TaskContext.get().partitionId():08d}.warc.gz"
+                put(f"{path}/{name}", b"".join(members))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(members)])], names=["file", "records"])
+
+        rows = written(self.warc_bytes(), "records")
+        dealt = rows.repartition(max(1, -(-rows.count() // file_records)), F.xxhash64("id")).sortWithinPartitions("id").select("record")
+        return written(arrow_map(dealt, run, "file string, records long"), "files")
+
     def read(self) -> DataFrame:
-        """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) parsed from the headers and checked against the payloads.
+        """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) parsed from the bytes of the rebuilt records.
 
-        Every stored payload is hashed again; a payload that does not have the
-        digests under which it is stored and described is an error.
+        A response must hold the block and payload that its header describes, and
+        a revisit must name a response with the payload that it describes itself;
+        anything else is an error.
         """
 
-        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                digests, payloads = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for d, p in zip(digests, payloads, strict=True):
-                    if hashlib.sha256(p).digest() != d:
-                        raise ValueError("a stored payload does not match its digest")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in payloads]), pa.array([base32_sha1(p) for p in payloads])], names=["digest", "size", "sha1"])
-
         def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = []
-                for header, size, sha1 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    h = parse_header(header)
-                    if h["WARC-Payload-Digest"] != f"sha1:{sha1}" or int(h["X-Payload-Length"]) != size:
-                        raise ValueError("a header does not describe its payload")
-                    rows.append((int(h["X-Page-ID"]), size, sha1, h["WARC-Type"], int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None))
+                rows = [facts_of(r) for r in b.column(0).to_pylist()]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-        sizes = arrow_map(self.payloads(), measured, "digest binary, size long, sha1 string")
-        joined = self.headers().join(sizes, "digest").select("header", "size", "sha1")
-        return arrow_map(joined, parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        out = written(arrow_map(self.warc_bytes().select("record"), parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "pages")
+        told = out.filter("record_type = 'revisit'").select("payload_digest", "payload_bytes", F.col("refers_to").alias("page_id")).distinct()
+        there = out.filter("record_type = 'response'").select("payload_digest", "payload_bytes", "page_id")
+        if told.join(there, ["payload_digest", "payload_bytes", "page_id"], "left_anti").head(1):
+            raise ValueError("a revisit does not describe the payload of its response")
+        return out
 
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", path: str | None = None) -> Archive:
@@ -151,9 +177,13 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     seen = written(arrow_map(src, facts, "id long, url string, digest binary, size long, sha1 string, block string"), "records")
     # Map tasks keep one body of each payload before the shuffle, so that copies are not moved.
     body = F.encode("body", "utf-8")
-    once = src.select(F.unhex(F.sha2(body, 256)).alias("digest"), "id", body.alias("payload")).groupBy("digest").agg(F.min("id").alias("first"), F.first("payload").alias("payload"))
+    check = F.struct(F.octet_length("body"), F.xxhash64("body"))
+    once = src.select(F.unhex(F.sha2(body, 256)).alias("digest"), "id", body.alias("payload"), check.alias("check")).groupBy("digest")
+    once = once.agg(F.min("id").alias("first"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n"), (F.min("check") == F.max("check")).alias("same"))
     once.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    first = spark.read.schema("digest binary, first long").parquet(f"{path}/payloads")
+    first = spark.read.schema("digest binary, first long, n long, same boolean").parquet(f"{path}/payloads")
+    if first.filter("not same").head(1):
+        raise ValueError("different payloads share a digest")
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,6 +193,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 kinds.append("response" if i == f else "revisit")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(kinds, pa.string()), pa.array(out, pa.binary())], names=["id", "digest", "kind", "header"])
 
-    joined = seen.join(first, "digest").select("id", "url", "digest", "size", "sha1", "block", "first")
+    joined = salted_join(seen, first.drop("same"), "digest", "n", F.col("id")).select("id", "url", "digest", "size", "sha1", "block", "first")
     arrow_map(joined, headed, "id long, digest binary, kind string, header binary").write.parquet(f"{path}/headers")
+    dropped(seen)
     return Archive(spark, path)

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -59,3 +60,34 @@ def test_empty(spark):
 def test_repeated_rows(spark):
     a = W.write_archive(spark.createDataFrame([(1, "u", "h"), (1, "u", "h"), (2, "u", "h")], "page_id long, url string, html string"))
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in a.read().collect()) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_false_headers_are_found(spark, tmp_path):
+    a = W.write_archive(spark.createDataFrame(ROWS, "page_id long, url string, html string"))
+    a.payloads().write.parquet(f"file://{tmp_path}/payloads")
+    a.headers().selectExpr("id", "digest", "kind", "cast(replace(cast(header as string), 'X-Refers-To-Page: 3', 'X-Refers-To-Page: 9') as binary) header").write.parquet(f"file://{tmp_path}/headers")
+    with pytest.raises(ValueError, match="does not describe"):
+        W.Archive(spark, f"file://{tmp_path}").read()
+    rec = bytes(a.warc_bytes().filter("id = 3").first().record)
+    for bad in (rec.replace(b"<p>x", b"<p>y"), rec[:-1], rec.replace(b"X-Payload-Length: 8", b"X-Payload-Length: 9")):
+        with pytest.raises(ValueError):
+            W.facts_of(bad)
+
+
+def test_export(spark, tmp_path):
+    """The files hold all records one after the other, readable by any gzip reader."""
+    a = W.write_archive(spark.createDataFrame(ROWS, "page_id long, url string, html string"))
+    files = a.export(f"file://{tmp_path}/out", file_records=3).collect()
+    assert sum(r.records for r in files) == len(ROWS) and len(files) > 1
+    want = {bytes(r.record) for r in a.warc_bytes().collect()}
+    got = b"".join(gzip.decompress((tmp_path / "out" / r.file).read_bytes()) for r in files)
+    assert len(got) == sum(map(len, want)) and all(r in got for r in want)
+
+
+def test_hot_payload_is_split(spark, monkeypatch):
+    """A payload that most rows share is joined in parts, with the same result."""
+    from lodestar.llm import common
+
+    monkeypatch.setattr(W, "salted_join", lambda *x: common.salted_join(*x, size=7))
+    rows = [(k, "u", None if k % 3 else "p" * (k % 5)) for k in range(100)]
+    assert sorted(tuple(r) for r in W.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string")).read().collect()) == want(rows)
