@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import arrow_map
@@ -96,19 +96,23 @@ def clustered(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS, centroids: int = CENTROIDS) -> Model:
-    """Fit on about ``fit_texts`` of the rows with a language and a text, as many of each language where there are as many.
+    """Fit on about ``fit_texts`` of the rows with a language and a letter, as many of each language where there are as many.
 
-    The sample is chosen by the hash of the id. Only its trigram counts come to the driver.
+    Every language is learned, by one text at least; more languages than
+    ``fit_texts`` are an error, as that bounds the centroids too. The sample is
+    chosen by the hash of the id. Only its trigram counts come to the driver.
     """
-    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
-    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(fit_texts // 8).collect()}
+    draw = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 30))
+    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
+    labelled = labelled.filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("draw", draw)
+    sizes = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("low")).limit(fit_texts + 1).collect()
     if not sizes:
         return Model(np.ones(DIMS, dtype=np.float32), np.zeros((0, DIMS), dtype=np.float32), [], np.zeros(0))
-    each = max(8, fit_texts // len(sizes))
-    chosen: Column = F.lit(False)
-    draw = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 30))
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("l") == lang) & (draw < int(min(1.0, each / n) * (1 << 30))))
+    if len(sizes) > fit_texts:
+        raise ValueError(f"more languages than the {fit_texts} texts to fit on")
+    each = fit_texts // len(sizes)
+    tops = [(r.l, max(r.low + 1, int(min(1.0, each / r.n) * (1 << 30)))) for r in sizes]
+    chosen = labelled.join(docs.sparkSession.createDataFrame(tops, "l string, top long"), "l").filter("draw < top")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +125,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["l", "at", "c"])
 
-    sample = arrow_map(labelled.filter(chosen).select("t", "l"), run, "l string, at binary, c binary").collect()
+    sample = arrow_map(chosen.select("t", "l"), run, "l string, at binary, c binary").collect()
     sample.sort(key=lambda r: (r.l, bytes(r["at"]), bytes(r.c)))
     if not sample:
         return Model(np.ones(DIMS, dtype=np.float32), np.zeros((0, DIMS), dtype=np.float32), [], np.zeros(0))
@@ -132,7 +136,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     model = Model(idf, np.zeros((0, DIMS), dtype=np.float32), [], np.zeros(0))
     v, langs = model.vectors(counts), np.array([r.l for r in sample])
     cents, names, least = [], [], []
-    for lang in sorted(sizes):
+    for lang in sorted(r.l for r in sizes):
         own = v[langs == lang]
         if len(own):
             c = clustered(own, centroids)
@@ -151,7 +155,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", only_known:
     repeated; an empty table gives no rows; of equal cosines the first centroid
     in order of language counts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers for each of at most FIT_TEXTS / 8 * CENTROIDS centroids
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers for each of at most about FIT_TEXTS centroids
     new = ["lang_pred", "score", "rejected"]
     src = docs if only_known else docs.drop(*new)
     at = src.columns.index(text_col)
