@@ -112,7 +112,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more languages than the {fit_texts} texts to fit on")
     each = fit_texts // len(sizes)
     tops = [(r.l, max(r.low + 1, int(min(1.0, each / r.n) * (1 << 30)))) for r in sizes]
-    chosen = labelled.join(docs.sparkSession.createDataFrame(tops, "l string, top long"), "l").filter("draw < top")
+    chosen = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(tops, "l string, top long")), "l").filter("draw < top")  # at most fit_texts rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
