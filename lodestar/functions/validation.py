@@ -69,6 +69,36 @@ def check_features(df: DataFrame, col: str = "x") -> int | None:
     return low
 
 
+def check_pool(df: DataFrame, classes: Sequence | None = None, features: int | None = None) -> int | None:
+    """The number of features of a pool (id, x, y, w), whose rows need ids, finite features of one number, weights of at least 0 and known classes."""
+    check_schema(df, {"id": "", "x": "array", "y": ""})
+    n = check_features(df)
+    if features is not None and n is not None and n != features:
+        raise ValueError(f"{features} features are needed, not {n}")
+    odd = F.exists("x", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+    faults = {"rows without an id": F.col("id").isNull(), "rows without features": F.col("x").isNull(), "features that are no finite numbers": odd}
+    if "w" in df.columns:
+        faults["negative weights"] = F.col("w") < 0
+    if classes is not None:
+        faults["labels of no known class"] = F.col("y").isNotNull() & ~F.col("y").isin(list(classes))
+    counts = df.agg(*(F.count_if(c).alias(f"f{k}") for k, c in enumerate(faults.values()))).first()
+    found = [what for what, c in zip(faults, counts, strict=True) if c]
+    if found:
+        raise ValueError("a pool has " + ", ".join(found))
+    return n
+
+
+def check_indices(ids: Sequence[int], pool: DataFrame, unique: bool = True, id_col: str = "id") -> list[int]:
+    """The ids, which must be those of rows of the pool and, unless allowed, differ."""
+    ids = [int(i) for i in ids]
+    if unique and len(set(ids)) != len(ids):
+        raise ValueError("indices repeat")
+    asked = pool.sparkSession.createDataFrame([(i,) for i in set(ids)], "_i long")  # as many as were given
+    if missing := [r[0] for r in asked.join(pool, F.col("_i") == F.col(id_col), "left_anti").limit(5).collect()]:
+        raise ValueError(f"indices of no row, such as {sorted(missing)}")
+    return ids
+
+
 def check_bound(bound: Sequence[Sequence[float]]) -> None:
     if len(bound) != 2 or len(bound[0]) != len(bound[1]) or any(a > b for a, b in zip(*bound, strict=True)):
         raise ValueError("a bound is a pair of lower and upper corners")

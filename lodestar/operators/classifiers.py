@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import exprs as E
-from lodestar.operators.pairs import Side, against, kernels
+from lodestar.operators.pairs import Side, against, as_arrays, kernels
 
 
 def mean_gamma(pool: DataFrame, compat: bool = False) -> float:
@@ -31,7 +31,9 @@ class ParzenWindow:
     """Class frequencies as kernel sums over labelled rows.
 
     With ``n_neighbors`` only the largest kernels of a row count, and unlabelled
-    rows take up neighbours' places as they have always done.
+    rows take up neighbours' places. ``metric`` is a kernel's name, a function of
+    two matrices, or ``precomputed``: then a row's x holds its kernel with every
+    pool row, in the order of the ids of the pool, whose rows have a ``place`` in it.
     """
 
     def __init__(self, classes: Sequence, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "rbf", gamma: float | None = None, n_neighbors: int | None = None, class_prior: float | list[float] = 0.0, cost: list[list[float]] | None = None):
@@ -42,9 +44,11 @@ class ParzenWindow:
         """Rows (id, x, v): each row's weight by class; several rows of an id add up."""
         v = F.array(*(F.when(F.col("y") == F.lit(c), F.coalesce(F.col("w"), F.lit(0.0))).otherwise(0.0) for c in self.classes))
         rows = pool if self.n_neighbors else pool.filter(F.col("y").isNotNull())
-        return rows.select("id", "x", v.alias("v"))
+        return rows.select("id", F.array(F.col("place").cast("double")).alias("x") if self.metric == "precomputed" else "x", v.alias("v"))
 
     def pair_kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.metric == "precomputed":
+            return a[:, b[:, 0].astype(np.int64)]
         return kernels(a, b, self.metric, self.gamma) if isinstance(self.metric, str) else self.metric(a, b)
 
     def freq(self, rows: DataFrame, pool: DataFrame, out: str = "freq") -> DataFrame:
@@ -122,7 +126,12 @@ def sliding_window(rows: DataFrame, order: list[str], window: int, only_labeled:
 
 
 class SparkMLClassifier:
-    """Any ``pyspark.ml`` classifier, fitted on the labelled rows; label shares if there is nothing to fit or it fails."""
+    """Any ``pyspark.ml`` classifier, fitted on the labelled rows by their weights.
+
+    Where it cannot be fitted, as with labels of one class only, every row gets
+    the classes' shares of the labels' weight, equal shares without any label;
+    an error of the estimator itself is passed on.
+    """
 
     def __init__(self, estimator, classes: Sequence):
         self.estimator, self.classes = estimator, sorted(classes)
@@ -131,11 +140,12 @@ class SparkMLClassifier:
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
         lab = pool.filter(F.col("y").isNotNull())
-        known = [r[0] for r in lab.select("y").distinct().orderBy("y").collect()]
-        n = len(self.classes)
+        weight = F.coalesce(F.col("w"), F.lit(1.0)) if "w" in lab.columns else F.lit(1.0)
+        mass = {r[0]: float(r[1]) for r in lab.groupBy("y").agg(F.sum(weight)).collect()}  # one row a class
+        known, n = sorted(mass), len(self.classes)
         if len(known) > 1:
             code = (F.array_position(F.array(*map(F.lit, known)), F.col("y")) - 1).cast("double")
-            train = lab.select(array_to_vector("x").alias("features"), code.alias("label"), F.col("w").alias("weight"))
+            train = lab.select(array_to_vector("x").alias("features"), code.alias("label"), weight.alias("weight"))
             est = self.estimator.copy()
             if est.hasParam("weightCol"):
                 est.setParams(weightCol="weight")
@@ -144,27 +154,38 @@ class SparkMLClassifier:
             cols = [p[known.index(c)] if c in known else F.lit(0.0) for c in self.classes]
             scored = fitted.transform(rows.withColumn("features", array_to_vector("x")))
             return scored.withColumn(out, F.array(*cols)).drop("features", "rawPrediction", "probability", "prediction")
-        share = [1.0 if c in known else 0.0 for c in self.classes] if known else [1.0 / n] * n
+        total = sum(mass.values())
+        share = [mass.get(c, 0.0) / total for c in self.classes] if total > 0 else [1.0 / n] * n
         return rows.withColumn(out, F.array(*map(F.lit, share)))
 
+    def predict(self, probas: DataFrame, p: str = "p", out: str = "pred") -> DataFrame:
+        return probas.withColumn(out, decision(F.col(p), self.classes))
+
 
 def mixture_responsibilities(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``rows`` with responsibilities ``r`` of k Gaussian components fitted on all of them, and their log density."""
+    import pyarrow as pa
     from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    data = rows.withColumn("features", array_to_vector("x"))
-    model = GaussianMixture(k=k, seed=seed, maxIter=30).fit(data)
-    comps = [(w, np.array(g.mean), np.array(g.cov.toArray()).reshape(len(g.mean), -1)) for w, g in zip(model.weights, model.gaussians, strict=True)]
-    parts = []
-    for w, m, c in comps:
-        inv, det = np.linalg.pinv(c), np.linalg.slogdet(c + 1e-12 * np.eye(len(m)))[1]
-        d = [F.col("x")[i] - float(m[i]) for i in range(len(m))]
-        q = sum((d[i] * d[j] * float(inv[i, j]) for i in range(len(m)) for j in range(len(m))), F.lit(0.0))
-        parts.append(F.lit(math.log(max(w, 1e-300)) - 0.5 * (det + len(m) * math.log(2 * math.pi))) - 0.5 * q)
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    density = top + F.log(sum((F.exp(p - top) for p in parts[1:]), F.exp(parts[0] - top)))
-    return model.transform(data).withColumn("r", vector_to_array("probability")).withColumn("density", density).drop("features", "probability", "prediction")
+    from pyspark.ml.functions import array_to_vector
+
+    model = GaussianMixture(k=k, seed=seed, maxIter=30).fit(rows.select(array_to_vector("x").alias("features")))
+    comps = []  # as many numbers as there are features squared
+    for w, g in zip(model.weights, model.gaussians, strict=True):
+        mean = np.array(g.mean)
+        cov = np.array(g.cov.toArray()).reshape(len(mean), -1)
+        comps.append((math.log(max(w, 1e-300)) - 0.5 * (np.linalg.slogdet(cov + 1e-12 * np.eye(len(mean)))[1] + len(mean) * math.log(2 * math.pi)), mean, np.linalg.pinv(cov)))
+    at = rows.columns.index("x")
+
+    def run(batches):
+        for b in batches:
+            x = as_arrays(b.select([at]))["x"]
+            logs = np.stack([c - 0.5 * np.einsum("ni,ij,nj->n", x - m, inv, x - m, optimize=True) for c, m, inv in comps], axis=1) if b.num_rows else np.zeros((0, k))
+            top = logs.max(axis=1, initial=-np.inf)
+            density = top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
+            r = np.exp(logs - density[:, None])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r.tolist(), pa.list_(pa.float64())), pa.array(density)], names=[*b.schema.names, "r", "density"])
+
+    return rows.mapInArrow(run, rows.withColumn("r", F.lit(None).cast("array<double>")).withColumn("density", F.lit(None).cast("double")).schema)
 
 
 def mixture_probas(rows: DataFrame, pool: DataFrame, classes: Sequence, k: int, seed: int = 0, out: str = "p", weight_mode: str = "responsibilities") -> DataFrame:

@@ -11,24 +11,32 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import exprs as E
 from lodestar.functions.rng import uniform
-from lodestar.functions.selection import DIGITS, proportional, top_k
+from lodestar.functions.selection import DIGITS, proportional, rand_argmax, smallest, top_k
 from lodestar.operators.classifiers import ParzenWindow, mixture_responsibilities
 from lodestar.operators.pairs import Side, against, distances, fetched
 
 #: Rows of operators that invert a matrix over all of them.
 MATRIX_ROWS = 4000
+#: Picks after which the state of a greedy batch is kept anew.
+REFRESH = 8
 
 
 def to_column(x: list[float]) -> Column:
     return F.array(*map(F.lit, map(float, x)))
 
 
+def without(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """The rows that are not among some picked ids."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids], "id long")), "id", "left_anti") if ids else rows  # as many as picks
+
+
 def greedy_steps(scored: DataFrame, k: int, step_of: Callable[[DataFrame, object], DataFrame], pick: Callable[[DataFrame, int], object] | None = None) -> DataFrame:
     """Rows (step, id, utility): k picks, each from the state that the pick before left.
 
     scored: rows (id, utility, ...); ``step_of(state, row)`` gives the state after a
-    pick. The state is a plan over the scored rows, which are kept; it grows by
-    one expression a step, and only the picked row comes to the driver.
+    pick. The state is a plan over kept rows that grows by one expression a step;
+    every REFRESH picks its rows are kept anew and the plan starts from them. Only
+    the picked row comes to the driver.
     """
     spark = scored.sparkSession
     state, out = scored.persist(), []
@@ -40,6 +48,11 @@ def greedy_steps(scored: DataFrame, k: int, step_of: Callable[[DataFrame, object
                 break
             out.append((step, row.id, float(row.utility)))
             now = step_of(now.filter(F.col("id") != row.id), row)
+            if step % REFRESH == 0 and step < k:
+                now = now.persist()
+                now.count()
+                state.unpersist()
+                state = now
         return spark.createDataFrame(out, "step int, id long, utility double")
     finally:
         state.unpersist()
@@ -103,27 +116,35 @@ def greedy_target(cand: DataFrame, lab: DataFrame, prediction: str = "pred", met
     scored = got.withColumn("utility", F.coalesce(F.col("_d")[0], F.lit(0.0))).drop("_d")
 
     def after(state: DataFrame, row) -> DataFrame:
-        dx, dy = E.euclidean(F.col("x"), to_column(row.x)), F.abs(F.col("t") - row.t)
+        dx, dy = {"euclidean": E.euclidean, "manhattan": E.manhattan}[metric](F.col("x"), to_column(row.x)), F.abs(F.col("t") - row.t)
         return state.withColumn("utility", F.least("utility", mix(dx, dy)))
 
     return greedy_steps(scored, k, after)
 
 
-def prob_cover(cand: DataFrame, other: DataFrame, delta: float, k: int = 1) -> DataFrame:
-    """Greedy coverage: the row whose ball of radius delta holds most candidates that no other row's ball holds yet."""
-    near = nearest_distance(cand.select("id", "x"), other, "euclidean", "d")
+def prob_cover(cand: DataFrame, other: DataFrame, delta: float | None = None, k: int = 1, metric: str = "euclidean", n_classes: int | None = None, deltas: list[float] | None = None, alpha: float = 0.95, seed: int = 0, estimator=None) -> DataFrame:
+    """Greedy coverage: the row whose ball of radius delta holds most candidates that no other row's ball holds yet.
+
+    Without ``delta`` it is the largest of ``deltas`` (0.2, 0.4 ... 2 by default) that is pure enough for the
+    pseudo-classes of a clustering into ``n_classes``.
+    """
+    dist = {"euclidean": E.euclidean, "manhattan": E.manhattan}[metric]
+    if delta is None:
+        rows, _ = clustered(cand.select("id", "x").unionByName(other.select("id", "x")), n_classes or 2, seed, estimator=estimator)
+        delta = purity_delta(rows.select("id", "x", F.col("cluster").alias("c")), deltas or [0.2 * i for i in range(1, 11)], alpha, metric)
+    near = nearest_distance(cand.select("id", "x"), other, metric, "d")
     state = near.select("id", "x", F.coalesce(F.col("d") > delta, F.lit(True)).alias("free")).persist()
     spark, out = cand.sparkSession, []
     try:
         for step in range(1, k + 1):
             open_rows = state.filter("free").select("id", "x")
-            left = state.filter(~F.col("id").isin([o[1] for o in out])) if out else state
-            got = against(left.select("id", "x"), open_rows, lambda a, b: (distances(a["x"], b["x"]) <= delta).sum(axis=1), "sum", "_n", [0.0])
+            left = without(state, [o[1] for o in out])
+            got = against(left.select("id", "x"), open_rows, lambda a, b: (distances(a["x"], b["x"], metric) <= delta).sum(axis=1), "sum", "_n", [0.0])
             row = got.select("id", "x", F.col("_n")[0].alias("utility")).orderBy(F.desc("utility"), "id").first()
             if row is None:
                 break
             out.append((step, row.id, row.utility))
-            new = state.withColumn("free", F.col("free") & (E.euclidean(F.col("x"), to_column(row.x)) > delta)).persist()
+            new = state.withColumn("free", F.col("free") & (dist(F.col("x"), to_column(row.x)) > delta)).persist()
             new.count()
             state.unpersist()
             state = new
@@ -132,25 +153,31 @@ def prob_cover(cand: DataFrame, other: DataFrame, delta: float, k: int = 1) -> D
         state.unpersist()
 
 
-def purity_delta(pool: DataFrame, deltas: list[float], alpha: float = 0.95) -> float:
+def purity_delta(pool: DataFrame, deltas: list[float], alpha: float = 0.95, metric: str = "euclidean") -> float:
     """The largest radius up to which the balls of enough rows (id, x, c) hold one pseudo-class only."""
     rows, best = pool.select("id", "x", F.col("c").cast("double").alias("c")), deltas[0]
     for d in sorted(deltas):
-        got = against(rows, rows, lambda a, b, d=d: ((distances(a["x"], b["x"]) <= d) & (a["c"][:, None] != b["c"][None, :])).sum(axis=1), "sum", "_n", [0.0])
+        got = against(rows, rows, lambda a, b, d=d: ((distances(a["x"], b["x"], metric) <= d) & (a["c"][:, None] != b["c"][None, :])).sum(axis=1), "sum", "_n", [0.0])
         if got.agg(F.avg((F.col("_n")[0] == 0).cast("double"))).first()[0] < alpha:
             break
         best = d
     return best
 
 
-def neighbours(rows: DataFrame, ref: DataFrame, k: int, columns: list[str], metric: str = "euclidean", same: bool = True) -> DataFrame:
-    """``rows`` with ``nn``: the k nearest reference rows as arrays (distance, id, columns ...), nearest first."""
+def neighbours(rows: DataFrame, ref: DataFrame, k: int, columns: list[str], metric: str = "euclidean", same: bool = True, within: str | None = None) -> DataFrame:
+    """``rows`` with ``nn``: the k nearest reference rows as arrays (distance, id, columns ...), nearest first.
+
+    Without ``same`` rows of the own id are infinitely far, and with ``within``
+    rows with another number in that column.
+    """
     width = 2 + len(columns)
 
     def f(a: Side, b: Side) -> np.ndarray:
         d = distances(a["x"], b["x"], metric)
         if not same:
             d = np.where(a["id"][:, None] == b["id"][None, :], np.inf, d)
+        if within:
+            d = np.where(a[within][:, None] == b[within][None, :], d, np.inf)
         n = min(k, d.shape[1])
         at = np.lexsort((np.broadcast_to(b["id"], d.shape), np.round(d, DIGITS)), axis=1)[:, :n]
         lines = np.full((len(d), k, width), np.nan)
@@ -166,35 +193,41 @@ def neighbours(rows: DataFrame, ref: DataFrame, k: int, columns: list[str], metr
     return got.withColumn("nn", F.slice(ordered, 1, k)).drop("_l")
 
 
-def contrastive(cand: DataFrame, lab: DataFrame, n_classes: int, k: int = 5) -> DataFrame:
+def contrastive(cand: DataFrame, lab: DataFrame, n_classes: int, k: int = 5, embedding: str = "x") -> DataFrame:
     """Mean divergence of the k nearest labelled rows' probabilities from the candidate's; zero without labelled rows.
 
-    Both sides are rows (id, x, p).
+    Both sides are rows (id, p and an ``embedding``, in which is measured what is near).
     """
-    flat = lab.select("id", "x", *(F.col("p")[c].alias(f"p{c}") for c in range(n_classes)))
-    got = neighbours(cand.select("id", "x", "p"), flat, k, [f"p{c}" for c in range(n_classes)])
+    flat = lab.select("id", F.col(embedding).alias("x"), *(F.col("p")[c].alias(f"p{c}") for c in range(n_classes)))
+    got = neighbours(cand.select("id", F.col(embedding).alias("x"), "p"), flat, k, [f"p{c}" for c in range(n_classes)])
     each = F.transform("nn", lambda v: E.kl(F.slice(v, 3, n_classes), F.col("p")))
     return got.select("id", F.coalesce(E.total(each) / F.nullif(F.size("nn"), F.lit(0)), F.lit(0.0)).alias("utility"))
 
 
 def typicality(rows: DataFrame, k: int = 5, eps: float = 1e-7) -> DataFrame:
-    """Rows (id, cluster, utility): the inverse mean distance to the k nearest rows of the own cluster; one for a cluster's only row."""
-    out = None
-    for c in [r[0] for r in rows.select("cluster").distinct().orderBy("cluster").collect()]:  # as many as there are clusters
-        own = rows.filter(F.col("cluster") == c).select("id", "x")
-        n = neighbours(own, own, k, [], same=False)
-        part = n.select("id", F.lit(c).alias("cluster"), F.when(F.size("nn") == 0, 1.0).otherwise(1 / (E.total(F.transform("nn", lambda v: v[0])) / F.size("nn") + eps)).alias("utility"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    """Rows (id, cluster, utility): the inverse mean distance to the k nearest rows of the own cluster; one for a cluster's only row.
+
+    All clusters in one pass: rows of other clusters are infinitely far.
+    """
+    own = rows.select("id", "x", F.col("cluster").cast("double").alias("c"))
+    n = neighbours(own, own, k, [], same=False, within="c")
+    near = F.filter("nn", lambda v: v[0] < float("inf"))
+    u = F.when(F.size(near) == 0, 1.0).otherwise(1 / (E.total(F.transform(near, lambda v: v[0])) / F.size(near) + eps))
+    return n.select("id", F.col("c").cast(dict(rows.dtypes)["cluster"]).alias("cluster"), u.alias("utility"))
 
 
 def clustered(rows: DataFrame, k: int, seed: int = 0, weight: str | None = None, estimator=None) -> tuple[DataFrame, np.ndarray]:
-    """``rows`` with a ``cluster`` of k-means (or another estimator), and the centres."""
+    """``rows`` with a ``cluster``, and the centres.
+
+    estimator: a ``pyspark.ml`` clusterer with ``k`` and centres instead of
+    k-means, or a function (rows, k, seed, weight) that gives both.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    km = estimator or KMeans(k=k, seed=seed, maxIter=20)
-    km = km.copy()
+    if estimator is not None and not hasattr(estimator, "fit"):
+        return estimator(rows, k, seed, weight)
+    km = estimator.copy().setK(k) if estimator is not None else KMeans(k=k, seed=seed, maxIter=20)
     km.setParams(featuresCol="_f", predictionCol="cluster")
     if weight:
         km.setParams(weightCol=weight)
@@ -203,19 +236,19 @@ def clustered(rows: DataFrame, k: int, seed: int = 0, weight: str | None = None,
     return model.transform(data).drop("_f"), np.array([list(c) for c in model.clusterCenters()])
 
 
-def typi_clust(cand: DataFrame, lab: DataFrame, k: int = 1, seed: int = 0, neighbours_k: int = 5) -> DataFrame:
+def typi_clust(cand: DataFrame, lab: DataFrame, k: int = 1, seed: int = 0, neighbours_k: int = 5, estimator=None) -> DataFrame:
     """Cluster all rows; again and again the most typical candidate of the largest cluster without a labelled or picked row."""
     every = cand.select("id", "x", F.lit(True).alias("free")).unionByName(lab.select("id", "x", F.lit(False).alias("free")))
-    n_lab = lab.count()
-    rows, _ = clustered(every, max(2, n_lab + k), seed)
-    rows = rows.persist()
-    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max((~F.col("free")).cast("int")).alias("covered")).filter("covered = 0").orderBy(F.desc("n"), "cluster").limit(k).collect()
-    spark, out = cand.sparkSession, []
-    for step, c in enumerate(sizes, 1):
-        best = top_k(typicality(rows.filter(F.col("cluster") == c.cluster), neighbours_k), 1).first()
-        out.append((step, best.id, best.utility))
-    rows.unpersist()
-    return spark.createDataFrame(out, "step int, id long, utility double")
+    rows, _ = clustered(every, max(2, lab.count() + k), seed, estimator=estimator)
+    rows = rows.select("id", "x", "free", "cluster").persist()
+    try:
+        sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max((~F.col("free")).cast("int")).alias("covered"))
+        chosen = sizes.filter("covered = 0").orderBy(F.desc("n"), "cluster").limit(k).withColumn("step", F.row_number().over(Window.orderBy(F.desc("n"), "cluster"))).select("cluster", "step")  # k rows
+        asked = rows.join(F.broadcast(chosen), "cluster").select("id", "x", "cluster", "step")
+        best = rand_argmax(typicality(asked, neighbours_k).join(F.broadcast(chosen), "cluster"), group="step")
+        return best.select(F.col("step").cast("int").alias("step"), "id", "utility").persist()
+    finally:
+        rows.unpersist()
 
 
 def nearest_to_centres(rows: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -232,12 +265,12 @@ def nearest_to_centres(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "step int, id long, utility double")
 
 
-def clue(cand: DataFrame, k: int = 1, method: str = "entropy", seed: int = 0) -> DataFrame:
+def clue(cand: DataFrame, k: int = 1, method: str = "entropy", seed: int = 0, estimator=None) -> DataFrame:
     """Uncertainty-weighted k-means over candidates (id, x, p); the nearest row to each centre."""
     from lodestar.operators.informative import uncertainty
 
     u = uncertainty(cand.select("id", "p"), method).select("id", F.greatest("utility", F.lit(1e-12)).alias("u"))
-    rows, centres = clustered(cand.select("id", "x").join(u, "id"), k, seed, "u") if k > 1 else (cand.select("id", "x"), weighted_mean(cand.select("id", "x").join(u, "id")))
+    rows, centres = clustered(cand.select("id", "x").join(u, "id"), k, seed, "u", estimator) if k > 1 else (cand.select("id", "x"), weighted_mean(cand.select("id", "x").join(u, "id")))
     return nearest_to_centres(rows.select("id", "x"), centres)
 
 
@@ -259,21 +292,22 @@ def dropout_disagreement(cand: DataFrame, predict: Callable[[DataFrame], DataFra
     return got.groupBy("id").agg(F.avg((F.col("pred") != F.col("plain")).cast("double")).alias("utility"))
 
 
-def drop_query(cand: DataFrame, predict: Callable[[DataFrame], DataFrame], k: int = 1, n_samples: int = 5, rate: float = 0.3, seed: int = 0) -> DataFrame:
+def drop_query(cand: DataFrame, predict: Callable[[DataFrame], DataFrame], k: int = 1, n_samples: int = 5, rate: float = 0.3, seed: int = 0, estimator=None) -> DataFrame:
     """Candidates that dropout makes waver (at least k), clustered, and the nearest to each centre."""
-    u = dropout_disagreement(cand, predict, n_samples, rate, seed)
-    n = u.filter("utility > 0.5").count()
-    kept = cand.select("id", "x").join(top_k(u, max(n, k)).select("id"), "id").persist()
+    u = dropout_disagreement(cand, predict, n_samples, rate, seed).persist()
+    wavering = u.filter("utility > 0.5")
+    some = wavering if wavering.count() >= k else top_k(u, k)
+    kept = cand.select("id", "x").join(some.select("id"), "id").persist()
     if k == 1:
         return nearest_to_centres(kept, weighted_mean(kept.withColumn("u", F.lit(1.0))))
-    rows, centres = clustered(kept, k, seed)
+    rows, centres = clustered(kept, k, seed, estimator=estimator)
     return nearest_to_centres(rows.select("id", "x"), centres)
 
 
-def badge(cand: DataFrame, n_classes: int, k: int = 1, seed: int = 0) -> DataFrame:
-    """Gradient embeddings of candidates (id, x, p): the largest first, then drawn by squared distance to the picks."""
+def badge(cand: DataFrame, n_classes: int, k: int = 1, seed: int = 0, embedding: str = "x") -> DataFrame:
+    """Gradient embeddings of candidates (id, p and an ``embedding`` of theirs): the largest first, then drawn by squared distance to the picks."""
     place = E.argmax(F.transform(F.col("p"), lambda v: F.round(v, 12)))
-    g = E.outer(F.zip_with("p", E.one_hot(place, n_classes), lambda a, b: a - b), F.col("x"))
+    g = E.outer(F.zip_with("p", E.one_hot(place, n_classes), lambda a, b: a - b), F.col(embedding))
     rows = cand.select("id", g.alias("x")).withColumn("utility", E.dot(F.col("x"), F.col("x")))
 
     def pick(state: DataFrame, step: int):
@@ -345,7 +379,7 @@ def four_ds(pool: DataFrame, probas: DataFrame, k: int = 1, components: int = 3,
         u = alpha * (1 - F.col("distance")) + beta * F.col("dense") + rho * spread
         if lam:
             u = u + lam * (-F.log((F.col("dense") + chosen_d) / (k + 1) + 1e-12))
-        left = rows.filter(~F.col("id").isin(gone)) if gone else rows
+        left = without(rows, gone)
         row = top_k(left.withColumn("utility", u), 1).first()
         if row is None:
             break
@@ -364,6 +398,20 @@ def discriminative(cand: DataFrame, lab: DataFrame, clf: ParzenWindow | None = N
     return disc.probas(cand.select("id", "x"), both).select("id", F.col("p")[1].alias("utility"))
 
 
+def discriminative_steps(cand: DataFrame, lab: DataFrame, k: int = 1, clf: ParzenWindow | None = None, gamma: float | None = None) -> DataFrame:
+    """Rows (step, id, utility): the discriminator is fitted anew after each pick, which then counts as labelled."""
+    out, left, known = [], cand.select("id", "x"), lab.select("id", "x")
+    for step in range(1, k + 1):
+        row = top_k(discriminative(left, known, clf, gamma), 1).first()
+        if row is None:
+            break
+        out.append((step, row.id, row.utility))
+        picks = without(cand.select("id", "x"), [o[1] for o in out])
+        known = lab.select("id", "x").unionByName(cand.select("id", "x").join(picks.select("id"), "id", "left_anti"))
+        left = picks
+    return cand.sparkSession.createDataFrame(out, "step int, id long, utility double")
+
+
 def quire(pool: DataFrame, classes: list, lmbda: float = 1.0, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows (id, utility): the min-max view of informativeness and representativeness, one class against the rest.
 
@@ -397,11 +445,13 @@ def quire(pool: DataFrame, classes: list, lmbda: float = 1.0, kernel: Callable[[
     return pool.sparkSession.createDataFrame([(int(s["id"][r]), float(x)) for r, x in zip(un, u, strict=True)], "id long, utility double")
 
 
-def sub_sampled(cand: DataFrame, max_candidates: int | float, strategy: Callable[[DataFrame], DataFrame], seed: int = 0) -> DataFrame:
-    """The strategy's utilities of a random subset of the candidates; minus infinity for the others."""
+def sub_sampled(cand: DataFrame, max_candidates: int | float, strategy: Callable[[DataFrame], DataFrame], seed: int = 0, exclude: bool = False) -> DataFrame:
+    """The strategy's utilities of a random subset of the candidates; minus infinity for the others, or no row with ``exclude``."""
     m = max_candidates if isinstance(max_candidates, int) else math.ceil(max_candidates * cand.count())
-    drawn = cand.orderBy(uniform(seed, "id"), "id").limit(m).select("id")
+    drawn = smallest(cand.select("id"), uniform(seed, "id"), m)
     u = strategy(cand.join(drawn, "id", "left_semi")).select("id", F.col("utility").alias("_u"))
+    if exclude:
+        return u.select("id", F.col("_u").alias("utility"))
     return cand.select("id").join(u, "id", "left").select("id", F.coalesce("_u", F.lit(float("-inf"))).alias("utility"))
 
 

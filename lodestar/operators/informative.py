@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import exprs as E
 from lodestar.functions.rng import uniform
 from lodestar.operators.classifiers import ParzenWindow
-from lodestar.operators.pairs import Side, against
+from lodestar.operators.pairs import Side, against, as_arrays
 
 EPS = float(np.finfo(float).eps)
+#: Makes a model, a function from features to class probabilities, of features, class codes and weights.
+Fit = Callable[[np.ndarray, np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
 
 def random_sampling(cand: DataFrame, seed: int = 0) -> DataFrame:
@@ -118,35 +120,44 @@ def epistemic_logistic(rows: DataFrame, pool: DataFrame, levels: int = 50, ridge
     For each level alpha of the predicted probability the likelihood is
     maximised under the one linear constraint that the row's logit is that of
     alpha, by Newton steps within the constraint; supports are as for kernels.
-    Every step sums over all blocks of the labelled rows, which are shipped one
-    by one; each worker holds them all.
+    Every step sums over all blocks of the labelled rows; each worker, and the
+    driver for the fit without a constraint, holds them all.
     """
     from lodestar.operators.pairs import blocks_of
 
-    spark = rows.sparkSession
     labelled = pool.filter("y is not null").select("id", "x", F.col("y").cast("double").alias("y"))
-    blocks = [spark.sparkContext.broadcast((np.hstack([s["x"], np.ones((len(s["y"]), 1))]), s["y"])) for s in blocks_of(labelled)]  # each at most SHIP_BYTES
+    blocks = blocks_of(labelled)
     if not blocks:
         return rows.select("id", F.lit(1.0).alias("utility"))
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # filled once in each process
+
+    def data() -> list[tuple[np.ndarray, np.ndarray]]:
+        if not held:
+            held.extend((np.hstack([s["x"], np.ones((len(s["y"]), 1))]), s["y"]) for s in (b.load() for b in blocks))
+        return held
 
     def like(w: np.ndarray) -> float:
-        return float(sum(-(np.logaddexp(0, x @ w) - y * (x @ w)).sum() for x, y in (b.value for b in blocks)) - 0.5 * ridge * w @ w)
+        return float(sum(-(np.logaddexp(0, x @ w) - y * (x @ w)).sum() for x, y in data()) - 0.5 * ridge * w @ w)
 
-    def newton(w0: np.ndarray, z: np.ndarray) -> np.ndarray:
-        t = np.zeros(z.shape[1])
-        for _ in range(12):
+    def newton(w0: np.ndarray, z: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        t = np.zeros(z.shape[1]) if start is None else z.T @ (start - w0)
+        for _ in range(25):
             w = w0 + z @ t
             g, h = -ridge * z.T @ w, (ridge + 1e-9) * np.eye(len(t))
-            for x, y in (b.value for b in blocks):
+            for x, y in data():
                 p = 1 / (1 + np.exp(np.clip(-x @ w, -700, 700)))
                 xz = x @ z
                 g = g + xz.T @ (y - p)
                 h = h + (xz * (p * (1 - p))[:, None]).T @ xz
-            t = t + np.linalg.solve(h, g)
+            move = np.linalg.solve(h, g)
+            t = t + move
+            if np.abs(move).max(initial=0.0) < 1e-9:
+                break
         return w0 + z @ t
 
-    dim = blocks[0].value[0].shape[1]
+    dim = data()[0][0].shape[1]
     best = like(newton(np.zeros(dim), np.eye(dim)))
+    held.clear()  # not to be shipped with the function
     alphas = (np.arange(levels) + 0.5) / levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +166,9 @@ def epistemic_logistic(rows: DataFrame, pool: DataFrame, levels: int = 50, ridge
             for v in b.column(1).to_pylist():
                 a = np.array([*v, 1.0])
                 z = np.linalg.svd(a[None])[2][1:].T
-                pos = neg = 0.0
-                for alpha in alphas:
-                    w = newton(a * (math.log(alpha / (1 - alpha)) / (a @ a)), z)
+                pos, neg, w = 0.0, 0.0, None
+                for alpha in alphas:  # a level's weights are where the next one's steps begin
+                    w = newton(a * (math.log(alpha / (1 - alpha)) / (a @ a)), z, w)
                     r = math.exp(min(0.0, like(w) - best))
                     pos, neg = max(pos, min(r, 2 * alpha - 1)), max(neg, min(r, 1 - 2 * alpha))
                 out.append(min(pos, neg))
@@ -217,11 +228,31 @@ def cost_reduction(freq: DataFrame, m_max: int = 1, prior: float = 1.0, cost: li
     return freq.select(F.col("id").cast("long"), "freq", w.alias("w")).mapInArrow(run, "id long, utility double")
 
 
+def by_row(members: DataFrame, column: str = "p", out: str = "ps") -> DataFrame:
+    """Rows (id, ps): what the members say about a row, in one array; rows of :func:`committee` are that already."""
+    if out in members.columns:
+        return members
+    return members.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", column))), lambda s: s[column]).alias(out))  # one line a member
+
+
+def _of_class(c: int) -> Callable[[Column], Column]:
+    return lambda p: p[c]
+
+
+def _log_term(c: int) -> Callable[[Column], Column]:
+    return lambda p: p[c] * F.log(p[c])
+
+
+def _member_mean(ps: Column, f: Callable[[Column], Column]) -> Column:
+    return E.total(F.transform(ps, f)) / F.size(ps)
+
+
 def committee_kl(members: DataFrame, n_classes: int, eps: float = 1e-7) -> DataFrame:
-    """Rows (id, utility) from rows (member, id, p): mean Kullback-Leibler divergence from the members' mean."""
-    q = members.withColumn("q", E.clipped(F.col("p"), eps))
-    terms = [F.avg(F.col("q")[c] * F.log(F.col("q")[c])) - F.avg(F.col("q")[c]) * F.log(F.avg(F.col("q")[c])) for c in range(n_classes)]
-    return q.groupBy("id").agg(sum(terms[1:], terms[0]).alias("utility"))
+    """Rows (id, utility) from rows (member, id, p) or (id, ps): mean Kullback-Leibler divergence from the members' mean."""
+    q = by_row(members).select("id", F.transform("ps", lambda p: E.clipped(p, eps)).alias("q"))
+    q = q.withColumn("m", F.array(*(_member_mean(F.col("q"), _of_class(c)) for c in range(n_classes))))
+    terms = [_member_mean(F.col("q"), _log_term(c)) - F.col("m")[c] * F.log(F.col("m")[c]) for c in range(n_classes)]
+    return q.select("id", sum(terms[1:], terms[0]).alias("utility"))
 
 
 def vote_counts(votes: DataFrame) -> DataFrame:
@@ -245,10 +276,10 @@ def committee_std(members: DataFrame, value: str = "value") -> DataFrame:
 
 
 def bald(members: DataFrame, n_classes: int) -> DataFrame:
-    """Mutual information of label and member: entropy of the mean less mean entropy."""
-    mean = F.array(*(F.avg(F.col("p")[c]) for c in range(n_classes)))
-    own = E.entropy(F.col("p"))
-    return members.withColumn("h", own).groupBy("id").agg(mean.alias("m"), F.avg("h").alias("h")).select("id", (E.entropy(F.col("m")) - F.col("h")).alias("utility"))
+    """Mutual information of label and member, from rows (member, id, p) or (id, ps): entropy of the mean less mean entropy."""
+    rows = by_row(members).select("id", "ps", _member_mean(F.col("ps"), E.entropy).alias("h"))
+    rows = rows.withColumn("m", F.array(*(_member_mean(F.col("ps"), _of_class(c)) for c in range(n_classes))))
+    return rows.select("id", (E.entropy(F.col("m")) - F.col("h")).alias("utility"))
 
 
 def batch_bald(members: DataFrame, n_classes: int, k: int, n_samples: int | None = None, eps: float = 1e-7, seed: int = 0) -> DataFrame:
@@ -258,7 +289,7 @@ def batch_bald(members: DataFrame, n_classes: int, k: int, n_samples: int | None
     exactly while there are at most ``n_samples`` (by default as many as members)
     label combinations, as drawn combinations beyond.
     """
-    wide = members.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "p"))), lambda s: s["p"]).alias("ps")).persist()  # one line a member
+    wide = by_row(members).select("id", "ps").persist()
     spark = members.sparkSession
     try:
         first = wide.first()
@@ -396,6 +427,74 @@ def value_of_information(cand: DataFrame, lab: DataFrame, clf: ParzenWindow, cos
     return got.select("id", (u / F.col("r")[n + 1] if normalize else u).alias("utility"))
 
 
+def _refitted(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, fit: Fit, classes: Sequence, risk: Callable, subtract_current: bool) -> DataFrame:
+    """Rows (id, utility): the expected fall of ``risk`` when a candidate is labelled and the classifier fitted anew.
+
+    ``risk(p, side, candidate, class)``: of the evaluation side's probabilities; candidate and class are None
+    for the current one. Candidates are dealt over the tasks; each holds the
+    labelled and the evaluation rows, which must be within SHIP_BYTES (a larger side is an error).
+    """
+    from lodestar.operators.retrain import IndexClassifier, sides
+
+    n = len(classes)
+    sent = cand.sparkSession.sparkContext.broadcast(sides(lab, evaluation, sorted(classes)))  # at most SHIP_BYTES each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        train, ev = sent.value
+        for b in batches:
+            a, out = as_arrays(b), []
+            for k in range(b.num_rows):
+                own = a["x"][k : k + 1]
+                model = IndexClassifier(fit, np.vstack([train["x"], own]) if len(train["x"]) else own, np.append(train["c"], -1), np.append(train["w"], a["w"][k]), n)
+                last = len(train["x"])
+                model.fit(np.arange(last))
+                p = model.predict_proba(own)[0]
+                current = risk(model.predict_proba(ev["x"]), ev, None, None) if subtract_current else 0.0
+                future = sum(p[c] * risk(model.partial_fit([last], [c]).predict_proba(ev["x"]), ev, a["id"][k], c) for c in range(n))
+                out.append(float(current - future))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "utility"])
+
+    return cand.select(F.col("id").cast("long"), "x", F.coalesce("w", F.lit(1.0)).alias("w")).mapInArrow(run, "id long, utility double")
+
+
+def expected_error_refit(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, fit: Fit, classes: Sequence, method: str = "misclassification_loss", cost: list[list[float]] | None = None, subtract_current: bool = True) -> DataFrame:
+    """Rows (id, utility): as :func:`expected_error`, with a classifier that is fitted anew for each candidate and class.
+
+    ``fit`` makes a model of (x, y codes, weights), see :mod:`lodestar.operators.retrain`.
+    """
+    n = len(classes)
+    cost_m = np.array(cost or [[float(i != j) for j in range(n)] for i in range(n)])
+    if method == "log_loss" and cost is not None:
+        raise ValueError("log loss takes no cost matrix")
+
+    def risk(p: np.ndarray, side: Side, candidate, label) -> float:
+        if method == "log_loss":
+            return -(p * np.log(p + EPS)).sum()
+        return ((p @ cost_m).min(axis=1) * side["w"]).sum()
+
+    return _refitted(cand, lab, evaluation, fit, classes, risk, subtract_current)
+
+
+def value_of_information_refit(cand: DataFrame, lab: DataFrame, fit: Fit, classes: Sequence, cost: list[list[float]] | None = None, consider_unlabeled: bool = True, consider_labeled: bool = True, candidate_to_labeled: bool = True, subtract_current: bool = True, normalize: bool = False) -> DataFrame:
+    """Rows (id, utility): as :func:`value_of_information`, with a classifier that is fitted anew for each candidate and class."""
+    n = len(classes)
+    cost_m = np.array(cost or [[float(i != j) for j in range(n)] for i in range(n)])
+    code = F.array_position(F.array(*map(F.lit, sorted(classes))), F.col("y")) - 1
+    evaluation = lab.select("id", "x", "w", code.cast("double").alias("t")).unionByName(cand.select("id", "x", "w", F.lit(-1.0).alias("t")))
+
+    def risk(p: np.ndarray, side: Side, candidate, label) -> float:
+        t = side["t"]
+        counted = (t >= 0) & consider_labeled | (t < 0) & consider_unlabeled
+        if candidate is not None and candidate_to_labeled:
+            t = np.where(side["id"] == candidate, label, t)
+        known = (p * cost_m[np.maximum(t, 0).astype(int)]).sum(axis=1)
+        guess = np.einsum("nt,tc,nc->n", p, cost_m, p)
+        total = (side["w"] * np.where(t >= 0, known * consider_labeled, guess * consider_unlabeled)).sum()
+        return total / max(1, counted.sum()) if normalize else total
+
+    return _refitted(cand, lab, evaluation, fit, classes, risk, subtract_current)
+
+
 def gaussian_weighted(utilities: DataFrame, pool: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
     """Utilities times the density of a Gaussian mixture over the pool."""
     from lodestar.operators.classifiers import mixture_responsibilities
@@ -411,10 +510,29 @@ def dual(utilities: DataFrame, pool: DataFrame, delta: float, gain: float, seed:
     return utilities.join(weighted, "id").select("id", ((1 - eps) * F.col("utility") + eps * F.col("dense")).alias("utility"))
 
 
-def members_of(rows: DataFrame, pool: DataFrame, classifiers: Sequence[ParzenWindow]) -> DataFrame:
-    """Rows (member, id, p): a committee of classifiers over the same pool."""
+def committee(rows: DataFrame, pool: DataFrame, classifiers: Sequence[ParzenWindow]) -> DataFrame:
+    """Rows (id, ps): the class probabilities of each classifier over the same pool, all in one pass over the rows."""
+    if any(c.n_neighbors for c in classifiers) or len({tuple(c.classes) for c in classifiers}) > 1:
+        return by_row(members_of(rows, pool, classifiers))
+    n = len(classifiers[0].classes)
+
+    def f(a: Side, b: Side) -> np.ndarray:
+        return np.hstack([c.pair_kernel(a["x"], b["x"]) @ b["v"] for c in classifiers])
+
+    got = against(rows.select("id", "x"), classifiers[0].votes(pool), f, "sum", "_f", [0.0] * (n * len(classifiers)))
+    each = [E.normalised(F.slice("_f", k * n + 1, n), c.class_prior) for k, c in enumerate(classifiers)]
+    return got.select("id", F.array(*each).alias("ps"))
+
+
+def members_of(rows: DataFrame, pool: DataFrame, classifiers: Sequence) -> DataFrame:
+    """Rows (member, id, p): a committee of any classifiers over the same pool."""
     out = None
     for m, clf in enumerate(classifiers):
         part = clf.probas(rows.select("id", "x"), pool).select(F.lit(m).alias("member"), "id", "p")
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def votes_of(members: DataFrame) -> DataFrame:
+    """Rows (member, id, vote): the likeliest class of each member, from rows (id, ps)."""
+    return by_row(members).select("id", F.posexplode(F.transform("ps", lambda p: E.argmax(F.transform(p, lambda v: F.round(v, 12))))).alias("member", "vote"))

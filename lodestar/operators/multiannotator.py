@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,42 @@ def single_annotator(utilities: DataFrame, annotators: DataFrame, available: Dat
     pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.round(grade, DIGITS).desc(), "annotator")))
     full = Window.orderBy(F.when(F.col("r") <= per_sample, 0).otherwise(F.col("r")), "place", "r")
     return pairs.withColumn("step", F.row_number().over(full)).filter(F.col("step") <= batch_size).select("step", "id", "annotator")
+
+
+class SingleAnnotatorStrategy:
+    """A strategy for one annotator, asked for pairs of a row and an annotator.
+
+    The annotations become one label a row by ``aggregate``, a function from rows
+    (id, annotator, y) to rows (id, y); by default the majority of the classes,
+    null where nobody answered.
+    """
+
+    def __init__(self, strategy, classes: list, aggregate: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0):
+        self.strategy, self.seed = strategy, seed
+        self.aggregate = aggregate or (lambda a: majority_vote(a.select("id", F.col("y").alias("label")), classes).withColumnRenamed("label", "y"))
+
+    def pool(self, rows: DataFrame, annotations: DataFrame) -> DataFrame:
+        """Rows (id, x, y, w): the rows (id, x[, w]) with their aggregated labels."""
+        w = F.coalesce("w", F.lit(1.0)) if "w" in rows.columns else F.lit(1.0)
+        return rows.select("id", "x", w.alias("w")).join(self.aggregate(annotations).select("id", "y"), "id", "left").select("id", "x", "y", "w")
+
+    def query(self, rows: DataFrame, annotations: DataFrame, candidates=None, annotators: DataFrame | Sequence | None = None, available: DataFrame | None = None, batch_size: int = 1, per_sample: int = 1, perf: str | None = None, return_utilities: bool = False):
+        """Rows (step, id, annotator); with ``return_utilities`` also rows (id, utility) of all candidates.
+
+        annotators: those who may be asked, by default all in the annotations, as a
+        list or as rows (annotator[, perf]). Pairs that hold an answer already are
+        not asked again, nor those that ``available`` (id, annotator, available) says no to.
+        """
+        spark = rows.sparkSession
+        pool = self.pool(rows, annotations)
+        if candidates is None:
+            full = annotations.filter("y is null").select("id").distinct()
+            candidates = pool.join(full, "id", "left_semi").select("id", "x", "w")
+        who = annotations.select("annotator").distinct() if annotators is None else annotators if isinstance(annotators, DataFrame) else spark.createDataFrame([(a,) for a in annotators], annotations.select("annotator").schema)
+        open_pairs = annotations.withColumn("available", F.col("y").isNull()).select("id", "annotator", "available")
+        if available is not None:
+            open_pairs = open_pairs.join(available.filter("available").select("id", "annotator"), ["id", "annotator"], "left_semi")
+        scored = self.strategy.utilities(pool, candidates).persist()
+        asked = scored.join(open_pairs.filter("available").select("id").distinct(), "id", "left_semi")
+        got = single_annotator(asked, who, open_pairs, batch_size, per_sample, perf, self.seed)
+        return (got, scored) if return_utilities else got

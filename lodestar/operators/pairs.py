@@ -2,20 +2,26 @@
 
 No pair is ever a row: batches of the large side are multiplied with blocks of
 the reference side in Python, and only the sums, minima or nearest neighbours of
-each row come out. The reference side is shipped whole if its bytes are within
-``SHIP_BYTES``; else it is gone through in blocks of that size, whose partial
-results are merged.
+each row come out. A reference side within ``SHIP_BYTES`` is shipped whole. A
+larger one is written by the executors as files of that size to the shared
+folder; a task reads them one after the other for many of its rows at a time and
+merges a row's partial results on the spot. So the large side is read once, its
+rows need no key, and nothing of a large reference side goes through the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources.tables import new_folder
+
 #: Bytes of the reference side that are sent to the executors at once.
 SHIP_BYTES = 32 << 20
 #: Pairs that are worked on at once.
@@ -74,19 +80,61 @@ def kernels(a: np.ndarray, b: np.ndarray, name: str = "rbf", gamma: float | None
     return {"linear": lambda: dot, "poly": lambda: (g * dot + coef0) ** degree, "sigmoid": lambda: np.tanh(g * dot + coef0)}[name]()
 
 
-def blocks_of(ref: DataFrame) -> Iterator[Side]:
-    """The reference side in blocks that may be shipped; one block if it is small, none if it is empty."""
-    first = ref.columns[0]
+class Block:
+    """A block of a reference side as the workers get it: broadcast, or a file in the shared folder."""
+
+    def __init__(self, sent=None, path: str | None = None):
+        self.sent, self.path = sent, path
+
+    def load(self) -> Side:
+        if self.path is None:
+            return self.sent.value
+        fs, name = pfs.FileSystem.from_uri(self.path)
+        with fs.open_input_file(name) as f:
+            t = pa.ipc.open_file(f).read_all()
+        return as_arrays(t.sort_by(t.schema.names[0]))
+
+
+def blocks_of(ref: DataFrame) -> list[Block]:
+    """The reference side in blocks of at most about ``SHIP_BYTES``; none if it is empty."""
     arrays = [c for c, t in ref.dtypes if t.startswith("array")]
     n, width = ref.agg(F.count(F.lit(1)), F.max(sum((F.size(c) for c in arrays), F.lit(len(ref.columns))))).first()
     if not n:
-        return
+        return []
     parts = -(-n * width * 8 // SHIP_BYTES)
-    for k in range(parts):
-        block = ref if parts == 1 else ref.filter(F.pmod(F.xxhash64(first), F.lit(parts)) == k)
-        side = fetched(block)
-        if len(side[first]):
-            yield side
+    spark = ref.sparkSession
+    if parts == 1:
+        return [Block(spark.sparkContext.broadcast(fetched(ref)))]  # at most SHIP_BYTES
+    folder = new_folder(spark, "side")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            fs, root = pfs.FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            name = f"block-{TaskContext.get().partitionId():06d}"
+            part = f"{root}/{name}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part) as f, pa.ipc.new_file(f, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            fs.move(part, f"{root}/{name}")  # whole or not at all: tasks that run twice leave one file
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    # Dealt by the hash of all columns, so that a repeated id does not fill a block.
+    dealt = ref.repartition(parts, *(F.col(c) for c, t in ref.dtypes if "map" not in t))
+    names = sorted(r.name for r in dealt.mapInArrow(write, "name string").collect())  # one row for each file
+    return [Block(path=f"{folder}/{name}") for name in names]
+
+
+def merged(how: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lines of two blocks as one."""
+    if how == "concat":
+        return np.hstack([a, b])
+    if how == "first":
+        return np.where((b[:, :1] < a[:, :1]), b, a)
+    return {"sum": np.add, "min": np.fmin, "max": np.fmax}[how](a, b)
 
 
 def against(rows: DataFrame, ref: DataFrame, f: Callable[[Side, Side], np.ndarray], how: str, out: str = "v", empty: list[float] | None = None) -> DataFrame:
@@ -97,43 +145,40 @@ def against(rows: DataFrame, ref: DataFrame, f: Callable[[Side, Side], np.ndarra
     element), ``first`` (lines of (key, values ...): the line with the least key),
     or ``concat`` (the lines of all blocks one after the other). Without reference rows ``out`` is ``empty``, or null.
     """
-    spark = rows.sparkSession
-    parts = []
-    for side in blocks_of(ref):
-        sent = spark.sparkContext.broadcast(side)  # at most SHIP_BYTES
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            side = sent.value
-            n = len(next(iter(side.values())))
-            step = max(1, PAIRS_AT_ONCE // max(1, n))
-            for b in batches:
-                lines = []
-                for s in range(0, b.num_rows, step):
-                    lines.append(np.asarray(f(as_arrays(b.slice(s, step)), side), dtype=np.float64))
-                if not lines:
-                    continue
-                v = np.concatenate(lines)
-                v = v.reshape(b.num_rows, -1)
-                flat = pa.array(v.ravel(), mask=np.isnan(v.ravel()))
-                col = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
-
-        parts.append(rows.mapInArrow(run, rows.withColumn(out, F.lit(None).cast("array<double>")).schema))
-    if not parts:
+    blocks = blocks_of(ref)
+    if not blocks:
         line = F.lit(None) if empty is None else F.array(*map(F.lit, map(float, empty)))
         return rows.withColumn(out, line.cast("array<double>"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    pick = {"sum": lambda a, b: a + b, "min": lambda a, b: F.least(a, b), "max": lambda a, b: F.greatest(a, b)}
-    key, rest = rows.columns[0], [F.first(c, ignorenulls=True).alias(c) for c in rows.columns[1:]]
-    got = F.collect_list(out)  # one line of each block
-    if how == "first":
-        best = F.array_min(got)
-    elif how == "concat":
-        best = F.flatten(got)
-    else:
-        best = F.aggregate(F.slice(got, 2, len(parts)), got[0], lambda a, b: F.zip_with(a, b, pick[how]))
-    return every.groupBy(key).agg(*rest, best.alias(out))
+
+    def lines(b: pa.RecordBatch, side: Side) -> np.ndarray:
+        n = len(next(iter(side.values())))
+        step = max(1, PAIRS_AT_ONCE // max(1, n))
+        got = [np.asarray(f(as_arrays(b.slice(s, step)), side), dtype=np.float64) for s in range(0, b.num_rows, step)]
+        return np.concatenate(got).reshape(b.num_rows, -1)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray | None] = [None] * len(held)
+        for block in blocks:
+            side = block.load()
+            for k, b in enumerate(held):
+                v = lines(b, side)
+                found[k] = v if found[k] is None else merged(how, found[k], v)
+        for b, v in zip(held, found, strict=True):
+            flat = pa.array(v.ravel(), mask=np.isnan(v.ravel()))
+            col = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            held.append(b)
+            size += b.nbytes
+            if len(blocks) == 1 or size >= SHIP_BYTES:  # the files are read once for so many bytes of rows
+                yield from done(held)
+                held, size = [], 0
+        if held:
+            yield from done(held)
+
+    return rows.mapInArrow(run, rows.withColumn(out, F.lit(None).cast("array<double>")).schema)

@@ -156,8 +156,9 @@ def expectation(rows: DataFrame, target: Callable[[Column], Column], method: str
     """``rows`` (loc, scale, nu, id) with the expected value of ``target`` under the prediction.
 
     assume_linear: at the mean; gauss_hermite: as if normal; monte_carlo: over n
-    hashed draws; quantile and dynamic_quad: over n midpoint quantiles of the
-    Student t distribution; trapezoid and simpson: over n evenly spaced ones.
+    hashed draws of normals; quantile: over n midpoint quantiles of the Student t
+    distribution; dynamic_quad, trapezoid and simpson: over levels of its quantiles,
+    by Gauss-Legendre nodes, or evenly spaced ones of the inner 0.998.
     """
     loc, scale = F.col("loc"), F.col("scale")
     if method == "assume_linear":
@@ -175,8 +176,9 @@ def expectation(rows: DataFrame, target: Callable[[Column], Column], method: str
 
         if method == "simpson" and n % 2 == 0:
             n += 1  # it takes an odd number of points
-        level = [(k + 0.5) / n for k in range(n)] if method in ("quantile", "dynamic_quad") else [0.001 + 0.998 * k / (n - 1) for k in range(n)]
-        weight = {"trapezoid": [0.5 if k in (0, n - 1) else 1.0 for k in range(n)], "simpson": [1.0 if k in (0, n - 1) else 4.0 if k % 2 else 2.0 for k in range(n)]}.get(method, [1.0] * n)
+        legendre = np.polynomial.legendre.leggauss(n)
+        level = {"quantile": [(k + 0.5) / n for k in range(n)], "dynamic_quad": ((legendre[0] + 1) / 2).tolist()}.get(method) or [0.001 + 0.998 * k / max(1, n - 1) for k in range(n)]
+        weight = {"dynamic_quad": legendre[1].tolist(), "trapezoid": [0.5 if k in (0, n - 1) else 1.0 for k in range(n)], "simpson": [1.0 if k in (0, n - 1) else 4.0 if k % 2 else 2.0 for k in range(n)]}.get(method, [1.0] * n)
 
         def run(batches):
             for b in batches:
@@ -198,72 +200,129 @@ def _grown(reg: NormalInverseChi, a: Side, b: Side, y: np.ndarray):
     return reg.posterior(b["s"][:, 0] + k, b["s"][:, 1] + k * t, b["s"][:, 2] + k * t * t, np)
 
 
-def _nodes(method: str, n: int) -> list[tuple[float, float]]:
+def _nodes(method: str, n: int, nu: np.ndarray, seed: int = 0) -> list[tuple[np.ndarray, float]]:
+    """(place, weight) under standardised predictions of nu degrees of freedom; a place for each prediction.
+
+    assume_linear: the mean; gauss_hermite: as if normal; quantile: midpoint
+    quantiles of the Student t distribution; monte_carlo: as many drawn ones;
+    dynamic_quad: Gauss-Legendre nodes over the levels of all quantiles.
+    """
+    one = np.ones_like(nu)
     if method == "assume_linear":
-        return [(0.0, 1.0)]
+        return [(0.0 * one, 1.0)]
     if method == "gauss_hermite":
-        return gauss_hermite(n)
-    raise ValueError("assume_linear or gauss_hermite")
+        return [(x * one, w) for x, w in gauss_hermite(n)]
+    if method == "quantile":
+        return [(_t_quantile(nu, (k + 0.5) / n), 1 / n) for k in range(n)]
+    if method == "monte_carlo":
+        return [(_t_quantile(nu, u), 1 / n) for u in np.random.default_rng(seed).uniform(0.0005, 0.9995, n)]
+    if method == "dynamic_quad":
+        x, w = np.polynomial.legendre.leggauss(n)
+        return [(_t_quantile(nu, (a + 1) / 2), b / 2) for a, b in zip(x, w, strict=True)]
+    raise ValueError(f"no method {method}")
 
 
-def _retrained(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, effect: Callable, method: str, n: int) -> DataFrame:
-    """Sums over evaluation rows of ``effect`` of adding a candidate with its predicted label, over the nodes of the prediction."""
+def _retrained(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, effect: Callable, method: str, n: int, seed: int = 0) -> DataFrame:
+    """Mean over evaluation rows of ``effect`` of adding a candidate with its predicted label, over the nodes of the prediction."""
     ready = reg.sums(evaluation.select("id", "x"), lab, "s")
-    nodes = _nodes(method, n)
 
     def f(a: Side, b: Side) -> np.ndarray:
         out = np.zeros((len(a["id"]), 2))
         out[:, 1] = len(b["id"])
         old = reg.posterior(b["s"][:, 0], b["s"][:, 1], b["s"][:, 2], np)
-        for x, w in nodes:
+        for x, w in _nodes(method, n, a["nu"].astype(float), seed):
             out[:, 0] += w * effect(old, _grown(reg, a, b, a["loc"] + a["scale"] * x)).sum(axis=1)
         return out
 
-    rows = reg.predict(cand.select("id", "x"), lab).select("id", "x", "loc", "scale")
+    rows = reg.predict(cand.select("id", "x"), lab).select("id", "x", "nu", "loc", "scale")
     return against(rows, ready, f, "sum", "_r", [0.0, 1.0]).select("id", (F.col("_r")[0] / F.col("_r")[1]).alias("utility"))
 
 
-def model_output_change(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, method: str = "assume_linear", n: int = 10) -> DataFrame:
-    """Rows (id, utility): mean squared change of the predictions on the evaluation rows."""
-    return _retrained(cand, lab, evaluation, reg, lambda old, new: (new[1] - old[1][None, :]) ** 2, method, n)
+def squared(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+    return (new - old) ** 2
+
 
+def model_output_change(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, method: str = "assume_linear", n: int = 10, loss: Callable[[np.ndarray, np.ndarray], np.ndarray] = squared, seed: int = 0) -> DataFrame:
+    """Rows (id, utility): mean ``loss``, the squared difference by default, of new and old predictions on the evaluation rows."""
+    return _retrained(cand, lab, evaluation, reg, lambda old, new: loss(new[1], np.broadcast_to(old[1], new[1].shape)), method, n, seed)
 
-def variance_reduction(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, method: str = "assume_linear", n: int = 10) -> DataFrame:
+
+def variance_reduction(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, method: str = "assume_linear", n: int = 10, seed: int = 0) -> DataFrame:
     """Rows (id, utility): mean fall of the predictive variance on the evaluation rows."""
     var = lambda d: d[2] ** 2 * d[0] / np.maximum(d[0] - 2, 1e-12)
-    return _retrained(cand, lab, evaluation, reg, lambda old, new: var(old)[None, :] - var(new), method, n)
+    return _retrained(cand, lab, evaluation, reg, lambda old, new: var(old)[None, :] - var(new), method, n, seed)
+
+
+def t_log_density(y: np.ndarray, nu: np.ndarray, loc: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Log density of Student t distributions."""
+    gap = _log_gamma((nu + 1) / 2) - _log_gamma(nu / 2)
+    return gap - 0.5 * np.log(nu * np.pi) - np.log(scale) - (nu + 1) / 2 * np.log1p(((y - loc) / scale) ** 2 / nu)
+
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after eight steps up."""
+    x = np.asarray(x, dtype=float)
+    shift = np.zeros_like(x)
+    for k in range(8):
+        shift = shift + np.log(x + k)
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
 
-def information_gain(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, method: str = "gauss_hermite", n: int = 10) -> DataFrame:
-    """Rows (id, utility): mean Kullback-Leibler divergence of the predictions from those before, as normals of equal mean and variance."""
+
+def cross_entropy(new: tuple, old: tuple, n: int = 20) -> np.ndarray:
+    """Expected negative log density of the old Student t distributions under the new ones.
+
+    By Gauss-Legendre nodes over t = tan, along which heavy tails are finite too.
+    """
+    x, w = np.polynomial.legendre.leggauss(2 * n)
+    total, mass = 0.0, 0.0
+    for a, b in zip(np.tan(x * np.pi / 2 * 0.999), w * np.pi / 2 * 0.999, strict=True):
+        y = new[1] + new[2] * a
+        p = np.exp(t_log_density(y, *new)) * new[2] * (1 + a * a) * b
+        total, mass = total - p * t_log_density(y, *old), mass + p
+    return total / mass
+
+
+def information_gain(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, method: str = "gauss_hermite", n: int = 10, normal: bool = True, seed: int = 0, nodes: int = 20) -> DataFrame:
+    """Rows (id, utility): mean Kullback-Leibler divergence of the predictions from those before.
+
+    ``normal``: as normals of equal mean and variance; else that of the Student t
+    distributions, as cross-entropy less entropy by quadrature.
+    """
     std = lambda d: d[2] * np.sqrt(d[0] / np.maximum(d[0] - 2, 1e-12))
 
     def kl(old, new):
+        if not normal:
+            before = tuple(np.broadcast_to(v, new[1].shape) for v in old)
+            return cross_entropy(new, before, nodes) - cross_entropy(new, new, nodes)
         s0, s1 = std(old)[None, :], std(new)
         return np.log(s0 / s1) + (s1**2 + (new[1] - old[1][None, :]) ** 2) / (2 * s0**2) - 0.5
 
-    return _retrained(cand, lab, evaluation, reg, kl, method, n)
+    return _retrained(cand, lab, evaluation, reg, kl, method, n, seed)
 
 
-def model_change(cand: DataFrame, lab: DataFrame, reg: NormalInverseChi, n_bootstrap: int = 5, n_train: float = 0.5, seed: int = 0) -> DataFrame:
-    """Rows (id, utility): mean distance of bootstrapped predictions from the model's, times the norm of the features."""
+def model_change(cand: DataFrame, lab: DataFrame, reg: NormalInverseChi, n_bootstrap: int = 5, n_train: float = 0.5, seed: int = 0, norm: float = 2, feature_map: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows (id, utility): mean distance of bootstrapped predictions from the model's, times the norm of the features.
+
+    norm: the order, 1, 2, ... or infinity; feature_map: an array of numbers of the features, themselves by default.
+    """
     known = lab.filter(F.col("y").isNotNull())
-    plain = reg.predict(cand.select("id", "x"), known).select("id", "x", F.col("pred").alias("plain"))
-    out = plain
+    out = reg.predict(cand.select("id", "x"), known).select("id", "x", F.col("pred").alias("plain"))
     for b in range(n_bootstrap):
         # a row's multiplicity in a bootstrap sample of that share is a Poisson count, from a hash
         u, p = uniform(seed + b, "id"), math.exp(-n_train)
-        count, below, term = F.lit(0.0), p, p
-        for k in range(1, 6):
+        count, below, term, k = F.lit(0.0), p, p, 0
+        while below < 1 - 1e-15 and term > 1e-18:
+            k += 1
             count = count + F.when(u > below, 1.0).otherwise(0.0)
             term *= n_train / k
             below += term
         sample = known.withColumn("w", F.coalesce("w", F.lit(1.0)) * count).filter("w > 0")
-        part = reg.predict(cand.select("id", "x"), sample).select("id", F.coalesce("pred", F.lit(0.0)).alias(f"b{b}"))
-        out = out.join(part, "id")
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+        out = reg.predict(out, sample).withColumn(f"b{b}", F.coalesce("pred", F.lit(0.0))).drop("pred", "std", "nu", "loc", "scale")
+    phi = feature_map(F.col("x")) if feature_map else F.col("x")
+    size = F.array_max(F.transform(phi, F.abs)) if norm == math.inf else F.pow(F.aggregate(phi, F.lit(0.0), lambda s, v: s + F.pow(F.abs(v), F.lit(float(norm)))), F.lit(1.0 / norm))
     diff = sum((F.abs(F.col(f"b{b}") - F.col("plain")) for b in range(1, n_bootstrap)), F.abs(F.col("b0") - F.col("plain"))) / n_bootstrap
-    return out.select("id", (diff * norm).alias("utility"))
+    return out.select("id", (diff * size).alias("utility"))
 
 
 def leaf_acquisitions(leaves: DataFrame, batch_size: int) -> DataFrame:
@@ -314,12 +373,13 @@ def tree_based(cand: DataFrame, lab: DataFrame, k: int = 1, method: str = "rando
     return spark.createDataFrame([(s, i, u) for s, (i, u) in enumerate(out, 1)], "step int, id long, utility double")
 
 
-def cost_embedding(cand: DataFrame, lab: DataFrame, classes: list, cost: list[list[float]], embed_dim: int = 2, gamma: float | None = None, seed: int = 0) -> DataFrame:
+def cost_embedding(cand: DataFrame, lab: DataFrame, classes: list, cost: list[list[float]], embed_dim: int = 2, gamma: float | None = None, seed: int = 0, regressor=None, rounds: int = 300) -> DataFrame:
     """Rows (id, utility): distance of a candidate's predicted place in a cost embedding of the classes to the nearest class.
 
     The classes, once as truth and once as prediction, are placed so that
     distances follow costs (SMACOF on the costs between the two kinds);
-    coordinates are predicted by kernel regression.
+    coordinates are predicted by kernel regression, or by a ``regressor``, one
+    after the other. Without any label all utilities are one.
     """
     known = sorted(classes)
     c = np.array(cost, dtype=float)
@@ -332,7 +392,7 @@ def cost_embedding(cand: DataFrame, lab: DataFrame, classes: list, cost: list[li
     z = np.random.default_rng(seed).standard_normal((2 * n, embed_dim))
     v = np.diag(weight.sum(1)) - weight
     v_inv = np.linalg.pinv(v)
-    for _ in range(300):
+    for _ in range(rounds):
         d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
         b = -weight * want / np.where(d > 1e-12, d, 1.0)
         b -= np.diag(b.sum(1))
@@ -342,6 +402,13 @@ def cost_embedding(cand: DataFrame, lab: DataFrame, classes: list, cost: list[li
     place = F.array_position(F.array(*map(F.lit, known)), F.col("y")) - 1
     coords = F.array(*(F.element_at(F.array(*map(F.lit, map(float, truth[:, d]))), (place + 1).cast("int")) for d in range(embed_dim)))
     ref = rows.select("id", "x", coords.alias("z"))
+    if regressor is not None:
+        got = cand.select("id", "x")
+        for d in range(embed_dim):
+            got = regressor.predict(got, ref.select("id", "x", F.col("z")[d].alias("y"), F.lit(1.0).alias("w"))).withColumn(f"_z{d}", F.col("pred")).drop("pred", "std", "nu", "loc", "scale")
+        near = [F.sqrt(sum(((F.col(f"_z{d}") - float(h[d])) ** 2 for d in range(1, embed_dim)), (F.col("_z0") - float(h[0])) ** 2)) for h in hidden]
+        some = ref.head(1) != []
+        return got.select("id", (F.least(*near) if len(near) > 1 else near[0]).alias("utility") if some else F.lit(1.0).alias("utility"))
 
     def f(a: Side, b: Side) -> np.ndarray:
         k = kernels(a["x"], b["x"], "rbf", gamma)

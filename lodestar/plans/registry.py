@@ -19,6 +19,7 @@ from lodestar.operators import grid as G
 from lodestar.operators import informative as I
 from lodestar.operators import multiannotator as M
 from lodestar.operators import regressors as R
+from lodestar.operators.api import Strategy
 from lodestar.sources.tables import table
 from lodestar.streaming import managers as B
 from lodestar.streaming import strategies as T
@@ -59,7 +60,13 @@ def embeddings(spark: SparkSession, sf_dir: str, classes: int = 10) -> DataFrame
     e = table(spark, sf_dir, "embeddings")
     truth = (F.col("label") % classes).cast("int")
     e = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("vec_id") % 5 == 0, truth).alias("y"), F.lit(1.0).alias("w"), truth.alias("truth"))
-    return e.repartition(spark.sparkContext.defaultParallelism)
+    return spread(e)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, such as one small file, dealt to all of them; others as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def split(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +79,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     x = F.array(F.col("p_size") / 10.0, F.regexp_extract("p_brand", r"(\d+)$", 1).cast("double") / 10.0)
     p = p.select(F.col("p_partkey").alias("id"), x.alias("x"), F.when(F.col("p_partkey") % 10 == 0, F.col("p_retailprice") / 100.0).alias("y"), F.lit(1.0).alias("w"))
-    return p.repartition(spark.sparkContext.defaultParallelism)
+    return spread(p)
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,11 +241,11 @@ _VOTES = "v AS (SELECT m, id, c AS vote FROM (SELECT *, row_number() OVER (PARTI
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab, cand = split(embeddings(spark, sf_dir))
-    return I.members_of(cand, lab, [C.ParzenWindow(CLASSES, gamma=g) for g in GAMMAS])
+    return I.committee(cand, lab, [C.ParzenWindow(CLASSES, gamma=g) for g in GAMMAS])
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pwc().predict(members(spark, sf_dir), out="vote").select("member", "id", "vote")
+    return I.votes_of(members(spark, sf_dir))
 
 
 @register(
@@ -537,6 +544,60 @@ def emvr_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.variance_reduction(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0)), "utility")
 
 
+def _grown_sql(nodes: list[tuple[float, float]], effect: str) -> str:
+    """The weighted sum of an effect (of ``o`` before and ``w`` after) over nodes of the candidate's prediction, averaged over the evaluation rows."""
+    values = ", ".join(f"({x!r}, {w!r})" for x, w in nodes)
+    return f"""WITH {_PART}, {_NW}, q AS (SELECT id, x, n, ky, kyy, {_post("n", "ky", "kyy")} AS o FROM ks), nodes AS (SELECT CAST(z AS DOUBLE) AS z, CAST(v AS DOUBLE) AS v FROM (VALUES {values}) t(z, v)),
+g AS (SELECT c.id, e.o AS o, exp(-{d2("c.x", "e.x")}) AS k, c.o.loc + sqrt(c.o.s2) * z AS t, v, e.n, e.ky, e.kyy FROM q c, q e, nodes),
+h AS (SELECT id, o, v, {_post("(n + k)", "(ky + k * t)", "(kyy + k * t * t)")} AS w FROM g)
+SELECT id, round(sum(v * ({effect})) / (SELECT count(*) FROM q), 6) AS utility FROM h GROUP BY id"""
+
+
+_VO, _VW = "(o.s2 * o.nu / (o.nu - 2))", "(w.s2 * w.nu / (w.nu - 2))"
+
+
+@register(_grown_sql(R.gauss_hermite(3), f"{_VO} - {_VW}"))
+def emvr_gauss_hermite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.variance_reduction(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), "gauss_hermite", 3), "utility")
+
+
+@register(_grown_sql(R.gauss_hermite(3), f"0.5 * ln({_VO} / {_VW}) + ({_VW} + (w.loc - o.loc) * (w.loc - o.loc)) / (2 * {_VO}) - 0.5"))
+def kl_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.information_gain(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), n=3), "utility")
+
+
+@register(_grown_sql([(0.0, 1.0)], "abs(w.loc - o.loc)"))
+def emoc_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.model_output_change(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), loss=lambda a, b: abs(a - b)), "utility")
+
+
+_NODES10 = ", ".join(f"({x!r}, {w!r})" for x, w in R.gauss_hermite(10))
+
+
+@register(f"WITH {_PART}, {_NW}, q AS (SELECT id, {_post('n', 'ky', 'kyy')} AS o FROM ks), nodes AS (SELECT CAST(z AS DOUBLE) AS z, CAST(v AS DOUBLE) AS v FROM (VALUES {_NODES10}) t(z, v)) SELECT id, round(sum(v * (o.loc + 10 + sqrt(o.s2) * z) * (o.loc + 10 + sqrt(o.s2) * z)), 6) AS e FROM q, nodes GROUP BY id")
+def expected_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    p = R.NormalInverseChi(gamma=1.0, shift=10.0).predict(cand.select("id", "x"), lab)
+    return rounded(R.expectation(p, lambda y: y * y, "gauss_hermite").select("id", "e"), "e")
+
+
+_INV = """a AS (SELECT 1 + sum(x[1] * x[1]) AS a, sum(x[1] * x[2]) AS b, sum(x[1]) AS c, 1 + sum(x[2] * x[2]) AS d, sum(x[2]) AS e, 1.0 + count(*) AS f, sum(x[1] * y) AS p, sum(x[2] * y) AS q, sum(y) AS r FROM lab),
+i AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM a),
+s AS (SELECT p, q, r, (d * f - e * e) / det AS s11, (c * e - b * f) / det AS s12, (b * e - c * d) / det AS s13, (a * f - c * c) / det AS s22, (b * c - a * e) / det AS s23, (a * d - b * b) / det AS s33 FROM i)"""
+
+
+@register(
+    f"""WITH {_PART}, {_INV} SELECT cand.id, round(x[1] * (s11 * p + s12 * q + s13 * r) + x[2] * (s12 * p + s22 * q + s23 * r) + s13 * p + s23 * q + s33 * r, 6) AS pred,
+round(sqrt(1 + x[1] * x[1] * s11 + x[2] * x[2] * s22 + s33 + 2 * (x[1] * x[2] * s12 + x[1] * s13 + x[2] * s23)), 6) AS std FROM cand, s"""
+)
+def bayesian_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(parts(spark, sf_dir))
+    return rounded(R.bayesian_linear(cand.select("id", "x"), lab).select("id", "pred", "std"), "pred", "std")
+
+
 # ---- labels and annotators -------------------------------------------------
 
 _ANN = """ann AS (SELECT vec_id AS id, a AS annotator, label AS truth, CASE WHEN (vec_id + a) % 4 <> 0 THEN CASE WHEN (vec_id * 7 + a * 13) % 10 < a THEN (label + 1) % 10 ELSE label END END AS y, 1.0 + a % 2 AS w FROM embeddings, (SELECT unnest(range(0, 5)) AS a))"""
@@ -603,6 +664,12 @@ def unlabeled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.unlabeled_indices(annotations(spark, sf_dir), "y", "id", "annotator")
 
 
+@register("SELECT p_partkey AS id, round(rank() OVER (PARTITION BY p_brand ORDER BY p_size) + 1 / (1 + exp(-(p_retailprice / 1000))), 6) AS rank FROM part")
+def combine_ranking_per(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("r1"), (F.col("p_retailprice") / 1000).alias("r2"), "p_brand")
+    return rounded(S.combine_ranking(p, "r1", "r2", method="min", per="p_brand").select("id", "rank"), "rank")
+
+
 @register("SELECT p_partkey AS id, round(dense_rank() OVER (ORDER BY p_size) + 1 / (1 + exp(-(p_retailprice / 1000))), 6) AS rank FROM part")
 def combine_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("r1"), (F.col("p_retailprice") / 1000).alias("r2"))
@@ -619,9 +686,33 @@ def interval_estimation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.interval_estimation(annotations(spark, sf_dir), CLASSES, mode="mean").select("annotator", "n", "perf"), "perf")
 
 
-@register()
+_Z = "CAST(1.959963984540054 AS DOUBLE)"  # the normal quantile; that of Student's t by its expansion in one over the degrees of freedom
+_T = f"({_Z} + (pow({_Z}, 3) + {_Z}) / (4 * (n - 1)) + (5 * pow({_Z}, 5) + 16 * pow({_Z}, 3) + 3 * {_Z}) / (96 * pow(n - 1, 2)) + (3 * pow({_Z}, 7) + 19 * pow({_Z}, 5) + 17 * pow({_Z}, 3) - 15 * {_Z}) / (384 * pow(n - 1, 3)))"
+
+
+@register(f"WITH {_PERF} SELECT annotator, n, round(perf, 6) AS mean, round(perf + {_T} * sqrt(perf * (1 - perf) / n), 6) AS perf FROM perf")
 def interval_estimation_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.interval_estimation(annotations(spark, sf_dir), CLASSES, 0.05, "upper")
+    return rounded(M.interval_estimation(annotations(spark, sf_dir), CLASSES, 0.05, "upper").select("annotator", "n", "mean", "perf"), "mean", "perf")
+
+
+@register(
+    f"""WITH {POOL}, {_ANN}, cl AS (SELECT unnest(range(0, 10)) AS c), vv AS (SELECT id, c, sum(CASE WHEN y = c THEN 1 ELSE 0 END) AS votes FROM ann, cl GROUP BY id, c),
+mv AS (SELECT id, c AS y FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, c) AS n FROM vv) WHERE n = 1 AND votes > 0),
+ks AS (SELECT c.id, l.y AS c, sum(exp(-0.05 * {d2("c.x", "l.x")})) AS f FROM e c, (SELECT e.id, e.x, mv.y FROM e JOIN mv USING (id)) l WHERE c.id % 3 = 0 GROUP BY c.id, l.y),
+kp AS (SELECT id, f / sum(f) OVER (PARTITION BY id) AS p FROM ks), u AS (SELECT id, {ENTROPY} AS u FROM kp GROUP BY id),
+free AS (SELECT u.id, u.u, a.annotator FROM u JOIN ann a ON a.id = u.id WHERE a.y IS NULL AND a.annotator <> 4),
+b AS (SELECT id, row_number() OVER (ORDER BY round(any_value(u), 9) DESC, id) AS place FROM free GROUP BY id),
+pr AS (SELECT b.id, b.place, free.annotator, row_number() OVER (PARTITION BY b.id ORDER BY round(1.0 / (1 + free.annotator), 9) DESC, free.annotator) AS r FROM b JOIN free ON free.id = b.id WHERE b.place <= 10),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN r <= 1 THEN 0 ELSE r END, place, r) AS step FROM pr) SELECT CAST(step AS INTEGER) AS step, id, annotator FROM o WHERE step <= 10"""
+)
+def annotator_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unanswered pairs of every third row, without the fifth annotator, by the entropy over majority labels."""
+    ann, pool = annotations(spark, sf_dir), embeddings(spark, sf_dir)
+    who = spark.createDataFrame([(a, 1.0 / (1 + a)) for a in range(5)], "annotator int, perf double")
+    available = ann.select("id", "annotator", (F.col("annotator") != 4).alias("available"))
+    strategy = M.SingleAnnotatorStrategy(Strategy("uncertainty", pwc(), params={"method": "entropy"}), CLASSES)
+    rows = pool.select("id", "x", "w")
+    return strategy.query(rows, ann.select("id", "annotator", "y"), rows.filter("id % 3 = 0"), who, available, 10, 1, "perf")
 
 
 _U = f"u AS (SELECT id, {ENTROPY} AS u FROM p GROUP BY id)"
@@ -713,11 +804,30 @@ def variable_uncertainty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, B.VariableUncertaintyManager())
 
 
-@register()
+_H100 = "list_slice(list_append({h}, {u}), greatest(1, len({h}) - 98), len({h}) + 1)"
+_BIQF = "{u} >= list_aggregate({h}, 'quantile_cont', 0.9) - (list_max({h}) - list_min({h})) * (CAST(0.1 AS DOUBLE) * s.n - f.q) / 50"
+
+
+@register(_recursive("f.q AS q, f.h AS h", "CAST(0 AS BIGINT) AS q, CAST([] AS DOUBLE[]) AS h", f"q + CASE WHEN queried THEN 1 ELSE 0 END, {_H100.format(h='h', u='u')}", _BIQF.format(u="s.u", h=_H100.format(h="f.h", u="s.u"))))
 def biqf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, B.BalancedQuantileManager())
 
 
+@register(
+    f"""WITH RECURSIVE {POOL2}, {FREQ2}, k AS (SELECT id, sum(CASE WHEN c = 0 THEN f END) AS f0, sum(CASE WHEN c = 1 THEN f END) AS f1 FROM freq GROUP BY id), a AS (SELECT *, f0 + 0.001 AS a0, f1 + 0.001 AS a1 FROM k),
+m AS (SELECT id, round(greatest(({_mc2(0)}) - ({_mc2(1)}), (({_mc2(0)}) - ({_mc2(2)})) / 2), 9) AS u FROM a),
+s AS (SELECT id, id % 7 AS key, u, row_number() OVER (PARTITION BY id % 7 ORDER BY id) AS n FROM m),
+f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS queried, CAST(0 AS BIGINT) AS q, CAST([] AS DOUBLE[]) AS h FROM (SELECT DISTINCT key FROM s)
+UNION ALL SELECT key, n, id, queried, q + CASE WHEN queried THEN 1 ELSE 0 END, {_H100.format(h="h", u="u")} FROM (SELECT s.key, s.n, s.id, s.u, {_BIQF.format(u="s.u", h=_H100.format(h="f.h", u="s.u"))} AS queried, f.q, f.h FROM f JOIN s ON s.key = f.key AND s.n = f.n + 1))
+SELECT id, queried FROM f WHERE n > 0"""
+)
+def probabilistic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as seven streams in order of their ids: probabilistic gain, filtered by a balanced quantile."""
+    lab, cand = split(embeddings(spark, sf_dir, 2))
+    rows = cand.select("id", "x", (F.col("id") % 7).alias("key"))
+    return T.probabilistic(rows, lab, C.ParzenWindow([0, 1], gamma=GAMMA), "key", ["id"]).select("id", "queried")
+
+
 @register()
 def split_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, B.SplitManager(seed=1))
@@ -797,6 +907,12 @@ def decision_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.decision_boundary(p, 10), "value")
 
 
+@register(f"{BASE} SELECT id, round({ENTROPY}, 6) AS utility FROM p GROUP BY id")
+def parallel_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab, cand = split(embeddings(spark, sf_dir))
+    return rounded(D.parallel(cand, lambda c: I.uncertainty(pwc().probas(c.select("id", "x"), lab), "entropy"), 8), "utility")
+
+
 # ---- queries whose results SQL can't give ----------------------------------
 
 
@@ -813,36 +929,30 @@ def _predictor(lab: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: pwc().predict(pwc().probas(rows, lab))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The first three features: for mixtures, whose covariances are full."""
-    return df.withColumn("x", F.slice("x", 1, 3))
-
-
 _picks("random_sampling", lambda lab, cand, s, d: S.top_k(I.random_sampling(cand, 1).select("id", F.col("key").alias("utility")), 10))
 _picks("proportional_sampling", lambda lab, cand, s, d: S.proportional(I.uncertainty(probas(s, d), "entropy"), 10, seed=1).select("step", "id", "utility"))
 _picks("sub_sampling", lambda lab, cand, s, d: D.sub_sampled(cand, 0.5, lambda c: I.uncertainty(pwc().probas(c.select("id", "x"), lab), "entropy"), 1))
-_picks("parallel_utilities", lambda lab, cand, s, d: D.parallel(cand, lambda c: I.uncertainty(pwc().probas(c.select("id", "x"), lab), "entropy"), 8))
 _picks("badge", lambda lab, cand, s, d: D.badge(pwc().probas(cand.select("id", "x"), lab), 10, 5, 1))
 _picks("falcun", lambda lab, cand, s, d: D.falcun(probas(s, d), 5, seed=1))
 _picks("clue", lambda lab, cand, s, d: D.clue(pwc().probas(cand.select("id", "x"), lab), 5, seed=1))
 _picks("typiclust", lambda lab, cand, s, d: D.typi_clust(cand, lab, 3, 1))
 _picks("drop_query", lambda lab, cand, s, d: D.drop_query(cand, _predictor(lab), 3, seed=1))
-_picks("four_ds", lambda lab, cand, s, d: D.four_ds(_small(lab.unionByName(cand)), probas(s, d), 3, seed=1))
+_picks("four_ds", lambda lab, cand, s, d: D.four_ds(lab.unionByName(cand), probas(s, d), 3, seed=1))
 _picks("quire", lambda lab, cand, s, d: D.quire(lab.unionByName(cand), CLASSES))
 _picks("cost_embedding", lambda lab, cand, s, d: R.cost_embedding(cand, lab, CLASSES, COST, gamma=GAMMA))
 _picks("epistemic_pwc", lambda lab, cand, s, d: I.epistemic_pwc(C.ParzenWindow([0, 1], gamma=GAMMA).freq(cand.select("id", "x"), lab)), 2)
-_picks("epistemic_logistic", lambda lab, cand, s, d: I.epistemic_logistic(_small(cand), _small(lab), 20), 2)
+_picks("epistemic_logistic", lambda lab, cand, s, d: I.epistemic_logistic(cand, lab), 2)
 _picks("expected_ap", lambda lab, cand, s, d: I.expected_average_precision(C.ParzenWindow([0, 1], gamma=GAMMA).probas(cand.select("id", "x"), lab), 2), 2)
-_picks("mixture_clf", lambda lab, cand, s, d: C.mixture_probas(_small(cand).select("id", "x"), _small(lab.unionByName(cand)), CLASSES, 3, 1).select("id", "p"))
-_picks("gaussian_weighted", lambda lab, cand, s, d: I.gaussian_weighted(I.uncertainty(probas(s, d), "entropy"), _small(cand)))
+_picks("mixture_clf", lambda lab, cand, s, d: C.mixture_probas(cand.select("id", "x"), lab.unionByName(cand), CLASSES, 3, 1).select("id", "p"))
+_picks("gaussian_weighted", lambda lab, cand, s, d: I.gaussian_weighted(I.uncertainty(probas(s, d), "entropy"), cand))
 _picks("sampled_probas", lambda lab, cand, s, d: C.sampled_probas(pwc().freq(cand.select("id", "x"), lab), "freq", 3, 1))
 
 
 @register()
 def annot_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _small(embeddings(spark, sf_dir, 2))
+    pool = embeddings(spark, sf_dir, 2)
     ann = annotations(spark, sf_dir).withColumn("y", F.col("y") % 2)
-    w, _ = C.annotator_logistic(ann.select("id", "annotator", "y"), pool.select("id", "x"), [0, 1], n_iter=6)
+    w, _ = C.annotator_logistic(ann.select("id", "annotator", "y"), pool.select("id", "x"), [0, 1])
     return C.linear_probas(pool.select("id", "x"), w).select("id", "p")
 
 
@@ -862,10 +972,6 @@ def _reg(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     register()(q)
 
 
-_reg("kl_max", lambda lab, cand: R.information_gain(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), n=3))
-_reg("emvr_gauss_hermite", lambda lab, cand: R.variance_reduction(cand, lab, cand, R.NormalInverseChi(gamma=1.0, shift=10.0), "gauss_hermite", 3))
 _reg("ecm", lambda lab, cand: R.model_change(cand, lab, R.nadaraya_watson(gamma=1.0, shift=10.0), 3, seed=1))
 _reg("rt_al", lambda lab, cand: R.tree_based(cand, lab, 5, "diversity", seed=1))
-_reg("bayesian_linear", lambda lab, cand: R.bayesian_linear(cand.select("id", "x"), lab).select("id", "pred", "std"))
-_reg("expected_target", lambda lab, cand: R.expectation(R.NormalInverseChi(gamma=1.0, shift=10.0).predict(cand.select("id", "x"), lab), lambda y: y * y, "gauss_hermite").select("id", "e"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one is set only where the session has none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        spark.sparkContext.setCheckpointDir(base)
+    base = base if "://" in base else "file://" + base.removeprefix("file:")
+    return f"{base.rstrip('/')}/lodestar-{name}-{uuid.uuid4().hex}"
+
+
 def doubles(col: str) -> Column:
     """An array column as doubles, before any arithmetic."""
     return F.col(col).cast("array<double>")

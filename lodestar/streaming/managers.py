@@ -1,13 +1,19 @@
-"""Budget managers as step functions: one item's utility in, one decision out, the state changed.
+"""Budget managers: what is wanted of an item, and what is learned from the decision.
 
-A state is a plain dictionary that JSON can hold, so the same step serves the
-batch fold and the streaming processor. A null utility is never queried. Random
-numbers come from the seed and the item's position.
+A state is a plain dictionary that JSON can hold, so the same steps serve the
+batch fold and the streaming processor. ``step`` decides and learns at once;
+``query`` decides for a batch and leaves the state as it is; ``update`` learns
+from decisions made elsewhere. A null utility is never queried. Random numbers
+come from the seed and the item's position.
 """
 
 from __future__ import annotations
 
+import copy
 import math
+import warnings
+from bisect import bisect_left, insort
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,12 +48,35 @@ class BudgetManager:
     def initial(self) -> State:
         return {"n": 0}
 
+    def wants(self, state: State, u: float | None) -> bool:
+        """Whether the item, the n-th of the state, is queried; the state stays as it is."""
+        raise NotImplementedError
+
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
+        """Take in what was decided about the n-th item."""
+
     def step(self, state: State, utility: float | None) -> bool:
+        u = _number(utility)
         state["n"] += 1
-        return self.decide(state, None if utility is None or math.isnan(utility) else utility)
+        queried = bool(self.wants(state, u))
+        self.learn(state, u, queried)
+        return queried
 
-    def decide(self, state: State, u: float | None) -> bool:
-        raise NotImplementedError
+    def query(self, state: State, utilities: Sequence[float | None]) -> list[bool]:
+        """Decisions for a batch of items in order; the state stays as it is."""
+        trial = copy.deepcopy(state)
+        return [self.step(trial, u) for u in utilities]
+
+    def update(self, state: State, utilities: Sequence[float | None], queried: Sequence[bool]) -> State:
+        """The state after the items of a batch and the decisions about them."""
+        for u, q in zip(utilities, queried, strict=True):
+            state["n"] += 1
+            self.learn(state, _number(u), bool(q))
+        return state
+
+
+def _number(u: float | None) -> float | None:
+    return None if u is None or math.isnan(u) else u
 
 
 @dataclass
@@ -59,14 +88,18 @@ class EstimatedBudget(BudgetManager):
     def initial(self) -> State:
         return {"n": 0, "spent": 0.0}
 
-    def decide(self, state: State, u: float | None) -> bool:
-        queried = state["spent"] / self.w < self.budget and self.wants(state, u)
-        state["spent"] = state["spent"] * (self.w - 1) / self.w + queried
-        return queried
+    def room(self, state: State) -> bool:
+        return state["spent"] / self.w < self.budget
 
     def wants(self, state: State, u: float | None) -> bool:
+        return self.room(state) and self.likes(state, u)
+
+    def likes(self, state: State, u: float | None) -> bool:
         raise NotImplementedError
 
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
+        state["spent"] = state["spent"] * (self.w - 1) / self.w + queried
+
 
 @dataclass
 class FixedUncertaintyManager(EstimatedBudget):
@@ -74,7 +107,7 @@ class FixedUncertaintyManager(EstimatedBudget):
 
     n_classes: int = 2
 
-    def wants(self, state: State, u: float | None) -> bool:
+    def likes(self, state: State, u: float | None) -> bool:
         return u is not None and 1 - u <= 1 / self.n_classes + self.budget * (1 - 1 / self.n_classes)
 
 
@@ -91,10 +124,17 @@ class VariableUncertaintyManager(EstimatedBudget):
     def noise(self, state: State) -> float:
         return 1.0
 
-    def wants(self, state: State, u: float | None) -> bool:
-        queried = u is not None and 1 - u < state["theta"] * self.noise(state)
-        state["theta"] *= 1 - self.s if queried else 1 + self.s
-        return queried
+    def likes(self, state: State, u: float | None) -> bool:
+        return u is not None and 1 - u < state["theta"] * self.noise(state)
+
+    def moves(self, state: State) -> bool:
+        """Whether the n-th item moves the threshold."""
+        return self.room(state)
+
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
+        if self.moves(state):
+            state["theta"] *= 1 - self.s if queried else 1 + self.s
+        super().learn(state, u, queried)
 
 
 @dataclass
@@ -113,15 +153,21 @@ class SplitManager(VariableUncertaintyManager):
 
     v: float = 0.1
 
-    def wants(self, state: State, u: float | None) -> bool:
-        if hashed(self.seed, state["n"], 3) < self.v:
+    def at_random(self, state: State) -> bool:
+        return hashed(self.seed, state["n"], 3) < self.v
+
+    def likes(self, state: State, u: float | None) -> bool:
+        if self.at_random(state):
             return u is not None and hashed(self.seed, state["n"], 4) <= self.budget
-        return super().wants(state, u)
+        return super().likes(state, u)
+
+    def moves(self, state: State) -> bool:
+        return super().moves(state) and not self.at_random(state)
 
 
 @dataclass
 class RandomBudgetManager(EstimatedBudget):
-    def wants(self, state: State, u: float | None) -> bool:
+    def likes(self, state: State, u: float | None) -> bool:
         return u is not None and hashed(self.seed, state["n"]) <= self.budget
 
 
@@ -136,36 +182,54 @@ class DensityBasedSplitManager(BudgetManager):
     def initial(self) -> State:
         return {"n": 0, "queried": 0, "theta": self.theta}
 
-    def decide(self, state: State, u: float | None) -> bool:
-        left = self.budget > state["queried"] / state["n"]
-        if not left:
-            return False
-        queried = u is not None and 1 - u < state["theta"] * (1 + self.delta * hashed_normal(self.seed, state["n"]))
-        state["theta"] *= 1 - self.s if queried else 1 + self.s
+    def room(self, state: State) -> bool:
+        return self.budget > state["queried"] / state["n"]
+
+    def wants(self, state: State, u: float | None) -> bool:
+        return self.room(state) and u is not None and 1 - u < state["theta"] * (1 + self.delta * hashed_normal(self.seed, state["n"]))
+
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
+        if self.room(state):
+            state["theta"] *= 1 - self.s if queried else 1 + self.s
         state["queried"] += queried
-        return queried
 
 
 @dataclass
 class BalancedQuantileManager(BudgetManager):
-    """Queries utilities over a quantile of the last w, moved so that spending keeps to the budget."""
+    """Queries utilities over a quantile of the last w, moved so that spending keeps to the budget.
+
+    The last utilities are kept in their order and sorted, so an item costs a place found by bisection.
+    """
 
     w: int = 100
     w_tol: int = 50
 
     def initial(self) -> State:
-        return {"n": 0, "queried": 0, "history": []}
+        return {"n": 0, "queried": 0, "history": [], "sorted": []}
+
+    def with_item(self, state: State, u: float) -> list[float]:
+        """The sorted last w utilities once u is among them."""
+        h = list(state["sorted"])
+        if len(h) >= self.w:
+            del h[bisect_left(h, state["history"][0])]
+        insort(h, u)
+        return h
 
-    def decide(self, state: State, u: float | None) -> bool:
+    def wants(self, state: State, u: float | None) -> bool:
         if u is None:
             return False
-        state["history"] = (state["history"] + [u])[-self.w :]
-        h = state["history"]
-        theta = float(np.quantile(h, 1 - self.budget))
-        balanced = theta - (max(h) - min(h)) * (self.budget * state["n"] - state["queried"]) / self.w_tol
-        queried = u >= balanced
-        state["queried"] += queried
-        return bool(queried)
+        h = self.with_item(state, u)
+        place = (1 - self.budget) * (len(h) - 1)
+        k = min(int(place), len(h) - 1)
+        low, high, t = h[k], h[min(k + 1, len(h) - 1)], place - k
+        theta = low + (high - low) * t if t < 0.5 else high - (high - low) * (1 - t)
+        return u >= theta - (h[-1] - h[0]) * (self.budget * state["n"] - state["queried"]) / self.w_tol
+
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
+        if u is not None:
+            state["sorted"] = self.with_item(state, u)
+            state["history"] = [*state["history"], u][-self.w :]
+            state["queried"] += queried
 
 
 @dataclass
@@ -175,11 +239,11 @@ class PeriodicManager(BudgetManager):
     def initial(self) -> State:
         return {"n": 0, "queried": 0}
 
-    def step(self, state: State, utility: float | None) -> bool:
-        state["n"] += 1
-        queried = state["n"] * self.budget - state["queried"] >= 1 - 1e-9
+    def wants(self, state: State, u: float | None) -> bool:
+        return state["n"] * self.budget - state["queried"] >= 1 - 1e-9
+
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
         state["queried"] += queried
-        return queried
 
 
 @dataclass
@@ -191,16 +255,25 @@ class RandomManager(BudgetManager):
     def initial(self) -> State:
         return {"n": 0, "queried": 0}
 
-    def step(self, state: State, utility: float | None) -> bool:
-        state["n"] += 1
+    def wants(self, state: State, u: float | None) -> bool:
         room = self.allow_exceeding or state["n"] * self.budget - state["queried"] > 1
-        queried = room and hashed(self.seed, state["n"]) >= 1 - self.budget
+        return room and hashed(self.seed, state["n"]) >= 1 - self.budget
+
+    def learn(self, state: State, u: float | None, queried: bool) -> None:
         state["queried"] += queried
-        return queried
+
+
+class FeatureStrategy:
+    """A strategy whose state takes in the items' features besides their utilities."""
+
+    def query(self, state: State, utilities: Sequence[float | None], xs: Sequence[list[float]]) -> list[bool]:
+        """Decisions for a batch of items in order; the state stays as it is."""
+        trial = copy.deepcopy(state)
+        return [self.step(trial, u, x) for u, x in zip(utilities, xs, strict=True)]
 
 
 @dataclass
-class DensityStrategy:
+class DensityStrategy(FeatureStrategy):
     """Asks the manager only for items that are the new nearest neighbour of some recent one."""
 
     manager: BudgetManager = field(default_factory=DensityBasedSplitManager)
@@ -225,7 +298,7 @@ class DensityStrategy:
 
 
 @dataclass
-class CognitiveStrategy:
+class CognitiveStrategy(FeatureStrategy):
     """As density, with a memory whose weakest item goes: strength decays, and less so for items found near often."""
 
     manager: BudgetManager = field(default_factory=RandomVariableUncertaintyManager)
@@ -263,3 +336,12 @@ def cognitive(kind: str, **kwargs) -> CognitiveStrategy:
     """The named variants: Ran, FixUn, VarUn and RanVarUn."""
     managers = {"Ran": RandomBudgetManager, "FixUn": FixedUncertaintyManager, "VarUn": VariableUncertaintyManager, "RanVarUn": RandomVariableUncertaintyManager}
     return CognitiveStrategy(managers[kind](**kwargs))
+
+
+def check_budget_manager(budget: float | None = None, manager: BudgetManager | None = None, default: type[BudgetManager] = FixedUncertaintyManager) -> BudgetManager:
+    """The manager as given, else the default with the budget; a budget that differs from the manager's is warned about and not used."""
+    if manager is None:
+        return default() if budget is None else default(budget=budget)
+    if budget is not None and budget != manager.budget:
+        warnings.warn(f"the manager's budget of {manager.budget} holds, not {budget}", stacklevel=2)
+    return manager

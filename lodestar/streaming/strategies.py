@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lodestar.streaming.managers import BudgetManager, CognitiveStrategy, DensityStrategy
+from lodestar.functions.selection import DIGITS
+from lodestar.operators.classifiers import ParzenWindow
+from lodestar.operators.informative import cost_reduction
+from lodestar.streaming.managers import BalancedQuantileManager, BudgetManager, CognitiveStrategy, DensityStrategy, check_budget_manager
 
 Strategy = BudgetManager | DensityStrategy | CognitiveStrategy
 
@@ -72,6 +75,25 @@ def streamed(rows: DataFrame, strategy: Strategy, key: str, order: list[str], ut
     return rows.groupBy(key).transformWithStateInPandas(Processor(strategy, key, order, utility, x), schema, "append", "none")
 
 
+def probabilistic(rows: DataFrame, lab: DataFrame, clf: ParzenWindow, key: str, order: list[str], manager: BudgetManager | None = None, budget: float | None = None, m_max: int = 2, prior: float = 1e-3, weight: str | None = None, kernel: ParzenWindow | None = None, id_col: str = "id") -> DataFrame:
+    """``rows`` (id, x, ...) with ``utility`` and ``queried``: the expected gain of a label, filtered by a balanced quantile.
+
+    The gain is that of probabilistic active learning, from the classifier's
+    frequencies; with ``kernel`` from its probabilities times the summed
+    frequencies of another kernel classifier. ``weight`` is a column of densities.
+    """
+    use = check_budget_manager(budget, manager, BalancedQuantileManager)
+    plain = rows.select(F.col(id_col).alias("id"), "x", *([weight] if weight else []))
+    if kernel is None:
+        freq = clf.freq(plain, lab)
+    else:
+        both = kernel.freq(clf.probas(plain, lab), lab, "_n")
+        total = F.aggregate("_n", F.lit(0.0), lambda s, v: s + v)
+        freq = both.withColumn("freq", F.transform("p", lambda p: p * total))
+    gain = cost_reduction(freq, m_max, prior, weight=weight).select(F.col("id").alias(id_col), F.round("utility", DIGITS).alias("utility"))
+    return fold(rows.drop("utility").join(gain, id_col), use, key, order)
+
+
 def random_filter(rows: DataFrame, budget: float, seed: int, *keys: str) -> DataFrame:
     """Random sampling that may exceed its budget needs no state: a filter on a hash."""
     from lodestar.functions.rng import uniform

@@ -19,12 +19,19 @@ def pool(spark):
     return spark.createDataFrame(rows, "id long, x array<double>, y int, w double").cache()
 
 
-PARAMS = {"prob_cover": {"delta": 1.1}, "four_ds": {"components": 2}, "uncertainty": {"method": "entropy"}}
+PARAMS = {
+    "prob_cover": {"delta": 1.1}, "four_ds": {"components": 2}, "uncertainty": {"method": "entropy"}, "sub_sampled": {"max_candidates": 10}, "cost_embedding": {"cost": [[0, 1], [1, 0]]},
+    "dual": {"delta": 0.1, "gain": 0.05}, "epistemic_logistic": {"levels": 10}, "variance_reduction": {"method": "quantile", "n": 3}, "output_change": {"loss": lambda a, b: abs(a - b)}, "information_gain": {"normal": False, "n": 2, "nodes": 8},
+}
+CLUB = [C.ParzenWindow([0, 1], gamma=g) for g in (0.2, 0.5, 2.0)]
+ASKED = dict.fromkeys(("committee_kl", "committee_votes", "committee_variation", "bald", "batch_bald"), CLUB)
+ASKED |= dict.fromkeys(("model_change", "output_change", "variance_reduction", "information_gain", "greedy_y", "greedy_xy"), R.NormalInverseChi(gamma=0.5))
+ASKED["committee_std"] = [R.NormalInverseChi(gamma=g) for g in (0.2, 1.0)]
 
 
 @pytest.mark.parametrize("name", [*api.SCORED, *api.STEPPED])
 def test_every_strategy_gives_a_batch(pool, name):
-    s = api.Strategy(name, C.ParzenWindow([0, 1], gamma=0.5), seed=1, params=PARAMS.get(name, {}))
+    s = api.Strategy(name, ASKED.get(name, C.ParzenWindow([0, 1], gamma=0.5)), seed=1, params=PARAMS.get(name, {}))
     got = s.query(pool, batch_size=2).orderBy("step").collect()
     assert [r.step for r in got] == [1, 2] and len({r.id for r in got}) == 2 and all(r.id >= 6 for r in got)
     assert got == s.query(pool, batch_size=2).orderBy("step").collect()

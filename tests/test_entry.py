@@ -11,7 +11,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
-CHECKED = ["us_entropy_top20", "pwc_knn_freq", "qbc_vote_entropy", "mcpal_m2", "core_set_k3", "gsi", "prob_cover_k3", "contrastive_knn", "nic_mean_std", "emvr_linear", "confusion_all", "majority_vote", "ie_threshold", "sa_wrapper_pairs", "variable_uncertainty_stream", "decision_boundary"]
+CHECKED = ["us_entropy_top20", "pwc_knn_freq", "qbc_vote_entropy", "mcpal_m2", "core_set_k3", "gsi", "prob_cover_k3", "contrastive_knn", "nic_mean_std", "emvr_linear", "confusion_all", "majority_vote", "ie_threshold", "sa_wrapper_pairs", "variable_uncertainty_stream", "decision_boundary", "interval_estimation_upper", "annotator_query", "combine_ranking", "combine_ranking_per", "biqf_stream", "probabilistic_stream", "emvr_gauss_hermite", "kl_max", "emoc_absolute", "expected_target", "bayesian_linear", "qbc_kl", "bald", "qbc_std", "parallel_utilities"]
 
 
 def entry():
