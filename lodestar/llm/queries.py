@@ -135,17 +135,17 @@ FROM conversations
 
 _CALLS = """
 WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, 't' || turn AS id FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL),
-c AS (SELECT *, 3 * turn AS at, count(*) OVER (PARTITION BY conv_id, id) AS n, turn % 7 = 3 AS bad, turn % 5 <> 4 AS answered FROM u),
-r AS (SELECT *, 3 * turn + CASE WHEN turn % 2 = 0 THEN 1 ELSE -1 END AS at FROM u WHERE turn % 5 <> 4),
+c AS (SELECT *, 3 * turn AS place, count(*) OVER (PARTITION BY conv_id, id) AS n, turn % 7 = 3 AS bad, turn % 5 <> 4 AS answered FROM u),
+r AS (SELECT *, 3 * turn + CASE WHEN turn % 2 = 0 THEN 1 ELSE -1 END AS place FROM u WHERE turn % 5 <> 4),
 e AS (SELECT *, CASE WHEN n > 1 THEN 'repeated identifier' WHEN bad THEN 'missing: query; wrong type: place.turn' WHEN NOT answered THEN 'call without a result' END AS error FROM c)
-SELECT conv_id, at AS turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, 'assistant' AS role, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BIGINT) AS call_turn, at AS order_turn, CAST(0 AS INTEGER) AS order_step,
+SELECT conv_id, place AS turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, 'assistant' AS role, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BIGINT) AS call_turn, place AS order_turn, CAST(0 AS INTEGER) AS order_step,
        TRUE AS valid, CAST(NULL AS VARCHAR) AS error, '{"content":null,"role":"assistant"}' AS json FROM c
 UNION ALL
-SELECT conv_id, at, 1, 'call', 'assistant', id, at, at, 1, error IS NULL, error,
+SELECT conv_id, place, 1, 'call', 'assistant', id, place, place, 1, error IS NULL, error,
        '{"arguments":' || CASE WHEN bad THEN CAST(json_object('place', json_object('turn', text)) AS VARCHAR) ELSE CAST(json_object('place', json_object('turn', turn), 'query', text) AS VARCHAR) END
        || ',"id":"' || id || '","name":"search","type":"tool_call"}' FROM e
 UNION ALL
-SELECT conv_id, at, 0, 'result', 'tool', id, 3 * turn, CASE WHEN at < 3 * turn THEN 3 * turn ELSE at END, CASE WHEN at < 3 * turn THEN 2 ELSE 0 END, TRUE, NULL,
+SELECT conv_id, place, 0, 'result', 'tool', id, 3 * turn, CASE WHEN place < 3 * turn THEN 3 * turn ELSE place END, CASE WHEN place < 3 * turn THEN 2 ELSE 0 END, TRUE, NULL,
        CAST(json_object('content', text, 'role', 'tool', 'tool_call_id', id) AS VARCHAR) FROM r
 """
 
