@@ -60,7 +60,8 @@ def greedy_steps(scored: DataFrame, k: int, step_of: Callable[[DataFrame, object
 
 def nearest_distance(rows: DataFrame, ref: DataFrame, metric: str = "euclidean", out: str = "d") -> DataFrame:
     """``rows`` with the least distance to a reference row; null without any."""
-    got = against(rows, ref.select("id", "x"), lambda a, b: distances(a["x"], b["x"], metric).min(axis=1), "min", "_d")
+    places = ref.groupBy("x").agg(F.min("id").alias("id")).select("id", "x")
+    got = against(rows, places, lambda a, b: distances(a["x"], b["x"], metric).min(axis=1), "min", "_d")
     return got.withColumn(out, F.col("_d")[0]).drop("_d")
 
 
