@@ -26,11 +26,12 @@ class NormalInverseChi:
         self.mu_0, self.kappa_0, self.sigma_sq_0, self.nu_0 = mu_0, kappa_0, sigma_sq_0, nu_0
 
     def sums(self, rows: DataFrame, lab: DataFrame, out: str = "s") -> DataFrame:
-        """``rows`` with kernel sums of one, target and squared target (centred)."""
-        ref = lab.filter(F.col("y").isNotNull()).select("id", "x", (F.col("y").cast("double") - self.shift).alias("t"), F.coalesce("w", F.lit(1.0)).alias("w"))
+        """``rows`` with kernel sums of one, target and squared target (centred). Labelled rows at one place are added up first."""
+        t, w = F.col("y").cast("double") - self.shift, F.coalesce("w", F.lit(1.0))
+        ref = lab.filter(F.col("y").isNotNull()).groupBy("x").agg(F.min("id").alias("id"), F.array(F.sum(w), F.sum(w * t), F.sum(w * t * t)).alias("s")).select("id", "x", "s")
 
         def f(a: Side, b: Side) -> np.ndarray:
-            return kernels(a["x"], b["x"], self.metric, self.gamma) @ (b["w"][:, None] * np.stack([np.ones_like(b["t"]), b["t"], b["t"] ** 2], axis=1))
+            return kernels(a["x"], b["x"], self.metric, self.gamma) @ b["s"]
 
         return against(rows, ref, f, "sum", out, [0.0, 0.0, 0.0])
 
@@ -193,6 +194,13 @@ def expectation(rows: DataFrame, target: Callable[[Column], Column], method: str
     raise ValueError(f"no method {method}")
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """Rows (id, x, n): the distinct features, the least id there and how many rows, dealt to all cores as pairs of them are dear."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n")).select("id", "x", "n").repartition(parts)
+
+
 def _grown(reg: NormalInverseChi, a: Side, b: Side, y: np.ndarray):
     """Posterior of each evaluation row after one more label y (for each candidate) at a candidate."""
     k = kernels(a["x"], b["x"], reg.metric, reg.gamma)
@@ -223,19 +231,24 @@ def _nodes(method: str, n: int, nu: np.ndarray, seed: int = 0) -> list[tuple[np.
 
 
 def _retrained(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: NormalInverseChi, effect: Callable, method: str, n: int, seed: int = 0) -> DataFrame:
-    """Mean over evaluation rows of ``effect`` of adding a candidate with its predicted label, over the nodes of the prediction."""
-    ready = reg.sums(evaluation.select("id", "x"), lab, "s")
+    """Mean over evaluation rows of ``effect`` of adding a candidate with its predicted label, over the nodes of the prediction.
+
+    Rows at one place have one prediction and one effect: each place is asked
+    about once, and counts as often as evaluation rows stand there.
+    """
+    ready = reg.sums(places(evaluation), lab, "s")
 
     def f(a: Side, b: Side) -> np.ndarray:
         out = np.zeros((len(a["id"]), 2))
-        out[:, 1] = len(b["id"])
+        out[:, 1] = b["n"].sum()
         old = reg.posterior(b["s"][:, 0], b["s"][:, 1], b["s"][:, 2], np)
         for x, w in _nodes(method, n, a["nu"].astype(float), seed):
-            out[:, 0] += w * effect(old, _grown(reg, a, b, a["loc"] + a["scale"] * x)).sum(axis=1)
+            out[:, 0] += w * effect(old, _grown(reg, a, b, a["loc"] + a["scale"] * x)) @ b["n"]
         return out
 
-    rows = reg.predict(cand.select("id", "x"), lab).select("id", "x", "nu", "loc", "scale")
-    return against(rows, ready, f, "sum", "_r", [0.0, 1.0]).select("id", (F.col("_r")[0] / F.col("_r")[1]).alias("utility"))
+    rows = reg.predict(places(cand).select("id", "x"), lab).select("id", "x", "nu", "loc", "scale")
+    got = against(rows, ready, f, "sum", "_r", [0.0, 1.0]).select(F.col("x").alias("_x"), (F.col("_r")[0] / F.col("_r")[1]).alias("utility"))
+    return cand.select("id", "x").join(got, F.col("x").eqNullSafe(F.col("_x"))).select("id", "utility")
 
 
 def squared(new: np.ndarray, old: np.ndarray) -> np.ndarray:

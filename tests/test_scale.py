@@ -3,7 +3,6 @@
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodestar.plans import registry
 
@@ -16,3 +15,40 @@ def test_prob_cover_query_ends_when_all_is_covered(spark, tmp_path):
     want = con.execute(registry.oracle_sql()["prob_cover_k3"]).fetchall()
     got = registry.queries()["prob_cover_k3"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+POSTERIORS = {
+    "emoc_absolute": lambda R, c, l, r: R.model_output_change(c, l, c, r, loss=lambda a, b: abs(a - b)),
+}
+
+
+@pytest.mark.parametrize("name", POSTERIORS)
+def test_rows_at_one_place_are_asked_about_once(spark, name, monkeypatch):
+    """As many pairs as there are pairs of places; utilities as of all rows."""
+    from lodestar.operators import regressors as R
+
+    rows = [(k, [float(k % 5), 0.5 * (k % 2)], float(k % 7) if k < 12 else None, 1.0 + k % 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, w double")
+    lab, cand, reg = df.filter("y is not null"), df.filter("y is null"), R.NormalInverseChi(gamma=0.5, shift=3.0)
+    asked = []
+    whole = R.against
+    monkeypatch.setattr(R, "against", lambda rows, ref, *a, **kw: asked.append((rows.count(), ref.count())) or whole(rows, ref, *a, **kw))
+    got = {r.id: r.utility for r in POSTERIORS[name](R, cand, lab, reg).collect()}
+    assert len(got) == 188 and asked and all(n <= 10 and m <= 10 for n, m in asked)
+    # by hand, for all pairs of rows
+    x, t, w = (np.array([r[k] for r in rows[:12]], dtype=float) for k in (1, 2, 3))
+    sums = lambda p: [float(v) for v in np.exp(-0.5 * ((x - np.array(p)) ** 2).sum(1)) @ (w[:, None] * np.stack([np.ones(12), t - 3, (t - 3) ** 2], axis=1))]
+    post = lambda s: [v.item() for v in reg.posterior(*(np.array([v]) for v in s), lib=np)]
+    place = {r[0]: r[1] for r in rows[12:]}
+    nodes = R.gauss_hermite(3) if name in ("kl_max", "emvr_gauss_hermite") else [(0.0, 1.0)]
+    var = lambda d: d[2] ** 2 * d[0] / (d[0] - 2)
+    for i in (12, 13, 21):
+        nu, loc, scale = post(sums(place[i]))
+        total = 0.0
+        for z, v in nodes:
+            new = loc + scale * z - 3
+            for e in place.values():
+                s, k = sums(e), float(np.exp(-0.5 * ((np.array(e) - place[i]) ** 2).sum()))
+                o, n = post(s), post([s[0] + k, s[1] + k * new, s[2] + k * new * new])
+                total += v * {"emoc_absolute": abs(n[1] - o[1]), "emoc_linear": (n[1] - o[1]) ** 2, "kl_max": 0.5 * np.log(var(o) / var(n)) + (var(n) + (n[1] - o[1]) ** 2) / (2 * var(o)) - 0.5}.get(name, var(o) - var(n))
+        assert got[i] == pytest.approx(total / len(place), rel=1e-9)
