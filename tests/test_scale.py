@@ -19,6 +19,7 @@ def test_prob_cover_query_ends_when_all_is_covered(spark, tmp_path):
 
 POSTERIORS = {
     "emoc_absolute": lambda R, c, l, r: R.model_output_change(c, l, c, r, loss=lambda a, b: abs(a - b)),
+    "emoc_linear": lambda R, c, l, r: R.model_output_change(c, l, c, r),
 }
 
 
