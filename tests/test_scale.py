@@ -21,6 +21,7 @@ POSTERIORS = {
     "emoc_absolute": lambda R, c, l, r: R.model_output_change(c, l, c, r, loss=lambda a, b: abs(a - b)),
     "emoc_linear": lambda R, c, l, r: R.model_output_change(c, l, c, r),
     "emvr_linear": lambda R, c, l, r: R.variance_reduction(c, l, c, r),
+    "emvr_gauss_hermite": lambda R, c, l, r: R.variance_reduction(c, l, c, r, "gauss_hermite", 3),
 }
 
 
