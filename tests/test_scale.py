@@ -22,6 +22,7 @@ POSTERIORS = {
     "emoc_linear": lambda R, c, l, r: R.model_output_change(c, l, c, r),
     "emvr_linear": lambda R, c, l, r: R.variance_reduction(c, l, c, r),
     "emvr_gauss_hermite": lambda R, c, l, r: R.variance_reduction(c, l, c, r, "gauss_hermite", 3),
+    "kl_max": lambda R, c, l, r: R.information_gain(c, l, c, r, n=3),
 }
 
 
