@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs as pfs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import exprs as E
@@ -14,9 +17,10 @@ from lodestar.functions.rng import uniform
 from lodestar.functions.selection import DIGITS, proportional, rand_argmax, smallest, top_k
 from lodestar.operators.classifiers import ParzenWindow, mixture_responsibilities
 from lodestar.operators.pairs import Side, against, distances, fetched
+from lodestar.sources.tables import new_folder
 
-#: Rows of operators that invert a matrix over all of them.
-MATRIX_ROWS = 4000
+#: Rows of a block of a factored matrix, and bytes of right sides that a task solves at once.
+BLOCK_ROWS, SOLVE_BYTES = 1024, 64 << 20
 #: Picks after which the state of a greedy batch is kept anew.
 REFRESH = 8
 
@@ -413,37 +417,97 @@ def discriminative_steps(cand: DataFrame, lab: DataFrame, k: int = 1, clf: Parze
     return cand.sparkSession.createDataFrame(out, "step int, id long, utility double")
 
 
+class Factor:
+    """The Cholesky factor L of kernel + diagonal over rows ``x``, in blocks of files in the shared folder.
+
+    Tasks make a column of blocks at a time, each its own block; of a block on the
+    diagonal the inverse is kept. No process holds more than a few blocks.
+    """
+
+    def __init__(self, spark: SparkSession, x: np.ndarray, ridge: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.folder, self.kernel, self.size = new_folder(spark, "factor"), kernel, BLOCK_ROWS
+        self.n = -(-len(x) // self.size)
+        self.sent = spark.sparkContext.broadcast((x, ridge))
+        for k in range(self.n):
+            spark.sparkContext.parallelize(range(k, self.n), self.n - k).foreach(lambda i, k=k: self._make(i, k))
+
+    def part(self, i: int) -> slice:
+        return slice(i * self.size, (i + 1) * self.size)
+
+    def load(self, i: int, k: int) -> np.ndarray:
+        fs, root = pfs.FileSystem.from_uri(self.folder)
+        rows = len(self.sent.value[1][self.part(i)])
+        with fs.open_input_file(f"{root}/{i}-{k}") as f:
+            return np.frombuffer(f.read()).reshape(rows, -1)
+
+    def _make(self, i: int, k: int) -> None:
+        x, ridge = self.sent.value
+        top = self.kernel(x[self.part(k)], x[self.part(k)]) + np.diag(ridge[self.part(k)])
+        own = self.kernel(x[self.part(i)], x[self.part(k)])
+        for j in range(k):
+            above = self.load(k, j)
+            top = top - above @ above.T
+            own = own - self.load(i, j) @ above.T if i > k else own
+        inverse = np.linalg.inv(np.linalg.cholesky(top))
+        fs, root = pfs.FileSystem.from_uri(self.folder)
+        fs.create_dir(root, recursive=True)
+        part = f"{root}/{i}-{k}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as f:
+            f.write(np.ascontiguousarray(own @ inverse.T if i > k else inverse).tobytes())
+        fs.move(part, f"{root}/{i}-{k}")
+
+    def solve(self, right: Callable[[int], np.ndarray]) -> list[np.ndarray]:
+        """L^-1 of a matrix, which ``right`` gives by blocks of rows."""
+        out: list[np.ndarray] = []
+        for i in range(self.n):
+            v = right(i)
+            for j in range(i):
+                v = v - self.load(i, j) @ out[j]
+            out.append(self.load(i, i) @ v)
+        return out
+
+
 def quire(pool: DataFrame, classes: list, lmbda: float = 1.0, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows (id, utility): the min-max view of informativeness and representativeness, one class against the rest.
 
-    It inverts a matrix over all rows of the pool, so the pool is limited to
-    MATRIX_ROWS rows: a larger one is an error, not cut.
+    With L the inverse of the kernel matrix K plus lambda, the least over the
+    other rows' labels is in closed form: for a row s and class signs y it is
+    y' A^-1 y + (|k' A^-1 y| + 1)^2 / (K_ss + lambda - k' A^-1 k), where A is K plus
+    lambda over the labelled rows alone and k their kernels with s. So only A is
+    factored, by blocks (:class:`Factor`), and each candidate stands for itself:
+    pools of any size. Labelled rows at one place count as one of their mean label.
     """
-    from lodestar.operators.pairs import kernels
+    from lodestar.operators.pairs import as_arrays, kernels
 
-    if pool.count() > MATRIX_ROWS:
-        raise ValueError(f"quire takes pools of at most {MATRIX_ROWS} rows")
+    spark, k_of = pool.sparkSession, kernel or (lambda a, b: kernels(a, b, "rbf"))
     code = F.array_position(F.array(*map(F.lit, sorted(classes))), F.col("y")) - 1
-    s = fetched(pool.select("id", "x", code.cast("double").alias("c")))
-    known = ~np.isnan(s["c"].astype(float))
-    k = (kernel or (lambda a, b: kernels(a, b, "rbf")))(s["x"], s["x"])
-    el = np.linalg.inv(k + lmbda * np.eye(len(k)))
-    lab, un = np.flatnonzero(known), np.flatnonzero(~known)
-    inv_uu = np.linalg.inv(el[np.ix_(un, un)]) if len(un) else np.zeros((0, 0))
-    worst = np.full(len(un), -np.inf)
-    own, gone = np.diag(inv_uu), 1 - np.eye(len(un))
-    for c in range(len(classes)):
-        y = np.where(s["c"][lab] == c, 1.0, -1.0)
-        fixed = y @ el[np.ix_(lab, lab)] @ y
-        ul = el[np.ix_(un, lab)] @ y
-        for sign in (1.0, -1.0):
-            # one column for each row asked about: the other rows' terms, with its own taken out of the inverse
-            v = (ul[:, None] + sign * el[np.ix_(un, un)]) * gone
-            mv = inv_uu @ v
-            form = (v * mv).sum(axis=0) - np.diag(mv) ** 2 / own
-            worst = np.maximum(worst, fixed + 2 * sign * ul - form)
-    u = -(el[un, un] + worst)
-    return pool.sparkSession.createDataFrame([(int(s["id"][r]), float(x)) for r, x in zip(un, u, strict=True)], "id long, utility double")
+    rows = pool.select("id", "x", code.alias("c"))
+    n = F.count(F.lit(1)).cast("double")
+    signs = F.array(*((2 * F.sum((F.col("c") == c).cast("double")) - n) / n for c in range(len(classes))))
+    lab = fetched(rows.filter("c is not null").groupBy("x", *([] if lmbda > 0 else ["id"])).agg(F.min("id").alias("i"), n.alias("n"), signs.alias("y")).select("i", "x", "n", "y"))
+    m = len(lab["i"])
+    y, count = lab["y"].reshape(m, len(classes)), lab["n"]
+    factor = Factor(spark, lab["x"], lmbda / count, k_of) if m else None
+    vy = factor.solve(lambda i: y[factor.part(i)]) if m else []
+    fixed = sum(((v * v).sum(axis=0) for v in vy), ((1 - y * y) * count[:, None] / lmbda).sum(axis=0) if lmbda > 0 else np.zeros(len(classes)))
+    sent = spark.sparkContext.broadcast(vy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SOLVE_BYTES // (8 * max(1, m)))
+        for b in batches:
+            for s in range(0, b.num_rows, step):
+                part = b.slice(s, step)
+                x = as_arrays(part)["x"]
+                left = np.array([k_of(r[None], r[None])[0, 0] for r in x]) + lmbda
+                mean = np.zeros((len(classes), len(x)))
+                if factor:
+                    v = factor.solve(lambda i, x=x: k_of(factor.sent.value[0][factor.part(i)], x))
+                    left = left - sum((t * t).sum(axis=0) for t in v)
+                    mean = sum(a.T @ t for a, t in zip(sent.value, v, strict=True))
+                u = -(fixed[:, None] + (np.abs(mean) + 1) ** 2 / left).max(axis=0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(u)], names=["id", "utility"])
+
+    return rows.filter("c is null").select(F.col("id").cast("long"), "x").mapInArrow(run, "id long, utility double")
 
 
 def sub_sampled(cand: DataFrame, max_candidates: int | float, strategy: Callable[[DataFrame], DataFrame], seed: int = 0, exclude: bool = False) -> DataFrame:

@@ -56,3 +56,38 @@ def test_rows_at_one_place_are_asked_about_once(spark, name, monkeypatch):
                 o, n = post(s), post([s[0] + k, s[1] + k * new, s[2] + k * new * new])
                 total += v * {"emoc_absolute": abs(n[1] - o[1]), "emoc_linear": (n[1] - o[1]) ** 2, "kl_max": 0.5 * np.log(var(o) / var(n)) + (var(n) + (n[1] - o[1]) ** 2) / (2 * var(o)) - 0.5}.get(name, var(o) - var(n))
         assert got[i] == pytest.approx(total / len(place), rel=1e-9)
+
+
+def whole_quire(x, y, classes, lmbda=1.0):
+    """QUIRE by its definition: for each row the worst sign, the others' labels at their best, over the inverse of the whole matrix."""
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    el = np.linalg.inv(np.exp(-d / x.shape[1]) + lmbda * np.eye(len(x)))
+    lab, un = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    out = {}
+    for s in un:
+        rest, worst = un[un != s], -np.inf
+        for c in classes:
+            own = np.append(np.where(y[lab] == c, 1.0, -1.0), 0.0)
+            for own[-1] in (1.0, -1.0):
+                at = np.append(lab, s)
+                v = el[np.ix_(rest, at)] @ own
+                worst = max(worst, own @ el[np.ix_(at, at)] @ own - v @ np.linalg.solve(el[np.ix_(rest, rest)], v))
+        out[int(s)] = -worst
+    return out
+
+
+def test_quire_takes_pools_of_any_size(spark, monkeypatch):
+    """Blocks smaller than the labelled rows, rows at one place, and a pool larger than one matrix was."""
+    from lodestar.operators import diverse as D
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((40, 3))
+    x[5], x[20], x[21] = x[3], x[3], x[30]
+    y = np.where(np.arange(40) < 16, np.arange(40) % 3, -1)
+    frame = lambda x, y: spark.createDataFrame([(k, v.tolist(), int(c) if c >= 0 else None) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int")
+    monkeypatch.setattr(D, "BLOCK_ROWS", 4)
+    for lmbda in (1.0, 0.3):
+        got = {r.id: r.utility for r in D.quire(frame(x, y), [0, 1, 2], lmbda).collect()}
+        assert got == pytest.approx(whole_quire(x, y, [0, 1, 2], lmbda))
+    assert {r.utility for r in D.quire(frame(x, np.full(40, -1)), [0, 1]).collect()} == {-0.5}
+    assert D.quire(frame(rng.standard_normal((4500, 2)), np.where(np.arange(4500) < 10, 0, -1)), [0, 1]).count() == 4490
