@@ -1,5 +1,7 @@
 """Queries over larger tables: rows that repeat, pools of many rows."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -91,3 +93,29 @@ def test_quire_takes_pools_of_any_size(spark, monkeypatch):
         assert got == pytest.approx(whole_quire(x, y, [0, 1, 2], lmbda))
     assert {r.utility for r in D.quire(frame(x, np.full(40, -1)), [0, 1]).collect()} == {-0.5}
     assert D.quire(frame(rng.standard_normal((4500, 2)), np.where(np.arange(4500) < 10, 0, -1)), [0, 1]).count() == 4490
+
+
+def test_expected_precision_of_many_rows(spark):
+    """As the recursion for each row, and in time for pools that it could not take."""
+    from lodestar.operators import informative as I
+
+    def precision(p):
+        chance, worth, t = np.zeros(len(p) + 1), np.zeros(len(p) + 1), np.arange(len(p) + 1)
+        chance[0] = worth[0] = 1.0
+        for n, q in enumerate(p, 1):
+            hit, worth_hit = q * chance[:-1], q * worth[:-1]
+            chance, worth = (1 - q) * chance, (1 - q) * worth
+            chance[1:] += hit
+            worth[1:] += worth_hit + hit * t[1:] / n
+            chance[0] = worth[0] = 0.0
+        return float((worth[1:] / t[1:]).sum())
+
+    frame = lambda p: spark.createDataFrame([(k, [float(v), float(1 - v)]) for k, v in enumerate(p)], "id long, p array<double>")
+    rng = np.random.default_rng(0)
+    for p in (rng.random(60), np.round(rng.random(60), 1), 1e-6 * rng.random(9), np.array([0.3, 0.6]), np.array([0.3]), np.ones(5)):
+        got = {r.id: r.utility for r in I.expected_average_precision(frame(p), 2).collect()}
+        want = {k: sum(precision(np.sort(np.delete(q, k))[::-1]) for q in (p, 1 - p)) for k in range(len(p))}
+        assert got == pytest.approx(want, rel=1e-11)
+    start = time.perf_counter()
+    assert I.expected_average_precision(frame(rng.random(8000)), 2).agg({"utility": "count"}).first()[0] == 8000
+    assert time.perf_counter() - start < 60
