@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontam, lang_id, packing, similar
-from lodestar.llm.common import id_bucket, new_path, table
+from lodestar.llm.common import id_bucket, new_path, table, written
+
+#: Marks of contaminated documents, eight bytes each, that are sent to all executors.
+SENT_MARKS = 1 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), similar.row_marks(docs)[0].alias("mark"))
     texts = marked.select(F.col("mark").alias("doc_id"), F.col("row.text").alias("text"))
     bad = decontam.contamination(texts, table(spark, sf_dir, "benchmark"), window=13, share=20).filter("contaminated")
-    return marked.join(bad.select(F.col("doc_id").alias("mark")).distinct(), "mark", "left_anti").select("row.*")
+    bad = written(bad.select(F.col("doc_id").alias("mark")).distinct(), "contaminated")
+    # Few marks go to the documents, which then stay where they are; many meet them by hash, without sorting whole documents.
+    bad = F.broadcast(bad) if bad.count() <= SENT_MARKS else bad.hint("shuffle_hash")
+    return marked.join(bad, "mark", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_map, new_path, texts_of, written
+from lodestar.llm.common import arrow_map, new_path, small_batches, texts_of, written
 
 #: Bytes of query text that are searched, and shipped to the executors, at once.
 QUERY_BLOCK_BYTES = 8 << 20
+#: Bytes of documents' texts in a segment of the index, about: what a worker, and a row on its way to a file, holds at once.
+SEGMENT_BYTES = 1 << 20
 #: Words are runs of 0-9, a-z and bytes above 127; A-Z are lower-cased.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SCHEMA = "segment long, doc_ids array<long>, doc_ends array<int>, terms array<binary>, list_ends array<int>, positions binary"
@@ -46,14 +48,23 @@ def tokenised(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(starts, bounds)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch (id, text) in parts of about SEGMENT_BYTES of text; a longer text is a part of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        below = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, below + SEGMENT_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of whole texts, as a written table of segments. Null texts have no words; repeated ids are documents of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for n, b in enumerate(batches):
-            if b.num_rows == 0:
-                continue
+        for n, b in enumerate(x for whole in batches for x in slices(whole)):
             words, ends = tokenised(texts_of(b.column(1)))
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy()
@@ -72,6 +83,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     out = arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), run, _SCHEMA)
     path = new_path(docs.sparkSession, "index")
+    small_batches(docs.sparkSession, 500)  # of texts: a JVM keeps several batches outside its heap
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
@@ -143,7 +155,7 @@ class Windows:
     """The word windows of some query items, ready to be searched in segments: arrays of a bounded size, no object for each window."""
 
     #: Places that are tried at once.
-    AT_ONCE = 1 << 21
+    AT_ONCE = 1 << 19
 
     def __init__(self, items: Iterable[tuple[str, bytes]], size: int):
         names: list[str] = []
