@@ -42,11 +42,12 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message, tool call and result of the conversations as canonical JSON, in order."""
-    return chat.formatted(table(spark, sf_dir, "conversations"))
+    """Every message, tool call and result of the conversations as canonical JSON, in order; calls are checked against the tools' schemas."""
+    tools = spark.createDataFrame(_TOOLS, "name string, parameter string, type string, required boolean")
+    return chat.formatted(table(spark, sf_dir, "conversations"), tools)
 
 
-#: The tool of :func:`chat_tool_calls`.
+#: The schemas of the tools: all that a call may be of.
 _TOOLS = [("search", "query", "string", True), ("search", "place", "object", True), ("search", "place.turn", "integer", True)]
 
 
