@@ -159,39 +159,64 @@ def epistemic_logistic(rows: DataFrame, pool: DataFrame, levels: int = 50, ridge
     def like(w: np.ndarray) -> float:
         return float(sum(-(np.logaddexp(0, x @ w) - y * (x @ w)).sum() for x, y in data()) - 0.5 * ridge * w @ w)
 
-    def newton(w0: np.ndarray, z: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-        t = np.zeros(z.shape[1]) if start is None else z.T @ (start - w0)
-        for _ in range(25):
-            w = w0 + z @ t
-            g, h = -ridge * z.T @ w, (ridge + 1e-9) * np.eye(len(t))
-            for x, y in data():
-                p = 1 / (1 + np.exp(np.clip(-x @ w, -700, 700)))
-                xz = x @ z
-                g = g + xz.T @ (y - p)
-                h = h + (xz * (p * (1 - p))[:, None]).T @ xz
-            move = np.linalg.solve(h, g)
-            t = t + move
+    def climb(a: np.ndarray | None, target: float, w: np.ndarray, inverse: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The best weights, or those with ``a @ w`` at the target, by Newton steps from w; a Hessian's inverse serves as long as the gradient falls well."""
+        last = math.inf
+        if a is not None:
+            w = w + a * ((target - a @ w) / (a @ a))
+        for _ in range(200):
+            ps = [1 / (1 + np.exp(np.clip(-x @ w, -700, 700))) for x, _ in data()]
+            g = sum(((y - p) @ x for (x, y), p in zip(data(), ps, strict=True)), -ridge * w)
+            size = np.linalg.norm(g if a is None else g - a * ((a @ g) / (a @ a)))
+            if inverse is None or size > 0.3 * last:
+                inverse = np.linalg.inv(sum(((x * (p * (1 - p))[:, None]).T @ x for (x, _), p in zip(data(), ps, strict=True)), (ridge + 1e-9) * np.eye(len(w))))
+            last, move = size, inverse @ g
+            if a is not None:
+                along = inverse @ a
+                move = move - along * ((a @ move) / (a @ along))
+            w = w + move
             if np.abs(move).max(initial=0.0) < 1e-9:
                 break
-        return w0 + z @ t
+        return w, inverse
 
-    dim = data()[0][0].shape[1]
-    best = like(newton(np.zeros(dim), np.eye(dim)))
+    free, curve = climb(None, 0.0, np.zeros(data()[0][0].shape[1]), None)
+    best = like(free)
     held.clear()  # not to be shipped with the function
     alphas = (np.arange(levels) + 0.5) / levels
 
+    def support(a: np.ndarray) -> float:
+        """The lesser support of either class.
+
+        The likelihood at a level falls on both sides of the fit's own level, and
+        the other bound is a line: each maximum is found by bisection of the levels.
+        """
+        known: dict[int, float] = {}
+        at: dict[int, np.ndarray] = {}
+
+        def r(k: int) -> float:
+            if k not in known:
+                near = min(at, key=lambda j: abs(j - k), default=None)  # a level's weights are where another's steps begin
+                at[k], _ = climb(a, math.log(alphas[k] / (1 - alphas[k])), free if near is None else at[near], curve)
+                known[k] = math.exp(min(0.0, like(at[k]) - best))
+            return known[k]
+
+        def first(low: int, high: int, holds: Callable[[int], bool]) -> int:
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if holds(mid) else (mid + 1, high)
+            return low
+
+        own = int(np.searchsorted(alphas, 1 / (1 + math.exp(min(700.0, max(-700.0, -(a @ free)))))))  # the levels below the fit's
+        up = first(own, levels, lambda k: 2 * alphas[k] > 1 and r(k) <= 2 * alphas[k] - 1)
+        down = first(0, own, lambda k: 2 * alphas[k] >= 1 or r(k) >= 1 - 2 * alphas[k])
+        some = lambda ks: [k for k in ks if 0 <= k < levels]
+        pos = max((min(r(k), 2 * alphas[k] - 1) for k in some({own - 1, up - 1, up}) if 2 * alphas[k] > 1), default=0.0)
+        neg = max((min(r(k), 1 - 2 * alphas[k]) for k in some({own, down - 1, down}) if 2 * alphas[k] < 1), default=0.0)
+        return min(pos, neg)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                a = np.array([*v, 1.0])
-                z = np.linalg.svd(a[None])[2][1:].T
-                pos, neg, w = 0.0, 0.0, None
-                for alpha in alphas:  # a level's weights are where the next one's steps begin
-                    w = newton(a * (math.log(alpha / (1 - alpha)) / (a @ a)), z, w)
-                    r = math.exp(min(0.0, like(w) - best))
-                    pos, neg = max(pos, min(r, 2 * alpha - 1)), max(neg, min(r, 1 - 2 * alpha))
-                out.append(min(pos, neg))
+            out = [float(support(np.array([*v, 1.0]))) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "utility"])
 
     return rows.select(F.col("id").cast("long"), "x").mapInArrow(run, "id long, utility double")

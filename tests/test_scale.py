@@ -119,3 +119,35 @@ def test_expected_precision_of_many_rows(spark):
     start = time.perf_counter()
     assert I.expected_average_precision(frame(rng.random(8000)), 2).agg({"utility": "count"}).first()[0] == 8000
     assert time.perf_counter() - start < 60
+
+
+def test_epistemic_logistic_finds_its_levels(spark):
+    """As the maximum over all levels, each with Newton steps of its own; and the query on sf0.1 in time."""
+    from lodestar.operators import informative as I
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 2))
+    y = (x[:, 0] + 0.5 * rng.standard_normal(40) > 0.3).astype(int)
+    ask = np.concatenate([2 * rng.standard_normal((6, 2)), x[:2], np.zeros((1, 2))])
+    pool = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int")
+    got = [r.utility for r in I.epistemic_logistic(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(ask)], "id long, x array<double>"), pool, 50).orderBy("id").collect()]
+    one = np.hstack([x, np.ones((40, 1))])
+    like = lambda w: float((y * (one @ w) - np.logaddexp(0, one @ w)).sum() - 0.5e-3 * w @ w)
+
+    def newton(w0, z):
+        t = np.zeros(z.shape[1])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-one @ (w0 + z @ t)))
+            t = t + np.linalg.solve((one @ z * (p * (1 - p))[:, None]).T @ (one @ z) + 1e-3 * np.eye(len(t)), z.T @ (one.T @ (y - p) - 1e-3 * (w0 + z @ t)))
+        return w0 + z @ t
+
+    best, want = like(newton(np.zeros(3), np.eye(3))), []
+    for v in ask:
+        a = np.array([*v, 1.0])
+        z = np.linalg.svd(a[None])[2][1:].T
+        levels = [(m, np.exp(min(0.0, like(newton(a * (np.log(m / (1 - m)) / (a @ a)), z)) - best))) for m in (np.arange(50) + 0.5) / 50]
+        want.append(min(max(0.0, *(min(r, 2 * m - 1) for m, r in levels)), max(0.0, *(min(r, 1 - 2 * m) for m, r in levels))))
+    assert got == pytest.approx(want, abs=1e-8) and max(want) > 0.1
+    start = time.perf_counter()
+    assert registry.queries()["epistemic_logistic"](spark, "/root/testdata/sf0.1").agg({"utility": "sum"}).first()[0] > 0
+    assert time.perf_counter() - start < 60
