@@ -16,11 +16,13 @@ from lodestar.functions import exprs as E
 from lodestar.functions.rng import uniform
 from lodestar.functions.selection import DIGITS, proportional, rand_argmax, smallest, top_k
 from lodestar.operators.classifiers import ParzenWindow, mixture_responsibilities
-from lodestar.operators.pairs import Side, against, distances, fetched
+from lodestar.operators.pairs import PAIRS_AT_ONCE, Side, against, as_arrays, distances, fetched
 from lodestar.sources.tables import new_folder
 
 #: Rows of a block of a factored matrix, and bytes of right sides that a task solves at once.
 BLOCK_ROWS, SOLVE_BYTES = 1024, 64 << 20
+#: Clusters beyond which a round of ``pyspark.ml``'s k-means, and its choice of the first centres, take too long.
+MANY_CLUSTERS = 256
 #: Picks after which the state of a greedy batch is kept anew.
 REFRESH = 8
 
@@ -221,6 +223,41 @@ def typicality(rows: DataFrame, k: int = 5, eps: float = 1e-7) -> DataFrame:
     return n.select("id", F.col("c").cast(dict(rows.dtypes)["cluster"]).alias("cluster"), u.alias("utility"))
 
 
+def many_means(rows: DataFrame, k: int, seed: int = 0, rounds: int = 20, tol: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
+    """k-means for a number of clusters that grows with the rows: each round is products of matrices over all rows and centres.
+
+    The first centres are k distinct places of smallest hash (fewer places:
+    fewer clusters). The centres come to the driver, as those of ``pyspark.ml`` do; no row does.
+    """
+    spark, places = rows.sparkSession, rows.groupBy("x").agg(F.min("id").alias("id"))
+    centres = np.array([r.x for r in places.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("x").limit(k).collect()], dtype=float)  # k centres
+    data = rows.persist()
+
+    def assigned(centres: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast(centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = sent.value
+            half, step = (c * c).sum(axis=1) / 2, max(1, PAIRS_AT_ONCE // len(c))
+            for b in batches:
+                x = as_arrays(b.select(["x"]))["x"]
+                own = [(half - x[s : s + step] @ c.T).argmin(axis=1) for s in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(own) if own else [], pa.int32())], names=[*b.schema.names, "cluster"])
+
+        return data.mapInArrow(run, data.withColumn("cluster", F.lit(0)).schema)
+
+    for _ in range(rounds):
+        means = assigned(centres).groupBy("cluster").agg(F.array(*(F.avg(F.col("x")[d]) for d in range(centres.shape[1]))).alias("m"))
+        new = centres.copy()
+        got = means.toArrow()  # k centres
+        new[got.column("cluster").to_numpy()] = got.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, centres.shape[1])
+        moved, centres = np.abs(new - centres).max(initial=0.0), new
+        if moved < tol:
+            break
+    data.unpersist()
+    return assigned(centres), centres
+
+
 def clustered(rows: DataFrame, k: int, seed: int = 0, weight: str | None = None, estimator=None) -> tuple[DataFrame, np.ndarray]:
     """``rows`` with a ``cluster``, and the centres.
 
@@ -232,6 +269,8 @@ def clustered(rows: DataFrame, k: int, seed: int = 0, weight: str | None = None,
 
     if estimator is not None and not hasattr(estimator, "fit"):
         return estimator(rows, k, seed, weight)
+    if estimator is None and weight is None and k > MANY_CLUSTERS:
+        return many_means(rows, k, seed)
     km = estimator.copy().setK(k) if estimator is not None else KMeans(k=k, seed=seed, maxIter=20)
     km.setParams(featuresCol="_f", predictionCol="cluster")
     if weight:
@@ -477,7 +516,7 @@ def quire(pool: DataFrame, classes: list, lmbda: float = 1.0, kernel: Callable[[
     factored, by blocks (:class:`Factor`), and each candidate stands for itself:
     pools of any size. Labelled rows at one place count as one of their mean label.
     """
-    from lodestar.operators.pairs import as_arrays, kernels
+    from lodestar.operators.pairs import kernels
 
     spark, k_of = pool.sparkSession, kernel or (lambda a, b: kernels(a, b, "rbf"))
     code = F.array_position(F.array(*map(F.lit, sorted(classes))), F.col("y")) - 1

@@ -151,3 +151,22 @@ def test_epistemic_logistic_finds_its_levels(spark):
     start = time.perf_counter()
     assert registry.queries()["epistemic_logistic"](spark, "/root/testdata/sf0.1").agg({"utility": "sum"}).first()[0] > 0
     assert time.perf_counter() - start < 60
+
+
+def test_many_clusters_are_made_in_time(spark):
+    """A cluster for each of many labelled rows; each row in that of its nearest centre, each centre the mean of its rows."""
+    from lodestar.operators import diverse as D
+
+    rng = np.random.default_rng(0)
+    spots = 100 * rng.standard_normal((300, 2))
+    x = np.concatenate([spots + 0.01 * rng.standard_normal((300, 2)) for _ in range(10)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    rows, centres = D.clustered(df, 290, 1)
+    own = dict((r.id, r.cluster) for r in rows.collect())
+    near = ((x[:, None] - centres[None]) ** 2).sum(-1)
+    own = np.array([own[k] for k in range(3000)])
+    assert centres.shape == (290, 2) and np.allclose(near[np.arange(3000), own], near.min(axis=1), atol=1e-6)
+    lab, cand = df.filter("id % 3 = 0"), df.filter("id % 3 <> 0")
+    start = time.perf_counter()
+    got = D.typi_clust(cand, lab, 2, 1).collect()
+    assert len({r.id for r in got}) == 2 and all(r.id % 3 for r in got) and time.perf_counter() - start < 60
