@@ -34,6 +34,8 @@ DEPTH = 5
 BLOCK_BYTES, SCAN_BYTES = 16 << 20, 2 << 20
 #: Blocks whose rows of one context come together.
 GROUP_BLOCKS = 256
+#: Rows that a task gives back at once, and grams that are looked up at once.
+ROWS_OUT, ASKED_AT_ONCE = 20_000, 1 << 18
 _END = b"\xff"
 _LOWER = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HALF = math.log(0.5)
@@ -140,38 +142,77 @@ def values_of(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.nda
     return values[found][at]
 
 
-def block_counts(t: pa.Table) -> pa.Table:
-    """The distinct grams and words of a block with their counts in its training texts."""
-    texts, train = texts_of(t.column("text")), ~t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
-    keys, counts, found, seen = [], [], [], []
-    for s in scans(texts):
-        key, sizes = grams(texts[s])
-        k, c = counted(key, np.repeat(train[s], sizes).astype(np.uint64))
-        keys.append(k)
-        counts.append(c)
-        w, ends = words(texts[s])
-        coded = w.dictionary_encode()
-        owner = np.repeat(train[s], np.diff(np.concatenate([[0], ends])))
-        found.append(coded.dictionary)
-        seen.append(np.bincount(coded.indices.to_numpy(), owner, minlength=len(coded.dictionary)))
-    k, c = summed(np.concatenate(keys), np.concatenate(counts))
+class Grams:
+    """Grams with their counts gathered piece by piece; no more than the distinct ones are held for long."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        self.size += len(keys)
+        if self.size > 1 << 20 and len(self.held) > 1:
+            self.held = [self.total()]
+            self.size = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+
+
+def parts_of(b: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The runs of equal values of the (number) columns ``names`` in a batch, with those values."""
+    cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names]
+    new = np.ones(b.num_rows, dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    starts = np.flatnonzero(new).tolist()
+    for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+        yield tuple(int(c[s]) for c in cols), b.slice(s, e - s)
+
+
+def counts_out(block: int, held: Grams, found: list[pa.Array], seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A block's rows (block, ctx, keys, counts, word, n), so many at once."""
+
+    def batch(rows: int, **cols: pa.Array) -> pa.RecordBatch:
+        every = {"block": np.full(rows, block, dtype=np.int32)} | {k: cols.get(k, pa.nulls(rows, t)) for k, t in (("ctx", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("n", pa.int64()))}
+        return pa.RecordBatch.from_pydict(every)
+
+    k, c = held.total()
+    ctx = (k >> np.uint64(24)).astype(np.int32)
+    low = (k & np.uint64(0xFFFFFF)).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    ends = np.append(first[1:], len(k))
+    for s in range(0, len(first), ROWS_OUT):
+        spans = list(zip(first[s : s + ROWS_OUT].tolist(), ends[s : s + ROWS_OUT].tolist(), strict=True))
+        yield batch(len(spans), ctx=pa.array(ctx[first[s : s + ROWS_OUT]]), keys=pa.array([planes(low[a:b]) for a, b in spans], pa.binary()), counts=pa.array([narrow(c[a:b]) for a, b in spans], pa.binary()))
     coded = pa.chunked_array(found, type=pa.binary()).combine_chunks().dictionary_encode()
     w, n = coded.dictionary, np.bincount(coded.indices.to_numpy(), np.concatenate(seen), minlength=len(coded.dictionary))
-    ctx = (k >> np.uint64(24)).astype(np.int64)
-    low = (k & np.uint64(0xFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-    ends = [*first[1:].tolist(), len(k)]
-    m, every = len(first), len(first) + len(w)
-    return pa.table(
-        {
-            "block": pa.array(np.full(every, t.column("block")[0].as_py(), dtype=np.int32)),
-            "ctx": pa.array(np.concatenate([ctx[first], np.zeros(len(w), dtype=np.int64)]).astype(np.int32), mask=np.arange(every) >= m),
-            "keys": pa.concat_arrays([pa.array([planes(low[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.nulls(len(w), pa.binary())]),
-            "counts": pa.concat_arrays([pa.array([narrow(c[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.nulls(len(w), pa.binary())]),
-            "word": pa.concat_arrays([pa.nulls(m, pa.binary()), w]),
-            "n": pa.array(np.concatenate([np.zeros(m, dtype=np.int64), n.astype(np.int64)])),
-        }
-    )
+    for s in range(0, len(w), ROWS_OUT):
+        own = w.slice(s, ROWS_OUT)
+        yield batch(len(own), word=own, n=pa.array(n[s : s + ROWS_OUT].astype(np.int64)))
+
+
+def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (block, text, held_out) sorted by block: the distinct grams and words of each block with their
+    counts in its training texts. Texts are let go as they are counted."""
+    now, held, found, seen = None, Grams(), [], []
+    for b in batches:
+        for (block,), part in parts_of(b, ["block"]):
+            if block != now:
+                if now is not None:
+                    yield from counts_out(now, held, found, seen)
+                now, held, found, seen = block, Grams(), [], []
+            texts, train = texts_of(part.column("text")), ~part.column("held_out").to_numpy(zero_copy_only=False)
+            for s in scans(texts):
+                key, sizes = grams(texts[s])
+                held.add(*counted(key, np.repeat(train[s], sizes).astype(np.uint64)))
+                w, ends = words(texts[s])
+                coded = w.dictionary_encode()
+                owner = np.repeat(train[s], np.diff(np.concatenate([[0], ends])))
+                found.append(coded.dictionary)
+                seen.append(np.bincount(coded.indices.to_numpy(), owner, minlength=len(coded.dictionary)))
+    if now is not None:
+        yield from counts_out(now, held, found, seen)
 
 
 class Subtree:
@@ -226,28 +267,9 @@ def _pack(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-class Context:
-    """The grams of one context gathered row by row; no more than the distinct ones are held for long."""
-
-    def __init__(self):
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: bytes, counts: bytes) -> None:
-        k = unplanes(keys)
-        self.held.append((k, widened(counts, len(k))))
-        self.size += len(k)
-        if self.size > 1 << 20 and len(self.held) > 1:
-            self.held = [self.total()]
-            self.size = 0
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        return summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
-
-
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """From sorted rows (a key's columns ..., keys, counts): for each batch the keys that end in it, with their summed grams."""
-    now, context = None, Context()
+    now, context = None, Grams()
     for b in batches:
         rows = []
         cols = [c.to_pylist() for c in b.columns]
@@ -255,8 +277,9 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             if key != now:
                 if now is not None:
                     rows.append((*now, *context.total()))
-                now, context = key, Context()
-            context.add(keys, counts)
+                now, context = key, Grams()
+            k = unplanes(keys)
+            context.add(k, widened(counts, len(k)))
         yield rows
     if now is not None:
         yield [(*now, *context.total())]
@@ -353,35 +376,77 @@ def gram_values(pieces: DataFrame, n_blocks: int) -> DataFrame:
     return arrow_map(placed, values, "block int, ctx int, keys binary, values binary")
 
 
-def score_block(docs: pa.Table, known: pa.Table, total: int, distinct: int, end: int) -> pa.Table:
-    """Scores of a block's texts from the values of its grams and the counts of its words."""
-    texts = texts_of(docs.column("text"))
-    is_gram = known.column("ctx").is_valid()
-    g = known.select(["ctx", "keys", "values"]).filter(is_gram).sort_by("ctx")
-    sizes = np.array([len(x) // 3 for x in g.column("keys").to_pylist()], dtype=np.int64)
-    key = np.repeat(g.column("ctx").to_numpy().astype(np.uint64) << np.uint64(24), sizes)
-    at = 0
-    for x in g.column("keys").to_pylist():  # ascending: the contexts are in order, and the grams of each
-        key[at : at + len(x) // 3] |= unplanes(x).astype(np.uint64)
-        at += len(x) // 3
-    value = np.frombuffer(b"".join(g.column("values").to_pylist()), dtype="<f4")
-    del g
-    w = known.filter(pa.compute.invert(is_gram))
-    vocabulary, seen = w.column("word").combine_chunks(), w.column("n").combine_chunks().to_numpy()
-    room = total + 0.5 * (distinct + 1)
-    score = []
-    for s in scans(texts):
-        k, sizes = grams(texts[s])
-        v = values_of(key, value, k).astype(np.float64)
-        score.append(np.add.reduceat(v, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / math.log(10))
-    tokens, ends = words(texts)
-    c = seen[pa.compute.index_in(tokens, value_set=vocabulary).to_numpy()] if len(tokens) else np.zeros(0)
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    base = np.bincount(owner, np.log10((c + 0.5) / room), minlength=len(ends)) + math.log10((end + 0.5) / room)
-    n_tokens = np.bincount(owner, minlength=len(ends)).astype(np.int64) + 1
-    n_known = np.bincount(owner, c > 0, minlength=len(ends)).astype(np.int64) + (end > 0)
-    out = {"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(texts), total), "base_score": base}
-    return pa.table(out | {"score": np.concatenate(score), "n_bytes": np.array([len(t) for t in texts], dtype=np.int64)})
+def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets of binary values without nulls, and the bytes that they are of."""
+    at = np.frombuffer(column.buffers()[1], dtype="<i8" if pa.types.is_large_binary(column.type) else "<i4")
+    data = column.buffers()[2]
+    return at[column.offset : column.offset + len(column) + 1].astype(np.int64), np.frombuffer(data if data is not None else b"", dtype=np.uint8)
+
+
+def keys_of(ctx: np.ndarray, planed: pa.Array) -> np.ndarray:
+    """The whole grams of rows of a context and its grams' low bytes, as :func:`planes` has them."""
+    at, data = spans_of(planed)
+    sizes = np.diff(at) // 3
+    n = np.repeat(sizes, sizes)
+    place = np.repeat(at[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(n))
+    low = data[place].astype(np.uint64) << np.uint64(16) | data[place + n].astype(np.uint64) << np.uint64(8) | data[place + 2 * n]
+    return np.repeat(ctx.astype(np.uint64) << np.uint64(24), sizes) | low
+
+
+class Known:
+    """The values of a block's grams and the counts of its words, as they come: the grams in ascending order."""
+
+    def __init__(self):
+        self.keys, self.values, self.words, self.n = [], [], [], []
+
+    def add_grams(self, t: pa.RecordBatch) -> None:
+        self.keys.append(keys_of(t.column("ctx").to_numpy(zero_copy_only=False), t.column("data")))
+        at, data = spans_of(t.column("values"))
+        self.values.append(data[at[0] : at[-1]].copy().view("<f4"))
+
+    def add_words(self, t: pa.RecordBatch) -> None:
+        self.words.append(t.column("data"))
+        self.n.append(t.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def close(self) -> None:
+        self.keys, self.values = np.concatenate(self.keys), np.concatenate(self.values)
+        self.words = pa.chunked_array(self.words, type=self.words[0].type if self.words else pa.binary()).combine_chunks()
+        self.n = np.concatenate([np.zeros(0, dtype=np.int64), *self.n])
+
+    def score(self, texts: list[bytes], total: int, distinct: int, end: int) -> dict[str, np.ndarray]:
+        room = total + 0.5 * (distinct + 1)
+        k, sizes = grams(texts)
+        v = np.empty(len(k))
+        for s in range(0, len(k), ASKED_AT_ONCE):
+            v[s : s + ASKED_AT_ONCE] = values_of(self.keys, self.values, k[s : s + ASKED_AT_ONCE])
+        score = np.add.reduceat(v, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / math.log(10)
+        tokens, ends = words(texts)
+        c = self.n[pa.compute.index_in(tokens.cast(self.words.type), value_set=self.words).to_numpy()] if len(tokens) else np.zeros(0)
+        owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+        base = np.bincount(owner, np.log10((c + 0.5) / room), minlength=len(ends)) + math.log10((end + 0.5) / room)
+        n_tokens = np.bincount(owner, minlength=len(ends)).astype(np.int64) + 1
+        n_known = np.bincount(owner, c > 0, minlength=len(ends)).astype(np.int64) + (end > 0)
+        return {"n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(texts), total), "base_score": base, "score": score, "n_bytes": sizes - 1}
+
+
+def scored(batches: Iterator[pa.RecordBatch], total: int, distinct: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Scores of texts from rows (block, kind, ctx, data, values, n, id, held_out) sorted by the first three: each block's grams (kind 0)
+    and words (1), which are held as arrays, then its texts (2), of which a few are held at once."""
+    now, known, ready = None, Known(), False
+    for b in batches:
+        for (block, kind), part in parts_of(b, ["block", "kind"]):
+            if block != now:
+                now, known, ready = block, Known(), False
+            if kind < 2:
+                (known.add_words if kind else known.add_grams)(part)
+                continue
+            if not ready:
+                known.close()
+                ready = True
+            texts, ids, held_out = texts_of(part.column("data")), part.column("id"), part.column("held_out")
+            for s in scans(texts):
+                own = {"id": ids.slice(s.start, s.stop - s.start), "held_out": held_out.slice(s.start, s.stop - s.start)}
+                yield pa.RecordBatch.from_pydict(own | known.score(texts[s], total, distinct, end))
 
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,17 +465,23 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     n_blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
     end = end or 0
     src = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
-    stats = written(src.groupBy("block").applyInArrow(block_counts, "block int, ctx int, keys binary, counts binary, word binary, n long"), "counts")
+    placed = src.select("block", "text", "held_out").repartition("block").sortWithinPartitions("block")
+    stats = written(arrow_map(placed, block_counts, "block int, ctx int, keys binary, counts binary, word binary, n long"), "counts")
     words_in = stats.filter("word is not null").select("block", "word", "n")
     vocabulary = written(words_in.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = vocabulary.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + end, distinct + (end > 0)
-    null = F.lit(None)
-    grams_known = gram_values(stats.filter("ctx is not null"), n_blocks).select("block", "ctx", "keys", "values", null.cast("binary").alias("word"), null.cast("long").alias("n"))
-    words_known = words_in.select("block", "word").join(vocabulary, "word").select("block", null.cast("int").alias("ctx"), null.cast("binary").alias("keys"), null.cast("binary").alias("values"), "word", "n")
-    known = grams_known.unionAll(words_known)
-    kind = dict(src.dtypes)["id"]
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    out = src.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda d, k: score_block(d, k, total, distinct, end), schema)
+    id_type = dict(src.dtypes)["id"]
+
+    def rows(df: DataFrame, kind: int, **cols: str) -> DataFrame:
+        every = {"ctx": "int", "data": "binary", "values": "binary", "n": "long", "id": id_type, "held_out": "boolean"}
+        return df.select("block", F.lit(kind).alias("kind"), *((F.col(cols[k]) if k in cols else F.lit(None)).cast(t).alias(k) for k, t in every.items()))
+
+    grams_known = rows(gram_values(stats.filter("ctx is not null"), n_blocks), 0, ctx="ctx", data="keys", values="values")
+    words_known = rows(words_in.select("block", "word").join(vocabulary, "word"), 1, data="word", n="n")
+    whole = grams_known.unionAll(words_known).unionAll(rows(src, 2, data="text", id="id", held_out="held_out"))
+    placed = whole.repartition("block").sortWithinPartitions("block", "kind", "ctx")
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    out = arrow_map(placed, lambda batches: scored(batches, total, distinct, end), schema)
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.col("n_bytes") * F.lit(math.log2(10))).alias("bits_per_byte")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits)

@@ -121,3 +121,44 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "abc " * 250_000), (2, "abc"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in C.scores(df, F.lit(False)).collect()}
     assert got[1].n_tokens == 250_001 and got[1].bits_per_byte < 0.01 and got[3].n_tokens == 1
+
+
+def test_blocks_are_worked_on_in_pieces():
+    """A block's texts come batch by batch and are let go: the memory at the peak is far below that of its words and grams at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)])
+    texts = [" ".join(rng.choice(vocabulary, 30_000)) for _ in range(40)]  # 8 MB in one block
+
+    def batches():
+        for k, t in enumerate(texts):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "text": [t], "held_out": [k % 5 == 1]})
+
+    tracemalloc.start()
+    got = [b for b in C.block_counts(batches())]
+    peak_counts = tracemalloc.get_traced_memory()[1]
+    rows = pa.Table.from_batches(got)
+    grams, words = rows.filter(pa.compute.is_valid(rows["ctx"])), rows.filter(pa.compute.is_valid(rows["word"]))
+    assert words.num_rows == 300 and sum(words["n"].to_pylist()) == 32 * 30_000
+
+    def placed():
+        for b in grams.to_batches(2000):
+            n = b.num_rows
+            values = [np.zeros(len(k) // 3, dtype="<f4").tobytes() for k in b.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"block": b.column("block"), "kind": pa.array([0] * n, pa.int32()), "ctx": b.column("ctx"), "data": b.column("keys"), "values": pa.array(values), "n": pa.nulls(n, pa.int64()), "id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_())})
+        for b in words.to_batches():
+            n = b.num_rows
+            yield pa.RecordBatch.from_pydict({"block": b.column("block"), "kind": pa.array([1] * n, pa.int32()), "ctx": pa.nulls(n, pa.int32()), "data": b.column("word"), "values": pa.nulls(n, pa.binary()), "n": b.column("n"), "id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_())})
+        for k, t in enumerate(texts):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "kind": pa.array([2], pa.int32()), "ctx": pa.nulls(1, pa.int32()), "data": pa.array([t.encode()]), "values": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.int64()), "id": pa.array([k]), "held_out": [k % 5 == 1]})
+
+    tracemalloc.reset_peak()
+    base = tracemalloc.get_traced_memory()[0]
+    out = [r for b in C.scored(placed(), 32 * 30_001, 301, 32) for r in b.to_pylist()]
+    peak_scores = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert [r["id"] for r in out] == list(range(40)) and {r["n_known"] for r in out} == {30_001} and {r["score"] for r in out} == {0.0}
+    assert peak_counts < 60 << 20 and peak_scores < 60 << 20
