@@ -13,6 +13,7 @@ from lodestar.functions.rng import uniform
 from lodestar.functions.selection import top_k
 from lodestar.operators.diverse import clustered, nearest_distance, nearest_to_centres
 from lodestar.operators.pairs import Side, against, kernels
+from lodestar.sources.tables import kept
 
 
 class NormalInverseChi:
@@ -25,10 +26,17 @@ class NormalInverseChi:
         self.gamma, self.metric, self.shift = gamma, metric, shift
         self.mu_0, self.kappa_0, self.sigma_sq_0, self.nu_0 = mu_0, kappa_0, sigma_sq_0, nu_0
 
+    def gathered(self, lab: DataFrame) -> DataFrame:
+        """Rows (id, x, s): the places of the labelled rows, with sums of weights, targets and squared targets (centred)."""
+        t, w = F.col("y").cast("double") - self.shift, F.coalesce("w", F.lit(1.0))
+        return lab.filter(F.col("y").isNotNull()).groupBy("x").agg(F.min("id").alias("id"), F.array(F.sum(w), F.sum(w * t), F.sum(w * t * t)).alias("s")).select("id", "x", "s")
+
     def sums(self, rows: DataFrame, lab: DataFrame, out: str = "s") -> DataFrame:
         """``rows`` with kernel sums of one, target and squared target (centred). Labelled rows at one place are added up first."""
-        t, w = F.col("y").cast("double") - self.shift, F.coalesce("w", F.lit(1.0))
-        ref = lab.filter(F.col("y").isNotNull()).groupBy("x").agg(F.min("id").alias("id"), F.array(F.sum(w), F.sum(w * t), F.sum(w * t * t)).alias("s")).select("id", "x", "s")
+        return self.sums_over(rows, self.gathered(lab), out)
+
+    def sums_over(self, rows: DataFrame, ref: DataFrame, out: str = "s") -> DataFrame:
+        """The same from :meth:`gathered` rows."""
 
         def f(a: Side, b: Side) -> np.ndarray:
             return kernels(a["x"], b["x"], self.metric, self.gamma) @ b["s"]
@@ -50,7 +58,10 @@ class NormalInverseChi:
 
     def predict(self, rows: DataFrame, lab: DataFrame) -> DataFrame:
         """``rows`` with pred, std, and nu, loc, scale of the distribution; null where no prior and no label give a mean."""
-        got = self.sums(rows, lab, "_s")
+        return self.predicted(self.sums(rows, lab, "_s"))
+
+    def predicted(self, got: DataFrame) -> DataFrame:
+        """The same from rows with their kernel sums, ``_s``."""
         nu, loc, scale = self.posterior(*(F.col("_s")[k] for k in range(3)))
         known = F.col("_s")[0] + self.kappa_0 > 0
         got = got.withColumn("nu", nu).withColumn("loc", F.when(known, loc)).withColumn("scale", F.when(known, scale))
@@ -196,9 +207,12 @@ def expectation(rows: DataFrame, target: Callable[[Column], Column], method: str
 
 def places(rows: DataFrame) -> DataFrame:
     """Rows (id, x, n): the distinct features, the least id there and how many rows, dealt to all cores as pairs of them are dear."""
+    return dealt(rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n")).select("id", "x", "n"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n")).select("id", "x", "n").repartition(parts)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _grown(reg: NormalInverseChi, a: Side, b: Side, y: np.ndarray):
@@ -234,9 +248,14 @@ def _retrained(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: Norm
     """Mean over evaluation rows of ``effect`` of adding a candidate with its predicted label, over the nodes of the prediction.
 
     Rows at one place have one prediction and one effect: each place is asked
-    about once, and counts as often as evaluation rows stand there.
+    about once, and counts as often as evaluation rows stand there. Places and
+    their sums are kept, so that each side is read once for them, and the
+    candidates once more for the result.
     """
-    ready = reg.sums(places(evaluation), lab, "s")
+    known = kept(reg.gathered(lab), "places")
+    ready = kept(reg.sums_over(places(evaluation), known), "places")
+    own = ready if cand is evaluation else kept(reg.sums_over(places(cand), known), "places")
+    rows = reg.predicted(dealt(own.select("id", "x", F.col("s").alias("_s")))).select("id", "x", "nu", "loc", "scale")
 
     def f(a: Side, b: Side) -> np.ndarray:
         out = np.zeros((len(a["id"]), 2))
@@ -246,8 +265,7 @@ def _retrained(cand: DataFrame, lab: DataFrame, evaluation: DataFrame, reg: Norm
             out[:, 0] += w * effect(old, _grown(reg, a, b, a["loc"] + a["scale"] * x)) @ b["n"]
         return out
 
-    rows = reg.predict(places(cand).select("id", "x"), lab).select("id", "x", "nu", "loc", "scale")
-    got = against(rows, ready, f, "sum", "_r", [0.0, 1.0]).select(F.col("x").alias("_x"), (F.col("_r")[0] / F.col("_r")[1]).alias("utility"))
+    got = kept(against(rows, ready, f, "sum", "_r", [0.0, 1.0]).select(F.col("x").alias("_x"), (F.col("_r")[0] / F.col("_r")[1]).alias("utility")), "places")
     return cand.select("id", "x").join(got, F.col("x").eqNullSafe(F.col("_x"))).select("id", "utility")
 
 

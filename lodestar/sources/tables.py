@@ -24,6 +24,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lodestar-{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that what reads it more than once does not work it out again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def doubles(col: str) -> Column:
     """An array column as doubles, before any arithmetic."""
     return F.col(col).cast("array<double>")

@@ -60,6 +60,23 @@ def test_rows_at_one_place_are_asked_about_once(spark, name, monkeypatch):
         assert got[i] == pytest.approx(total / len(place), rel=1e-9)
 
 
+@pytest.mark.parametrize("name", ["emoc_linear"])
+def test_pool_is_read_three_times(spark, name):
+    """Once for the labelled places, once for the candidates' places and once for the result."""
+    from lodestar.operators import regressors as R
+
+    read = spark.sparkContext.accumulator(0)
+
+    def row(k):
+        read.add(1)
+        return k, [float(k % 5), 0.5 * (k % 2)], float(k % 7) if k < 12 else None, 1.0
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(100), 2).map(row), "id long, x array<double>, y double, w double")
+    lab, cand = df.filter("y is not null"), df.filter("y is null")
+    assert len(POSTERIORS[name](R, cand, lab, R.NormalInverseChi(gamma=0.5, shift=3.0)).collect()) == 88
+    assert read.value == 300
+
+
 def whole_quire(x, y, classes, lmbda=1.0):
     """QUIRE by its definition: for each row the worst sign, the others' labels at their best, over the inverse of the whole matrix."""
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
