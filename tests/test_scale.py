@@ -60,7 +60,7 @@ def test_rows_at_one_place_are_asked_about_once(spark, name, monkeypatch):
         assert got[i] == pytest.approx(total / len(place), rel=1e-9)
 
 
-@pytest.mark.parametrize("name", ["emoc_linear", "emvr_linear", "emvr_gauss_hermite"])
+@pytest.mark.parametrize("name", ["emoc_linear", "emvr_linear", "emvr_gauss_hermite", "kl_max"])
 def test_pool_is_read_three_times(spark, name):
     """Once for the labelled places, once for the candidates' places and once for the result."""
     from lodestar.operators import regressors as R
