@@ -10,13 +10,13 @@ that a short document is read by its own few bytes.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,85 +33,139 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2000, 8 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Text bytes that go to one shard.
 SHARD_TEXT_BYTES = 64 << 20
-#: Word parts remembered by one worker; it starts anew beyond that.
-MEMO = 900_000
+#: Word parts in each of a worker's two generations of memory, and characters of the longest that is remembered.
+MEMO, LONGEST = 250_000, 100
+#: Text bytes that a worker encodes at once.
+BLOCK_BYTES = 8 << 20
 
 
-def _class_of(prop: str) -> str:
-    """The characters with a property, up to the last that the memo handles, as ranges of a character class."""
-    return "".join(re.escape(c) for c in map(chr, range(0x20C0)) if regex.match(prop, c))
+def _class_of(chars: Iterable[str]) -> str:
+    """Characters as the ranges of a character class."""
+    codes = np.array(sorted(map(ord, chars)))
+    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
+    return "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs)
 
 
 class MemoEncoder:
     """The tokenizer's ids as little-endian unsigned integers, of 16 bits where all ids fit (``kind``).
 
-    For texts of Latin letters and common punctuation the ids of every stretch
-    between white space are remembered; all other texts go to the tokenizer
-    whole. A new stretch is split into the parts between which the tokenizer
-    never merges. New parts are encoded many at once, with a space between: as
-    the last token of every part ends in ``</w>``, the ids fall apart again.
+    Texts of Latin letters and common punctuation are taken many at once: their
+    distinct stretches between white space are lower-cased and split into the parts
+    between which the tokenizer never merges, the tokenizer's model gives the ids of
+    each distinct part, and these are laid out by the places of parts and stretches.
+    All other texts go to the tokenizer whole. Parts are remembered; what was not met
+    during a generation of the memory is forgotten.
     """
 
-    #: Parts encoded in one call.
-    AT_ONCE = 1000
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.wide = max(vocab.values(), default=0) > 65535
         self.kind = "<u4" if self.wide else "<u2"
-        letter, number, space = (_class_of(p) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
-        # The split pattern of word_bpe_49k.json (fixed values), written for characters up to U+20BF.
-        self.parts = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+").findall
-        self.odd = re.compile("[^\u0000-\u001b\u0020-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|<\\|").search
+        # Characters that the normalizer changes, but for their lower case, are not among these.
+        spans = ((0, 0x1C), (0x20, 0x250), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))
+        admitted = [chr(k) for a, b in spans for k in range(a, b)]
+        lower = pc.utf8_lower(pa.array(admitted)).to_pylist()
+        plain = [c for c, low in zip(admitted, lower, strict=True) if c.lower() == low and low in admitted]
+        self.odd = f"[^{_class_of(plain)}]|<\\|"
+        letter, number, space = (_class_of(c for c in plain if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        # The split pattern of word_bpe_49k.json (fixed values), written for these characters.
+        self.parts = f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+"
+        self.no_letter, self.space = f"[^{letter}]", f"[{space}]"
+        self.signs = _byte_signs() | {10: "\n"}
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         spec = repr(self.tokenizer.pre_tokenizer)
         self.known = "Split" in spec and "ByteLevel" in spec and "'ll|'d" in spec
-        self.last = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), self.AT_ONCE):
-            some = new[k : k + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some) and (len(ids) == 0 or ends[-1] == len(ids)):
-                data, ends = ids.tobytes(), (ids.itemsize * ends).tolist()
-                self.memo.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-            else:
-                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.memo[p] = np.array(e.ids, dtype=self.kind).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def plain(self, text: str, low: str) -> bool:
-        """Whether a text, and what it is in lower case, consists of characters that the memo handles."""
-        if text.isascii():
-            return self.known and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return self.known and not self.odd(text) and not self.odd(low)
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text: of its stretches between white space, and of a new stretch's parts."""
-        split = [low.split() if self.plain(t, low) else None for t, low in zip(texts, map(str.lower, texts), strict=True)]
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts written in the signs of bytes, by the tokenizer's model."""
+        tokenize = self.tokenizer.model.tokenize
+        ids: list[int] = []
+        ends = [0]
+        for p in parts:
+            ids += [t.id for t in tokenize(p)]
+            ends.append(len(ids))
+        data = np.array(ids, dtype=self.kind).tobytes()
+        each = np.dtype(self.kind).itemsize
+        return [data[each * a : each * b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def ids_of(self, parts: pa.Array) -> pa.Array:
+        """The ids of each distinct part in lower case, remembered or learned."""
+        if not len(parts):
+            return pa.array([], pa.large_binary())
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new: set[str] = set()
-        new.update(*(p for p in split if p))
-        new.difference_update(self.memo)
-        parts = {w: p for w in new if len(p := self.parts(w)) > 1}
-        single = new.difference(parts)
-        single.update(*parts.values())
-        single.difference_update(self.memo)
-        self.learn(list(single))
-        get = self.memo.__getitem__
-        for w, p in parts.items():
-            self.memo[w] = b"".join(map(get, p))
-        for t, p in zip(texts, split, strict=True):
-            yield self.whole(t) if p is None else b"".join(map(get, p))
+            self.memo, self.old = {}, self.memo
+        # No part holds a line end.
+        names = "\n".join(parts.to_numpy(zero_copy_only=False)).encode().decode("latin-1").translate(self.signs).split("\n")
+        found = list(map(self.memo.get, names))
+        new = []
+        for k, x in enumerate(found):
+            if x is None:
+                if (x := self.old.get(names[k])) is None:
+                    new.append(k)
+                else:
+                    found[k] = self.memo[names[k]] = x
+        for k, x in zip(new, self.learn([names[k] for k in new]), strict=True):
+            found[k] = x
+            if len(names[k]) <= LONGEST:
+                self.memo[names[k]] = x
+        return pa.array(found, pa.large_binary())
+
+    def stretches(self, words: pa.Array) -> pa.Array:
+        """The ids of each plain stretch: of its parts, one after another."""
+        low = pc.utf8_lower(words)
+        mixed = pc.match_substring_regex(low, self.no_letter)
+        some = pc.replace_substring_regex(pc.replace_substring_regex(low.filter(mixed), self.space, " "), self.parts, r"\0 ")
+        parts, bounds = _split(pc.replace_with_mask(low, mixed, some))
+        return _joined(self.ids_of(parts.dictionary).take(parts.indices), bounds)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (no nulls)."""
+        if not self.known:
+            yield from map(self.whole, texts.to_pylist())
+            return
+        if texts.nbytes > 1 << 28:  # offsets of 32 bits may not do for what is made of them
+            texts = texts.cast(pa.large_string())
+        coded, bounds = _split(texts)
+        words = coded.dictionary
+        odd = pc.match_substring_regex(words, self.odd).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), dtype=bool)
+        if odd.any():  # nothing is learned for texts that go whole
+            places = coded.indices.to_numpy()
+            whole = np.diff(np.concatenate([[0], np.cumsum(odd[places])])[bounds]) > 0
+            used = np.zeros(len(words), dtype=bool)
+            used[places[np.repeat(~whole, np.diff(bounds))]] = True
+            words = pc.if_else(pa.array(used), words, pa.scalar("", words.type))
+        laid = _joined(self.stretches(words).take(coded.indices), bounds)
+        for k, is_whole in enumerate(whole.tolist()):
+            yield self.whole(texts[k].as_py()) if is_whole else laid[k].as_py()
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_all([text]))
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign by which a byte-level model writes each byte: itself where it prints, else one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The stretches of all texts between ASCII white space, by a dictionary, and where each text's begin and end."""
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)])
+    return lists.flatten().dictionary_encode(), bounds
+
+
+def _joined(pieces: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """Runs of pieces (large binaries, no nulls) as one value each, without a copy."""
+    ends = np.frombuffer(pieces.buffers()[1], dtype=np.int64)[pieces.offset : pieces.offset + len(pieces) + 1][bounds]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pieces.buffers()[2]])
 
 
 @lru_cache(maxsize=1)
@@ -141,6 +195,18 @@ def codec(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BLOCK_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and sum(h.nbytes for h in held) + b.nbytes > BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(src: DataFrame, tokenizer: str, end_id: int, dictionary: bytes | None, framed: bool = True) -> DataFrame:
     """Rows (id, n, frame): the token count and the compressed (or plain) serialised ids of each text."""
 
@@ -148,9 +214,9 @@ def encoded(src: DataFrame, tokenizer: str, end_id: int, dictionary: bytes | Non
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.kind).tobytes()
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=codec(dictionary or b"")).compress if framed else bytes
-        for b in batches:
+        for b in _blocks(batches):
             counts, frames = [], []
-            for ids in enc.encode_all(b.column(1).to_pylist()):
+            for ids in enc.encode_all(b.column(1)):
                 ids += end
                 counts.append(len(ids) // len(end))
                 frames.append(squeeze(ids))

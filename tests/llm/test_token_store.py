@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,3 +71,38 @@ def test_no_id_and_clashing_columns(spark):
         T.write_tokens(spark.createDataFrame([(None, "a")], "doc_id long, text string"), PATH)
     df = spark.createDataFrame([(2, "a b", "x", 1, 2), (1, "c", "y", 3, 4)], "doc_id long, text string, t string, id int, h int")
     assert [(r.doc_id, r.start, r.n_tokens) for r in T.write_tokens(df, PATH).read().orderBy("doc_id").collect()] == [(1, 0, 2), (2, 2, 3)]
+
+
+def test_parts_in_use_outlive_the_memory(monkeypatch):
+    """Parts that every text holds are learned once, however many others fill the memory between."""
+    monkeypatch.setattr(T, "MEMO", 150)
+    tk, enc, learned = Tokenizer.from_file(PATH), T.MemoEncoder(PATH), []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda parts: learned.extend(parts) or learn(parts))
+    common = [f"{a}{b}o" for a in "bcdfg" for b in "aeiou"]
+    for k in range(60):
+        text = " ".join([*common, *(f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}zz" for a in "klmnpqrstv")])
+        assert np.frombuffer(enc.encode(text), dtype=enc.kind).tolist() == tk.encode(text, add_special_tokens=False).ids
+    assert sum(learned.count(w) for w in common) == len(common)
+
+
+def test_texts_of_a_block(monkeypatch):
+    """Texts for the memo and for the tokenizer side by side, in slices, with long parts; a distinct part is learned once and nothing for texts that go whole."""
+    tk, enc, learned = Tokenizer.from_file(PATH), T.MemoEncoder(PATH), []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda parts: learned.extend(parts) or learn(parts))
+    texts = [x or "" for x in TEXTS] + ["alone 日", "Alone, ALONE's\x85alone\xa0(alone)", "", "\xa0", "\n\n", "İ alone", "é" * 300, "\x01\x7f a b"] * 2
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    for col in (column, column.cast(pa.large_string())):
+        got = [np.frombuffer(x, dtype=enc.kind).tolist() for x in enc.encode_all(col)]
+        assert got == [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
+    assert learned.count("alone") == 1 and "naïve" not in learned and "before" not in learned and max(map(len, enc.memo)) <= T.LONGEST
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_blocks_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_BYTES", 2000)
+    batches = [pa.record_batch({"id": list(range(k, k + n)), "t": ["x" * w] * n}, pa.schema({"id": pa.int64(), "t": pa.string()})) for k, n, w in ((0, 9, 9), (9, 0, 0), (9, 1, 5000), (10, 20, 30), (30, 20, 20))]
+    blocks = list(T._blocks(iter(batches)))
+    assert [i for b in blocks for i in b.column(0).to_pylist()] == list(range(50)) and [b.num_rows for b in blocks] == [9, 1, 40]
+    assert list(T._blocks(iter([]))) == []
