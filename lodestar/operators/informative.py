@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import exprs as E
 from lodestar.functions.rng import uniform
 from lodestar.operators.classifiers import ParzenWindow
-from lodestar.operators.pairs import Side, against, as_arrays
+from lodestar.operators.pairs import Block, Side, against, as_arrays
 
 EPS = float(np.finfo(float).eps)
 #: Makes a model, a function from features to class probabilities, of features, class codes and weights.
@@ -134,90 +134,216 @@ def epistemic_pwc(freq: DataFrame, steps: int = 40, table: int | None = None) ->
     return freq.select(F.col("id").cast("long"), "freq").mapInArrow(run, "id long, utility double")
 
 
-def epistemic_logistic(rows: DataFrame, pool: DataFrame, levels: int = 50, ridge: float = 1e-3) -> DataFrame:
-    """Epistemic uncertainty of a logistic regression on labels 0 and 1.
+#: Labelled rows, and candidates, that :class:`LogisticPeaks` works on at once.
+ROWS_AT_ONCE, CANDIDATES_AT_ONCE = 512, 256
+#: What the likelihood may still gain where the steps end, and how close the bounds of a utility have to come.
+GAIN, CLOSE = 1e-10, 1e-12
 
-    For each level alpha of the predicted probability the likelihood is
-    maximised under the one linear constraint that the row's logit is that of
-    alpha, by Newton steps within the constraint; supports are as for kernels.
-    Every step sums over all blocks of the labelled rows; each worker, and the
-    driver for the fit without a constraint, holds them all.
-    """
-    from lodestar.operators.pairs import blocks_of
 
-    labelled = pool.filter("y is not null").select("id", "x", F.col("y").cast("double").alias("y"))
-    blocks = blocks_of(labelled)
-    if not blocks:
-        return rows.select("id", F.lit(1.0).alias("utility"))
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # filled once in each process
+class LogisticPeaks:
+    """The penalised likelihood of a logistic regression over all blocks of its labelled rows, and its maxima where a row has a given logit.
 
-    def data() -> list[tuple[np.ndarray, np.ndarray]]:
-        if not held:
-            held.extend((np.hstack([s["x"], np.ones((len(s["y"]), 1))]), s["y"]) for s in (b.load() for b in blocks))
-        return held
+    Weights come as lines of a matrix, one for each candidate, so that a step for
+    many candidates is two matrix products with the labelled rows.
+    """
 
-    def like(w: np.ndarray) -> float:
-        return float(sum(-(np.logaddexp(0, x @ w) - y * (x @ w)).sum() for x, y in data()) - 0.5 * ridge * w @ w)
+    def __init__(self, blocks: list[Block], ridge: float):
+        self.blocks, self.ridge = blocks, ridge
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        width = self.data()[0][0].shape[1]
+        self.free = self.inverse = np.zeros((width, width))  # of use only once the fit is there
+        self.free = self.newton(None, 0.0, np.zeros(width))
+        self.best = float(self.values(self.free[None])[0][0])
+        self.inverse = np.linalg.inv(self.hessian(self.free))
+        self.reach = math.sqrt(max(float(((x @ self.inverse) * x).sum(axis=1).max()) for x, _ in self.parts()))  # no labelled row's logit moves more for a step of length one in the metric of the fit
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": []}  # the rows are not shipped with the functions
+
+    def data(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Features with a one, rows by number, and sums by labels, of each block; loaded once in each process."""
+        if not self.held:
+            for side in (b.load() for b in self.blocks):
+                x = np.hstack([side["x"], np.ones((len(side["y"]), 1))])
+                order = np.argsort(side["n"], kind="stable")  # equal numbers lie together
+                self.held.append((x[order], side["n"][order].astype(np.float64), side["y"] @ x))
+        return self.held
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, n, _ in self.data():
+            for s in range(0, len(x), ROWS_AT_ONCE):
+                yield x[s : s + ROWS_AT_ONCE], n[s : s + ROWS_AT_ONCE]
+
+    def values(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likelihood and its gradient for each line of weights."""
+        total = sum(xy for _, _, xy in self.data())
+        value, slope = w @ total - 0.5 * self.ridge * (w * w).sum(axis=1), total - self.ridge * w
+        many, across = len(w), np.ascontiguousarray(w.T)
+        room = np.empty((2, ROWS_AT_ONCE * many))  # memory that is touched again and again
+        for x, n in self.parts():
+            z, more = (r[: len(x) * many].reshape(len(x), many) for r in room)
+            np.matmul(x, across, out=z)
+            if z.max(initial=0.0) > 700:
+                value -= n @ np.maximum(z - 700, 0)
+                np.minimum(z, 700, out=z)
+            np.exp(z, out=z)
+            np.add(z, 1, out=more)
+            if n[0] == n[-1]:
+                whole = len(x) // 32 * 32
+                with np.errstate(over="ignore"):
+                    logs = n[0] * (np.log(more[:whole].reshape(-1, 32, many).prod(axis=1)).sum(axis=0) + np.log(more[whole:]).sum(axis=0))  # a logarithm for 32 rows
+                beyond = ~np.isfinite(logs)
+                logs[beyond] = n @ np.log(more[:, beyond])
+            else:
+                logs = n @ np.log(more)
+            value -= logs
+            np.divide(z, more, out=z)
+            if n[-1] > 1:
+                z *= n[:, None]
+            slope -= z.T @ x
+        return value, slope
+
+    def hessian(self, w: np.ndarray) -> np.ndarray:
+        out = (self.ridge + 1e-9) * np.eye(len(w))
+        for x, n in self.parts():
+            p = 1 / (1 + np.exp(np.clip(-x @ w, -700, 700)))
+            out += (x * (n * p * (1 - p))[:, None]).T @ x
+        return out
 
-    def climb(a: np.ndarray | None, target: float, w: np.ndarray, inverse: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """The best weights, or those with ``a @ w`` at the target, by Newton steps from w; a Hessian's inverse serves as long as the gradient falls well."""
-        last = math.inf
+    def newton(self, a: np.ndarray | None, logit: float, w: np.ndarray) -> np.ndarray:
+        """The best weights, or those with ``a @ w`` at the logit, by Newton steps from w, halved until they rise."""
         if a is not None:
-            w = w + a * ((target - a @ w) / (a @ a))
+            w = w + a * ((logit - a @ w) / (a @ a))
+        value, slope = (v[0] for v in self.values(w[None]))
         for _ in range(200):
-            ps = [1 / (1 + np.exp(np.clip(-x @ w, -700, 700))) for x, _ in data()]
-            g = sum(((y - p) @ x for (x, y), p in zip(data(), ps, strict=True)), -ridge * w)
-            size = np.linalg.norm(g if a is None else g - a * ((a @ g) / (a @ a)))
-            if inverse is None or size > 0.3 * last:
-                inverse = np.linalg.inv(sum(((x * (p * (1 - p))[:, None]).T @ x for (x, _), p in zip(data(), ps, strict=True)), (ridge + 1e-9) * np.eye(len(w))))
-            last, move = size, inverse @ g
+            inverse = np.linalg.inv(self.hessian(w))
+            move = inverse @ slope
             if a is not None:
                 along = inverse @ a
                 move = move - along * ((a @ move) / (a @ along))
-            w = w + move
-            if np.abs(move).max(initial=0.0) < 1e-9:
+            for _ in range(40):
+                new, turned = (v[0] for v in self.values((w + move)[None]))
+                if new >= value - 1e-10:
+                    break
+                move = move / 2
+            w, value, slope = w + move, new, turned
+            if not np.abs(move).max(initial=0.0) >= 1e-9:
                 break
-        return w, inverse
-
-    free, curve = climb(None, 0.0, np.zeros(data()[0][0].shape[1]), None)
-    best = like(free)
-    held.clear()  # not to be shipped with the function
-    alphas = (np.arange(levels) + 0.5) / levels
+        return w
 
-    def support(a: np.ndarray) -> float:
-        """The lesser support of either class.
+    def peaks(self, a: np.ndarray, logit: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the highest likelihood, less the fit's, with ``a @ w`` at its logit, and its weights.
 
-        The likelihood at a level falls on both sides of the fit's own level, and
-        the other bound is a line: each maximum is found by bisection of the levels.
+        Quasi-Newton steps (L-BFGS) from w in the metric of the fit, within the
+        constraint, until what is still to be gained is less than ``GAIN``; a row
+        that needs too many has Newton steps of its own.
+        """
+        out, at = np.empty(len(a)), np.empty_like(a)
+        along = a @ self.inverse
+        width = (a * along).sum(axis=1)
+
+        def level(w: np.ndarray) -> np.ndarray:
+            return w + along * ((logit - (a * w).sum(axis=1)) / width)[:, None]
+
+        live, w = np.arange(len(a)), level(w)
+        value, slope = self.values(w)
+        past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _ in range(80):
+            q, shares = slope.copy(), []
+            for s, y, r in reversed(past):
+                shares.append(r * (s * q).sum(axis=1))
+                q -= shares[-1][:, None] * y
+            move = q @ self.inverse
+            move -= along * ((a * move).sum(axis=1) / width)[:, None]
+            for (s, y, r), share in zip(past, reversed(shares), strict=True):
+                move += s * (share - r * (y * move).sum(axis=1))[:, None]
+            gain = (slope * move).sum(axis=1) / 2
+            ended = gain < GAIN
+            out[live[ended]], at[live[ended]] = value[ended] + gain[ended], w[ended]
+            if ended.any():
+                stay = ~ended
+                live, a, along, width, logit, w, value, slope, move, gain = (v[stay] for v in (live, a, along, width, logit, w, value, slope, move, gain))
+                past = [(s[stay], y[stay], r[stay]) for s, y, r in past]
+            if not len(live):
+                break
+            new, turned = self.values(w + move)
+            for _ in range(40):
+                low = np.flatnonzero(~(new >= value + 1e-4 * gain - 1e-10))
+                if not len(low):
+                    break
+                move[low] /= 2
+                gain[low] /= 2
+                new[low], turned[low] = self.values(w[low] + move[low])
+            y = slope - turned
+            bent = (move * y).sum(axis=1)
+            past = [*past[-9:], (move, y, np.divide(1.0, bent, out=np.zeros(len(bent)), where=bent > 1e-300))]
+            w, value, slope = w + move, new, turned
+        for k, row in enumerate(live):
+            at[row] = self.newton(a[k], logit[k], w[k])
+            out[row] = self.values(at[row][None])[0][0]
+        return np.minimum(0.0, out - self.best), at
+
+    def supports(self, a: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+        """For each row the lesser support of either class over levels alpha of its probability.
+
+        A support is the largest of min(likelihood ratio, line) over the levels of
+        its side. The logistic loss is self-concordant: no labelled row's logit
+        moves more than ``reach`` times the length of a step, so that the fit alone
+        bounds the likelihood of every level from both sides. Only where these
+        bounds leave a utility open, a level is solved, that of the highest upper
+        bound; as the likelihood is concave in the logit, it bounds the others too.
         """
-        known: dict[int, float] = {}
-        at: dict[int, np.ndarray] = {}
-
-        def r(k: int) -> float:
-            if k not in known:
-                near = min(at, key=lambda j: abs(j - k), default=None)  # a level's weights are where another's steps begin
-                at[k], _ = climb(a, math.log(alphas[k] / (1 - alphas[k])), free if near is None else at[near], curve)
-                known[k] = math.exp(min(0.0, like(at[k]) - best))
-            return known[k]
-
-        def first(low: int, high: int, holds: Callable[[int], bool]) -> int:
-            while low < high:
-                mid = (low + high) // 2
-                low, high = (low, mid) if holds(mid) else (mid + 1, high)
-            return low
-
-        own = int(np.searchsorted(alphas, 1 / (1 + math.exp(min(700.0, max(-700.0, -(a @ free)))))))  # the levels below the fit's
-        up = first(own, levels, lambda k: 2 * alphas[k] > 1 and r(k) <= 2 * alphas[k] - 1)
-        down = first(0, own, lambda k: 2 * alphas[k] >= 1 or r(k) >= 1 - 2 * alphas[k])
-        some = lambda ks: [k for k in ks if 0 <= k < levels]
-        pos = max((min(r(k), 2 * alphas[k] - 1) for k in some({own - 1, up - 1, up}) if 2 * alphas[k] > 1), default=0.0)
-        neg = max((min(r(k), 1 - 2 * alphas[k]) for k in some({own, down - 1, down}) if 2 * alphas[k] < 1), default=0.0)
-        return min(pos, neg)
+        logit, line = np.log(alphas / (1 - alphas)), np.abs(2 * alphas - 1)
+        sides = [2 * alphas > 1, 2 * alphas < 1]
+        own, rows = a @ self.free, np.arange(len(a))
+        length = np.abs(logit - own[:, None]) / np.sqrt((a * (a @ self.inverse)).sum(axis=1))[:, None] * self.reach
+        with np.errstate(over="ignore"):
+            low, high = (-np.where(length < 1e-4, length**2 / 2 * (1 + sign * length / 3), np.expm1(sign * length) - sign * length) / self.reach**2 for sign in (1, -1))
+        last, last_off = np.tile(self.free, (len(a), 1)), np.zeros(len(a))  # the weights of the level solved last, and its logit less the fit's
+        while True:
+            at_least, at_most = np.minimum(np.exp(low), line), np.minimum(np.exp(high), line)
+            least = np.stack([np.where(side, at_least, 0.0).max(axis=1) for side in sides])
+            most = np.stack([np.where(side, at_most, 0.0).max(axis=1) for side in sides])
+            which = np.stack([np.where(side, at_most, 0.0).argmax(axis=1) for side in sides])
+            open_ = np.flatnonzero(most.min(axis=0) - least.min(axis=0) > CLOSE)
+            if not len(open_):
+                return (least.min(axis=0) + most.min(axis=0)) / 2
+            k = which[least.argmin(axis=0), rows][open_]
+            off, before = logit[k] - own[open_], last_off[open_]
+            start = self.free + (last[open_] - self.free) * np.divide(off, before, out=np.zeros(len(off)), where=before * off > 0)[:, None]
+            peak, last[open_] = self.peaks(a[open_], logit[k], start)
+            last_off[open_] = off
+            ratio = (logit - own[open_, None]) / off[:, None]
+            l, h = low[open_], high[open_]  # noqa: E741
+            l = np.where((ratio > 0) & (ratio < 1), np.maximum(l, (peak[:, None] - 2 * GAIN) * ratio), l)  # noqa: E741
+            h = np.where(ratio > 1, np.minimum(h, (peak[:, None] + 2 * GAIN) * ratio), h)
+            l[np.arange(len(k)), k] = h[np.arange(len(k)), k] = peak
+            low[open_], high[open_] = l, np.maximum(l, h)
+
+
+def epistemic_logistic(rows: DataFrame, pool: DataFrame, levels: int = 50, ridge: float = 1e-3) -> DataFrame:
+    """Epistemic uncertainty of a logistic regression on labels 0 and 1.
+
+    For each level alpha of the predicted probability the likelihood is
+    maximised under the one linear constraint that the row's logit is that of
+    alpha (:class:`LogisticPeaks`); supports are as for kernels. Every step sums
+    over all blocks of the labelled rows' distinct places; each worker, and the driver for
+    the fit without a constraint, holds them all. Rows with numbers that are not finite have no utility.
+    """
+    from lodestar.operators.pairs import blocks_of
+
+    labelled = pool.filter("y is not null").groupBy("x").agg(F.min("id").alias("id"), F.sum(F.col("y").cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
+    blocks = blocks_of(labelled.select("id", "x", "y", "n"))
+    if not blocks:
+        return rows.select("id", F.lit(1.0).alias("utility"))
+    fit, alphas = LogisticPeaks(blocks, ridge), (np.arange(levels) + 0.5) / levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [float(support(np.array([*v, 1.0]))) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "utility"])
+            for part in (b.slice(s, CANDIDATES_AT_ONCE) for s in range(0, b.num_rows, CANDIDATES_AT_ONCE)):
+                x = as_arrays(part)["x"]
+                u = fit.supports(np.hstack([x, np.ones((len(x), 1))]), alphas)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(u, pa.float64(), mask=np.isnan(u))], names=["id", "utility"])
 
     return rows.select(F.col("id").cast("long"), "x").mapInArrow(run, "id long, utility double")
 

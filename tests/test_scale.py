@@ -1,10 +1,12 @@
 """Queries over larger tables: rows that repeat, pools of many rows."""
 
+import math
 import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.plans import registry
 
@@ -170,6 +172,76 @@ def test_epistemic_logistic_finds_its_levels(spark):
     assert time.perf_counter() - start < 60
 
 
+def test_epistemic_logistic_of_labels_that_a_plane_parts(spark):
+    """Fits far from all levels, where whole Newton steps overshoot: as damped Newton steps at every level."""
+    from lodestar.operators import informative as I
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((30, 6))
+    y = (x[:, 0] > 0.2).astype(int)
+    ask = np.concatenate([rng.standard_normal((5, 6)), 0.1 * rng.standard_normal((3, 6)), x[:2]])
+    pool = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int")
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(ask)] + [(99, [math.nan] * 6)], "id long, x array<double>")
+    got = [r.utility for r in I.epistemic_logistic(frame, pool, 50).orderBy("id").collect()]
+    one = np.hstack([x, np.ones((30, 1))])
+    like = lambda w: float((y * (one @ w) - np.logaddexp(0, one @ w)).sum() - 0.5e-3 * w @ w)
+
+    def newton(w0, z):
+        t = np.zeros(z.shape[1])
+        for _ in range(100):
+            w = w0 + z @ t
+            p = 1 / (1 + np.exp(np.clip(-one @ w, -700, 700)))
+            g = z.T @ (one.T @ (y - p) - 1e-3 * w)
+            move = np.linalg.solve((one @ z * (p * (1 - p))[:, None]).T @ (one @ z) + 1e-3 * np.eye(len(t)), g)
+            if g @ move < 1e-13:
+                break
+            while like(w0 + z @ (t + move)) < like(w) - 1e-12:
+                move = move / 2
+            t = t + move
+        return w0 + z @ t
+
+    best, want = like(newton(np.zeros(7), np.eye(7))), []
+    for v in ask:
+        a = np.array([*v, 1.0])
+        z = np.linalg.svd(a[None])[2][1:].T
+        levels = [(m, np.exp(min(0.0, like(newton(a * (np.log(m / (1 - m)) / (a @ a)), z)) - best))) for m in (np.arange(50) + 0.5) / 50]
+        want.append(min(max(0.0, *(min(r, 2 * m - 1) for m, r in levels)), max(0.0, *(min(r, 1 - 2 * m) for m, r in levels))))
+    assert got[:-1] == pytest.approx(want, abs=1e-8) and max(want) > 0.9 and min(want) < 0.3
+    assert got[-1] is None
+
+
+def test_epistemic_logistic_of_many_rows(spark):
+    """24 000 candidates by 6000 labelled rows, with every row given an answer, in time."""
+    from lodestar.operators import informative as I
+
+    rows = spark.range(30000, numPartitions=8).select("id", F.array(*(F.randn(k) for k in range(32))).alias("x"), F.randn(99).alias("noise"))
+    pool = rows.withColumn("y", F.when(F.col("id") % 5 == 0, (F.col("x")[0] + F.col("noise") > 0).cast("int")))
+    start = time.perf_counter()
+    n, low, high = I.epistemic_logistic(pool.filter("y is null"), pool).agg(F.count("utility"), F.min("utility"), F.max("utility")).first()
+    assert (n, low >= 0, 0 < high < 1) == (24000, True, True) and time.perf_counter() - start < 60
+
+
+def test_epistemic_logistic_keeps_equal_places_once(spark):
+    """Rows at equal places count by their number, as rows by themselves do."""
+    from lodestar.operators import informative as I
+
+    class Rows:
+        def __init__(self, x, y):
+            self.side = {"x": x, "y": y, "n": np.ones(len(y), dtype=int)}
+
+        def load(self):
+            return self.side
+
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((70, 3)), rng.integers(1, 4, 70), axis=0)
+    y = (x[:, 0] + rng.standard_normal(len(x)) > 0).astype(float)
+    ask = rng.standard_normal((20, 3))
+    pool = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int")
+    got = [r.utility for r in I.epistemic_logistic(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(ask)], "id long, x array<double>"), pool, 50).orderBy("id").collect()]
+    fit = I.LogisticPeaks([Rows(x[:50], y[:50]), Rows(x[50:], y[50:])], 1e-3)
+    assert got == pytest.approx(fit.supports(np.hstack([ask, np.ones((20, 1))]), (np.arange(50) + 0.5) / 50).tolist(), abs=1e-9) and max(got) > 0.1
+
+
 def test_many_clusters_are_made_in_time(spark):
     """A cluster for each of many labelled rows; each row in that of its nearest centre, each centre the mean of its rows."""
     from lodestar.operators import diverse as D
